@@ -22,9 +22,9 @@ class PerplexityBands:
     """A text's log perplexity may lie reach times the distance of its language's quartiles beyond them (least nats at
     least); the width grows by sqrt(1 + short / bytes), as means over few bytes spread more."""
 
-    reach: float = 4.0
-    least: float = 0.2
-    short: int = 1000
+    reach: float = 3.0
+    least: float = 0.15
+    short: int = 2000
     min_words: int = 10
     max_repeat_percent: int = 20
 

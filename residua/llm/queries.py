@@ -20,6 +20,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_licence_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licence_rules import licence_scan
+
+    return licence_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op2_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit_toxicity, fold_of, score_toxicity
 
@@ -29,6 +35,13 @@ def op2_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold_of("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_zip_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_zip import archive_folder, read_archives, write_archives
+
+    archives = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), archive_folder(spark))
+    return read_archives(archives, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_duplicates import NearDuplicateConfig, near_duplicates
 
@@ -60,11 +73,18 @@ def op9_minimum_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), PackingConfig(tokenizer_path("word_bpe_49k.json")), keep_ids=False)
 
 
+def op10_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_transducer import encode_documents
+
+    return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("piece_bpe_32k.model"), keep_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:2] == "op" and k[2].isdigit() and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from .licence_rules import licence_sql
     from .rendezvous import rendezvous_sql
 
-    return {"op8_rendezvous_sharding": rendezvous_sql()}
+    return {"op1_licence_sentence_rules": licence_sql(), "op8_rendezvous_sharding": rendezvous_sql()}
