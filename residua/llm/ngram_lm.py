@@ -144,7 +144,9 @@ def train(counts: DataFrame) -> dict[int, DataFrame]:
             lower = F.col("pl")
         p = (F.col("c") - F.col("cut") + F.col("mass") * lower) / F.col("tot")
         probs[k] = written(joined.select("key", F.log(p).alias("logp")).sortWithinPartitions("key"), f"logp{k}")
-    model = {k: probs[k].join(weights[k], F.col("key") == F.col("g_key"), "left").select("key", "logp", "logg") if k < ORDER else probs[k].withColumn("logg", F.lit(None).cast("double")) for k in probs}
+    # outer: the padding before a text is a context that never ends an n-gram
+    model = {k: probs[k].join(weights[k], F.col("key") == F.col("g_key"), "full").select(F.coalesce("key", "g_key").alias("key"), "logp", "logg") for k in range(1, ORDER)}
+    model[ORDER] = probs[ORDER].withColumn("logg", F.lit(None).cast("double"))
     model[0] = weights[0].select(F.col("g_key").alias("key"), F.lit(UNSEEN).alias("logp"), "logg")
     return model
 

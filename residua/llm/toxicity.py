@@ -279,17 +279,18 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str | Colum
     scores; an empty table gives an empty table.
     """
     base = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    width = len(keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # lexicon and trees are bounded by ToxicityConfig
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         codes = Codes(own.lexicon)
         for batch in batches:
-            text, scores = batch.column(len(keep)), []
+            text, scores = batch.column(width), []
             for lo in range(0, batch.num_rows, 500):
                 x = np.array([features_of(t, codes, own.near) for t in text.slice(lo, 500).cast(pa.binary()).to_pylist()])
                 scores.append(own.scores(x.reshape(-1, len(FEATURES))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*batch.schema.names[: len(keep)], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*batch.schema.names[:width], "score"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema[: len(keep)])
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema[:width])
     return base.mapInArrow(run, f"{ddl}, score double")

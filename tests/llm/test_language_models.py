@@ -1,0 +1,141 @@
+import math
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from residua.llm import ngram_lm as L
+from residua.llm._cluster import written
+from residua.llm.perplexity_filter import quality_verdicts
+from residua.llm.quality_classifier import trusted_perplexity
+from residua.llm.toxicity import fit_toxicity, isotonic, score_toxicity
+
+TEXTS = [
+    ("en", "the cat sat on the mat and the dog sat on the cat\n"),
+    ("en", "a dog and a cat met the man on the mat; the man sat"),
+    ("fr", "le chat et le chien et le tapis, le chat est là"),
+    (None, "the cat"),
+]
+
+
+def plain_model(texts):
+    """Interpolated modified Kneser-Ney, by dictionaries."""
+    levels = {L.ORDER: Counter()}
+    for lang, t in texts:
+        b = b"\n" * (L.ORDER - 1) + t.encode()
+        for i in range(L.ORDER - 1, len(b)):
+            levels[L.ORDER][(lang, b[i - L.ORDER + 1 : i + 1])] += 1
+    for k in range(L.ORDER - 1, 0, -1):
+        levels[k] = Counter()
+        for lang, g in levels[k + 1]:
+            levels[k][(lang, g[1:])] += 1
+    cuts, sums, mass = {}, defaultdict(float), defaultdict(float)
+    for k, level in levels.items():
+        for lang in {lang for lang, _ in level}:
+            n = Counter(c for (x, _), c in level.items() if x == lang)
+            if all(n[j] for j in (1, 2, 3, 4)):
+                y = n[1] / (n[1] + 2 * n[2])
+                cuts[k, lang] = [max(0.05, min(j, j - (j + 1) * y * n[j + 1] / n[j])) for j in (1, 2, 3)]
+            else:
+                cuts[k, lang] = [0.5, 1.0, 1.5]
+        for (lang, g), c in level.items():
+            sums[lang, g[:-1], k] += c
+            mass[lang, g[:-1], k] += cuts[k, lang][min(c, 3) - 1]
+
+    def p(lang, g):
+        k = len(g)
+        if k == 0:
+            return 1 / 256
+        lower = p(lang, g[1:])
+        total = sums.get((lang, g[:-1], k), 0)
+        if not total:
+            return lower
+        c = levels[k][(lang, g)]
+        return ((c - cuts[k, lang][min(c, 3) - 1] if c else 0) + mass[lang, g[:-1], k] * lower) / total
+
+    def mean(lang, t):
+        b = b"\n" * (L.ORDER - 1) + t.encode()
+        return sum(math.log(p(lang, b[i - L.ORDER + 1 : i + 1])) for i in range(L.ORDER - 1, len(b))) / len(t.encode())
+
+    return mean
+
+
+def test_scores_equal_a_plain_model(spark):
+    train = spark.createDataFrame(TEXTS, "lang string, text string")
+    other = [("en", "the bat sat"), ("fr", "le rat"), ("xx", "zz"), ("en", "qqq Ω"), *TEXTS]
+    docs = spark.createDataFrame([(i, *x) for i, x in enumerate(other)], "doc_id long, lang string, text string")
+    model = L.train(written(L.count_ngrams(train), "t"))
+    table = written(L.resolve(L.count_ngrams(docs).select("key"), model), "t")
+    mean = plain_model(TEXTS)
+    for score in (L.score_resident, L.score_sharded):
+        got = {r.doc_id: r.logp_mean for r in score(docs, table, ["doc_id"]).collect()}
+        assert got == {i: pytest.approx(mean(*x), rel=1e-5) for i, x in enumerate(other)}
+
+
+def plain_facts(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    runs = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    cover = {j for i in range(len(w) - 4) if runs[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+    seen, again = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            again += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), again, len(cover)
+
+
+def test_quality_facts_and_paths_agree(spark, edge, no_docs):
+    more = [(100, "a b c d e\nf g\na b c d e\nf g\n\n \n#é* $%&|<>", "en", 1), (101, "x y z \x1c w", "en", 1)]
+    docs = edge.unionAll(spark.createDataFrame(more, edge.schema))
+    texts = defaultdict(list)
+    for r in docs.collect():
+        texts[r.doc_id].append(r.text or "")
+    resident = quality_verdicts(docs).collect()
+    assert len(resident) == 12
+    for r in resident:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_facts(texts[r.doc_id][0])
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
+        assert not (r.base_failed and r.kept)
+    sharded = quality_verdicts(docs, resident_rows=10).collect()
+    key = lambda r: (str(r.doc_id), r.n_words)
+    for a, b in zip(sorted(resident, key=key), sorted(sharded, key=key)):
+        assert a.kept == b.kept and (a.log_ppl == b.log_ppl or a.log_ppl == pytest.approx(b.log_ppl, rel=1e-6))
+    assert quality_verdicts(no_docs).collect() == []
+
+
+def test_trusted_model_tells_junk(spark, edge, no_docs):
+    good = [(1000 + i, f"the {a} {b} met the {c} by the {d}", "en", 1) for i, (a, b, c, d) in enumerate(zip("cat dog man cow hen".split() * 8, "sat ran hid ate won".split() * 8, "owl fox bee ant pig".split() * 8, "mat sea oak bay inn".split() * 8))]
+    bad = [(2000 + i, f"#{i}%%zq{i}xj|{i}||kv" * 4, "en", 1) for i in range(10)]
+    docs = edge.unionAll(spark.createDataFrame(good + bad, edge.schema))
+    trusted = spark.createDataFrame([(g[0],) for g in good[:30]] + [(None,)], "doc_id long")
+    got = {r.doc_id: r for r in trusted_perplexity(docs, trusted).collect()}
+    assert all(got[g[0]].kept for g in good) and not any(got[b[0]].kept for b in bad)
+    assert got[3].log_ppl is None and not got[3].kept and not got[None].trusted
+    assert trusted_perplexity(no_docs, trusted).collect() == []
+    assert all(r.kept for r in trusted_perplexity(docs, trusted.limit(0)).collect() if r.log_ppl is not None)
+
+
+def test_isotonic_is_monotone_and_keeps_the_mean():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    raw = r.normal(size=500)
+    y = (r.random(500) < 1 / (1 + np.exp(-2 * raw))).astype(float)
+    knots, values = isotonic(raw, y)
+    assert (np.diff(knots) > 0).all() and (np.diff(values) >= 0).all() and 0 <= values[0] and values[-1] <= 1
+
+
+def test_toxicity_held_out_accuracy_and_edges(spark, edge, no_docs):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = fit_toxicity(docs, labels)
+    from residua.llm.toxicity import fold_of
+
+    held = score_toxicity(docs.join(labels.where(fold_of("doc_id") == 0), "doc_id"), model, ["toxic"]).toPandas()
+    hit = held.score >= 0.5
+    assert hit[held.toxic == 1].mean() > 0.85 and hit[held.toxic == 0].mean() < 0.01
+    rows = score_toxicity(edge, model, ["doc_id"]).collect()
+    assert len(rows) == 10 and all(0 <= r.score <= 1 for r in rows)
+    assert score_toxicity(no_docs, model, ["doc_id"]).collect() == []
+    none = fit_toxicity(edge, labels.limit(0))
+    assert all(r.score == 0 for r in score_toxicity(edge, none, ["doc_id"]).collect())
