@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,42 +14,61 @@ from pyspark.sql import functions as F
 
 from ._cluster import written
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 
 class WordIds(dict):
     """Token ids of a run between white space, as little-endian uint32 bytes; remembers up to CACHE_WORDS runs.
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are those of its runs in turn.
+    Runs that are not known yet are encoded together, once per group of texts.
     """
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
+        self.parts: dict[str, bytes] = {}
         self.model = Tokenizer.from_file(path)
+        self.encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
 
-    def __missing__(self, run: bytes) -> bytes:
+    def learn(self, runs: set[bytes]) -> None:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        ids = np.array(self.model.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(run) <= 64:
-            self[run] = ids
-        return ids
-
-    def of(self, text: bytes | None, end_id: int) -> bytes:
-        return b"".join([self[w] for w in text.split()] if text else []) + np.array([end_id], "<u4").tobytes()
+            self.parts.clear()
+        halves, need = [], set()
+        for run in runs:
+            if run not in self:
+                text = run.decode("utf-8", "replace")
+                head = text.rstrip(".,;:!?")
+                # Latin-1 letters are one unit to the tokenizer, whatever their case, and the signs after them another
+                half = (head.lower(), text[len(head) :]) if head.isalpha() and max(head) < "\u0100" else (text, "")
+                halves.append((run, half))
+                need.update(half)
+        new = [x for x in need if x not in self.parts]
+        for lo in range(0, len(new), 20_000):
+            some = new[lo : lo + 20_000]
+            for x, got in zip(some, self.encode(some, add_special_tokens=False)):
+                self.parts[x] = struct.pack(f"<{len(got.ids)}I", *got.ids)
+        for run, (head, tail) in halves:
+            self[run] = self.parts[head] + self.parts[tail] if tail else self.parts[head]
+
+    def of_all(self, texts: list[bytes | None], end_id: int) -> Iterator[bytes]:
+        split = [t.split() if t else [] for t in texts]
+        self.learn(set().union(*split))
+        end, find = struct.pack("<I", end_id), self.__getitem__
+        for runs in split:
+            yield b"".join(map(find, runs)) + end
 
 
 def _pieces(path: str, capacity: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
                 out: tuple[list, ...] = ([], [], [], [], [], [])
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
-                    ids = words.of(text, end_id)
+                for doc, ids in zip(part.column(0).to_pylist(), words.of_all(part.column(1).cast(pa.binary()).to_pylist(), end_id)):
                     for i in range(0, len(ids), 4 * capacity):
                         piece = ids[i : i + 4 * capacity]
                         for to, x in zip(out, (doc, i // (4 * capacity), i // 4, len(piece) // 4, zlib.crc32(piece), piece if keep_ids else None)):
