@@ -30,6 +30,12 @@ class WordIds(dict):
 
         self.parts: dict[str, bytes] = {}
         self.model = Tokenizer.from_file(path)
+        suffix = getattr(self.model.model, "end_of_word_suffix", None)
+        self.closing = None
+        if suffix:
+            vocabulary = self.model.get_vocab()
+            self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.closing[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
 
     def learn(self, runs: set[bytes]) -> None:
@@ -46,6 +52,10 @@ class WordIds(dict):
                 halves.append((run, half))
                 need.update(half)
         new = [x for x in need if x not in self.parts]
+        words = [x for x in new if self.closing is not None and x.isalpha() and max(x) < "\u0100"]
+        for lo in range(0, len(words), 4000):
+            self._learn_words(words[lo : lo + 4000])
+        new = [x for x in new if x not in self.parts]
         for lo in range(0, len(new), 20_000):
             some = new[lo : lo + 20_000]
             for x, got in zip(some, self.encode(some, add_special_tokens=False)):
@@ -53,6 +63,16 @@ class WordIds(dict):
         for run, (head, tail) in halves:
             self[run] = self.parts[head] + self.parts[tail] if tail else self.parts[head]
 
+    def _learn_words(self, words: list[str]) -> None:
+        """All words as one text: each is one unit to the tokenizer, so its ids end with the one that closes a word."""
+        ids = np.array(self.encode([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.closing[ids]) + 1
+        if len(ends) == len(words):
+            raw, at = ids.tobytes(), 0
+            for word, end in zip(words, ends.tolist()):
+                self.parts[word] = raw[4 * at : 4 * end]
+                at = end
+
     def of_all(self, texts: list[bytes | None], end_id: int) -> Iterator[bytes]:
         split = [t.split() if t else [] for t in texts]
         self.learn(set().union(*split))
