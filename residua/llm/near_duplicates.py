@@ -15,8 +15,8 @@ from ._cluster import discard, group_extreme, written
 from .components import connected_components
 
 BLOCK = 512
-#: Ranks of a row's candidates inside one block that are verified in each pass; together they leave none out.
-WAVES = ((0, 4), (4, 32), (32, 1 << 30))
+#: How many of a row's best candidates inside one block each pass verifies; the last pass leaves none out.
+WAVES = (4, 32, 1 << 30)
 
 
 @dataclass(frozen=True)
@@ -73,8 +73,8 @@ def _sketches(conf: NearDuplicateConfig):
                             memo.clear()
                         if len(s):
                             sig = minima(s, a, b)
-                            rows = sig.reshape(conf.bands, conf.rows).astype(np.uint64)
-                            memo[key] = (sig.astype(np.uint16).tobytes(), T.windows(rows.ravel(), conf.rows)[:: conf.rows].astype(np.int64))
+                            low = sig.astype(np.uint16)  # signatures and bands rest on the same bits
+                            memo[key] = (low.tobytes(), T.windows(low.astype(np.uint64), conf.rows)[:: conf.rows].astype(np.int64))
                         else:
                             memo[key] = (b"", np.empty(0, np.int64))
                     sizes.append(len(s))
@@ -141,23 +141,31 @@ def _verify(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, conf: NearD
     return both.select("u", "v", "x", "y").mapInArrow(_linked(conf), "u long, v long")
 
 
-def _cross_candidates(conf: NearDuplicateConfig, lo: int, hi: int):
-    """Of one block pair of a bucket: visiting rows against resident rows of other components, by signatures."""
+def _cross_candidates(conf: NearDuplicateConfig, most: int):
+    """Of one block pair of a bucket: visiting rows against resident rows of other components, by signatures.
+
+    A pair is found once: in the first band its rows share, by the one outside the commonest component, or by the larger
+    id if both are. A row (id, id) tells that this visitor has more than most candidates in the block.
+    """
     width = conf.bands * conf.rows
     floor = (conf.percent / 100 - conf.slack) * width
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comps, here = (table.column(c).to_numpy() for c in ("id", "comp", "resident"))
+        ids, comps, here, minor = (table.column(c).to_numpy() for c in ("id", "comp", "resident", "minor"))
+        band = table.column("band")[0].as_py()
         sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(ids), width)
         rest = np.flatnonzero(here)
         us, vs = [], []
         for i in np.flatnonzero(~here):
-            same = (sigs[rest] == sigs[i]).sum(axis=1)
-            near = rest[(same >= floor) & (ids[rest] != ids[i])]
-            if len(near) <= lo:
-                continue
-            near = near[np.lexsort((ids[near], -(sigs[near] == sigs[i]).sum(axis=1)))][lo:hi]
-            near = near[comps[near] != comps[i]]
+            equal = sigs[rest] == sigs[i]
+            same = equal.sum(axis=1)
+            open_ = np.flatnonzero((same >= floor) & (comps[rest] != comps[i]) & (~minor[rest] | (ids[rest] < ids[i])))
+            shares = equal[open_].reshape(len(open_), conf.bands, conf.rows).all(axis=2)
+            open_ = open_[shares[:, band] & ~shares[:, :band].any(axis=1)]
+            if len(open_) > most:
+                us.append(int(ids[i]))
+                vs.append(int(ids[i]))
+            near = rest[open_[np.lexsort((ids[rest[open_]], -same[open_]))][:most]]
             us += [int(min(ids[i], ids[j])) for j in near]
             vs += [int(max(ids[i], ids[j])) for j in near]
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
@@ -179,8 +187,8 @@ def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     rows = rows.withColumn("_i", F.ceil(F.col("total") / BLOCK).cast("int")).withColumn("_j", F.ceil((F.col("total") - F.col("n_main")) / BLOCK).cast("int"))
     spot = F.xxhash64("id")
     cells = "band", "key", "id", "comp"
-    resident = rows.select(*cells, F.pmod(spot, F.col("_i")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("_j") - 1)).alias("j"), F.lit(True).alias("resident"))
-    visitor = rows.where("comp <> main").select(*cells, F.explode(F.sequence(F.lit(0), F.col("_i") - 1)).alias("i"), F.pmod(spot, F.col("_j")).cast("int").alias("j"), F.lit(False).alias("resident"))
+    resident = rows.select(*cells, F.pmod(spot, F.col("_i")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("_j") - 1)).alias("j"), F.lit(True).alias("resident"), (F.col("comp") != F.col("main")).alias("minor"))
+    visitor = rows.where("comp <> main").select(*cells, F.explode(F.sequence(F.lit(0), F.col("_i") - 1)).alias("i"), F.pmod(spot, F.col("_j")).cast("int").alias("j"), F.lit(False).alias("resident"), F.lit(True).alias("minor"))
     return resident.unionAll(visitor)
 
 
@@ -209,29 +217,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     single = written(sketch.where("n_shingles = 0 or id is null").select("id", "n_shingles"), "single")
     discard(sketch)
     members = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    shared = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
-    slots = written(members.join(shared, ["band", "key"]).select("band", "key", "id"), "slots")
+    slots = written(group_extreme(members, ["band", "key"], "id", "u", count="n").where("n > 1").select("band", "key", "id", "u"), "slots")
     light = reps.select("id", "sig")
     texts = written(base.join(slots.select("id").distinct(), "id", "left_semi"), "texts")
-    stars = group_extreme(slots, ["band", "key"], "id", "u").select("u", F.col("id").alias("v")).where("u < v").distinct()
-    stars = written(stars, "stars")
+    stars = written(slots.where("u < id").select("u", F.col("id").alias("v")).distinct(), "stars")
     # an id whose rows hold different texts stands in several classes, which it ties together
     several = classes.groupBy("id").agg(F.countDistinct("print").alias("_c")).where("_c > 1").select("id")
     twins = classes.where("id <> rep").join(several, "id").select(F.col("rep").alias("u"), F.col("id").alias("v"))
     links = written(_verify(stars, light, texts, conf).unionAll(twins).distinct(), "links")
-    labels = connected_components(links)
-    for lo, hi in WAVES:
+    labels, tried = connected_components(links), stars
+    for most in WAVES:
         cells = _open_buckets(slots, labels).join(light, "id")
-        found = cells.groupBy("band", "key", "i", "j").applyInArrow(_cross_candidates(conf, lo, hi), "u long, v long").distinct()
-        untried = written(found.join(stars, ["u", "v"], "left_anti"), "untried")
-        if not untried.isEmpty():
-            fresh = written(_verify(untried, light, texts, conf, signatures=False), "fresh")
-            if not fresh.isEmpty():
-                links = links.unionAll(fresh)
-                labels = connected_components(links)
-        discard(untried)
+        found = cells.groupBy("band", "key", "i", "j").applyInArrow(_cross_candidates(conf, most), "u long, v long").distinct()
+        untried = written(found.join(tried, ["u", "v"], "left_anti"), "untried")
+        full = untried.where("u = v").isEmpty()
+        fresh = written(_verify(untried.where("u < v"), light, texts, conf, signatures=False), "fresh")
+        if not fresh.isEmpty():
+            # the labels are a finished star forest, so only what the new links tie is stepped again
+            labels = connected_components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(fresh))
+        if full:
+            break
+        tried = tried.unionAll(untried.where("u < v"))
     labels = written(labels, "labels")
-    for done in (slots, texts, reps, stars):
+    for done in (slots, texts, reps, tried):
         discard(done)
     placed = classes.join(labels, F.col("rep") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     whole = placed.unionAll(single.select("id", "n_shingles", F.col("id").alias("component_id")))

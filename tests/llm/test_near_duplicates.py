@@ -2,6 +2,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
+from residua.llm import components
+from residua.llm import near_duplicates as near_duplicates_module
 from residua.llm.components import connected_components
 from residua.llm.near_duplicates import NearDuplicateConfig, near_duplicates
 
@@ -57,6 +61,14 @@ def test_equals_brute_force(spark):
             assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_small_passes_and_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates_module, "WAVES", (1, 2, 1 << 30))
+    monkeypatch.setattr(near_duplicates_module, "BLOCK", 4)
+    rows = corpus(3)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 5)
+
+
 def test_edge_rows(spark, edge, no_docs):
     got = near_duplicates(edge).collect()
     assert len(got) == 10
@@ -68,7 +80,9 @@ def test_edge_rows(spark, edge, no_docs):
     assert near_duplicates(no_docs).collect() == []
 
 
-def test_components_of_a_long_chain_and_a_star(spark):
+@pytest.mark.parametrize("one_task", [0, 200_000])
+def test_components_of_a_long_chain_and_a_star(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK_EDGES", one_task)
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, j) for j in range(200, 900)] + [(900, 899), (7, 7), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got[i] == 100 for i in range(100, 161))
