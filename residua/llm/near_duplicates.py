@@ -15,8 +15,9 @@ from ._cluster import discard, group_extreme, written
 from .components import connected_components
 
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 20
 #: How many of a row's best candidates inside one block each pass verifies; the last pass leaves none out.
-WAVES = (4, 32, 1 << 30)
+WAVES = (8, 1 << 30)
 
 
 @dataclass(frozen=True)
@@ -130,12 +131,11 @@ def _linked(conf: NearDuplicateConfig):
     return run
 
 
-def _verify(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, conf: NearDuplicateConfig, *, signatures: bool = True) -> DataFrame:
+def _verify(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, conf: NearDuplicateConfig) -> DataFrame:
     """Those of the pairs (u, v) that link: first by signatures, then on the full sets of both texts."""
-    if signatures:
-        left = pairs.join(sketches.select(F.col("id").alias("u"), F.col("sig").alias("x")), "u")
-        both = left.join(sketches.select(F.col("id").alias("v"), F.col("sig").alias("y")), "v")
-        pairs = both.select("u", "v", "x", "y").mapInArrow(_agreeing(conf), "u long, v long")
+    left = pairs.join(sketches.select(F.col("id").alias("u"), F.col("sig").alias("x")), "u")
+    both = left.join(sketches.select(F.col("id").alias("v"), F.col("sig").alias("y")), "v")
+    pairs = both.select("u", "v", "x", "y").mapInArrow(_agreeing(conf), "u long, v long")
     left = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("y")), "v")
     both = left.join(texts.select(F.col("id").alias("u"), F.col("text").alias("x")), "u")
     return both.select("u", "v", "x", "y").mapInArrow(_linked(conf), "u long, v long")
@@ -145,7 +145,8 @@ def _cross_candidates(conf: NearDuplicateConfig, most: int):
     """Of one block pair of a bucket: visiting rows against resident rows of other components, by signatures.
 
     A pair is found once: in the first band its rows share, by the one outside the commonest component, or by the larger
-    id if both are. A row (id, id) tells that this visitor has more than most candidates in the block.
+    id if both are. One row per document that has or is a candidate: mates lists a visitor's best ones, most similar
+    first, and more tells that it has others besides. No row per pair is made.
     """
     width = conf.bands * conf.rows
     floor = (conf.percent / 100 - conf.slack) * width
@@ -155,19 +156,72 @@ def _cross_candidates(conf: NearDuplicateConfig, most: int):
         band = table.column("band")[0].as_py()
         sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(ids), width)
         rest = np.flatnonzero(here)
-        us, vs = [], []
+        mates: dict[int, list[int]] = {}
+        known, full = dict(zip(ids.tolist(), comps.tolist())), set()
         for i in np.flatnonzero(~here):
             equal = sigs[rest] == sigs[i]
             same = equal.sum(axis=1)
             open_ = np.flatnonzero((same >= floor) & (comps[rest] != comps[i]) & (~minor[rest] | (ids[rest] < ids[i])))
             shares = equal[open_].reshape(len(open_), conf.bands, conf.rows).all(axis=2)
             open_ = open_[shares[:, band] & ~shares[:, :band].any(axis=1)]
+            if not len(open_):
+                continue
+            own = int(ids[i])
             if len(open_) > most:
-                us.append(int(ids[i]))
-                vs.append(int(ids[i]))
-            near = rest[open_[np.lexsort((ids[rest[open_]], -same[open_]))][:most]]
-            us += [int(min(ids[i], ids[j])) for j in near]
-            vs += [int(max(ids[i], ids[j])) for j in near]
+                full.add(own)
+            near = ids[rest[open_[np.lexsort((ids[rest[open_]], -same[open_]))][:most]]].tolist()
+            mates.setdefault(own, []).extend(near)
+            for j in near:
+                mates.setdefault(j, [])
+        out = list(mates)
+        cell = {c: pa.array([table.column(c)[0].as_py()] * len(out), t) for c, t in (("band", pa.int32()), ("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()))}
+        return pa.table(cell | {"id": pa.array(out, pa.int64()), "comp": pa.array([known[k] for k in out], pa.int64()), "mates": pa.array([mates[k] for k in out], pa.list_(pa.int64())), "more": pa.array([k in full for k in out], pa.bool_())})
+
+    return run
+
+
+CELL = "band int, key long, i int, j int, id long, comp long, mates array<long>, more boolean"
+
+
+def _cell_links(conf: NearDuplicateConfig):
+    """Of one block pair with its texts: the exact check of every listed pair not yet tied, and the links that tie."""
+
+    def run(table: pa.Table) -> pa.Table:
+        texts, mates, tie = {}, {}, {}
+        for own, comp, near, text in zip(*(table.column(c).to_pylist() for c in ("id", "comp", "mates")), table.column("text").cast(pa.binary()).to_pylist()):
+            texts.setdefault(own, []).append(text)  # an id may hold several texts; any of them links
+            mates[own] = near
+            tie[own] = comp
+        root: dict[int, int] = {}
+        sets: dict[int, list[np.ndarray]] = {}
+
+        def top(c: int) -> int:
+            while c in root:
+                c = root[c]
+            return c
+
+        def of(own: int) -> list[np.ndarray]:
+            if own not in sets:
+                sets[own] = [shingles_of(t, conf.shingle_words) for t in texts.pop(own)]
+            return sets[own]
+
+        def linked(p: np.ndarray, q: np.ndarray) -> bool:
+            if 100 * min(len(p), len(q)) < conf.percent * max(len(p), len(q)):
+                return False
+            both = T.overlap(p, q)
+            return 100 * both >= conf.percent * (len(p) + len(q) - both)
+
+        us, vs = [], []
+        for rank in range(max(map(len, mates.values()), default=0)):
+            for own, near in mates.items():
+                if rank >= len(near):
+                    continue
+                mate = near[rank]
+                x, y = top(tie[own]), top(tie[mate])
+                if x != y and any(linked(p, q) for p in of(own) for q in of(mate)):
+                    root[max(x, y)] = min(x, y)
+                    us.append(min(own, mate))
+                    vs.append(max(own, mate))
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return run
@@ -177,14 +231,15 @@ def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the buckets that still hold rows of several components, cut into block pairs.
 
     A bucket's residents are all its rows; its visitors are the rows outside its commonest component (smallest id on
-    ties). Both sides are cut by hash into blocks of about BLOCK rows, so no task holds a whole bucket.
+    ties). Both sides are cut by hash into blocks of about BLOCK rows and at most about BLOCK_SHINGLES shingles, so no
+    task holds a whole bucket.
     """
-    now = members.join(labels, members["id"] == labels["node"], "left").select("band", "key", "id", F.coalesce("component", "id").alias("comp"))
-    sizes = now.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    buckets = sizes.groupBy("band", "key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("total"), F.max(F.struct("n", -F.col("comp"))).alias("main"))
-    buckets = buckets.where("comps > 1 and total > 2").select(F.col("band").alias("_b"), F.col("key").alias("_k"), "total", F.col("main.n").alias("n_main"), (-F.col("main.col2")).alias("main"))
+    now = members.join(labels, members["id"] == labels["node"], "left").select("band", "key", "id", "size", F.coalesce("component", "id").alias("comp"))
+    sizes = now.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    buckets = sizes.groupBy("band", "key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("total"), F.sum("s").alias("shingles"), F.max(F.struct("n", (-F.col("comp")).alias("least"), "s")).alias("main"))
+    blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    buckets = buckets.where("comps > 1 and total > 2").select(F.col("band").alias("_b"), F.col("key").alias("_k"), blocks(F.col("total"), F.col("shingles")).alias("_i"), blocks(F.col("total") - F.col("main.n"), F.col("shingles") - F.col("main.s")).alias("_j"), (-F.col("main.least")).alias("main"))
     rows = now.join(buckets, (F.col("band") == F.col("_b")) & (F.col("key") == F.col("_k")))
-    rows = rows.withColumn("_i", F.ceil(F.col("total") / BLOCK).cast("int")).withColumn("_j", F.ceil((F.col("total") - F.col("n_main")) / BLOCK).cast("int"))
     spot = F.xxhash64("id")
     cells = "band", "key", "id", "comp"
     resident = rows.select(*cells, F.pmod(spot, F.col("_i")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("_j") - 1)).alias("j"), F.lit(True).alias("resident"), (F.col("comp") != F.col("main")).alias("minor"))
@@ -201,8 +256,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     2. In each bucket of each band, every representative is paired with the bucket's smallest id only; pairs pass a
        signature check and then the exact check on full sets; verified links give components.
     3. Buckets that still hold several components are searched for links between components, block by block against
-       their minority rows, most similar candidates first, until no pass has an unchecked candidate left. Rows already
-       in one component are never paired again, so groups of copies cost their size, not its square.
+       their minority rows, most similar candidates first, until no pass has an unchecked candidate left. Candidates
+       stay lists inside their block, which checks them on full sets and returns only the links that tie components;
+       rows already in one component are never paired again.
 
     Defined cases: null, empty or blank text: n_shingles 0, linked with nothing, kept. A null id: component_id null,
     kept, linked with nothing. Rows that repeat an id are one node: linked if any of their texts is. Other columns are
@@ -213,11 +269,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     real = sketch.where("n_shingles > 0 and id is not null")
     classes = written(group_extreme(real.select("id", "n_shingles", "print"), ["print"], "id", "rep"), "classes")
     heads = classes.where("id = rep").select("id", "print").distinct()
-    reps = written(real.select("id", "print", "sig", "bands").join(heads, ["id", "print"]).dropDuplicates(["id", "print"]).select("id", "sig", "bands"), "reps")
+    reps = written(real.join(heads, ["id", "print"]).dropDuplicates(["id", "print"]).select("id", F.col("n_shingles").alias("size"), "sig", "bands"), "reps")
     single = written(sketch.where("n_shingles = 0 or id is null").select("id", "n_shingles"), "single")
     discard(sketch)
-    members = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    slots = written(group_extreme(members, ["band", "key"], "id", "u", count="n").where("n > 1").select("band", "key", "id", "u"), "slots")
+    members = reps.select("id", "size", F.posexplode("bands").alias("band", "key"))
+    slots = written(group_extreme(members, ["band", "key"], "id", "u", count="n").where("n > 1").select("band", "key", "id", "size", "u"), "slots")
     light = reps.select("id", "sig")
     texts = written(base.join(slots.select("id").distinct(), "id", "left_semi"), "texts")
     stars = written(slots.where("u < id").select("u", F.col("id").alias("v")).distinct(), "stars")
@@ -225,21 +281,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = classes.groupBy("id").agg(F.countDistinct("print").alias("_c")).where("_c > 1").select("id")
     twins = classes.where("id <> rep").join(several, "id").select(F.col("rep").alias("u"), F.col("id").alias("v"))
     links = written(_verify(stars, light, texts, conf).unionAll(twins).distinct(), "links")
-    labels, tried = connected_components(links), stars
+    labels = connected_components(links)
     for most in WAVES:
-        cells = _open_buckets(slots, labels).join(light, "id")
-        found = cells.groupBy("band", "key", "i", "j").applyInArrow(_cross_candidates(conf, most), "u long, v long").distinct()
-        untried = written(found.join(tried, ["u", "v"], "left_anti"), "untried")
-        full = untried.where("u = v").isEmpty()
-        fresh = written(_verify(untried.where("u < v"), light, texts, conf, signatures=False), "fresh")
+        cells = _open_buckets(slots, labels).join(light, "id").groupBy("band", "key", "i", "j")
+        listed = written(cells.applyInArrow(_cross_candidates(conf, most), CELL), "listed")
+        fresh = written(listed.join(texts, "id").groupBy("band", "key", "i", "j").applyInArrow(_cell_links(conf), "u long, v long").distinct(), "fresh")
         if not fresh.isEmpty():
             # the labels are a finished star forest, so only what the new links tie is stepped again
             labels = connected_components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(fresh))
-        if full:
+        if listed.where("more").isEmpty():
             break
-        tried = tried.unionAll(untried.where("u < v"))
     labels = written(labels, "labels")
-    for done in (slots, texts, reps, tried):
+    for done in (slots, texts, reps, stars):
         discard(done)
     placed = classes.join(labels, F.col("rep") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     whole = placed.unionAll(single.select("id", "n_shingles", F.col("id").alias("component_id")))
