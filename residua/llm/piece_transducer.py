@@ -68,6 +68,7 @@ class PieceModel:
         self.prefix = bool(normaliser.get(3, 1))
         self.ids = {t: i for i, (t, k) in enumerate(zip(self.text, self.kind)) if k in (NORMAL, USER)}
         self.bytes = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(self.text, self.kind)) if k == BYTE}
+        self.raw = [bytes([int(t[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else t.encode("utf-8") for t, k in zip(self.text, self.kind)]
         self.longest = max(map(len, self.ids))
 
     def normalise(self, text: str) -> str:
@@ -108,40 +109,40 @@ class Transducer:
         self.model = model
         self.stable = {t for t in model.ids if len(t) == 1 or model.merged(t) == [t]}
         self.heads: dict[str, int] = {}
-        for t in self.stable:  # the longest piece that starts with two given characters bounds the arcs to try
-            self.heads[t[:2]] = max(self.heads.get(t[:2], 0), len(t))
+        for t in self.stable:  # the longest piece that starts with three given characters bounds the arcs to try
+            self.heads[t[:3]] = max(self.heads.get(t[:3], 2), len(t))
         self.apart = lru_cache(1 << 20)(self._apart)
 
     def _apart(self, u: str, v: str) -> bool:
         return self.model.merged(u + v) == [u, v]
 
-    def arcs(self, text: str, i: int) -> Iterator[str]:
-        """Pieces that start at i, longest first; the bare character last, even without a piece."""
-        for n in range(min(self.heads.get(text[i : i + 2], 1), len(text) - i), 1, -1):
-            if text[i : i + n] in self.stable:
-                yield text[i : i + n]
-        yield text[i]
+    def longest(self, text: str, i: int) -> int:
+        """The longest arc to try at i; arcs are tried by falling length, the bare character last, even without a piece."""
+        return min(self.heads.get(text[i : i + 3], 2), len(text) - i)
 
     def shortest_path(self, text: str) -> list[str]:
         """Pieces of the path of weight 0, found depth first with longer arcs tried first; dead ends are remembered."""
+        stable, apart, size = self.stable, self.apart, len(text)
         path: list[str] = []
-        stack = [self.arcs(text, 0)]
-        at, dead = 0, set()
-        while at < len(text):
-            for piece in stack[-1]:
-                end = at + len(piece)
-                if (end, piece) in dead or (path and not self.apart(path[-1], piece)):
-                    continue
-                path.append(piece)
-                at = end
-                stack.append(self.arcs(text, at) if at < len(text) else iter(()))
-                break
+        dead: set[tuple[int, str]] = set()
+        at, last, n = 0, None, self.longest(text, 0)
+        while at < size:
+            while n:
+                piece = text[at : at + n]
+                if (n == 1 or piece in stable) and (last is None or apart(last, piece)) and (at + n, piece) not in dead:
+                    break
+                n -= 1
             else:
-                stack.pop()
-                if not path:
+                if last is None:
                     return self.model.merged(text)
-                dead.add((at, path[-1]))
-                at -= len(path.pop())
+                dead.add((at, last))
+                n = len(path.pop())
+                at, n = at - n, n - 1
+                last = path[-1] if path else None
+                continue
+            path.append(piece)
+            at, last = at + n, piece
+            n = self.longest(text, at)
         return path
 
 
@@ -185,19 +186,21 @@ class SegmentIds(dict):
 
     def decode(self, ids: bytes) -> str:
         """The inverse transducer: pieces to text, byte pieces to UTF-8 (broken sequences to U+FFFD)."""
-        model, raw = self.model, bytearray()
-        for i in np.frombuffer(ids, "<u4").tolist():
-            if model.kind[i] == BYTE:
-                raw.append(int(model.text[i][3:5], 16))
-            elif model.kind[i] != CONTROL:
-                raw += model.text[i].encode("utf-8")
+        model = self.model
+        raw = b"".join(map(model.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
         text = raw.decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if model.prefix and text.startswith(" ") else text
 
 
+@lru_cache(2)
+def segment_ids(path: str) -> SegmentIds:
+    """One compiled machine and its bounded cache for all tasks of a worker process."""
+    return SegmentIds(path)
+
+
 def _encode(path: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = SegmentIds(path)
+        own = segment_ids(path)
         byte_ids = np.zeros(len(own.model.kind), bool)
         byte_ids[list(own.model.bytes.values())] = True
         for batch in batches:
