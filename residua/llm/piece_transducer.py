@@ -116,20 +116,19 @@ class Transducer:
     def _apart(self, u: str, v: str) -> bool:
         return self.model.merged(u + v) == [u, v]
 
-    def longest(self, text: str, i: int) -> int:
-        """The longest arc to try at i; arcs are tried by falling length, the bare character last, even without a piece."""
-        return min(self.heads.get(text[i : i + 3], 2), len(text) - i)
-
     def shortest_path(self, text: str) -> list[str]:
-        """Pieces of the path of weight 0, found depth first with longer arcs tried first; dead ends are remembered."""
-        stable, apart, size = self.stable, self.apart, len(text)
+        """Pieces of the path of weight 0, found depth first with longer arcs tried first; dead ends are remembered.
+
+        The bare character is the last arc at any place, even without a piece.
+        """
+        stable, heads, apart, size = self.stable, self.heads, self.apart, len(text)
         path: list[str] = []
         dead: set[tuple[int, str]] = set()
-        at, last, n = 0, None, self.longest(text, 0)
+        at, last, n = 0, None, min(heads.get(text[:3], 2), size)
         while at < size:
             while n:
                 piece = text[at : at + n]
-                if (n == 1 or piece in stable) and (last is None or apart(last, piece)) and (at + n, piece) not in dead:
+                if (n == 1 or piece in stable) and (last is None or apart(last, piece)) and (not dead or (at + n, piece) not in dead):
                     break
                 n -= 1
             else:
@@ -142,7 +141,9 @@ class Transducer:
                 continue
             path.append(piece)
             at, last = at + n, piece
-            n = self.longest(text, at)
+            n = heads.get(text[at : at + 3], 2)
+            if n > size - at:
+                n = size - at
         return path
 
 
@@ -163,7 +164,7 @@ class SegmentIds(dict):
         for p in pieces:
             known = self.model.ids.get(p)
             ids += [known] if known is not None else [self.model.bytes[b] for b in p.encode("utf-8", "surrogatepass")]
-        out = np.array(ids, "<u4").tobytes()
+        out = struct.pack(f"<{len(ids)}I", *ids)
         if len(segment) <= 64:
             self[segment] = out
         return out
