@@ -15,7 +15,7 @@ from residua.llm.toxicity import fit_toxicity, score_toxicity
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie within their language's perplexity band, with their columns as they were."""
-    verdicts = quality_verdicts(docs)
+    verdicts = quality_verdicts(docs, good=spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1"))
     rejected = written(verdicts.where("not kept").select(F.col("doc_id").alias("_id"), "_crc", "_size"), "rejected")
     return without(docs, rejected, "doc_id", "text")
 

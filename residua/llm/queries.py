@@ -59,7 +59,8 @@ def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_perplexity_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .perplexity_filter import quality_verdicts
 
-    return quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("_crc", "_size")
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    return quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"), good=good).drop("_crc", "_size")
 
 
 def op7_trusted_ngram_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,6 +103,21 @@ def test_quality_facts_and_paths_agree(spark, edge, no_docs):
     assert quality_verdicts(no_docs).collect() == []
 
 
+def test_band_rejects_junk_that_the_corpus_is_full_of(spark, edge):
+    nouns, verbs = "cat dog man cow hen owl fox bee ant pig".split(), "met saw hid ate won bit fed led hit got".split()
+    line = lambda i, end: " ".join(f"the {nouns[(i + j * j) % 10]}{end} {verbs[(3 * i + j) % 10]}{end} the {nouns[(7 * i + 3 * j) % 10]}{end}" for j in range(6))
+    good = [(1000 + i, line(i, ""), "en", 1) for i in range(60)]
+    junk = [(2000 + i, line(i, ("$$$", "%%%", "###")[i % 3]), "en", 1) for i in range(30)]
+    docs = edge.unionAll(spark.createDataFrame(good + junk, edge.schema))
+    labelled = spark.createDataFrame([(g[0],) for g in good[:40]] + [(1000,), (None,)], "doc_id long")
+    for rows in (4_000_000, 10):
+        got = {r.doc_id: r for r in quality_verdicts(docs, good=labelled, resident_rows=rows).collect()}
+        assert all(got[g[0]].kept for g in good if not got[g[0]].base_failed)
+        judged = [got[j[0]] for j in junk if not got[j[0]].base_failed]
+        assert len(judged) > 20 and not any(r.kept for r in judged)
+    assert quality_verdicts(docs, good=labelled).count() == docs.count()
+
+
 def test_trusted_model_tells_junk(spark, edge, no_docs):
     good = [(1000 + i, f"the {a} {b} met the {c} by the {d}", "en", 1) for i, (a, b, c, d) in enumerate(zip("cat dog man cow hen".split() * 8, "sat ran hid ate won".split() * 8, "owl fox bee ant pig".split() * 8, "mat sea oak bay inn".split() * 8))]
     bad = [(2000 + i, f"#{i}%%zq{i}xj|{i}||kv" * 4, "en", 1) for i in range(10)]
