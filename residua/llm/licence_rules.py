@@ -29,6 +29,11 @@ SENTENCES: dict[str, str] = {
     "mpl-notice": "this source code form is subject to the terms of the mozilla public license v. 2.0",
     "all-rights": "all rights reserved",
 }
+# Other forms of known sentences, as standard headers have them or as they read when joined over a cut after "v.".
+VARIANTS: tuple[tuple[str, str], ...] = (
+    ("apache-notice", "licensed under the apache license version 2.0 the license"),
+    ("mpl-notice", "this source code form is subject to the terms of the mozilla public license v 2.0"),
+)
 # Rules in order of precedence: licence, category, identifiers that must occur in this order.
 RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("Apache-2.0", "permissive", ("apache-notice", "apache-compliance", "apache-as-is")),
@@ -51,6 +56,9 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
 )
 SENTENCE_END = r"[.!?;]+(?:[\x20\x09-\x0D]+|$)|[\x0A\x0D]+"
 NOISE = "[^a-z0-9.]+"
+#: Where no sentence goes on: [.!?] before white space except after "v", and lines without a letter or digit.
+STOP = r"(?<!\bv)[.!?]+[\x20\x09-\x0D]+|(?:(?:\x0D\x0A?+|\x0A)[^a-z0-9\x0A\x0D]*+){2,}"
+MARK = "\x01"
 LONGEST = 2 * max(map(len, SENTENCES.values()))
 
 
@@ -58,27 +66,51 @@ def _pattern(ids: tuple[str, ...]) -> str:
     return "%" + "%".join(f"<{i}>" for i in ids) + "%"
 
 
-def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
+def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules=RULES, variants=VARIANTS) -> DataFrame:
     """One row per input row: id, n_matches, first_sentence (index of the first known sentence), sentence_ids
     (identifiers in order, as <a><b>), licences (of all rules that hold, in order of precedence), licence and category
     (of the first), conflict (rules of several categories hold).
 
-    A text is lower-cased and cut at line ends and at [.!?;] before white space; a sentence keeps [a-z0-9.] and single
-    spaces. Everything is one projection: no shuffle, so copies and hot sources cost no more than other rows.
+    A text is lower-cased and cut at line ends and at [.!?;] before white space; a piece keeps [a-z0-9.] and single
+    spaces. A known sentence is one piece, or several in a row (wrapped lines, clauses after ";", "v. 2.0") with no
+    blank line or sentence end between; its index is that of its first piece. Everything is one projection: no shuffle,
+    so copies and hot sources cost no more than other rows; pieces are joined only in texts that hold a known sentence.
 
     Defined cases: null, empty or licence-free texts have n_matches 0, an empty sentence_ids, no licence and conflict
     false; a null id stays null; repeated rows get a row each; other columns are ignored; an empty table gives an empty
-    table. Sentences of over twice the longest known one are never looked up, as none can match.
+    table.
     """
-    known = F.create_map(*[F.lit(x) for i, s in sentences.items() for x in (s, i)])
-    parts = F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), SENTENCE_END)
+    forms = [(i, s) for i, s in sentences.items()] + [(i, s) for i, s in variants if i in sentences]
+    known = F.create_map(*[F.lit(x) for i, s in forms for x in (s, i)])
+    longest, most = max(len(s) for _, s in forms), max(s.count(" ") + 1 for _, s in forms)
+    lowered = docs.select(F.col(id_col), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_text"))
+    plain = lambda s: F.regexp_replace(F.trim(F.regexp_replace(s, NOISE, " ")), r"^[ .]+|[ .]+$", "")
+    cut = lowered.select(id_col, "_text", F.transform(F.split("_text", SENTENCE_END), plain).alias("_plain"))
+    held_in = F.array_join(F.filter("_plain", lambda x: x != ""), " ")
+    cut = cut.withColumn("_flat", held_in)
+    some = F.lit(False)
+    for _, s in forms:
+        some = some | F.contains(F.col("_flat"), F.lit(s))
+    # the mark follows the cut, so pieces and their indices stay as they are
+    marked = F.split(F.regexp_replace("_text", f"({STOP})", f"$1{MARK}"), SENTENCE_END)
+    pieces = F.filter(F.transform(marked, lambda s, i: F.struct(plain(s).alias("s"), F.contains(s, F.lit(MARK)).alias("stop"), i.alias("at"))), lambda x: (x["s"] != "") | x["stop"])
+
+    def identify(piece: Column, index: Column, every: Column) -> Column:
+        """The first known sentence among the piece, the piece and the next, and so on."""
+        begin = F.struct(F.lit("").alias("s"), F.lit(None).cast("string").alias("id"), F.lit(False).alias("over"))
+
+        def go_on(acc: Column, x: Column) -> Column:
+            over = acc["over"] | acc["id"].isNotNull() | (x["stop"] & (x["at"] > piece["at"])) | (F.length(acc["s"]) > longest)
+            s = F.when(over | (x["s"] == ""), acc["s"]).otherwise(F.concat_ws(" ", F.when(acc["s"] != "", acc["s"]), x["s"]))
+            return F.struct(s.alias("s"), F.coalesce(acc["id"], F.when(~over, F.element_at(known, s))).alias("id"), over.alias("over"))
 
-    def identify(sentence: Column, index: Column) -> Column:
-        plain = F.regexp_replace(F.trim(F.regexp_replace(sentence, NOISE, " ")), r"^[ .]+|[ .]+$", "")
-        return F.struct(F.when(F.length(sentence) <= LONGEST, F.element_at(known, plain)).alias("id"), index.alias("at"))
+        run = F.aggregate(F.slice(every, index + 1, F.lit(2 * most)), begin, go_on)
+        return F.struct(F.when(piece["s"] != "", run["id"]).alias("id"), piece["at"].alias("at"))
 
-    found = F.filter(F.transform(parts, identify), lambda x: x["id"].isNotNull())
-    seen = docs.select(F.col(id_col), found.alias("_found"))
+    cut = cut.withColumn("_pieces", F.when(some, pieces))
+    found = F.filter(F.transform("_pieces", lambda x, i: identify(x, i, F.col("_pieces"))), lambda x: x["id"].isNotNull())
+    nothing = F.array().cast("array<struct<id:string,at:int>>")
+    seen = cut.select(F.col(id_col), F.coalesce(found, nothing).alias("_found"))
     seq = seen.select(
         F.col(id_col), F.size("_found").cast("long").alias("n_matches"), F.when(F.size("_found") > 0, F.get("_found", F.lit(0))["at"]).cast("long").alias("first_sentence"),
         F.array_join(F.transform("_found", lambda x: F.concat(F.lit("<"), x["id"], F.lit(">"))), "").alias("sentence_ids"),

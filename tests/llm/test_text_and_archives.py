@@ -82,6 +82,64 @@ def test_transducer_equals_the_library(spark, edge, no_docs):
     assert encode_documents(no_docs, path).collect() == []
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+APACHE_TEXT = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ */"""
+GPL_TEXT = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+MPL_TEXT = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this file, You
+can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_licences_of_wrapped_texts(spark):
+    cases = {
+        "MIT": MIT_TEXT, "Apache-2.0": APACHE_TEXT, "GPL-3.0-or-later": GPL_TEXT.replace("\n", "\r\n"), "BSD-3-Clause,BSD-2-Clause": BSD_TEXT,
+        "MPL-2.0": MPL_TEXT, "BSD-2-Clause": BSD_TEXT.replace("\n\n3. Neither", "\n\n3. The"),
+    }
+    apart = ["Released under the\n\nMIT License.", "We are licensed under. CC0 1.0", "Licensed under\n * \n * CC0 1.0"]
+    rows = [(i, t) for i, t in enumerate([*cases.values(), *apart])]
+    got = {r.doc_id: r for r in licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].licences for i in range(len(rows))] == [*cases, *[""] * len(apart)]
+    assert got[0].sentence_ids == "<mit-grant><mit-condition>" and got[0].first_sentence == 3  # "A. Person" is a cut
+    assert got[1].sentence_ids == "<apache-notice><apache-compliance><apache-copy><apache-as-is>"
+
+
 def test_licences(spark, edge, no_docs):
     more = [
         (100, "x.\nLicensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License.", "en", 1),
