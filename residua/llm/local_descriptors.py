@@ -155,18 +155,18 @@ def _close(limit: int):
     return run
 
 
-def find_copies(images: DataFrame, queries: DataFrame, picture: Callable, query_picture: Callable, conf: DescriptorConfig = DescriptorConfig()) -> DataFrame:
+def find_copies(images: DataFrame, queries: DataFrame, picture: Callable, query_picture: Callable, conf: DescriptorConfig = DescriptorConfig(), classes: DataFrame | None = None) -> DataFrame:
     """(query_id, image_id, inliers): the images of which a query picture shows an edited part.
 
     images, queries: columns id (long) and source; picture(source, id) gives a grey array. Images with equal pixels are
-    one class and image_id is its smallest id, so copies cost one search; join with image_classes() for the members.
+    one class and image_id is its smallest id, so copies cost one search; copies_and_members() gives the members too, classes is what image_classes() gave.
     Descriptors meet in conf.tables tables, each keyed by bits of its own; pairs within conf.max_distance bits
     vote for (turn, scale, shift) and conf.min_inliers corners of the query must agree.
 
     Defined cases: pictures without corners (blank, tiny, null source) match nothing; null ids are ignored; repeated rows
     of an id are one image or query; empty tables give an empty table.
     """
-    classes = image_classes(images, picture)
+    classes = image_classes(images, picture) if classes is None else classes
     heads = images.join(classes.where("id = image_id").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     index = heads.select("id", "source").mapInArrow(_described(conf, picture, True), SCHEMA)
     asked = queries.where("id is not null").dropDuplicates(["id"]).select("id", "source").mapInArrow(_described(conf, query_picture, True), SCHEMA)
@@ -190,6 +190,16 @@ def find_copies(images: DataFrame, queries: DataFrame, picture: Callable, query_
     return cells.groupBy(F.col("q_id").alias("query_id"), F.col("id").alias("image_id")).agg(F.max("n").alias("inliers")).where(F.col("inliers") >= conf.min_inliers)
 
 
+def copies_and_members(images: DataFrame, queries: DataFrame, picture: Callable, query_picture: Callable, conf: DescriptorConfig = DescriptorConfig()) -> DataFrame:
+    """(query_id, image_id, inliers, member_id): the pairs of find_copies(), where member_id is null, and one row per
+    image id with its class in image_id and query_id and inliers null. A query's images are the members of its image_ids;
+    they are not multiplied out, as that grows with the square of a large class."""
+    classes = image_classes(images, picture)
+    pairs = find_copies(images, queries, picture, query_picture, conf, classes).withColumn("member_id", F.lit(None).cast("long"))
+    members = classes.distinct().select(F.lit(None).cast("long").alias("query_id"), "image_id", F.lit(None).cast("long").alias("inliers"), F.col("id").alias("member_id"))
+    return pairs.unionByName(members)
+
+
 def image_classes(images: DataFrame, picture: Callable) -> DataFrame:
     """(id, image_id): image_id is the smallest id of those with equal pixels."""
 

@@ -43,11 +43,11 @@ def op3_zip_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_local_image_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .local_descriptors import edited_copy, find_copies, render_vector
+    from .local_descriptors import copies_and_members, edited_copy, render_vector
 
     images = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("source"))
     queries = images.where("id % 20 = 0")  # the stated query set: an edited copy of each of these, against all rows
-    return find_copies(images, queries, lambda v, key: render_vector(v), lambda v, key: edited_copy(render_vector(v), key))
+    return copies_and_members(images, queries, lambda v, key: render_vector(v), lambda v, key: edited_copy(render_vector(v), key))
 
 
 def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from residua.llm import queries as Q
 from residua.llm import warc_zip as W
 from residua.llm.licence_rules import licence_scan, licence_sql
 from residua.llm.local_descriptors import edited_copy, find_copies, render_vector
+from residua.llm.queries import op4_local_image_descriptors
 from residua.llm.piece_transducer import SegmentIds, encode_documents
 from residua.llm.rendezvous import rendezvous_sql
 
@@ -171,6 +172,19 @@ def test_shard_sql(spark, edge):
     assert key(got[want.columns]) == key(want)
 
 
+def test_every_image_of_a_class_is_named(spark, tmp_path):
+    r = np.random.default_rng(3)
+    vectors = [[float(x) for x in r.normal(size=64)] for _ in range(30)]
+    rows = [(i, vectors[0] if i in (20, 21) else v) for i, v in enumerate(vectors)] + [(5, vectors[5]), (None, vectors[1])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = op4_local_image_descriptors(spark, str(tmp_path)).collect()
+    pairs = {(x.query_id, x.image_id) for x in got if x.member_id is None}
+    members = [(x.member_id, x.image_id) for x in got if x.member_id is not None]
+    assert all((x.query_id is None) == (x.inliers is None) == (x.member_id is not None) for x in got)
+    assert sorted(members) == [(i, 0 if i in (20, 21) else i) for i in range(30)]
+    assert (20, 20) in {(q, m) for q, c in pairs for m, c2 in members if c == c2} and pairs <= {(0, 0), (20, 0)}
+
+
 def test_copies_are_found(spark):
     r = np.random.default_rng(2)
     vectors = [[float(x) for x in r.normal(size=64)] for _ in range(60)]
