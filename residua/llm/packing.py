@@ -6,94 +6,160 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._cluster import written
+from . import _text as T
+from . import _units as N
+from ._cluster import discard, written
 
-CACHE_WORDS = 500_000
+# Classes of bytes: a separator, a letter, a digit, another sign, and what only the tokenizer itself can tell apart
+# (the apostrophe, as "'s" is a unit of its own, controls, and all but ASCII and Latin-1 letters).
+_SEPARATOR, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[33:127] = _SIGN
+_CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_CLASS[48:58] = _DIGIT
+_CLASS[T.SEPARATOR] = _SEPARATOR
+_CLASS[ord("'")] = _OTHER
 
 
-class WordIds(dict):
-    """Token ids of a run between white space, as little-endian uint32 bytes; remembers up to CACHE_WORDS runs.
+class UnitIds:
+    """Token ids of texts by the tokenizer's own units (words, digits, runs of signs), each of which is encoded once.
 
-    The tokenizer drops white space and never joins what it separates, so a text's ids are those of its runs in turn.
-    Runs that are not known yet are encoded together, once per group of texts.
+    The tokenizer drops white space, lower-cases, and never joins what a change of class separates, so a text's ids are
+    those of its units in turn. Runs of non-space bytes with anything but ASCII and Latin-1 letters, or over HASHED_UNIT
+    bytes, are encoded whole. Units are known by 64-bit hashes; the table is bounded and shared by a worker's tasks.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
-        self.parts: dict[str, bytes] = {}
         self.model = Tokenizer.from_file(path)
         suffix = getattr(self.model.model, "end_of_word_suffix", None)
-        self.closing = None
-        if suffix:
-            vocabulary = self.model.get_vocab()
-            self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.closing[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        if not suffix:
+            raise ValueError("units are told apart by the suffix that closes a word; the tokenizer has none")
+        vocabulary = self.model.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
-
-    def learn(self, runs: set[bytes]) -> None:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-            self.parts.clear()
-        halves, need = [], set()
-        for run in runs:
-            if run not in self:
-                text = run.decode("utf-8", "replace")
-                head = text.rstrip(".,;:!?")
-                # Latin-1 letters are one unit to the tokenizer, whatever their case, and the signs after them another
-                half = (head.lower(), text[len(head) :]) if head.isalpha() and max(head) < "\u0100" else (text, "")
-                halves.append((run, half))
-                need.update(half)
-        new = [x for x in need if x not in self.parts]
-        words = [x for x in new if self.closing is not None and x.isalpha() and max(x) < "\u0100"]
-        for lo in range(0, len(words), 4000):
-            self._learn_words(words[lo : lo + 4000])
-        new = [x for x in new if x not in self.parts]
-        for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
-            for x, got in zip(some, self.encode(some, add_special_tokens=False)):
-                self.parts[x] = struct.pack(f"<{len(got.ids)}I", *got.ids)
-        for run, (head, tail) in halves:
-            self[run] = self.parts[head] + self.parts[tail] if tail else self.parts[head]
-
-    def _learn_words(self, words: list[str]) -> None:
-        """All words as one text: each is one unit to the tokenizer, so its ids end with the one that closes a word."""
-        ids = np.array(self.encode([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.closing[ids]) + 1
-        if len(ends) == len(words):
-            raw, at = ids.tobytes(), 0
-            for word, end in zip(words, ends.tolist()):
-                self.parts[word] = raw[4 * at : 4 * end]
-                at = end
-
-    def of_all(self, texts: list[bytes | None], end_id: int) -> Iterator[bytes]:
-        split = [t.split() if t else [] for t in texts]
-        self.learn(set().union(*split))
-        end, find = struct.pack("<I", end_id), self.__getitem__
-        for runs in split:
-            yield b"".join(map(find, runs)) + end
+        self.table = N.IdTable()
+
+    def _units(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes in lower case; starts and ends of the units; which of them are whole runs for the tokenizer."""
+        kind, low = _CLASS[raw], T.LOWER[raw]
+        lead = np.flatnonzero(raw[:-1] == 0xC3)
+        lead = lead[(raw[lead + 1] & 0xC0 == 0x80) & (raw[lead + 1] & 0xDF != 0x97)]  # U+00D7 and U+00F7 are no letters
+        kind[lead] = kind[lead + 1] = _LETTER
+        upper = lead[raw[lead + 1] < 0x9F]
+        low[upper + 1] += 32
+        starts, ends = T.word_bounds(raw)
+        odd = np.concatenate(([0], np.cumsum(kind == _OTHER)))
+        whole = (odd[ends] > odd[starts]) | (ends - starts > N.HASHED_UNIT)
+        if whole.any():
+            step = np.zeros(len(raw) + 1, np.int8)
+            step[starts[whole]], step[ends[whole]] = 1, -1
+            inside = np.cumsum(step[:-1]).astype(bool)
+            kind[inside] = _OTHER
+            low[inside] = raw[inside]
+        edge = np.ones(len(raw), bool)
+        edge[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        first = np.flatnonzero(edge)
+        last = np.append(first[1:], len(raw))
+        real = kind[first] != _SEPARATOR
+        return low, first[real], last[real], kind[first[real]] == _OTHER
+
+    def _learn(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray, keys: np.ndarray) -> None:
+        """Encodes distinct units: the whole runs one by one, the others joined by spaces, as each ends with an id that closes a word."""
+        for lo in range(0, int((~whole).sum()), 4000):
+            some = np.flatnonzero(~whole)[lo : lo + 4000]
+            lens = ends[some] - starts[some]
+            text = np.full(int(lens.sum()) + len(some), 32, np.uint8)
+            text[N.slices(np.cumsum(lens + 1) - lens - 1, lens)] = low[N.slices(starts[some], lens)]
+            ids = np.array(self.encode([text.tobytes().decode("utf-8")], add_special_tokens=False)[0].ids, np.uint32)
+            close = np.flatnonzero(self.closing[ids]) + 1
+            if len(close) != len(some):
+                raise ValueError("a unit is not closed by one id")
+            self.table.add(keys[some], np.diff(close, prepend=0), ids)
+        some = np.flatnonzero(whole)
+        for lo in range(0, len(some), 4000):
+            part = some[lo : lo + 4000]
+            runs = [low[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[part].tolist(), ends[part].tolist())]
+            got = [x.ids for x in self.encode(runs, add_special_tokens=False)]
+            self.table.add(keys[part], np.array([len(x) for x in got]), np.array([i for x in got for i in x], np.uint32))
+
+    def _buffer(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of a buffer, and where each unit starts and its ids end."""
+        low, starts, ends, whole = self._units(raw)
+        keys = N.unit_hashes(_TERMS[low], starts, ends)
+        for i in np.flatnonzero(ends - starts > N.HASHED_UNIT).tolist():
+            keys[i] = N.long_hash(low[starts[i] : ends[i]].tobytes())
+        entries = self.table.lookup.get(keys)
+        if (entries < 0).any():
+            missing = np.flatnonzero(entries < 0)
+            if self.table.full(len(missing)):
+                self.table.clear()
+                missing = np.arange(len(keys))
+            _, at = np.unique(keys[missing], return_index=True)
+            new = missing[at]
+            self._learn(low, starts[new], ends[new], whole[new], keys[new])
+            entries = self.table.lookup.get(keys)
+        return *self.table.ids(entries), starts
+
+    def of_all(self, texts: list[bytes], end_id: int) -> Iterator[bytes]:
+        """Each text's ids and the end id, as little-endian uint32."""
+        end = struct.pack("<I", end_id)
+        for lo, hi in N.groups([len(t) + 1 for t in texts]):
+            if hi - lo == 1 and len(texts[lo]) > N.CHUNK:
+                yield b"".join(self._buffer(np.frombuffer(part, np.uint8))[0].astype("<u4").tobytes() for part in _at_spaces(texts[lo])) + end
+                continue
+            ids, closed, starts = self._buffer(np.frombuffer(b" ".join(texts[lo:hi]) + b" ", np.uint8))
+            bounds = np.cumsum([len(t) + 1 for t in texts[lo:hi]])
+            cuts = np.concatenate(([0], closed))[np.searchsorted(starts, np.concatenate(([0], bounds)))]
+            raw = ids.astype("<u4").tobytes()
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                yield raw[4 * a : 4 * b] + end
+
+
+_TERMS = T.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _at_spaces(text: bytes) -> Iterator[bytes]:
+    """A long text in parts of about N.CHUNK bytes, cut behind separators; a longer run without any stays whole."""
+    lo = 0
+    while lo < len(text):
+        hi = lo + N.CHUNK
+        while hi < len(text) and not T.SEPARATOR[text[hi - 1]]:
+            hi += 1
+        yield text[lo:hi]
+        lo = hi
+
+
+@lru_cache(1)
+def unit_ids(path: str) -> UnitIds:
+    """One tokenizer and one bounded table for all tasks of a worker process."""
+    return UnitIds(path)
 
 
 def _pieces(path: str, capacity: int, end_id: int, keep_ids: bool):
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        units = unit_ids(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
+                texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
                 out: tuple[list, ...] = ([], [], [], [], [], [])
-                for doc, ids in zip(part.column(0).to_pylist(), words.of_all(part.column(1).cast(pa.binary()).to_pylist(), end_id)):
+                for doc, ids in zip(part.column(0).to_pylist(), units.of_all(texts, end_id)):
                     for i in range(0, len(ids), 4 * capacity):
                         piece = ids[i : i + 4 * capacity]
                         for to, x in zip(out, (doc, i // (4 * capacity), i // 4, len(piece) // 4, zlib.crc32(piece), piece if keep_ids else None)):
                             to.append(x)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["doc", "piece", "start", "length", "ids_crc32", "ids"])
 
     return run
