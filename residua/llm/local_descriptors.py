@@ -1,7 +1,7 @@
 """Local image descriptors: find images of which a query is a cropped or edited copy.
 
 Corners at several scales, binary tests turned to each corner's orientation (256 bits), Hamming tables joined by Spark,
-and a vote of the matched corners for one similarity transform.
+and a similarity transform on which the matched corners of two pictures must agree.
 """
 
 from __future__ import annotations
@@ -15,22 +15,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import group_extreme, written
+from ._cluster import checked, discard, group_extreme, written
 
 
 @dataclass(frozen=True)
 class DescriptorConfig:
+    #: The strongest corners of each scale are described; a picture's weaker ones are not, at any size of the tables.
     corners: int = 30
-    scales: tuple[float, ...] = (1.0, 1.4)
-    radius: int = 13
-    angles: int = 36
+    scales: tuple[float, ...] = (1.0, 1.25, 1.6)
+    radius: int = 16
+    angles: int = 72
     #: Each table is keyed by 32 // tables bytes of the 32.
     tables: int = 6
-    max_distance: int = 56
-    #: Corners that must agree on one rotation, scale and shift.
-    min_inliers: int = 4
-    shift_bin: int = 8
-    turn_bins: int = 12
+    #: Corners of a query that must meet corners of an image in some table before the two pictures are compared whole.
+    min_meets: int = 2
+    #: A corner matches the nearest corner of the other picture, if at most so many bits differ.
+    max_distance: int = 48
+    #: Corners that must agree on one rotation, scale and shift, within so many pixels.
+    min_inliers: int = 8
+    tolerance: float = 3.0
     seed: int = 5
 
 
@@ -58,7 +61,8 @@ class Describer:
     def __init__(self, conf: DescriptorConfig):
         self.conf = conf
         r = np.random.Generator(np.random.PCG64(conf.seed))
-        pairs = np.clip(r.normal(0, conf.radius / 2.2, (256, 2, 2)), -conf.radius + 2, conf.radius - 2)
+        pairs = r.normal(0, conf.radius / 2, (256, 2, 2))
+        pairs *= np.minimum(1, conf.radius / np.maximum(np.hypot(pairs[..., :1], pairs[..., 1:]), 1e-9))  # inside the disc, however it is turned
         turn = 2 * np.pi * np.arange(conf.angles) / conf.angles
         rot = np.stack((np.stack((np.cos(turn), -np.sin(turn)), -1), np.stack((np.sin(turn), np.cos(turn)), -1)), 1)
         self.tests = np.rint(np.einsum("aij,tpj->atpi", rot, pairs)).astype(int)  # angle, test, point, (x, y)
@@ -70,7 +74,7 @@ class Describer:
         conf, places, bits = self.conf, [], []
         for scale in conf.scales:
             img = _resized(image.astype(float), scale)
-            pad = conf.radius + 3
+            pad = conf.radius + 1
             if min(img.shape) < 2 * pad + 3:
                 continue
             gy, gx = np.gradient(_box(img, 1))
@@ -120,37 +124,69 @@ def edited_copy(image: np.ndarray, key: int) -> np.ndarray:
     return np.clip(out + r.normal(0, 3, out.shape), 0, 255).astype(np.uint8)
 
 
-def _described(conf: DescriptorConfig, picture: Callable, tables: bool):
+def consensus(places: np.ndarray, bits: np.ndarray, q_places: np.ndarray, q_bits: np.ndarray, conf: DescriptorConfig) -> int:
+    """Query corners that agree on one similarity transform into the other picture: every match proposes the transform of
+    its own place, turn and scale; the best is fitted anew to those that it explains."""
+    if not len(bits) or not len(q_bits):
+        return 0
+    words, q_words = (np.ascontiguousarray(b).view(np.uint64) for b in (bits, q_bits))
+    apart = np.bitwise_count(q_words[:, None] ^ words[None]).sum(axis=2, dtype=np.int32)
+    near = apart.argmin(axis=1)
+    q = np.flatnonzero(apart[np.arange(len(q_words)), near] <= conf.max_distance)
+    if len(q) < conf.min_inliers:
+        return 0
+    here, there = q_places[q], places[near[q]]
+    z, w = here[:, 0] + 1j * here[:, 1], there[:, 0] + 1j * there[:, 1]
+    factor = there[:, 3] / here[:, 3] * np.exp(1j * (there[:, 2] - here[:, 2]))
+    off = np.abs(factor[:, None] * (z[None] - z[:, None]) + w[:, None] - w[None]) <= 2 * conf.tolerance
+    agree, most = off[off.sum(axis=1).argmax()], 0
+    for _ in range(3):
+        mz, mw = z[agree].mean(), w[agree].mean()
+        spread = (np.abs(z[agree] - mz) ** 2).sum()
+        if not spread:
+            break
+        f = (np.conj(z[agree] - mz) * (w[agree] - mw)).sum() / spread
+        agree = np.abs(f * (z - mz) + mw - w) <= conf.tolerance
+        if not agree.any():
+            break
+        # a corner found at several scales is one place
+        most = max(most, len(np.unique(np.rint(np.stack((z[agree].real, z[agree].imag)) / 2), axis=1).T))
+    return most
+
+
+def _described(conf: DescriptorConfig, picture: Callable):
+    """A row per picture: its corners' places (float32 x, y, turn, scale) and bits one after the other, and their keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Describer(conf)
-        width = 32 // conf.tables
+        own, width = Describer(conf), 32 // conf.tables
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
-                cols: list[list] = [[] for _ in range(8)]
+                cols: list[list] = [[], [], [], []]
                 for key, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     places, bits = own.describe(picture(source, key))
-                    for i in range(len(bits)):
-                        raw = bits[i].tobytes()
-                        for to, v in zip(cols, (key, i, *map(float, places[i]), raw)):
-                            to.append(v)
-                        cols[7].append([int.from_bytes(raw[j * width : (j + 1) * width], "little") for j in range(conf.tables)])
-                kinds = [pa.int64(), pa.int32(), *[pa.float64()] * 4, pa.binary(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["id", "corner", "x", "y", "turn", "scale", "bits", "keys"])
+                    keys = np.zeros((len(bits), conf.tables, 8), np.uint8)
+                    keys[:, :, :width] = bits[:, : conf.tables * width].reshape(len(bits), conf.tables, width)
+                    for to, v in zip(cols, (key, places.astype("<f4").tobytes(), bits.tobytes(), keys.view("<i8").ravel())):
+                        to.append(v)
+                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["id", "places", "bits", "keys"])
 
     return run
 
 
-SCHEMA = "id long, corner int, x double, y double, turn double, scale double, bits binary, keys array<long>"
+SCHEMA = "id long, places binary, bits binary, keys array<long>"
+
 
+def _compared(conf: DescriptorConfig):
+    read = lambda places, bits: (np.frombuffer(places, "<f4").reshape(-1, 4).astype(float), np.frombuffer(bits, np.uint8).reshape(-1, 32))
 
-def _close(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist()), np.uint64).reshape(-1, 4) for c in ("bits", "q_bits"))
-            near = np.bitwise_count(a ^ b).sum(axis=1) <= limit if len(a) else np.empty(0, bool)
-            kept = batch.filter(pa.array(near))
-            yield pa.RecordBatch.from_arrays([kept.column(i) for i in range(10)], kept.schema.names[:10])
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                n = [consensus(*read(a, b), *read(c, d), conf) for a, b, c, d in zip(*(part.column(i).to_pylist() for i in range(2, 6)))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64())], ["query_id", "image_id", "inliers"])
 
     return run
 
@@ -160,34 +196,33 @@ def find_copies(images: DataFrame, queries: DataFrame, picture: Callable, query_
 
     images, queries: columns id (long) and source; picture(source, id) gives a grey array. Images with equal pixels are
     one class and image_id is its smallest id, so copies cost one search; copies_and_members() gives the members too, classes is what image_classes() gave.
-    Descriptors meet in conf.tables tables, each keyed by bits of its own; pairs within conf.max_distance bits
-    vote for (turn, scale, shift) and conf.min_inliers corners of the query must agree.
+    Descriptors meet in conf.tables tables, each keyed by bits of its own; only keys are shuffled, and what meets is
+    reduced to a bit mask of query corners per pair of pictures before the next shuffle. Pairs with conf.min_meets
+    corners are compared whole (consensus()).
 
-    Defined cases: pictures without corners (blank, tiny, null source) match nothing; null ids are ignored; repeated rows
-    of an id are one image or query; empty tables give an empty table.
+    Defined cases: pictures without corners (blank, tiny, null source) match nothing; null ids are ignored; of rows that
+    repeat an id with different sources the least source (as an ordered value) is the image or query; empty tables give
+    an empty table; other columns are ignored.
     """
     classes = image_classes(images, picture) if classes is None else classes
-    heads = images.join(classes.where("id = image_id").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    index = heads.select("id", "source").mapInArrow(_described(conf, picture, True), SCHEMA)
-    asked = queries.where("id is not null").dropDuplicates(["id"]).select("id", "source").mapInArrow(_described(conf, query_picture, True), SCHEMA)
-    index, asked = written(index, "index"), written(asked, "asked")
-    keys = index.select("id", "corner", F.posexplode("keys").alias("table", "key"))
-    wanted = asked.select(F.col("id").alias("q_id"), F.col("corner").alias("q_corner"), F.posexplode("keys").alias("table", "key"))
-    met = keys.join(wanted, ["table", "key"]).select("id", "corner", "q_id", "q_corner").distinct()
-    full = met.join(index.drop("keys"), ["id", "corner"]).join(asked.select(F.col("id").alias("q_id"), F.col("corner").alias("q_corner"), *[F.col(c).alias(f"q_{c}") for c in ("x", "y", "turn", "scale", "bits")]), ["q_id", "q_corner"])
-    full = full.select("id", "q_id", "q_corner", "x", "y", "turn", "scale", "q_x", "q_y", "q_turn", "q_scale", "bits", "q_bits")
-    close = full.select("id", "q_id", "q_corner", "x", "y", (F.col("turn") - F.col("q_turn")).alias("dt"), (F.col("scale") / F.col("q_scale")).alias("ds"), "q_x", "q_y", F.lit(0).alias("_z"), "bits", "q_bits")
-    close = close.mapInArrow(_close(conf.max_distance), "id long, q_id long, q_corner int, x double, y double, dt double, ds double, q_x double, q_y double, _z int")
-    turn = F.pmod(F.round(F.col("dt") / (2 * np.pi / conf.turn_bins)), F.lit(conf.turn_bins)).cast("int")
-    t = turn * F.lit(2 * np.pi / conf.turn_bins)
-    sx = F.col("x") - F.col("ds") * (F.cos(t) * F.col("q_x") - F.sin(t) * F.col("q_y"))
-    sy = F.col("y") - F.col("ds") * (F.sin(t) * F.col("q_x") + F.cos(t) * F.col("q_y"))
-    votes = close.select("id", "q_id", "q_corner", turn.alias("turn"), "ds", (sx / conf.shift_bin).alias("sx"), (sy / conf.shift_bin).alias("sy"))
-    # a shift near the edge of its cell counts in the neighbouring cell too
-    both = lambda c: F.array(F.floor(c).cast("int"), F.floor(F.col(c) + 0.5).cast("int") + 1_000_000)
-    votes = votes.withColumn("cx", F.explode(both("sx"))).withColumn("cy", F.explode(both("sy")))
-    cells = votes.groupBy("id", "q_id", "turn", "ds", "cx", "cy").agg(F.countDistinct("q_corner").alias("n"))
-    return cells.groupBy(F.col("q_id").alias("query_id"), F.col("id").alias("image_id")).agg(F.max("n").alias("inliers")).where(F.col("inliers") >= conf.min_inliers)
+    one = lambda df: df.where("id is not null").groupBy("id").agg(F.min("source").alias("source"))
+    index = written(one(images).join(classes.where("id = image_id").select("id").distinct(), "id", "left_semi").select("id", "source").mapInArrow(_described(conf, picture), SCHEMA), "index")
+    asked = written(one(queries).select("id", "source").mapInArrow(_described(conf, query_picture), SCHEMA), "asked")
+    tables = F.lit(conf.tables)
+    spread = lambda df: df.select("id", F.posexplode("keys").alias("at", "key"))
+    keys = spread(index).select(F.col("id").alias("image_id"), (F.col("at") % tables).cast("byte").alias("table"), "key")
+    corner = F.floor(F.col("at") / tables).cast("int")
+    wanted = spread(asked).select(F.col("id").alias("query_id"), (F.col("at") % tables).cast("byte").alias("table"), "key", (corner % 128).alias("bit"))
+    low, high = F.when(F.col("bit") < 64, F.expr("shiftleft(1L, bit)")).otherwise(0), F.when(F.col("bit") >= 64, F.expr("shiftleft(1L, bit - 64)")).otherwise(0)
+    met = keys.join(wanted, ["table", "key"]).groupBy("query_id", "image_id").agg(F.bit_or(low).alias("low"), F.bit_or(high).alias("high"))
+    pairs = written(met.where(F.bit_count("low") + F.bit_count("high") >= conf.min_meets).select("query_id", "image_id"), "pairs")
+    full = pairs.join(index.select(F.col("id").alias("image_id"), "places", "bits"), "image_id")
+    full = full.join(checked(asked.select(F.col("id").alias("query_id"), F.col("places").alias("q_places"), F.col("bits").alias("q_bits")), 10_000), "query_id")
+    out = full.select("query_id", "image_id", "places", "bits", "q_places", "q_bits").mapInArrow(_compared(conf), "query_id long, image_id long, inliers long")
+    found = written(out.where(F.col("inliers") >= conf.min_inliers), "found")
+    for done in (index, asked, pairs):
+        discard(done)
+    return found
 
 
 def copies_and_members(images: DataFrame, queries: DataFrame, picture: Callable, query_picture: Callable, conf: DescriptorConfig = DescriptorConfig()) -> DataFrame:
