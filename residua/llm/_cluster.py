@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ SALTS = 64
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where that is unset (tests on one machine)."""
+    """The folder named in spark.checkpoint.dir. A local one stands in only where that is unset and one machine runs all."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="residua-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
@@ -29,18 +32,28 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read the table back."""
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what written() wrote for df, once nothing lazy reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    root = f"{shared_root(spark).rstrip('/')}/residua/".removeprefix("file://")
-    for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if root in top.replace("file://", "").replace("file:", ""):
-            path = jvm.org.apache.hadoop.fs.Path(top)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete what written() wrote for them, once nothing lazy reads it any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._scratch)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until none is a column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
 
 
 def group_extreme(df: DataFrame, keys: list[str], value: str, out: str, *, largest: bool = False, count: str | None = None) -> DataFrame:
@@ -63,14 +76,6 @@ def group_extreme(df: DataFrame, keys: list[str], value: str, out: str, *, large
     return joined.withColumnRenamed("_rows", count) if count else joined.drop("_rows")
 
 
-def pass_through(df: DataFrame, new: list[tuple[str, str]]) -> tuple[DataFrame, str]:
-    """df without columns that clash with the new ones, and the DDL of df plus the new columns."""
-    names = {n.lower() for n, _ in new}
-    kept = df.select(*[c for c in df.columns if c.lower() not in names])
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [f"`{n}` {t}" for n, t in new])
-    return kept, ddl
-
-
 #: Rows of a side that may be broadcast; larger sides are joined by a shuffle.
 RESIDENT_ROWS = 2_000_000
 
@@ -87,8 +92,9 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
 
 
 def without(docs: DataFrame, rejected: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs without the rows named by rejected (_id, _crc, _size); all columns stay as they are."""
-    wide = docs.select("*", *[c.alias(f"_r{n}") for n, c in zip(("_id", "_crc", "_size"), row_key(id_col, text_col))])
-    gone = checked(rejected.distinct())
-    on = F.col("_r_id").eqNullSafe(F.col("_id")) & (F.col("_r_crc") == F.col("_crc")) & (F.col("_r_size") == F.col("_size"))
-    return wide.join(gone, on, "left_anti").drop("_r_id", "_r_crc", "_r_size")
+    """docs without the rows named by rejected (_id, _crc, _size); all columns stay as they are, whatever their names."""
+    left, right = unused(docs, "_l0", "_l1", "_l2"), unused(docs, "_r0", "_r1", "_r2")
+    wide = docs.select("*", *[c.alias(n) for n, c in zip(left, row_key(id_col, text_col))])
+    gone = checked(rejected.select(*[F.col(c).alias(n) for n, c in zip(right, ("_id", "_crc", "_size"))]).distinct())
+    on = F.col(left[0]).eqNullSafe(F.col(right[0])) & (F.col(left[1]) == F.col(right[1])) & (F.col(left[2]) == F.col(right[2]))
+    return wide.join(gone, on, "left_anti").drop(*left)

@@ -8,19 +8,22 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._cluster import written
+from ._cluster import checked, discard, written
+from ._units import groups
 
 ORDER = 5
 PAD = np.full(ORDER - 1, 10, np.int64)
 SLICE = 1 << 20
 FLUSH = 3_000_000
-UNSEEN = float(np.log(1 / 256))
+BLOB_BYTES = 1 << 20
 
 
 def language_code(lang: str | None) -> int:
@@ -111,72 +114,64 @@ def _shorter(key: Column, k: int) -> Column:
     return F.shiftleft(F.shiftright(key, 8 * k), 8 * (k - 1)).bitwiseOR(key.bitwiseAND(F.lit(low).cast("long")))
 
 
-def _discounts(level: DataFrame, k: int) -> DataFrame:
-    """Per language, the three modified Kneser-Ney discounts; 0.5, 1 and 1.5 where a count of counts is zero."""
-    n = level.groupBy(F.shiftright("key", 8 * k).alias("lang")).agg(*[F.sum(F.when(F.col("c") == j, 1).otherwise(0)).cast("double").alias(f"n{j}") for j in range(1, 5)])
+def _discounts(levels: DataFrame) -> DataFrame:
+    """Per order and language, the three modified Kneser-Ney discounts; 0.5, 1 and 1.5 where a count of counts is zero."""
+    n = levels.groupBy("k", "lang").agg(*[F.sum(F.when(F.col("c") == j, 1).otherwise(0)).cast("double").alias(f"n{j}") for j in range(1, 5)])
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     whole = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
     out = [F.when(whole, F.greatest(F.lit(0.05), F.least(F.lit(float(j)), j - (j + 1) * y * F.try_divide(F.col(f"n{j + 1}"), F.col(f"n{j}"))))).otherwise(F.lit(j / 2)).alias(f"d{j}") for j in (1, 2, 3)]
-    return n.select("lang", *out)
-
-
-def train(counts: DataFrame) -> dict[int, DataFrame]:
-    """Per order k: (key, logp, logg), sorted by key within shards; logg is the log back-off weight of key as a context.
-
-    Lower orders count distinct left neighbours. Every context has at most 256 successors, so no join key is hot.
-    """
-    levels = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):
-        levels[k] = written(levels[k + 1].groupBy(_shorter(F.col("key"), k + 1).alias("key")).agg(F.count(F.lit(1)).alias("c")), f"grams{k}")
-    probs: dict[int, DataFrame] = {}
-    weights: dict[int, DataFrame] = {}
+    return n.select("k", "lang", *out)
+
+
+def train(counts: DataFrame) -> DataFrame:
+    """A written table of all orders k: (k, key, ctx, seen, tot, mass). seen is the discounted count of key; tot and mass are
+    its context's sum of counts and of discounts. Lower orders count distinct left neighbours. Every context has at most
+    256 successors, so no key is hot."""
+    level, parts = counts, []
+    for k in range(ORDER, 0, -1):
+        parts.append(level.select(F.lit(k).alias("k"), "key", "c", F.shiftright("key", 8 * k).alias("lang")))
+        if k > 1:
+            level = level.groupBy(_shorter(F.col("key"), k).alias("key")).agg(F.count(F.lit(1)).alias("c"))
+    levels = written(reduce(DataFrame.unionAll, parts), "levels")
+    rows = levels.join(F.broadcast(_discounts(levels)), ["k", "lang"])  # one row per order and language
+    cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    rows = rows.select("k", "key", F.shiftright("key", 8).alias("ctx"), F.col("c").cast("double").alias("c"), cut.alias("cut"))
+    context = Window.partitionBy("k", "ctx")  # at most 256 rows
+    stats = written(rows.select("k", "key", "ctx", (F.col("c") - F.col("cut")).alias("seen"), F.sum("c").over(context).alias("tot"), F.sum("cut").over(context).alias("mass")), "stats")
+    discard(levels)
+    return stats
+
+
+def _ending(key: Column, n: int) -> Column:
+    """The n-gram that ends an ORDER-gram."""
+    return F.shiftleft(F.shiftright(key, 8 * ORDER), 8 * n).bitwiseOR(key.bitwiseAND(F.lit((1 << (8 * n)) - 1).cast("long")))
+
+
+def resolve(need: DataFrame, stats: DataFrame) -> DataFrame:
+    """A written table (key, logp) of every key in need, sorted by key within shards: interpolated from uniform bytes up,
+    an order whose context was never seen being left out."""
+    rows = need.select("key", F.lit(1 / 256).alias("p"))
     for k in range(1, ORDER + 1):
-        rows = levels[k].join(F.broadcast(_discounts(levels[k], k)), F.shiftright("key", 8 * k) == F.col("lang"))  # one row per language
-        cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = rows.select("key", F.shiftright("key", 8).alias("ctx"), "c", cut.alias("cut"))
-        context = rows.groupBy("ctx").agg(F.sum("c").alias("tot"), F.sum("cut").alias("mass"))
-        weights[k - 1] = context.select(F.col("ctx").alias("g_key"), F.log(F.col("mass") / F.col("tot")).alias("logg"))
-        joined = rows.join(context, "ctx").withColumn("lower_key", _shorter(F.col("key"), k))
-        if k == 1:
-            lower = F.lit(1 / 256)
-        else:
-            joined = joined.join(probs[k - 1].select(F.col("key").alias("lower_key"), F.exp("logp").alias("pl")), "lower_key")
-            lower = F.col("pl")
-        p = (F.col("c") - F.col("cut") + F.col("mass") * lower) / F.col("tot")
-        probs[k] = written(joined.select("key", F.log(p).alias("logp")).sortWithinPartitions("key"), f"logp{k}")
-    # outer: the padding before a text is a context that never ends an n-gram
-    model = {k: probs[k].join(weights[k], F.col("key") == F.col("g_key"), "full").select(F.coalesce("key", "g_key").alias("key"), "logp", "logg") for k in range(1, ORDER)}
-    model[ORDER] = probs[ORDER].withColumn("logg", F.lit(None).cast("double"))
-    model[0] = weights[0].select(F.col("g_key").alias("key"), F.lit(UNSEEN).alias("logp"), "logg")
-    return model
-
-
-def resolve(need: DataFrame, model: dict[int, DataFrame]) -> DataFrame:
-    """(key, logp) of every key in need: the model's own entry, else the chain of back-offs; uniform bytes at the end."""
-    top = need.select("key").join(model[ORDER].select("key", "logp"), "key", "left")
-    hit = top.where("logp is not null")
-    rest = top.where("logp is null").select("key", F.shiftright("key", 8).alias("_ctx"), _shorter(F.col("key"), ORDER).alias("_cur"))
-    found = F.lit(UNSEEN)
-    names = []
-    for k in range(ORDER - 1, -1, -1):
-        table = model[k]
-        rest = rest.join(table.where("logg is not null").select(F.col("key").alias("_ctx"), F.col("logg").alias(f"_g{k}")), "_ctx", "left")
-        if k:
-            rest = rest.join(table.select(F.col("key").alias("_cur"), F.col("logp").alias(f"_p{k}")), "_cur", "left")
-            rest = rest.withColumn("_ctx", F.shiftright("_cur", 8)).withColumn("_cur", _shorter(F.col("_cur"), k))
-        names.append(k)
-    for k in reversed(names):  # from the shortest context outwards
-        own = F.lit(UNSEEN) if k == 0 else F.coalesce(F.col(f"_p{k}"), found)
-        found = F.coalesce(F.col(f"_g{k}"), F.lit(0.0)) + own
-    return hit.select("key", "logp").unionAll(rest.select("key", found.alias("logp")))
-
-
-def _mean(keys: list[np.ndarray], model_keys: np.ndarray, model_logp: np.ndarray) -> float:
-    total = 0.0
-    for k in keys:
-        distinct, n = runs(np.sort(k))
-        total += float((model_logp[np.searchsorted(model_keys, distinct)] * n).sum())
-    return total
+        level = stats.where(F.col("k") == k)
+        own, context = level.select(F.col("key").alias("_g"), "seen"), level.groupBy(F.col("ctx").alias("_x")).agg(F.min("tot").alias("tot"), F.min("mass").alias("mass"))
+        if k <= 2:  # single bytes and pairs: at most 65,792 rows a language, and hot keys for a shuffle
+            own, context = checked(own), checked(context)
+        rows = rows.withColumn("_gram", _ending(F.col("key"), k)).join(own, F.col("_gram") == F.col("_g"), "left").drop("_g")
+        rows = rows.withColumn("_ctx", F.shiftright("_gram", 8)).join(context, F.col("_ctx") == F.col("_x"), "left")
+        rows = rows.select("key", F.coalesce((F.coalesce("seen", F.lit(0.0)) + F.col("mass") * F.col("p")) / F.col("tot"), "p").alias("p"))
+    return written(rows.select("key", F.log("p").alias("logp")).sortWithinPartitions("key"), "resolved")
+
+
+def resolved(trusted: DataFrame, docs: DataFrame, train_lang: str = "lang", ask_lang: str = "lang") -> DataFrame:
+    """The written table (key, logp) of all n-grams of docs under a model of the texts in trusted. Intermediate tables are
+    deleted as soon as the next is written."""
+    counts = written(count_ngrams(trusted, lang_col=train_lang), "counts")
+    stats = train(counts)
+    discard(counts)
+    need = written(count_ngrams(docs, lang_col=ask_lang).select("key"), "need")
+    table = resolve(need, stats)
+    discard(need, stats)
+    return table
 
 
 Facts = tuple[list[tuple[str, str]], Callable[[bytes], tuple]]
@@ -194,7 +189,10 @@ def _rows(lang: pa.Array, text: pa.Array, keys: np.ndarray, logp: np.ndarray, fa
             total = 0.0
             for k in grams(y or b"", codes[x]):
                 distinct, n = runs(np.sort(k))
-                total += float((logp[np.searchsorted(keys, distinct)] * n).sum())
+                at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+                if not len(keys) or (keys[at] != distinct).any():
+                    raise ValueError("an n-gram was not looked up: the texts read differently the second time")
+                total += float((logp[at] * n).sum())
             columns[0].append(total / len(y) if y else None)
             for to, value in zip(columns[1:], facts[1](y or b"") if facts else ()):
                 to.append(value)
@@ -208,47 +206,57 @@ def _prepared(docs: DataFrame, keep: list[str], text_col: str, lang_col: str, ou
     return base, [*base.columns[: len(keep)], *[n for n, _ in new]], ddl
 
 
-def score_resident(docs: DataFrame, table: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang", out: str = "logp_mean", facts: Facts | None = None) -> DataFrame:
-    """Adds the mean log probability per byte (null without bytes), the model being one pair of sorted arrays in every
-    task; table must hold every n-gram of docs. Only for tables whose row count the caller has checked."""
-    local = table.select("key", "logp").toArrow().sort_by("key")
-    arrays = docs.sparkSession.sparkContext.broadcast((local.column("key").to_numpy(), local.column("logp").to_numpy().astype(np.float32)))
-    base, names, ddl = _prepared(docs, keep, text_col, lang_col, out, facts)
+def _blobs(chunks: int):
+    """Neighbouring rows as one compressed stream of about BLOB_BYTES, dealt into chunks by its own checksum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, logp = arrays.value
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
         for batch in batches:
-            new = _rows(batch.column(len(keep)), batch.column(len(keep) + 1), keys, logp, facts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], names)
+            sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1).cast(pa.binary())), 0).to_pylist()
+            for lo, hi in groups(sizes, BLOB_BYTES):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
+                    out.write_batch(batch.slice(lo, hi - lo))
+                blob = sink.getvalue().to_pybytes()
+                yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(blob) % chunks], pa.int32()), pa.array([blob], pa.binary())], ["_chunk", "_blob"])
 
-    return base.mapInArrow(run, ddl)
+    return run
 
 
-def score_sharded(docs: DataFrame, table: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang", out: str = "logp_mean", facts: Facts | None = None, chunk_bytes: int = 32 << 20) -> DataFrame:
-    """As score_resident, for a table of any size: texts are dealt into chunks, each chunk's distinct n-grams are joined
-    with the sharded table, and what comes back meets its texts again (one shuffle of the texts, used twice)."""
+def _unpacked(group: pa.Table) -> Iterator[pa.RecordBatch]:
+    for blob in group.column("_blob"):
+        yield from pa.ipc.open_stream(blob.as_buffer())
+
+
+def score(docs: DataFrame, table: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang", out: str = "logp_mean", facts: Facts | None = None, chunk_bytes: int = 32 << 20) -> DataFrame:
+    """Adds the mean log probability per byte (null without bytes); table must hold every n-gram of docs.
+
+    Texts are dealt, as compressed runs of neighbours, into chunks of about chunk_bytes; each chunk's distinct n-grams are
+    joined with the sharded table, and what comes back meets the chunk's texts again as one pair of sorted arrays (one
+    shuffle of the texts, used twice). A task holds one chunk at a time, whatever the size of the table; repeated rows
+    lie in as many chunks as their bytes need. docs should be a table, whose parts read alike when a task is run again;
+    a task that misses an n-gram raises an error."""
     base, names, ddl = _prepared(docs, keep, text_col, lang_col, out, facts)
     volume = base.agg(F.sum(F.octet_length("_text")).alias("b")).first()["b"] or 0
-    chunks = max(1, -(-volume // chunk_bytes))
-    dealt = base.withColumn("_chunk", F.pmod(F.xxhash64(*keep, F.crc32(F.col("_text").cast("binary"))), F.lit(chunks)).cast("int"))
+    dealt = base.mapInArrow(_blobs(max(1, -(-volume // chunk_bytes))), "_chunk int, _blob binary")
 
     def wanted(group: pa.Table) -> pa.Table:
         tally = Tally()
-        for batch in group.select(["_lang", "_text"]).to_batches(max_chunksize=1000):
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+        for batch in _unpacked(group):
+            for x, y in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).cast(pa.binary()).to_pylist()):
                 for keys in grams(y or b"", language_code(x)):
                     tally.add(keys)
         got = tally.take()
         keys = got[0] if got else np.empty(0, np.int64)
         return pa.table({"_chunk": pa.array(np.full(len(keys), group.column("_chunk")[0].as_py(), np.int32)), "key": pa.array(keys)})
 
-    answers = dealt.groupBy("_chunk").applyInArrow(wanted, "_chunk int, key long").join(table.select("key", "logp"), "key")
+    answers = dealt.groupBy("_chunk").applyInArrow(wanted, "_chunk int, key long").join(table.select("key", F.col("logp").cast("float").alias("logp")), "key")
 
     def scored(group: pa.Table, answer: pa.Table) -> pa.Table:
         answer = answer.sort_by("key")
-        keys, logp = answer.column("key").to_numpy(), answer.column("logp").to_numpy().astype(np.float32)
+        keys, logp = answer.column("key").to_numpy(), answer.column("logp").to_numpy()
         parts = []
-        for batch in group.to_batches(max_chunksize=5000):
+        for batch in _unpacked(group):
             new = _rows(batch.column(len(keep)), batch.column(len(keep) + 1), keys, logp, facts)
             parts.append(pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], names))
         return pa.Table.from_batches(parts)
@@ -256,12 +264,6 @@ def score_sharded(docs: DataFrame, table: DataFrame, keep: list[str], text_col:
     return dealt.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(scored, ddl)
 
 
-def score(docs: DataFrame, table: DataFrame, keep: list[str], resident_rows: int = 4_000_000, **options) -> DataFrame:
-    """Sorted arrays in every task up to a checked number of n-grams (12 bytes each), the sharded join beyond; equal results."""
-    few = table.limit(resident_rows + 1).count() <= resident_rows
-    return (score_resident if few else score_sharded)(docs, table, keep, **options)
-
-
 def fences(scored: DataFrame, lang: str, value: str, size: str, low: float = 0.25, high: float = 0.75) -> DataFrame:
     """(_lang, _lo, _hi): two quantiles of value per language, over the different (value, size).
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from . import ngram_lm as L
-from ._cluster import checked, row_key, written
+from ._cluster import checked, discard, row_key, written
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -79,7 +79,7 @@ def _referenced(base: DataFrame, min_good: int) -> DataFrame:
     return wide.withColumn("reference", F.col("good") | ~F.col("_rich")).drop("_glang", "_rich")
 
 
-def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bands: PerplexityBands = PerplexityBands(), resident_rows: int = 4_000_000, good: DataFrame | None = None) -> DataFrame:
+def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bands: PerplexityBands = PerplexityBands(), good: DataFrame | None = None) -> DataFrame:
     """One row per input row: id, the basic counts, base_failed, log_ppl, lower, upper, kept; and _crc, _size of the text.
 
     good: a DataFrame whose id_col names labelled-good rows. Texts are dealt into two halves; the whole good texts of a
@@ -99,11 +99,9 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         ids = written(good.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_g")).distinct(), "good")
         marked = marked.join(checked(ids), F.col("_id") == F.col("_g"), "left").withColumn("good", F.col("_g").isNotNull()).drop("_g")
     base = _referenced(marked, bands.min_good)
-    model = L.train(written(L.count_ngrams(base.where("reference"), lang_col="_train"), "counts"))
-    model = {k: written(t, f"model{k}") for k, t in model.items()}  # else resolve plans each level's joins twice, in the driver's memory
-    need = written(L.count_ngrams(base, lang_col="_ask").select("key"), "need")
-    table = written(L.resolve(need, model).sortWithinPartitions("key"), "resolved")
-    scored = written(L.score(base, table, ["_id", "_crc", "_size", "lang", "reference"], resident_rows, lang_col="_ask", facts=(FACTS, basic_facts)), "scored")
+    table = L.resolved(base.where("reference"), base, "_train", "_ask")
+    scored = written(L.score(base, table, ["_id", "_crc", "_size", "lang", "reference"], lang_col="_ask", facts=(FACTS, basic_facts)), "scored")
+    discard(table)
     limits = L.fences(scored.where("reference"), "lang", "logp_mean", "n_bytes")  # one row per language
     wide = scored.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("_lang")), "left")
     room = L.half_width("n_bytes", bands.reach, bands.least, bands.short)

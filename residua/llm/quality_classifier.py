@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngram_lm as L
-from ._cluster import checked, row_key, written
+from ._cluster import checked, discard, row_key, written
 
 
 @dataclass(frozen=True)
@@ -35,12 +35,11 @@ def trusted_perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_i
     row each; other columns are ignored; an empty table gives an empty table.
     """
     ids = written(trusted.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_t")).distinct(), "trusted")
-    marked = docs.join(checked(ids), F.col(id_col) == F.col("_t"), "left")
-    base = marked.select(*row_key(id_col, text_col), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col("_t").isNotNull().alias("trusted"))
-    model = L.train(written(L.count_ngrams(base.where("trusted")), "counts"))
-    need = written(L.count_ngrams(base).select("key"), "need")
-    table = written(L.resolve(need, model), "resolved")
-    scored = written(L.score_sharded(base, table, ["_id", "_size", "lang", "trusted"]), "scored")
+    own = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    base = own.join(checked(ids), F.col("_id") == F.col("_t"), "left").withColumn("trusted", F.col("_t").isNotNull()).drop("_t")
+    table = L.resolved(base.where("trusted"), base)
+    scored = written(L.score(base, table, ["_id", "_size", "lang", "trusted"]), "scored")
+    discard(ids, table)
     known = scored.where("trusted")
     per_lang = L.fences(known, "lang", "logp_mean", "_size", 1 - conf.high, 1 - conf.low)
     everywhere = L.fences(known.withColumn("lang", F.lit("")), "lang", "logp_mean", "_size", 1 - conf.high, 1 - conf.low).select(F.col("_lo").alias("_lo0"), F.col("_hi").alias("_hi0"))

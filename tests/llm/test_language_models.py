@@ -6,7 +6,7 @@ import pytest
 
 from residua.llm import ngram_lm as L
 from residua.llm._cluster import written
-from residua.llm.perplexity_filter import quality_verdicts
+from residua.llm.perplexity_filter import PerplexityBands, quality_verdicts
 from residua.llm.quality_classifier import trusted_perplexity
 from residua.llm.toxicity import fit_toxicity, isotonic, score_toxicity
 
@@ -65,10 +65,10 @@ def test_scores_equal_a_plain_model(spark):
     other = [("en", "the bat sat"), ("fr", "le rat"), ("xx", "zz"), ("en", "qqq Ω"), *TEXTS]
     docs = spark.createDataFrame([(i, *x) for i, x in enumerate(other)], "doc_id long, lang string, text string")
     model = L.train(written(L.count_ngrams(train), "t"))
-    table = written(L.resolve(L.count_ngrams(docs).select("key"), model), "t")
+    table = L.resolve(L.count_ngrams(docs).select("key"), model)
     mean = plain_model(TEXTS)
-    for score in (L.score_resident, L.score_sharded):
-        got = {r.doc_id: r.logp_mean for r in score(docs, table, ["doc_id"]).collect()}
+    for size in (32 << 20, 20):
+        got = {r.doc_id: r.logp_mean for r in L.score(docs, table, ["doc_id"], chunk_bytes=size).collect()}
         assert got == {i: pytest.approx(mean(*x), rel=1e-5) for i, x in enumerate(other)}
 
 
@@ -84,22 +84,33 @@ def plain_facts(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), again, len(cover)
 
 
-def test_quality_facts_and_paths_agree(spark, edge, no_docs):
+def test_quality_facts_and_verdicts(spark, edge, no_docs):
     more = [(100, "a b c d e\nf g\na b c d e\nf g\n\n \n#é* $%&|<>", "en", 1), (101, "x y z \x1c w", "en", 1)]
     docs = edge.unionAll(spark.createDataFrame(more, edge.schema))
-    texts = defaultdict(list)
+    texts, lang_of = defaultdict(list), {}
     for r in docs.collect():
         texts[r.doc_id].append(r.text or "")
-    resident = quality_verdicts(docs).collect()
-    assert len(resident) == 12
-    for r in resident:
+        lang_of[r.doc_id] = r.lang
+    rows = quality_verdicts(docs).collect()
+    assert len(rows) == 12
+    for r in rows:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_facts(texts[r.doc_id][0])
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
         assert not (r.base_failed and r.kept)
-    sharded = quality_verdicts(docs, resident_rows=10).collect()
-    key = lambda r: (str(r.doc_id), r.n_words)
-    for a, b in zip(sorted(resident, key=key), sorted(sharded, key=key)):
-        assert a.kept == b.kept and (a.log_ppl == b.log_ppl or a.log_ppl == pytest.approx(b.log_ppl, rel=1e-6))
+    # the bands, from the values themselves: quartiles of the different texts of a language, widened
+    bands = PerplexityBands()
+    for lang in {r.lang for r in docs.collect()}:
+        of = {texts_id: r for r in rows for texts_id in [r.doc_id] if lang_of[r.doc_id] == lang}
+        values = sorted({(round(-r.log_ppl, 6), len(texts[i][0].encode())) for i, r in of.items() if r.log_ppl is not None})
+        if not values:
+            continue
+        at = lambda q: round(values[math.ceil(q * len(values)) - 1][0], 3)  # noqa: B023,E731
+        low, high = at(0.25), at(0.75)
+        for i, r in of.items():
+            size = len(texts[i][0].encode())
+            room = max(bands.reach * (high - low), bands.least) * math.sqrt(1 + bands.short / max(size, 1))
+            assert (r.lower, r.upper) == (pytest.approx(-high - room, abs=1e-6), pytest.approx(-low + room, abs=1e-6))
+            assert r.kept == (not r.base_failed and r.log_ppl is not None and r.lower <= r.log_ppl <= r.upper)
     assert quality_verdicts(no_docs).collect() == []
 
 
@@ -110,11 +121,10 @@ def test_band_rejects_junk_that_the_corpus_is_full_of(spark, edge):
     junk = [(2000 + i, line(i, ("$$$", "%%%", "###")[i % 3]), "en", 1) for i in range(30)]
     docs = edge.unionAll(spark.createDataFrame(good + junk, edge.schema))
     labelled = spark.createDataFrame([(g[0],) for g in good[:40]] + [(1000,), (None,)], "doc_id long")
-    for rows in (4_000_000, 10):
-        got = {r.doc_id: r for r in quality_verdicts(docs, good=labelled, resident_rows=rows).collect()}
-        assert all(got[g[0]].kept for g in good if not got[g[0]].base_failed)
-        judged = [got[j[0]] for j in junk if not got[j[0]].base_failed]
-        assert len(judged) > 20 and not any(r.kept for r in judged)
+    got = {r.doc_id: r for r in quality_verdicts(docs, good=labelled).collect()}
+    assert all(got[g[0]].kept for g in good if not got[g[0]].base_failed)
+    judged = [got[j[0]] for j in junk if not got[j[0]].base_failed]
+    assert len(judged) > 20 and not any(r.kept for r in judged)
     assert quality_verdicts(docs, good=labelled).count() == docs.count()
 
 
@@ -154,3 +164,75 @@ def test_toxicity_held_out_accuracy_and_edges(spark, edge, no_docs):
     assert score_toxicity(no_docs, model, ["doc_id"]).collect() == []
     none = fit_toxicity(edge, labels.limit(0))
     assert all(r.score == 0 for r in score_toxicity(edge, none, ["doc_id"]).collect())
+
+
+def test_toxicity_equals_a_plain_computation():
+    """Features by plain loops over words, trees by walking them, isotonic steps by pooling from scratch."""
+    import numpy as np
+
+    from residua.llm import toxicity as X
+
+    lexicon = {"idiot": 3.0, "stup*": 2.0, "moron": 4.0, "x" * 300: 5.0}
+    codes = X.Codes(lexicon)
+    texts = ["You IDIOT!!! you are so stuuupid, m0r0n...", "a clean text about trees", "", "x" * 300 + " you", "vous MORON " * 3, "!" * 300 + "idiot " + "m" + "0" * 2 + "ron"]
+
+    def plain(text):
+        words, place = text.split(), {t: i + 1 for i, t in enumerate(lexicon)}
+        weights = [0.0, *lexicon.values()]
+        if not words:
+            return [0.0] * len(X.FEATURES)
+
+        def hit(w):
+            known = [place[t] for t in X.terms_of(w) if t in place]
+            return max(known, key=lambda i: weights[i], default=0)
+
+        marks = []
+        for raw in words:
+            w = X.plain(raw)
+            read = "".join(c for c in raw.lower().translate(X.LETTER_SIGNS) if c.isalpha())
+            term, hidden = hit(w), False
+            if not term and not w.isalpha() and read != w and hit(read):
+                term, hidden = hit(read), True
+            marks.append((term, w in X.SECOND_PERSON, len(w) > 2 and raw.upper() == raw, hidden, any(w[i] == w[i + 1] == w[i + 2] for i in range(len(w) - 2))))
+        hits = [i for i, m in enumerate(marks) if m[0]]
+        you = [i for i, m in enumerate(marks) if m[1]]
+        n, raw = len(words), text.encode()
+        upper = sum("A" <= c <= "Z" for c in text)
+        letters = upper + sum("a" <= c <= "z" for c in text)
+        share = lambda k: 100 * sum(m[k] for m in marks) / n
+        got = [weights[marks[i][0]] for i in hits]
+        return [
+            math.log1p(len(hits)), 100 * len(hits) / n, len({marks[i][0] for i in hits}), max(got, default=0), 100 * sum(got) / n, 100 * sum(any(abs(i - j) <= 5 for j in you) for i in hits) / n,
+            100 * len(you) / n, upper / max(letters, 1), share(2), 1000 * sum(c in b"!?" for c in raw) / len(raw), 1000 * sum(33 <= c <= 47 or 58 <= c <= 64 for c in raw) / len(raw), share(3), share(4), math.log1p(n),
+        ]
+
+    for t in texts:
+        assert X.features_of(t.encode(), codes, 5).tolist() == pytest.approx(plain(t))
+    assert X.features_of(texts[3].encode(), codes, 5)[3] == 5.0  # a long word counts whole
+    r = np.random.default_rng(5)
+    x, conf = r.normal(size=(400, 14)), X.ToxicityConfig(trees=5)
+    y = (x[:, 0] + 0.3 * r.normal(size=400) > 0.5).astype(float)
+    trees = X.Trees().fit(x, y, conf)
+    for row in x[:50]:
+        total = trees.base
+        for tree, value in trees.trees:
+            node = 0
+            for split in tree:
+                j, cut = split[node]
+                node = 2 * node + int(j >= 0 and sum(e <= row[j] for e in trees.edges[j]) > cut)
+            total += trees.rate * value[node]
+        assert trees.raw(row[None])[0] == pytest.approx(total)
+    raw = trees.raw(x)
+    knots, values = X.isotonic(raw, y)
+    pools = [[float(v), [float(t)]] for v, t in sorted(zip(raw, y), key=lambda p: p[0])]
+    pools = [[[v], t] for v, t in pools]
+    moved = True
+    while moved:
+        moved = False
+        for i in range(len(pools) - 1):
+            if np.mean(pools[i][1]) >= np.mean(pools[i + 1][1]):
+                pools[i : i + 2] = [[pools[i][0] + pools[i + 1][0], pools[i][1] + pools[i + 1][1]]]
+                moved = True
+                break
+    assert knots.tolist() == pytest.approx([np.mean(v) for v, _ in pools])
+    assert values.tolist() == pytest.approx([(sum(t) + 0.5 / 400) / (len(t) + 1 / 400) for _, t in pools])

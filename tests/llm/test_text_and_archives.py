@@ -13,9 +13,9 @@ import sentencepiece
 from residua.llm import queries as Q
 from residua.llm import warc_zip as W
 from residua.llm.licence_rules import licence_scan, licence_sql
-from residua.llm.local_descriptors import edited_copy, find_copies, render_vector
+from residua.llm.local_descriptors import DescriptorConfig, Describer, consensus, edited_copy, find_copies, render_vector
 from residua.llm.queries import op4_local_image_descriptors
-from residua.llm.piece_transducer import SegmentIds, encode_documents
+from residua.llm.piece_transducer import PieceIds, encode_documents
 from residua.llm.rendezvous import rendezvous_sql
 
 
@@ -66,16 +66,36 @@ def test_round_trip_of_pages(spark):
     assert W.read_archives(W.write_archives(pages.limit(0), W.archive_folder(spark))).collect() == []
 
 
+def merged(model, text):
+    """BPE by its merges: the best score first, the leftmost among equals."""
+    symbols = list(text)
+    while True:
+        open_ = [(-model.score[k], i) for i in range(len(symbols) - 1) if (k := model.ids.get(symbols[i] + symbols[i + 1])) is not None]
+        if not open_:
+            return symbols
+        _, i = min(open_)
+        symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+
+
 def test_transducer_equals_the_library(spark, edge, no_docs):
     path = Q.tokenizer_path("piece_bpe_32k.model")
-    own, lib = SegmentIds(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    own, lib = PieceIds(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    own.table.most = 2000  # starts anew now and then
     r = random.Random(1)
     letters = "abcdeiot   \n\tABé漢字😀'’.,0123 the ing▁́ "
-    for _ in range(3000):
-        x = "".join(r.choice(letters) for _ in range(r.randint(0, 40)))
-        ids = lib.encode(x)
-        assert np.frombuffer(own.encode(x), "<u4").tolist() == ids
-        assert own.decode(own.encode(x)) == lib.decode(ids)
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    pieces = list(own.model.ids)
+    texts += ["".join(r.choice(pieces).strip("▁") for _ in range(r.randint(10, 60))) for _ in range(100)]
+    texts += [" " * k + "the" + "=" * k for k in range(80)] + ["abcé " * 300_000, "y" * 3000]
+    for x, ids in zip(texts, own.of_all(texts)):
+        assert ids.tolist() == lib.encode(x)
+        assert own.decode(ids) == lib.decode(ids.tolist())
+    machine = own.machine
+    for _ in range(60):  # both searches give the path of the merges
+        x = "".join(r.choice("theinr") for _ in range(r.randint(1, 32)))
+        row = machine.alphabet[[ord(c) for c in x]].astype(np.int64)
+        arcs, n = machine.shortest_paths(row[None])
+        assert [machine.arcs[a][0] for a in arcs] == [machine.arcs[a][0] for a in machine.long_path(row.tolist())] == merged(own.model, x) and n.tolist() == [len(arcs)]
     rows = {x.doc_id: x for x in encode_documents(edge, path).collect()}
     assert all(x.round_trip for x in rows.values()) and rows[3].n_ids == rows[4].n_ids == 0
     for x in edge.collect():
@@ -196,3 +216,24 @@ def test_copies_are_found(spark):
     assert (60, 0) in got and not any(q != i for q, i in got if (q, i) != (60, 0))
     none = images.limit(0)
     assert find_copies(none, none, lambda v, k: render_vector(v), lambda v, k: render_vector(v)).collect() == []
+
+
+def test_copies_equal_brute_force(spark):
+    """All pairs of pictures: keys compared one by one, then the whole comparison."""
+    r = np.random.default_rng(7)
+    vectors = [[float(x) for x in r.normal(size=64)] for _ in range(24)]
+    vectors += [[x + float(e) for x, e in zip(v, r.normal(scale=0.02, size=64))] for v in vectors[:6]]
+    images = spark.createDataFrame(list(enumerate(vectors)), "id long, source array<double>")
+    conf = DescriptorConfig()
+    got = {(x.query_id, x.image_id): x.inliers for x in find_copies(images, images.where("id % 2 = 0"), lambda v, k: render_vector(v), lambda v, k: edited_copy(render_vector(v), k), conf).collect()}
+    own, want, width = Describer(conf), {}, 32 // conf.tables
+    f4 = lambda p: p.astype("<f4").astype(float)
+    for q in range(0, 30, 2):
+        qp, qb = own.describe(edited_copy(render_vector(vectors[q]), q))
+        for i in range(30):
+            p, b = own.describe(render_vector(vectors[i]))
+            meets = sum(any((x[t * width : (t + 1) * width] == y[t * width : (t + 1) * width]).all() for y in b for t in range(conf.tables)) for x in qb)
+            n = consensus(f4(p), b, f4(qp), qb, conf)
+            if meets >= conf.min_meets and n >= conf.min_inliers:
+                want[q, i] = n
+    assert got == want and len(want) >= 15
