@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.llm._cluster import checked, row_key, without, written
+from residua.llm._cluster import checked, row_key, unused, without, written
 from residua.llm.near_duplicates import near_duplicates
 from residua.llm.packing import PackingConfig, pack_documents
 from residua.llm.perplexity_filter import quality_verdicts
@@ -30,8 +30,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the smallest doc_id, of each group linked at 0.8 on five-word shingles. Null ids stay."""
-    removed = written(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "removed")
-    return docs.join(checked(removed), F.col("doc_id") == F.col("_id"), "left_anti")
+    [gone] = unused(docs, "_gone")
+    removed = written(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(gone)).distinct(), "removed")
+    return docs.join(checked(removed), F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
