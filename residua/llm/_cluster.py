@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,15 +32,40 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/residua/{tag}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch while written() runs: texts are long, and both sides of a worker's pipe hold a batch.
+BATCH_ROWS = 1000
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read the table back."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, setting = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, before = scratch_path(spark, tag), spark.conf.get(setting)
+    spark.conf.set(setting, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    table = spark.read.schema(df.schema).parquet(path)
     table._scratch = path
     return table
 
 
+def released(run: Callable) -> Callable:
+    """run, a function over Arrow batches; what its worker no longer uses goes back to the system when a task ends."""
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return task
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what written() wrote for them, once nothing lazy reads it any more."""
     for table in tables:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._cluster import discard, group_extreme, written
+from ._cluster import discard, group_extreme, released, written
 from .components import connected_components
 
 BLOCK = 512
@@ -135,10 +135,10 @@ def _verify(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, conf: NearD
     """Those of the pairs (u, v) that link: first by signatures, then on the full sets of both texts."""
     left = pairs.join(sketches.select(F.col("id").alias("u"), F.col("sig").alias("x")), "u")
     both = left.join(sketches.select(F.col("id").alias("v"), F.col("sig").alias("y")), "v")
-    pairs = both.select("u", "v", "x", "y").mapInArrow(_agreeing(conf), "u long, v long")
+    pairs = both.select("u", "v", "x", "y").mapInArrow(released(_agreeing(conf)), "u long, v long")
     left = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("y")), "v")
     both = left.join(texts.select(F.col("id").alias("u"), F.col("text").alias("x")), "u")
-    return both.select("u", "v", "x", "y").mapInArrow(_linked(conf), "u long, v long")
+    return both.select("u", "v", "x", "y").mapInArrow(released(_linked(conf)), "u long, v long")
 
 
 def _cross_candidates(conf: NearDuplicateConfig, most: int):
@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ignored. An empty table gives an empty table.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = written(base.mapInArrow(_sketches(conf), "id long, n_shingles long, print binary, sig binary, bands array<long>"), "sketch")
+    sketch = written(base.mapInArrow(released(_sketches(conf)), "id long, n_shingles long, print binary, sig binary, bands array<long>"), "sketch")
     real = sketch.where("n_shingles > 0 and id is not null")
     classes = written(group_extreme(real.select("id", "n_shingles", "print"), ["print"], "id", "rep"), "classes")
     heads = classes.where("id = rep").select("id", "print").distinct()
@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = reps.select("id", "size", F.posexplode("bands").alias("band", "key"))
     slots = written(group_extreme(members, ["band", "key"], "id", "u", count="n").where("n > 1").select("band", "key", "id", "size", "u"), "slots")
     light = reps.select("id", "sig")
-    texts = written(base.join(slots.select("id").distinct(), "id", "left_semi"), "texts")
+    texts = written(base.join(slots.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
     stars = written(slots.where("u < id").select("u", F.col("id").alias("v")).distinct(), "stars")
     # an id whose rows hold different texts stands in several classes, which it ties together
     several = classes.groupBy("id").agg(F.countDistinct("print").alias("_c")).where("_c > 1").select("id")
@@ -289,11 +289,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not fresh.isEmpty():
             # the labels are a finished star forest, so only what the new links tie is stepped again
             labels = connected_components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(fresh))
-        if listed.where("more").isEmpty():
+        over = listed.where("more").isEmpty()
+        discard(listed)
+        if over:
             break
     labels = written(labels, "labels")
-    for done in (slots, texts, reps, stars):
-        discard(done)
+    discard(slots, texts, reps, stars, links)
     placed = classes.join(labels, F.col("rep") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     whole = placed.unionAll(single.select("id", "n_shingles", F.col("id").alias("component_id")))
     return whole.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

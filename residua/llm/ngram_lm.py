@@ -16,13 +16,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._cluster import checked, discard, written
+from ._cluster import checked, discard, released, written
 from ._units import groups
 
 ORDER = 5
 PAD = np.full(ORDER - 1, 10, np.int64)
-SLICE = 1 << 20
-FLUSH = 3_000_000
+SLICE = 1 << 18
+FLUSH = 1_000_000
 BLOB_BYTES = 1 << 20
 
 
@@ -105,7 +105,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def count_ngrams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(key, c) over all texts: each task's counts are merged before they are shuffled."""
     base = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(_count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return base.mapInArrow(released(_count), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def _shorter(key: Column, k: int) -> Column:
@@ -238,7 +238,7 @@ def score(docs: DataFrame, table: DataFrame, keep: list[str], text_col: str = "t
     a task that misses an n-gram raises an error."""
     base, names, ddl = _prepared(docs, keep, text_col, lang_col, out, facts)
     volume = base.agg(F.sum(F.octet_length("_text")).alias("b")).first()["b"] or 0
-    dealt = base.mapInArrow(_blobs(max(1, -(-volume // chunk_bytes))), "_chunk int, _blob binary")
+    dealt = base.mapInArrow(released(_blobs(max(1, -(-volume // chunk_bytes)))), "_chunk int, _blob binary")
 
     def wanted(group: pa.Table) -> pa.Table:
         tally = Tally()

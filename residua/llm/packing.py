@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from . import _units as N
-from ._cluster import discard, written
+from ._cluster import released, written
 
 # Classes of bytes: a separator, a letter, a digit, another sign, and what only the tokenizer itself can tell apart
 # (the apostrophe, as "'s" is a unit of its own, controls, and all but ASCII and Latin-1 letters).
@@ -227,7 +227,7 @@ class PackingConfig:
 def tokenized_pieces(docs: DataFrame, conf: PackingConfig, id_col: str = "doc_id", text_col: str = "text", *, keep_ids: bool = True) -> DataFrame:
     """doc, piece, start, length, ids_crc32, ids (little-endian uint32): each text's ids, the end id, cut at capacity."""
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(_pieces(conf.tokenizer, conf.capacity, conf.end_id, keep_ids), "doc long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return base.mapInArrow(released(_pieces(conf.tokenizer, conf.capacity, conf.end_id, keep_ids)), "doc long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def assign(pieces: DataFrame, conf: PackingConfig) -> DataFrame:
@@ -277,7 +277,7 @@ def assign(pieces: DataFrame, conf: PackingConfig) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(seq), pa.array(off)], keep + ["sequence_id", "offset"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
-    return ranked.mapInArrow(place, f"{ddl}, sequence_id long, offset long")
+    return ranked.mapInArrow(released(place), f"{ddl}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, conf: PackingConfig, id_col: str = "doc_id", text_col: str = "text", *, keep_ids: bool = True) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from . import _units as N
+from ._cluster import released
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -348,5 +349,5 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     null id stays null; repeated rows get a row each; other columns are ignored; an empty table gives an empty table.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = base.mapInArrow(_encode(model_path, keep_ids), "id long, n_ids long, n_byte_ids long, ids_crc32 long, round_trip boolean, ids binary")
+    out = base.mapInArrow(released(_encode(model_path, keep_ids)), "id long, n_ids long, n_byte_ids long, ids_crc32 long, round_trip boolean, ids binary")
     return (out if keep_ids else out.drop("ids")).withColumnRenamed("id", id_col)

@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import checked, written
+from ._cluster import checked, discard, released, written
 
 # Second-person words of English, German, French and Spanish; digits and signs that stand for letters.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deiner ihr euch euer sie ihnen tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
 LETTER_SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 PREFIXES = (4, 5, 6)
 CACHE_WORDS = 200_000
+#: Longer words are read whole each time they occur.
+CACHED_BYTES = 256
 _PRONOUN, _CAPS, _OBSCURED, _STRETCHED = (1 << b for b in (20, 21, 22, 23))
 
 FEATURES = (
@@ -70,10 +72,10 @@ class Codes(dict):
     def __missing__(self, raw: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        text = raw[:256].decode("utf-8", "replace")
+        text = raw.decode("utf-8", "replace")
         word = plain(text)
         code = self.match(word)
-        if not word.isalpha() and len(text) < 64:
+        if not word.isalpha():
             read = "".join(c for c in text.lower().translate(LETTER_SIGNS) if c.isalpha())
             if read != word and (hidden := self.match(read)) and not code:
                 code = hidden | _OBSCURED
@@ -83,7 +85,8 @@ class Codes(dict):
             code |= _CAPS
         if any(a == b == c for a, b, c in zip(word, word[1:], word[2:])):
             code |= _STRETCHED
-        self[raw] = code
+        if len(raw) <= CACHED_BYTES:
+            self[raw] = code
         return code
 
 
@@ -212,7 +215,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bad, all_ = Counter(), Counter()
     for batch in batches:
         for text, label in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
-            seen = {t for w in set((text or b"").split()) for t in terms_of(plain(w[:256].decode("utf-8", "replace")))}
+            seen = {t for w in set((text or b"").split()) for t in terms_of(plain(w.decode("utf-8", "replace")))}
             all_.update(seen)
             if label:
                 bad.update(seen)
@@ -229,7 +232,7 @@ def learn_lexicon(sample: DataFrame, conf: ToxicityConfig) -> dict[str, float]:
     bad, total = float(n["bad"] or 0), float(n["total"])
     if not 0 < bad < total:
         return {}
-    counts = sample.select("text", "label").mapInArrow(_term_counts, "term string, bad long, total long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("total").alias("total"))
+    counts = sample.select("text", "label").mapInArrow(released(_term_counts), "term string, bad long, total long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("total").alias("total"))
     share = F.col("bad") / F.col("total")
     ratio = 2 * (F.col("bad") * F.log(share / (bad / total)) + F.when(share < 1, (F.col("total") - F.col("bad")) * F.log((1 - share) / (1 - bad / total))).otherwise(0.0))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("total") - F.col("bad") + 0.5) / (total - bad + 1))
@@ -242,13 +245,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     The lexicon is learned from the sample; trees are fitted on all of it; isotonic calibration uses scores of trees
     fitted without the row's own fold. With one class only (or no label) the score is the share of toxic rows.
+
+    Defined cases: null ids and null labels are not read; an id labelled twice is toxic if any label says so; of rows that
+    repeat an id the least text is read (null before any text), so a sample has one row per id; null and empty texts have
+    zero features; columns besides the three named are ignored, whatever their names; ties of terms go by the term.
     """
-    rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold_of(id_col) != 0))
-    chosen = rows.select(F.col(id_col).alias("_l"), (F.col(label_col) > 0).cast("int").alias("label"), fold_of(id_col).cast("int").alias("fold")).dropDuplicates(["_l"])
+    rows = labels.select(F.col(id_col).alias("_l"), F.col(label_col).alias("_y")).where("_y is not null and _l is not null").where(fold_of("_l") != 0)
+    chosen = rows.groupBy("_l").agg(F.max((F.col("_y") > 0).cast("int")).alias("label")).withColumn("fold", fold_of("_l").cast("int"))
     share = min(1.0, conf.max_train_docs / max(1, chosen.count()))
     chosen = written(chosen.where(F.pmod(F.xxhash64("_l"), F.lit(1_000_000)) < int(share * 1_000_000)), "labels")
-    joined = docs.join(checked(chosen), F.col(id_col) == F.col("_l")).select(F.col(text_col).cast("string").alias("text"), "label", "fold")
-    sample = written(joined, "sample")
+    texts = docs.select(F.col(id_col).alias("_d"), F.col(text_col).cast("string").alias("_text"))
+    joined = texts.join(checked(chosen), F.col("_d") == F.col("_l")).groupBy("_l", "label", "fold").agg(F.min(F.coalesce("_text", F.lit(""))).alias("text"))
+    sample = written(joined.select("text", "label", "fold"), "sample")
     lexicon = learn_lexicon(sample, conf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,9 +265,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             x = [features_of(t, codes, conf.near).tolist() for t in batch.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "label", "fold"])
 
-    got = sample.mapInArrow(run, "x array<double>, label int, fold int").toArrow()  # bounded by max_train_docs
+    got = sample.mapInArrow(released(run), "x array<double>, label int, fold int").toArrow()  # bounded by max_train_docs
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     y, fold = got.column("label").to_numpy().astype(float), got.column("fold").to_numpy()
+    discard(chosen, sample)
     # the rows come in no fixed order; sums of floats should not depend on it
     order = np.lexsort((*x.T, y, fold))
     x, y, fold = x[order], y[order], fold[order]
@@ -293,4 +302,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str | Colum
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*batch.schema.names[:width], "score"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema[:width])
-    return base.mapInArrow(run, f"{ddl}, score double")
+    return base.mapInArrow(released(run), f"{ddl}, score double")
