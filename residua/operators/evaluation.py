@@ -4,7 +4,7 @@ from residua.plans.relations import step
 
 step("ic_pairs", """SELECT h, t, symbol, a, f, rank() OVER (PARTITION BY h, t ORDER BY a) + (count(*) OVER (PARTITION BY h, t, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY h, t ORDER BY f) + (count(*) OVER (PARTITION BY h, t, f) - 1) / 2.0 AS rf FROM
   (SELECT w.h, w.t, w.symbol, round(k.alpha, 12) AS a, round(w.fwd, 12) AS f FROM forward w JOIN alpha k ON k.t = w.t AND k.symbol = w.symbol WHERE w.member AND w.fwd IS NOT NULL) x""")
-step("ic_days", "SELECT h, t, corr(ra, rf) AS ic, count(*) AS n FROM ic_pairs GROUP BY h, t HAVING count(*) >= 20 AND max(a) - min(a) > 2.220446049250313e-16 AND max(f) - min(f) > 2.220446049250313e-16")
+step("ic_days", "SELECT h, t, corr(ra, rf) AS ic, count(*) AS n FROM (SELECT *, max(a) OVER (PARTITION BY h, t) - min(a) OVER (PARTITION BY h, t) AS spread_a, max(f) OVER (PARTITION BY h, t) - min(f) OVER (PARTITION BY h, t) AS spread_f FROM ic_pairs) x WHERE spread_a > 2.220446049250313e-16 AND spread_f > 2.220446049250313e-16 GROUP BY h, t HAVING count(*) >= 20")
 step("rank_ic_days", "SELECT h, t, round(ic, 6) AS ic, n FROM ic_days")
 step("rank_ic_by_horizon", """SELECT h, count(*) AS days, round(avg(ic), 6) AS mean_ic, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY ic), 6) AS median_ic, round(stddev_pop(ic), 6) AS std_ic,
   round(coalesce(avg(ic) / nullif(stddev_pop(ic), 0), 0) * sqrt(252), 5) AS icir, round(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END), 6) AS positive_share, round(avg(n), 6) AS mean_n FROM ic_days GROUP BY h""")
@@ -12,32 +12,49 @@ step("signal_coverage", """SELECT count(*) AS days, round(avg(m), 6) AS member_r
   (SELECT s.t, avg(CASE WHEN s.member THEN 1.0 ELSE 0 END) AS m, avg(CASE WHEN s.member THEN CASE WHEN a.alpha IS NOT NULL THEN 1.0 ELSE 0 END END) AS f, avg(CASE WHEN s.member THEN CASE WHEN abs(a.alpha) > 1e-9 THEN 1.0 ELSE 0 END END) AS nz, avg(abs(a.alpha)) AS ma
    FROM scored s LEFT JOIN alpha a ON a.t = s.t AND a.symbol = s.symbol GROUP BY s.t) x""")
 
-step("auto", "SELECT symbol, lagn, corr(r, p) AS ac, count(*) AS n FROM (SELECT symbol, 1 AS lagn, r, lag(r) OVER (PARTITION BY symbol ORDER BY t) AS p, member AND lag(member) OVER (PARTITION BY symbol ORDER BY t) AS ok FROM resid UNION ALL SELECT symbol, 5, r, lag(r, 5) OVER (PARTITION BY symbol ORDER BY t), member AND lag(member, 5) OVER (PARTITION BY symbol ORDER BY t) FROM resid) x WHERE ok AND r IS NOT NULL AND p IS NOT NULL GROUP BY symbol, lagn HAVING count(*) >= 30")
+step("auto", "SELECT symbol, lagn, corr(r, p) AS ac, count(*) AS n FROM (SELECT symbol, 1 AS lagn, r, lag(r, 1) OVER (PARTITION BY symbol ORDER BY t) AS p, member AND lag(member, 1) OVER (PARTITION BY symbol ORDER BY t) AS ok FROM resid UNION ALL SELECT symbol, 5 AS lagn, r, lag(r, 5) OVER (PARTITION BY symbol ORDER BY t) AS p, member AND lag(member, 5) OVER (PARTITION BY symbol ORDER BY t) AS ok FROM resid UNION ALL SELECT symbol, 10 AS lagn, r, lag(r, 10) OVER (PARTITION BY symbol ORDER BY t) AS p, member AND lag(member, 10) OVER (PARTITION BY symbol ORDER BY t) AS ok FROM resid UNION ALL SELECT symbol, 20 AS lagn, r, lag(r, 20) OVER (PARTITION BY symbol ORDER BY t) AS p, member AND lag(member, 20) OVER (PARTITION BY symbol ORDER BY t) AS ok FROM resid) x WHERE ok AND r IS NOT NULL AND p IS NOT NULL GROUP BY symbol, lagn HAVING count(*) >= 30")
 step("lag_autocorrelation", "SELECT lagn, count(*) AS assets, round(avg(ac), 6) AS mean_ac, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY ac), 6) AS median_ac, round(avg(CASE WHEN ac < 0 THEN 1.0 ELSE 0 END), 6) AS negative_share FROM auto GROUP BY lagn")
-step("reversal_sums", """SELECT t, symbol, member, 1 AS h, r AS past, CASE WHEN r IS NULL THEN 0 ELSE 1 END AS np, sum(r) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS fut, count(r) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS nf FROM resid UNION ALL
-  SELECT t, symbol, member, 5, sum(r) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), count(r) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), sum(r) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), count(r) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) FROM resid""")
+step("reversal_sums", """(SELECT * FROM (SELECT t, symbol, member, 1 AS h, sum(r) OVER past1 AS past, count(r) OVER past1 AS np, sum(r) OVER next1 AS fut, count(r) OVER next1 AS nf FROM resid WINDOW past1 AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 0 PRECEDING AND CURRENT ROW), next1 AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING)) x1)
+  UNION ALL (SELECT * FROM (SELECT t, symbol, member, 5 AS h, sum(r) OVER past5 AS past, count(r) OVER past5 AS np, sum(r) OVER next5 AS fut, count(r) OVER next5 AS nf FROM resid WINDOW past5 AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), next5 AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)) x5)
+  UNION ALL (SELECT * FROM (SELECT t, symbol, member, 10 AS h, sum(r) OVER past10 AS past, count(r) OVER past10 AS np, sum(r) OVER next10 AS fut, count(r) OVER next10 AS nf FROM resid WINDOW past10 AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), next10 AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING)) x10)
+  UNION ALL (SELECT * FROM (SELECT t, symbol, member, 20 AS h, sum(r) OVER past20 AS past, count(r) OVER past20 AS np, sum(r) OVER next20 AS fut, count(r) OVER next20 AS nf FROM resid WINDOW past20 AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), next20 AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)) x20)""")
 step("reversal_pairs", "SELECT h, t, symbol, -past AS s, fut AS f, row_number() OVER (PARTITION BY h, t ORDER BY round(-past, 12), symbol) - 1 AS rs, row_number() OVER (PARTITION BY h, t ORDER BY round(fut, 12), symbol) - 1 AS rf FROM reversal_sums WHERE np = h AND nf = h AND member")
 step("reversal_days", "SELECT h, t, corr(rs, rf) AS ic, count(*) AS n FROM reversal_pairs GROUP BY h, t HAVING count(*) >= 20")
 step("reversal_ic", "SELECT h, t, round(coalesce(ic, 0), 6) AS ic, n FROM reversal_days")
-step("periods", "SELECT 'overall' AS period, 0 AS t0, 100000 AS t1 UNION ALL SELECT 'development', 0, 219 UNION ALL SELECT 'validation', 220, 100000")
-step("reversal_stats", "SELECT p.period, d.h, count(*) AS days, avg(coalesce(d.ic, 0)) AS mean_ic, avg(CASE WHEN d.ic > 0 THEN 1.0 ELSE 0 END) AS positive_share FROM reversal_days d JOIN periods p ON d.t BETWEEN p.t0 AND p.t1 GROUP BY p.period, d.h")
-step("reversal_pooled", "SELECT p.period, d.h, corr(d.s, d.f) AS pooled FROM reversal_pairs d JOIN periods p ON d.t BETWEEN p.t0 AND p.t1 GROUP BY p.period, d.h")
+step("periods", "SELECT 'overall' AS period, DATE '1995-01-01' AS d0, DATE '2099-12-31' AS d1 UNION ALL SELECT 'development', DATE '1995-01-01', DATE '1999-03-31' UNION ALL SELECT 'validation', DATE '1999-04-01', DATE '2099-12-31'")
+step("reversal_stats", "SELECT p.period, d.h, count(*) AS days, avg(coalesce(d.ic, 0)) AS mean_ic, avg(CASE WHEN d.ic > 0 THEN 1.0 ELSE 0 END) AS positive_share FROM reversal_days d JOIN calendar c ON c.t = d.t JOIN periods p ON c.d BETWEEN p.d0 AND p.d1 GROUP BY p.period, d.h")
+step("reversal_pooled", "SELECT p.period, d.h, corr(d.s, d.f) AS pooled FROM reversal_pairs d JOIN calendar c ON c.t = d.t JOIN periods p ON c.d BETWEEN p.d0 AND p.d1 GROUP BY p.period, d.h")
 step("reversal_periods", "SELECT s.period, s.h, s.days, round(s.mean_ic, 6) AS mean_ic, round(s.positive_share, 6) AS positive_share, round(coalesce(p.pooled, 0), 6) AS pooled FROM reversal_stats s JOIN reversal_pooled p ON p.period = s.period AND p.h = s.h")
-step("predictability_gates", """SELECT h, max(CASE WHEN period = 'development' AND mean_ic > 0.01 AND positive_share > 0.5 THEN 1 ELSE 0 END) AS development_gate, max(CASE WHEN period = 'validation' AND mean_ic > 0.01 AND positive_share > 0.5 THEN 1 ELSE 0 END) AS validation_gate,
-  min(CASE WHEN period = 'overall' OR (mean_ic > 0.01 AND positive_share > 0.5) THEN 1 ELSE 0 END) AS stable FROM reversal_stats GROUP BY h""")
+step("predictability_gates", """SELECT h, CAST(min(cross_sectional) AS INT) AS cross_sectional, CAST(min(CASE WHEN cross_sectional = 1 AND pooled > 0 THEN 1 ELSE 0 END) AS INT) AS stable FROM
+  (SELECT s.period, s.h, p.pooled, CASE WHEN s.days >= 60 AND s.mean_ic >= 0.015 AND s.positive_share >= 0.5 THEN 1 ELSE 0 END AS cross_sectional
+   FROM reversal_stats s JOIN reversal_pooled p ON p.period = s.period AND p.h = s.h WHERE s.period <> 'overall') x GROUP BY h HAVING count(*) = 2""")
+step("predictability_audit", "SELECT count(*) AS horizons, CAST(sum(cross_sectional) AS BIGINT) AS cross_sectional_horizons, CAST(sum(stable) AS BIGINT) AS stable_horizons, sum(cross_sectional) >= 2 AS cross_sectional_evidence, sum(stable) >= 2 AS broad_evidence FROM predictability_gates")
 
-step("mechanism", "SELECT t, symbol, dir, pos * dir / nullif(sum(abs(pos)) OVER (PARTITION BY t, dir), 0) AS w, nxt FROM (SELECT t, symbol, CASE WHEN t < max(t) OVER () THEN pos ELSE 0 END AS pos, lead(r) OVER (PARTITION BY symbol ORDER BY t) AS nxt FROM ou_pos) x CROSS JOIN (SELECT 1 AS dir UNION ALL SELECT -1) ds")
+step("mechanism", "SELECT t, symbol, dir, pos * dir / nullif(sum(abs(pos)) OVER (PARTITION BY t, dir), 0) AS w, nxt FROM (SELECT t, symbol, CASE WHEN t < (SELECT max(t) FROM calendar) THEN pos ELSE 0 END AS pos, lead(r) OVER (PARTITION BY symbol ORDER BY t) AS nxt FROM ou_pos) x CROSS JOIN (SELECT 1 AS dir UNION ALL SELECT -1) ds")
 step("mechanism_lag", "SELECT t, symbol, dir, coalesce(w, 0) AS w, coalesce(nxt, 0) AS nxt, lag(coalesce(w, 0), 1, 0) OVER (PARTITION BY symbol, dir ORDER BY t) AS pw FROM mechanism")
-step("mechanism_days", "SELECT dir, t, sum(w * nxt) AS ret, sum(abs(w - pw)) AS turnover, max(CASE WHEN w <> 0 THEN 1.0 ELSE 0 END) AS active FROM mechanism_lag WHERE t >= 133 GROUP BY dir, t")
+step("mechanism_days", "SELECT dir, t, sum(w * nxt) AS ret, sum(abs(w - pw)) AS turnover, max(CASE WHEN w <> 0 THEN 1.0 ELSE 0 END) AS active FROM mechanism_lag WHERE t >= 133 AND t < (SELECT max(t) FROM calendar) GROUP BY dir, t")
 step("mechanism_eval", "SELECT dir, count(*) AS days, round(avg(ret) * 252, 6) AS annual_mean, round(coalesce(avg(ret) / nullif(stddev_pop(ret), 0), 0) * sqrt(252), 5) AS sharpe, round(avg(turnover), 6) AS turnover, round(avg(active), 6) AS active_rate FROM mechanism_days GROUP BY dir")
 
 step("refits", "SELECT t, row_number() OVER (ORDER BY t) - 1 AS version FROM (SELECT DISTINCT refit_t AS t FROM mapped) x")
 step("versions", "SELECT c.t, count(r.t) OVER (ORDER BY c.t) - 1 AS version, CASE WHEN r.t IS NOT NULL THEN 1 ELSE 0 END AS is_refit FROM calendar c LEFT JOIN refits r ON r.t = c.t")
 step("version_asof", "SELECT t, version, is_refit FROM versions")
 step("versions_per_window", "SELECT t, v1 - greatest(v0, 0) + 1 AS versions FROM (SELECT t, max(version) OVER (ORDER BY t ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS v1, min(version) OVER (ORDER BY t ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS v0, t AS tt FROM versions) x WHERE tt >= 29 AND v1 >= 0")
-step("continuity_windows", "SELECT o.t, o.symbol, v.versions FROM ou o JOIN versions_per_window v ON v.t = o.t WHERE o.nv = 30")
-step("continuity_audit", "SELECT count(*) AS valid_windows, round(avg(CASE WHEN versions > 1 THEN 1.0 ELSE 0 END), 6) AS cross_refit_share, round(avg(versions), 6) AS models_per_window, CAST(max(versions) AS BIGINT) AS most_models FROM continuity_windows")
-step("jaccard_refit", """SELECT x.t, round(sum(CASE WHEN now AND before THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN now OR before THEN 1.0 ELSE 0 END), 0), 6) AS jaccard FROM (SELECT t, member AND r IS NOT NULL AS now, coalesce(lag(member AND r IS NOT NULL) OVER (PARTITION BY symbol ORDER BY t), false) AS before FROM resid) x JOIN refits f ON f.t = x.t WHERE f.version > 0 GROUP BY x.t""")
+# The continuity audit counts dates: each of its parts is one row
+step("fitted_days", "SELECT t, count(*) AS active FROM residual GROUP BY t")
+step("continuity_base", """SELECT CAST(min(c.d) AS STRING) AS start_date, CAST(max(c.d) AS STRING) AS end_date, count(*) AS calendar_days, count(m.t) AS model_days, count(*) - count(m.t) AS days_without_model,
+  round(count(m.t) / (1.0 * count(*)), 6) AS model_day_rate, CAST(sum(v.is_refit) AS BIGINT) AS refits FROM calendar c JOIN versions v ON v.t = c.t LEFT JOIN fitted_days m ON m.t = c.t WHERE v.version >= 0""")
+step("coverage_days", "SELECT g.t, m.active, sum(CASE WHEN g.member THEN 1.0 ELSE 0 END) AS members, sum(CASE WHEN g.member AND g.r IS NOT NULL THEN 1.0 ELSE 0 END) AS covered FROM resid g JOIN fitted_days m ON m.t = g.t GROUP BY g.t, m.active")
+step("continuity_coverage", """SELECT round(sum(covered) / nullif(sum(members), 0), 6) AS member_coverage, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY covered / nullif(members, 0)), 6) AS median_coverage, round(min(covered / nullif(members, 0)), 6) AS minimum_coverage,
+  round(percentile_cont(0.5) WITHIN GROUP (ORDER BY active), 6) AS median_active, min(active) AS minimum_active FROM coverage_days""")
+step("continuity_windows", """SELECT count(*) AS ou_windows, round(coalesce(avg(CASE WHEN v.versions = 1 THEN 1.0 ELSE 0 END), 0), 6) AS single_model_rate, round(coalesce(avg(CASE WHEN v.versions > 1 THEN 1.0 ELSE 0 END), 0), 6) AS cross_model_rate, round(coalesce(avg(v.versions), 0), 6) AS models_per_window, CAST(coalesce(max(v.versions), 0) AS BIGINT) AS most_models
+  FROM versions_per_window v JOIN (SELECT DISTINCT t FROM ou WHERE nv = 30 AND member) o ON o.t = v.t""")
+step("jaccard_days", """SELECT x.t, sum(CASE WHEN now AND before THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN now OR before THEN 1.0 ELSE 0 END), 0) AS jaccard FROM (SELECT t, member AND r IS NOT NULL AS now, coalesce(lag(member AND r IS NOT NULL) OVER (PARTITION BY symbol ORDER BY t), false) AS before FROM resid) x JOIN refits f ON f.t = x.t WHERE f.version > 0 GROUP BY x.t""")
+step("continuity_jaccard", "SELECT round(coalesce(percentile_cont(0.5) WITHIN GROUP (ORDER BY jaccard), 0), 6) AS median_jaccard FROM jaccard_days")
+step("alpha_moves", "SELECT t, avg(abs(alpha - prev)) AS moved, count(*) AS shared FROM (SELECT t, alpha, lag(alpha) OVER (PARTITION BY symbol ORDER BY t) AS prev, lag(t) OVER (PARTITION BY symbol ORDER BY t) AS pt FROM alpha) x WHERE pt = t - 1 GROUP BY t")
+step("scale_days", "SELECT m.t, v.is_refit, avg(CASE WHEN g.member THEN abs(g.r) END) AS scale, max(a.moved) AS moved FROM fitted_days m JOIN versions v ON v.t = m.t JOIN resid g ON g.t = m.t LEFT JOIN alpha_moves a ON a.t = m.t GROUP BY m.t, v.is_refit")
+step("continuity_scale", "SELECT round(avg(CASE WHEN is_refit = 1 THEN scale END), 9) AS residual_refit, round(avg(CASE WHEN is_refit = 0 THEN scale END), 9) AS residual_other, round(avg(CASE WHEN is_refit = 1 THEN moved END), 6) AS alpha_refit, round(avg(CASE WHEN is_refit = 0 THEN moved END), 6) AS alpha_other FROM scale_days")
+step("continuity_audit", "SELECT b.*, c.*, w.*, j.*, s.*, round(s.residual_refit / nullif(s.residual_other, 0), 6) AS residual_ratio, round(s.alpha_refit / nullif(s.alpha_other, 0), 6) AS alpha_ratio FROM continuity_base b CROSS JOIN continuity_coverage c CROSS JOIN continuity_windows w CROSS JOIN continuity_jaccard j CROSS JOIN continuity_scale s")
+step("jaccard_refit", "SELECT t, round(jaccard, 6) AS jaccard FROM jaccard_days")
 
 step("bt", """SELECT t, symbol, lagpos / nullif(sum(abs(lagpos)) OVER (PARTITION BY t), 0) AS w, r FROM (SELECT t, symbol, r, CASE WHEN r IS NULL THEN 0 ELSE lag(pos, 1, 0) OVER (PARTITION BY symbol ORDER BY t) END AS lagpos FROM ou_pos) x""")
 step("bt_lag", "SELECT t, symbol, coalesce(w, 0) AS w, coalesce(r, 0) AS r, lag(coalesce(w, 0), 1, 0) OVER (PARTITION BY symbol ORDER BY t) AS pw FROM bt")
@@ -45,17 +62,30 @@ step("bt_days", "SELECT t, sum(w * r) AS gross, sum(abs(w - pw)) AS turnover, su
 step("ou_backtest", "SELECT t, round(gross, 9) AS gross, round(turnover, 9) AS turnover, round(short_share, 9) AS short_share, round(gross - 0.0005 * turnover - 0.0001 * short_share, 9) AS net FROM bt_days")
 step("ou_cost_ladder", "SELECT bp, count(*) AS days, round(avg(gross - bp / 10000.0 * turnover) * 252, 6) AS annual_mean, round(coalesce(avg(gross - bp / 10000.0 * turnover) / nullif(stddev_pop(gross - bp / 10000.0 * turnover), 0), 0) * sqrt(252), 5) AS sharpe FROM bt_days CROSS JOIN (SELECT 0 AS bp UNION ALL SELECT 5 UNION ALL SELECT 10 UNION ALL SELECT 20) c GROUP BY bp")
 
-step("pnl", "SELECT x.t, x.strategy, b.bench FROM (SELECT t, sum(w * fwd) AS strategy FROM (SELECT a.t, a.symbol, r.fwd, greatest(a.alpha, 0) / nullif(sum(greatest(a.alpha, 0)) OVER (PARTITION BY a.t), 0) AS w FROM alpha a JOIN forward r ON r.t = a.t AND r.symbol = a.symbol AND r.h = 1 WHERE r.fwd IS NOT NULL) y GROUP BY t) x JOIN (SELECT p.t, sum(p.benchmark_weight * f.fwd) AS bench FROM panel p JOIN forward f ON f.t = p.t AND f.symbol = p.symbol AND f.h = 1 WHERE f.fwd IS NOT NULL GROUP BY p.t) b ON b.t = x.t")
-step("scaled", "SELECT t, strategy / 10 AS strategy, bench / 10 AS bench FROM pnl")
+# A long-only book of the positive scores, at a tenth of its size; a year is 52 rows of the weekly calendar
+step("long_weights", "SELECT s.t, s.symbol, coalesce(greatest(a.alpha, 0) / nullif(sum(greatest(a.alpha, 0)) OVER (PARTITION BY s.t), 0), 0) AS w FROM scored s LEFT JOIN alpha a ON a.t = s.t AND a.symbol = s.symbol")
+step("long_lag", "SELECT *, lag(w, 1, 0) OVER (PARTITION BY symbol ORDER BY t) AS pw FROM long_weights")
+step("pnl", """SELECT x.t, x.gross, x.turnover, b.bench FROM
+  (SELECT w.t, sum(w.w * r.fwd) AS gross, sum(abs(w.w - w.pw)) AS turnover FROM long_lag w JOIN forward r ON r.t = w.t AND r.symbol = w.symbol AND r.h = 1 WHERE r.fwd IS NOT NULL GROUP BY w.t) x
+  JOIN (SELECT p.t, sum(p.benchmark_weight * f.fwd) AS bench FROM panel p JOIN forward f ON f.t = p.t AND f.symbol = p.symbol AND f.h = 1 WHERE f.fwd IS NOT NULL GROUP BY p.t) b ON b.t = x.t WHERE x.t >= 108""")
+step("scaled", "SELECT t, gross / 10 AS gross, (gross - 0.00126 * turnover) / 10 AS strategy, bench / 10 AS bench, 0.000126 * turnover AS cost FROM pnl")
 step("wealth", "SELECT t, strategy, bench, exp(sum(ln(1 + strategy)) OVER (ORDER BY t)) AS wealth FROM scaled")
 step("peaks", "SELECT *, max(wealth) OVER (ORDER BY t) AS peak FROM wealth")
 step("drawdown", "SELECT t, round(wealth, 6) AS wealth, round(wealth / peak - 1, 6) AS drawdown_first, round(1 - wealth / greatest(1, peak), 6) AS drawdown_one FROM peaks")
-step("rolling_sharpe", "SELECT t, CASE WHEN n = 60 THEN round(coalesce(m / nullif(s, 0), 0) * sqrt(252), 5) END AS sharpe FROM (SELECT t, avg(strategy) OVER w AS m, stddev_pop(strategy) OVER w AS s, count(*) OVER w AS n FROM scaled WINDOW w AS (ORDER BY t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) x")
-step("rolling_excess_share", "SELECT count(*) AS windows, round(avg(CASE WHEN e > 0 THEN 1.0 ELSE 0 END), 6) AS positive_share FROM (SELECT sum(ln(1 + strategy) - ln(1 + bench)) OVER w AS e, count(*) OVER w AS n FROM scaled WINDOW w AS (ORDER BY t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) x WHERE n = 60")
+step("rolling_sharpe", "SELECT t, CASE WHEN n = 52 THEN round(coalesce(m / nullif(s, 0), 0) * sqrt(252), 5) END AS sharpe FROM (SELECT t, avg(strategy) OVER w AS m, stddev_pop(strategy) OVER w AS s, count(*) OVER w AS n FROM scaled WINDOW w AS (ORDER BY t ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)) x")
+step("rolling_excess_share", "SELECT count(*) AS windows, round(avg(CASE WHEN e > 0 THEN 1.0 ELSE 0 END), 6) AS positive_share FROM (SELECT sum(ln(1 + strategy) - ln(1 + bench)) OVER w AS e, count(*) OVER w AS n FROM scaled WINDOW w AS (ORDER BY t ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)) x WHERE n = 52")
 step("performance_metrics", "SELECT count(*) AS days, round(avg(strategy) * 252, 6) AS annual_mean, round(stddev_pop(strategy) * sqrt(252), 6) AS annual_vol, round(coalesce(avg(strategy) / nullif(stddev_pop(strategy), 0), 0) * sqrt(252), 5) AS sharpe, round(exp(sum(ln(1 + strategy))) - 1, 6) AS cumulative, round(min(wealth / peak - 1), 6) AS max_drawdown, round(avg(CASE WHEN strategy > 0 THEN 1.0 ELSE 0 END), 6) AS positive_days, round(sum(strategy), 6) AS total, round(power(exp(sum(ln(1 + strategy))), 252.0 / count(*)) - 1, 5) AS geometric_annual, round(stddev_samp(strategy) * sqrt(252), 6) AS sample_vol FROM peaks")
-step("period_table", """SELECT p.period, count(*) AS observations, avg(s.strategy - s.bench) * 252 AS gross, avg(s.strategy - s.bench - 0.0003) * 252 AS net, coalesce(avg(s.strategy - s.bench - 0.0003) / nullif(stddev_pop(s.strategy - s.bench - 0.0003), 0), 0) * sqrt(252) AS net_ir, sum(0.0003) AS cost FROM scaled s JOIN periods p ON s.t BETWEEN p.t0 AND p.t1 GROUP BY p.period""")
-step("period_metrics", "SELECT period, observations, round(gross, 6) AS gross, round(net, 6) AS net, round(net_ir, 5) AS net_ir, round(cost, 6) AS cost FROM period_table")
-step("gate_rows", "SELECT period, 'gross' AS gate, gross > 0 AS passed FROM period_table UNION ALL SELECT period, 'net', net > 0 FROM period_table UNION ALL SELECT period, 'net_ir', net_ir >= 1 FROM period_table UNION ALL SELECT 'overall', 'drawdown', min(wealth / peak - 1) >= -0.12 FROM peaks UNION ALL SELECT 'overall', 'rolling', avg(CASE WHEN e > 0 THEN 1.0 ELSE 0 END) >= 0.6 FROM (SELECT sum(ln(1 + strategy) - ln(1 + bench)) OVER (ORDER BY t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS e, count(*) OVER (ORDER BY t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS n FROM scaled) x WHERE n = 60")
+step("period_days", "SELECT p.period, s.*, s.strategy - s.bench AS active FROM scaled s JOIN calendar c ON c.t = s.t JOIN periods p ON c.d BETWEEN p.d0 AND p.d1")
+step("period_wealth", """SELECT *, exp(sum(ln(1 + active)) OVER w) AS wealth, CASE WHEN count(*) OVER y = 52 THEN sum(ln(1 + strategy) - ln(1 + bench)) OVER y END AS roll FROM period_days
+  WINDOW w AS (PARTITION BY period ORDER BY t), y AS (PARTITION BY period ORDER BY t ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)""")
+step("period_peaks", "SELECT *, max(wealth) OVER (PARTITION BY period ORDER BY t) AS peak FROM period_wealth")
+step("period_table", """SELECT period, count(*) AS observations, avg(bench) * 252 AS benchmark, avg(gross) * 252 AS gross_strategy, avg(strategy) * 252 AS net_strategy, avg(gross - bench) * 252 AS gross_excess, avg(active) * 252 AS net_excess,
+  coalesce(avg(gross - bench) / nullif(stddev_pop(gross - bench), 0), 0) * sqrt(252) AS gross_ir, coalesce(avg(active) / nullif(stddev_pop(active), 0), 0) * sqrt(252) AS net_ir, avg(cost) * 252 AS cost_drag,
+  CASE WHEN avg(gross - bench) > 0 THEN avg(cost) / avg(gross - bench) END AS cost_share, min(wealth / peak - 1) AS drawdown, avg(CASE WHEN roll > 0 THEN 1.0 WHEN roll IS NOT NULL THEN 0 END) AS rolling_share FROM period_peaks GROUP BY period""")
+step("period_metrics", "SELECT period, observations, round(benchmark, 5) AS benchmark, round(gross_strategy, 5) AS gross_strategy, round(net_strategy, 5) AS net_strategy, round(gross_excess, 5) AS gross_excess, round(net_excess, 5) AS net_excess, round(gross_ir, 5) AS gross_ir, round(net_ir, 5) AS net_ir, round(cost_drag, 5) AS cost_drag, round(cost_share, 5) AS cost_share, round(drawdown, 5) AS drawdown, round(rolling_share, 5) AS rolling_share FROM period_table")
+step("gate_rows", """SELECT period, 'gross excess' AS gate, gross_excess > 0 AS passed FROM period_table WHERE period <> 'overall' UNION ALL SELECT period, 'net excess', net_excess > 0 FROM period_table WHERE period <> 'overall'
+  UNION ALL SELECT period, 'net IR', net_ir >= 1 FROM period_table WHERE period <> 'overall' UNION ALL SELECT period, 'active drawdown', drawdown >= -0.12 FROM period_table WHERE period = 'overall'
+  UNION ALL SELECT period, 'cost share', coalesce(cost_share <= 0.5, false) FROM period_table WHERE period = 'overall' UNION ALL SELECT period, 'rolling share', coalesce(rolling_share >= 0.6, false) FROM period_table WHERE period = 'overall'""")
 step("admission_decision", "SELECT min(CASE WHEN passed THEN 1 ELSE 0 END) = 1 AS admitted, coalesce(<<join CASE WHEN NOT passed THEN period || ':' || gate END>>, '') AS failed_gates, CASE WHEN min(CASE WHEN passed THEN 1 ELSE 0 END) = 1 THEN 'run_holdout_once' ELSE 'keep_holdout_sealed' END AS holdout_action FROM gate_rows")
 step("turnover_summary", "SELECT count(*) AS days, CAST(sum(CASE WHEN turnover > 1e-12 THEN 1 ELSE 0 END) AS BIGINT) AS trade_days, round(avg(turnover), 6) AS mean_turnover, round(avg(turnover) * 252, 5) AS annual_turnover, round(avg(CASE WHEN turnover > 1e-12 THEN turnover END), 6) AS mean_on_trade_days, round(max(turnover), 6) AS max_turnover FROM bt_days")
 
@@ -66,7 +96,10 @@ step("stability_summary", """SELECT count(*) AS windows, round(avg(sharpe), 5) A
   CAST(max_by(origin, sharpe) AS BIGINT) AS best_origin, CAST(min_by(origin, sharpe) AS BIGINT) AS worst_origin, round(corr(sharpe, mean_ret), 5) AS score_corr FROM block_ranks""")
 step("model_days", "SELECT 'ou' AS model, t, gross AS r FROM bt_days UNION ALL SELECT 'rank', t, strategy FROM scaled UNION ALL SELECT 'mechanism', t, ret FROM mechanism_days WHERE dir = 1")
 step("run_correlations", "SELECT a.model AS model_a, b.model AS model_b, count(*) AS days, round(corr(a.r, b.r), 6) AS correlation FROM model_days a JOIN model_days b ON a.t = b.t AND a.model < b.model GROUP BY a.model, b.model")
-step("shrunk_covariance", """SELECT a.symbol AS symbol_a, b.symbol AS symbol_b, round(CASE WHEN a.symbol = b.symbol THEN covar_pop(a.ret, b.ret) + 1e-8 ELSE 0.5 * covar_pop(a.ret, b.ret) END, 9) AS cov FROM
-  (SELECT t, symbol, coalesce(ret, avg(ret) OVER (PARTITION BY symbol)) AS ret FROM rets WHERE t BETWEEN 150 AND 253) a JOIN (SELECT t, symbol, coalesce(ret, avg(ret) OVER (PARTITION BY symbol)) AS ret FROM rets WHERE t BETWEEN 150 AND 253) b ON a.t = b.t AND a.symbol <= b.symbol GROUP BY a.symbol, b.symbol""")
+step("covariance_dates", "SELECT mi, min(t) AS at FROM calendar WHERE t >= 104 GROUP BY mi")
+step("covariance_rows", "SELECT x.at, x.symbol, x.t, coalesce(x.ret, avg(x.ret) OVER (PARTITION BY x.at, x.symbol), 0) AS ret FROM (SELECT c.at, r.symbol, r.t, r.ret FROM covariance_dates c JOIN rets r ON r.t >= c.at - 104 AND r.t < c.at) x")
+step("shrunk_covariance", """SELECT a.at, a.symbol AS symbol_a, b.symbol AS symbol_b, round(CASE WHEN a.symbol = b.symbol THEN covar_pop(a.ret, b.ret) + 1e-8 ELSE 0.5 * covar_pop(a.ret, b.ret) END, 9) AS cov
+  FROM covariance_rows a JOIN covariance_rows b ON a.at = b.at AND a.t = b.t AND a.symbol <= b.symbol GROUP BY a.at, a.symbol, b.symbol""")
 step("residual_array_audit", "SELECT count(*) AS cells, round(avg(CASE WHEN r IS NOT NULL THEN 1.0 ELSE 0 END), 6) AS finite_share, round(avg(CASE WHEN r IS NOT NULL THEN CASE WHEN r = 0 THEN 1.0 ELSE 0 END END), 6) AS zero_share, round(stddev_pop(CASE WHEN r <> 0 THEN r END), 9) AS std_nonzero FROM resid")
-step("training_origins", "SELECT CAST(o.i * 25 + 140 AS INT) AS origin, r.symbol, count(*) AS usable FROM <<series 8>> o JOIN resid r ON r.t >= o.i * 25 + 40 AND r.t < o.i * 25 + 140 WHERE r.r <> 0 GROUP BY o.i, r.symbol HAVING count(*) >= 30")
+step("origins", "SELECT t AS origin FROM calendar WHERE t >= 140 AND (t - 140) % 25 = 0")
+step("training_origins", "SELECT o.origin, r.symbol, count(*) AS usable FROM origins o JOIN resid r ON r.t >= o.origin - 100 AND r.t < o.origin WHERE r.r <> 0 GROUP BY o.origin, r.symbol HAVING count(*) >= 30")

@@ -66,17 +66,30 @@ def execution_ledger(targets: DataFrame, cash: float = 1e6, lot: int = 100, comm
     def fee(notional: float, sell: bool) -> float:
         return 0.0 if notional <= 0 else max(least, notional * commission) + notional * transfer + (notional * stamp if sell else 0.0)
 
+    def affordable(asked: int, price: float, money: float) -> int:
+        n = asked - asked % lot
+        top = int(min((money + 1e-9) / (price * (1 + commission + transfer)), max(0.0, money + 1e-9 - least) / (price * (1 + transfer))) // lot * lot)
+        n = min(n, max(top + lot, 0))  # the closed form may miss a lot by rounding; the test below decides
+        while n > 0 and n * price + fee(n * price, False) > money + 1e-9:
+            n -= lot
+        return max(n, 0)
+
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         money, held, out = cash, {}, []
         name = group["portfolio"].iloc[0]
         for t, day in group.sort_values(["t", "symbol"]).groupby("t"):
-            sellable = dict(held)
-            rows = list(day.itertuples())
+            sellable, rows = dict(held), {r.symbol: r for r in day.itertuples()}
+            goal = {s: (0 if pd.isna(r.target) else int(r.target)) for s, r in rows.items()}
+            if any(n < 0 for n in goal.values()):
+                raise ValueError(f"a target of portfolio {name} on day {t} is negative")
             for sell in (True, False):
-                for r in rows:
-                    gap = int(r.target) - held.get(r.symbol, 0)
-                    if (gap < 0) != sell or gap == 0:
+                for symbol in sorted({*held, *goal}):  # what is held without a target is sold
+                    gap = goal.get(symbol, 0) - held.get(symbol, 0)
+                    if gap == 0 or (gap < 0) != sell:
                         continue
+                    r = rows.get(symbol)
+                    if r is None or not (np.isfinite(r.price) and r.price > 0):
+                        raise ValueError(f"no price of {symbol} on day {t}")
                     asked, reason, done = abs(gap), "", 0
                     if r.suspended:
                         reason = "suspended"
@@ -85,20 +98,17 @@ def execution_ledger(targets: DataFrame, cash: float = 1e6, lot: int = 100, comm
                     elif not sell and r.at_upper:
                         reason = "upper_limit"
                     elif sell:
-                        done = min(asked, sellable.get(r.symbol, 0))
+                        done = min(asked, sellable.get(symbol, 0))
                         reason = "" if done == asked else "t_plus_one"
                     else:
-                        done = asked - asked % lot
-                        reason = "" if done == asked else "lot_rounding"
-                        top = int(min(money / (r.price * (1 + commission + transfer)), max(0.0, money - least) / (r.price * (1 + transfer))) // lot * lot)
-                        if top < done:
-                            done, reason = max(top, 0), "insufficient_cash"
+                        done, whole = affordable(asked, r.price, money), asked - asked % lot
+                        reason = "insufficient_cash" if done < whole else "" if done == asked else "lot_rounding"
                     cost = fee(done * r.price, sell)
                     money = max(0.0, money + (done * r.price if sell else -done * r.price) - cost)
-                    held[r.symbol] = held.get(r.symbol, 0) + (-done if sell else done)
-                    if sell:
-                        sellable[r.symbol] -= done
-                    out.append((name, t, r.symbol, "sell" if sell else "buy", asked, done, r.price, cost, reason))
+                    held[symbol] = held.get(symbol, 0) + (-done if sell else done)
+                    if sell and done:
+                        sellable[symbol] -= done
+                    out.append((name, t, symbol, "sell" if sell else "buy", asked, done, r.price, cost, reason))
             held = {s: n for s, n in held.items() if n}
         return pd.DataFrame(out, columns=["portfolio", "t", "symbol", "side", "requested", "filled", "price", "fees", "reason"])
 
@@ -106,30 +116,44 @@ def execution_ledger(targets: DataFrame, cash: float = 1e6, lot: int = 100, comm
 
 
 def chunk_documents(docs: DataFrame, max_chars: int = 1400, overlap: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, chunk, start_char, end_char, text): windows of at most max_chars that end at a blank line or sentence where
-    one lies past the window's half, and overlap by about overlap characters, starting at a word."""
-
-    def cut(text: str) -> list[tuple[int, int]]:
-        spans, at = [], 0
+    """(doc_id, chunk, start_char, end_char, text): chunks of at most max_chars of each text, whose lines lose trailing and
+    which itself loses outer white space. A chunk ends one character behind the start of the last blank line or ". " where
+    that lies past half of it; the next starts overlap characters earlier, moved to the start of the next word. Empty
+    chunks are dropped and not counted."""
+    if max_chars <= 0 or not 0 <= overlap < max_chars:
+        raise ValueError("max_chars must be positive, overlap from 0 to less than it")
+
+    def cut(text: str) -> list[tuple[int, int, str]]:
+        out, at = [], 0
         while at < len(text):
             end = min(at + max_chars, len(text))
             if end < len(text):
-                stop = max(text.rfind("\n\n", at, end), text.rfind(". ", at, end) + 1)
-                end = stop if stop > at + max_chars // 2 else end
-            spans.append((at, end))
+                stop = max(text.rfind("\n\n", at, end), text.rfind(". ", at, end))
+                if stop > at + max_chars // 2:
+                    end = stop + 1
+            if chunk := text[at:end].strip():
+                out.append((at, end, chunk))
             if end >= len(text):
                 break
-            at = max(at + 1, end - overlap)
-            while at < end and not text[at - 1].isspace():
+            at = end - overlap
+            while 0 < at < len(text) and not text[at].isspace():
                 at += 1
-        return spans
+            while 0 < at < len(text) and text[at].isspace():
+                at += 1
+        return out
 
     def run(frames):
         for frame in frames:
-            rows = [(i, k, a, b, t[a:b].strip()) for i, t in zip(frame["id"], frame["text"]) for k, (a, b) in enumerate(cut(t))]
+            plain = ["\n".join(line.rstrip() for line in t.splitlines()).strip() for t in frame["text"]]
+            rows = [(i, k, *span) for i, t in zip(frame["id"], plain) for k, span in enumerate(cut(t))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk", "start_char", "end_char", "text"])
 
-    return docs.select(F.col(id_col).alias("id"), F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[ \t]+(?=\n|$)", "").alias("text")).mapInPandas(run, "doc_id long, chunk int, start_char int, end_char int, text string")
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, "doc_id long, chunk int, start_char int, end_char int, text string")
+
+
+def ledger_totals(fills: DataFrame) -> DataFrame:
+    """(portfolio, fills, rejected_shares, total_fees): what was asked for and not filled, and all fees."""
+    return fills.groupBy("portfolio").agg(F.count(F.lit(1)).alias("fills"), F.sum(F.col("requested") - F.col("filled")).alias("rejected_shares"), F.round(F.sum("fees"), 6).alias("total_fees"))
 
 
 # ---- queries
@@ -152,8 +176,12 @@ def query_execution_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return execution_ledger(wide.select(F.col("p.portfolio").alias("portfolio"), "t", "symbol", shares.alias("target"), "price", (F.col("state") == "suspended").alias("suspended"), (F.col("state") == "upper_limit").alias("at_upper"), (F.col("state") == "lower_limit").alias("at_lower")))
 
 
+def query_execution_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger_totals(query_execution_ledger(spark, sf_dir))
+
+
 def query_chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"pca_residuals_monthly": query_pca_residuals_monthly, "execution_ledger": query_execution_ledger, "chunk_documents": query_chunk_documents}
+QUERIES = {"pca_residuals_monthly": query_pca_residuals_monthly, "execution_ledger": query_execution_ledger, "execution_totals": query_execution_totals, "chunk_documents": query_chunk_documents}

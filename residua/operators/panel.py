@@ -2,29 +2,29 @@
 
 from residua.plans.relations import step
 
-# ---- grid and fills: calendar rows, not rows present, are what lags and windows count
-step("trades", "SELECT p_brand AS symbol, CAST(date_trunc('week', l_shipdate) AS DATE) AS d, l_quantity AS q, l_extendedprice AS x FROM lineitem JOIN part ON l_partkey = p_partkey")
+# ---- grid and fills: a symbol is a supplier under its board's prefix, a row a week; calendar rows, not rows present, are what lags and windows count
+step("trades", "SELECT concat(CASE l_suppkey % 5 WHEN 1 THEN '300' WHEN 2 THEN '688' WHEN 3 THEN '830' ELSE '600' END, lpad(CAST(l_suppkey AS STRING), 9, '0')) AS symbol, CAST(date_trunc('week', l_shipdate) AS DATE) AS d, l_quantity AS q, l_extendedprice AS x FROM lineitem")
 step("cell", "SELECT symbol, d, sum(q) AS volume, sum(x) AS money, sum(x) / nullif(sum(q), 0) AS vwap, min(x / nullif(q, 0)) AS lowest FROM trades GROUP BY symbol, d")
 step("calendar", "SELECT d, CAST(row_number() OVER (ORDER BY d) - 1 AS INT) AS t, year(d) * 12 + month(d) AS mi FROM (SELECT DISTINCT d FROM cell) days")
 step("universe", "SELECT DISTINCT symbol FROM cell")
-step("dense", """SELECT c.t, c.d, c.mi, u.symbol, x.vwap, x.lowest, coalesce(x.volume, 0) AS volume, coalesce(x.money, 0) AS money, x.vwap IS NULL AS paused,
-  count(x.vwap) OVER (PARTITION BY u.symbol ORDER BY c.t) AS grp FROM calendar c CROSS JOIN universe u LEFT JOIN cell x ON x.symbol = u.symbol AND x.d = c.d""")
+step("dense", """SELECT c.t, c.d, c.mi, c.symbol, x.vwap, x.lowest, coalesce(x.volume, 0) AS volume, coalesce(x.money, 0) AS money, x.vwap IS NULL AS paused,
+  count(x.vwap) OVER (PARTITION BY c.symbol ORDER BY c.t) AS grp FROM (SELECT /*+ BROADCAST(calendar) */ t, d, mi, symbol FROM universe CROSS JOIN calendar) c LEFT JOIN cell x ON x.symbol = c.symbol AND x.d = c.d""")
 step("prices", """SELECT t, d, mi, symbol, volume, money, paused, max(vwap) OVER (PARTITION BY symbol, grp) AS close_price, max((vwap + lowest) / 2) OVER (PARTITION BY symbol, grp) AS open_price,
-  symbol = 'Brand#11' AND t % 40 < 5 AS is_st FROM dense""")
+  symbol LIKE '%7' AND t % 40 < 5 AS is_st FROM dense""")
 step("month_money", "SELECT symbol, mi, sum(money) AS mm FROM prices GROUP BY symbol, mi")
-step("snapshot", "SELECT symbol, mi + 1 AS mi, mm, row_number() OVER (PARTITION BY mi ORDER BY mm DESC, symbol) AS rk FROM month_money WHERE mm > 0")
-step("members", "SELECT symbol, mi, mm / sum(mm) OVER (PARTITION BY mi) AS weight FROM snapshot WHERE rk <= 22")
+step("snapshot", "SELECT symbol, mi + 1 AS mi, mm, row_number() OVER (PARTITION BY mi ORDER BY mm DESC, symbol) AS rk, count(*) OVER (PARTITION BY mi) AS listed FROM month_money WHERE mm > 0")
+step("members", "SELECT symbol, mi, mm / sum(mm) OVER (PARTITION BY mi) AS weight FROM snapshot WHERE rk <= ceil(listed * 0.88)")
 step("panel", """SELECT p.t, p.d, p.symbol, p.close_price AS adjusted_close, p.open_price, p.close_price, p.volume, p.money, p.paused, p.is_st,
   m.symbol IS NOT NULL AS member, coalesce(m.weight, 0) AS benchmark_weight,
   lag(p.close_price) OVER (PARTITION BY p.symbol ORDER BY p.t) AS preclose FROM prices p LEFT JOIN members m ON m.symbol = p.symbol AND m.mi = p.mi""")
 
 step("panel_build", """SELECT t, CAST(d AS STRING) AS d, symbol, round(adjusted_close, 6) AS adjusted_close, round(open_price, 6) AS open_price, round(volume, 2) AS volume, round(money, 2) AS money,
   paused, is_st, member, round(benchmark_weight, 9) AS benchmark_weight FROM panel""")
-step("pit_membership", "SELECT symbol, mi, rk AS member_rank, round(mm, 2) AS money FROM snapshot WHERE rk <= 22")
+step("pit_membership", "SELECT symbol, mi, rk AS member_rank, round(mm, 2) AS money FROM snapshot WHERE rk <= ceil(listed * 0.88)")
 step("prior_trading_day", """SELECT m.mi, CAST(max(c.d) AS STRING) AS snapshot_day FROM (SELECT mi, min(d) AS first_day FROM calendar GROUP BY mi) m JOIN calendar c ON c.d < m.first_day AND c.mi >= m.mi - 2 GROUP BY m.mi""")
-step("benchmark_weights", """SELECT mi, symbol, round(CASE WHEN mm > 0 AND symbol <> 'Brand#22' THEN mm ELSE med END / sum(CASE WHEN mm > 0 AND symbol <> 'Brand#22' THEN mm ELSE med END) OVER (PARTITION BY mi), 9) AS cap_weight,
+step("benchmark_weights", """SELECT mi, symbol, round(CASE WHEN mm > 0 AND symbol NOT LIKE '830%' THEN mm ELSE med END / sum(CASE WHEN mm > 0 AND symbol NOT LIKE '830%' THEN mm ELSE med END) OVER (PARTITION BY mi), 9) AS cap_weight,
   round(1.0 / count(*) OVER (PARTITION BY mi), 9) AS equal_weight FROM (SELECT s.*, x.med FROM snapshot s JOIN
-  (SELECT mi, percentile_cont(0.5) WITHIN GROUP (ORDER BY mm) AS med FROM snapshot WHERE symbol <> 'Brand#22' GROUP BY mi) x ON x.mi = s.mi) y""")
+  (SELECT mi, percentile_cont(0.5) WITHIN GROUP (ORDER BY mm) AS med FROM snapshot WHERE symbol NOT LIKE '830%' GROUP BY mi) x ON x.mi = s.mi) y""")
 step("panel_audit", """SELECT count(*) AS days, CAST(sum(n) AS BIGINT) AS cells, CAST(sum(mem) AS BIGINT) AS member_cells, round(sum(mp) / nullif(sum(mem), 0), 9) AS paused_rate, round(sum(ms) / nullif(sum(mem), 0), 9) AS st_rate,
   CAST(sum(CASE WHEN abs(w - 1) > 1e-6 THEN 1 ELSE 0 END) AS BIGINT) AS invalid_weight_days, round(sum(miss) / nullif(sum(mem), 0), 9) AS missing_rate FROM
   (SELECT t, count(*) AS n, sum(CASE WHEN member THEN 1.0 ELSE 0 END) AS mem, sum(CASE WHEN member AND paused THEN 1.0 ELSE 0 END) AS mp, sum(CASE WHEN member AND is_st THEN 1.0 ELSE 0 END) AS ms,
@@ -37,13 +37,13 @@ step("rets", """SELECT *, CASE WHEN adjusted_close > 0 AND preclose > 0 THEN adj
 step("rets2", """SELECT *, lead(adj_open) OVER (PARTITION BY symbol ORDER BY t) AS o1, lead(adj_open, 2) OVER (PARTITION BY symbol ORDER BY t) AS o2, lead(adj_open, 6) OVER (PARTITION BY symbol ORDER BY t) AS o6,
   lead(adj_open, 11) OVER (PARTITION BY symbol ORDER BY t) AS o11, lead(adj_open, 21) OVER (PARTITION BY symbol ORDER BY t) AS o21 FROM rets""")
 step("returns_close", "SELECT t, symbol, round(ret, 9) AS ret FROM rets")
-step("returns_open", "SELECT t, symbol, round(o1 / nullif(adj_open, 0) - 1, 9) AS open_to_open, round(o1 / nullif(adjusted_close, 0) - 1, 9) AS close_to_next_open FROM rets2")
+step("returns_open", "SELECT t, symbol, round(o1 / nullif(adj_open, 0) - 1, 9) + 0.0 AS open_to_open, round(o1 / nullif(adjusted_close, 0) - 1, 9) + 0.0 AS close_to_next_open FROM rets2")
 step("forward", "SELECT t, symbol, member, h, CASE h WHEN 1 THEN o2 WHEN 5 THEN o6 WHEN 10 THEN o11 ELSE o21 END / nullif(o1, 0) - 1 AS fwd FROM rets2 CROSS JOIN (SELECT 1 AS h UNION ALL SELECT 5 UNION ALL SELECT 10 UNION ALL SELECT 20) hs")
 step("forward_returns", "SELECT t, symbol, h, round(fwd, 9) AS fwd FROM forward")
 step("pct_change", "SELECT t, symbol, round(coalesce(adjusted_close / nullif(preclose, 0) - 1, 0), 9) AS change FROM panel")
 
 # ---- derived prices
-step("limit_rate", """SELECT *, CASE WHEN symbol LIKE 'Brand#1%' THEN (CASE WHEN is_st THEN 0.05 ELSE 0.10 END) WHEN symbol LIKE 'Brand#3%' AND d >= DATE '1998-08-24' THEN 0.20 WHEN symbol LIKE 'Brand#5%' THEN 0.30 ELSE 0.10 END AS rate FROM panel""")
+step("limit_rate", """SELECT *, CASE WHEN symbol LIKE '688%' THEN 0.20 WHEN symbol LIKE '300%' AND d >= DATE '1998-08-24' THEN 0.20 WHEN symbol LIKE '830%' THEN 0.30 WHEN is_st THEN 0.05 ELSE 0.10 END AS rate FROM panel""")
 step("limit_prices", """SELECT t, symbol, rate, floor(preclose * (1 + rate) * 100 + 0.5) / 100 AS high_limit, floor(preclose * (1 - rate) * 100 + 0.5) / 100 AS low_limit,
   CASE WHEN paused THEN 'suspended' WHEN open_price >= floor(preclose * (1 + rate) * 100 + 0.5) / 100 - 1e-10 THEN 'upper_limit' WHEN open_price <= floor(preclose * (1 - rate) * 100 + 0.5) / 100 + 1e-10 THEN 'lower_limit' ELSE 'tradable' END AS state FROM limit_rate WHERE preclose IS NOT NULL""")
 step("tradable_flags", """SELECT t, symbol, member AND NOT is_st AS eligible, NOT paused AND open_price > 0 AND volume > 0 AS tradable,

@@ -19,7 +19,7 @@ step("tfidf_norms", "SELECT doc_id, round(norm, 5) AS norm FROM norms")
 step("tfidf_search", "SELECT q, doc_id, round(score, 6) AS score, rk FROM hits WHERE rk <= 5")
 step("evidence_collect", "SELECT doc_id, q, rk FROM (SELECT *, row_number() OVER (ORDER BY q, rk) AS pos FROM (SELECT doc_id, q, rk, row_number() OVER (PARTITION BY doc_id ORDER BY q, rk) AS first FROM hits WHERE rk <= 3) x WHERE first = 1) y WHERE pos <= 10")
 step("rule_spec", "SELECT doc_id, <<has lower(text) ;; 'transaction'>> OR <<has lower(text) ;; 'cost'>> AS mentions_cost, <<has lower(text) ;; 'license'>> AS mentions_license, CASE WHEN <<has lower(text) ;; 'mean reversion'>> THEN 'mean_reversion' WHEN <<has lower(text) ;; 'momentum'>> THEN 'momentum' ELSE 'unspecified' END AS family, CASE WHEN length(trim(<<flat text>>)) > 220 THEN substring(trim(<<flat text>>), 1, 220) || '...' ELSE trim(<<flat text>>) END AS snippet FROM documents")
-step("embedding_topk", "SELECT q, vec_id, round(score, 5) AS score, rk FROM (SELECT a.vec_id AS q, b.vec_id, <<dot a.embedding ;; b.embedding>> AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(<<dot a.embedding ;; b.embedding>>, 7) DESC, b.vec_id) AS rk FROM (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 5) a CROSS JOIN embeddings b WHERE a.vec_id <> b.vec_id) x WHERE rk <= 10")
+step("embedding_topk", "SELECT q, vec_id, round(score, 5) AS score, rk FROM (SELECT q, vec_id, score, row_number() OVER (PARTITION BY q ORDER BY round(score, 7) DESC, vec_id) AS rk FROM (SELECT a.vec_id AS q, b.vec_id, <<dot a.embedding ;; b.embedding>> AS score FROM embeddings b JOIN (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) a ON a.vec_id <> b.vec_id) y) x WHERE rk <= 10")
 
 step("trace", "SELECT 1 AS run, 1 AS step_no, 'planning' AS phase, 'M1' AS method, 'ok' AS outcome UNION ALL SELECT 1, 2, 'acting', 'M2', 'metric' UNION ALL SELECT 1, 3, 'reflecting', 'M3', 'ok' UNION ALL SELECT 1, 4, 'reporting', 'M1', 'ok' UNION ALL SELECT 2, 1, 'acting', 'M2', 'metric' UNION ALL SELECT 2, 2, 'planning', 'M9', 'ok' UNION ALL SELECT 2, 3, 'reflecting', 'M3', 'ok'")
 step("foundations", "SELECT 'M1' AS method, 'planning before acting' AS title, 'planning' AS phase UNION ALL SELECT 'M2', 'numeric tool feedback', 'acting' UNION ALL SELECT 'M3', 'reflection on outcomes', 'reflecting' UNION ALL SELECT 'M4', 'bounded decision', 'reporting'")
@@ -29,7 +29,7 @@ step("invalid_methods", "SELECT t.run, t.method FROM trace t LEFT JOIN foundatio
 step("trace_order", "SELECT run, min(CASE WHEN phase = 'planning' THEN step_no END) AS plan_step, min(CASE WHEN phase = 'acting' THEN step_no END) AS act_step, min(CASE WHEN phase = 'reflecting' THEN step_no END) AS reflect_step, max(CASE WHEN phase = 'acting' AND outcome = 'metric' THEN 1 ELSE 0 END) AS numeric_tool, max(CASE WHEN phase = 'reporting' THEN 1 ELSE 0 END) AS bounded FROM trace GROUP BY run")
 step("hypothesis_ledger", "SELECT run, id, (claim <> '' AND evidence <> '' AND status <> '') AS complete FROM hypotheses")
 step("protocol_audit", "SELECT o.run, coalesce(o.plan_step < o.act_step AND o.act_step < o.reflect_step, false) AS ordered, o.numeric_tool = 1 AS numeric_tool, o.bounded = 1 AS bounded_decision, h.whole = 1 AS ledger_complete, coalesce(i.bad, 0) = 0 AS grounded FROM trace_order o JOIN (SELECT run, min(CASE WHEN claim <> '' AND evidence <> '' AND status <> '' THEN 1 ELSE 0 END) AS whole FROM hypotheses GROUP BY run) h ON h.run = o.run LEFT JOIN (SELECT run, count(*) AS bad FROM invalid_methods GROUP BY run) i ON i.run = o.run")
-step("hypothesis_states", "SELECT p.h, CASE WHEN p.development_gate = 1 AND p.validation_gate = 1 THEN 'supported' WHEN p.development_gate = 1 THEN 'unstable' ELSE 'rejected' END AS status, CASE WHEN m.sharpe > 0 THEN 'paper_direction' ELSE 'reversed' END AS direction FROM predictability_gates p CROSS JOIN (SELECT sharpe FROM mechanism_eval WHERE dir = 1) m")
+step("hypothesis_states", "SELECT p.h, CASE WHEN p.stable = 1 THEN 'supported' WHEN p.cross_sectional = 1 THEN 'unstable' ELSE 'rejected' END AS status, CASE WHEN m.sharpe > 0 THEN 'paper_direction' ELSE 'reversed' END AS direction FROM predictability_gates p CROSS JOIN (SELECT sharpe FROM mechanism_eval WHERE dir = 1) m")
 step("direction_tool", "SELECT best.dir, CASE WHEN best.sharpe <= 0 THEN 'stop' WHEN best.dir = 1 THEN 'keep_direction' ELSE 'reverse_direction' END AS decision FROM (SELECT max_by(dir, sharpe) AS dir, max(sharpe) AS sharpe FROM mechanism_eval) best")
 step("tool_plan", "SELECT r.name, t.tool, t.priority FROM (SELECT 'costs' AS name UNION ALL SELECT 'stability' UNION ALL SELECT 'unknown') r JOIN (SELECT 'costs' AS name, 'cost_sensitivity' AS tool, 1 AS priority UNION ALL SELECT 'stability', 'period_stability', 2) t ON t.name = r.name")
 step("result_interpretation", "SELECT part, CASE WHEN s < 0 THEN 'weak' WHEN s < 1 THEN 'moderate' ELSE 'strong' END AS strength, CASE WHEN max_drawdown > 0.2 THEN 'deep' ELSE 'contained' END AS drawdown FROM (SELECT part, max_drawdown, coalesce(annual_return / nullif(annual_vol, 0), 0) AS s FROM pair_metrics WHERE bp = 5) x")

@@ -19,27 +19,31 @@ step("ou", """SELECT t, symbol, member, r, ret, nv, y, y0, a, b, r2, vy, CASE WH
   THEN (y - a / (1 - b)) / sqrt(vy * (1 - r2) / (1 - b * b)) END AS z FROM ou_moments""")
 step("ou_pos", "SELECT *, CASE WHEN z IS NULL OR r2 <= 0.25 THEN 0 WHEN z > 1.25 THEN -1 WHEN z < -1.25 THEN 1 ELSE 0 END AS pos FROM ou")
 step("ou_fit", "SELECT t, symbol, round(b, 6) AS b, round(-ln(b), 6) AS kappa, round(r2, 6) AS r2, round(z, 5) AS z FROM ou WHERE z IS NOT NULL")
-step("ou_positions", "SELECT t, symbol, CASE WHEN t < max(t) OVER () THEN pos ELSE 0 END AS position FROM ou_pos WHERE nv = 30")
+step("ou_positions", "SELECT t, symbol, CASE WHEN t < (SELECT max(t) FROM calendar) THEN pos ELSE 0 END AS position FROM ou_pos WHERE nv = 30")
 step("ou_epsilon", """SELECT t, symbol, round(((a - y0 * (1 - b)) / (1 - b + 1e-6) - (y - y0)) / sqrt(vy * (1 - r2) / abs(1 - b * b + 1e-6)), 4) AS signal FROM ou WHERE nv = 30 AND b > 0 AND b < 1 AND r2 > 0.25 AND vy * (1 - r2) > 0""")
 
 # Cross-sectional ranks of the trail5 five-period residual; ties share their mean rank
 step("trail5", "SELECT t, symbol, member, ret, r, sum(r) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS s5, count(r) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS n5 FROM resid")
 step("scored", "SELECT t, symbol, member, ret, CASE WHEN n5 = 5 AND member THEN round(-s5, 12) END AS score FROM trail5")
 step("ranked", """SELECT t, symbol, score, (rank() OVER (PARTITION BY t ORDER BY score) + (count(*) OVER (PARTITION BY t, score) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY t) AS pct, count(*) OVER (PARTITION BY t) AS n FROM scored WHERE score IS NOT NULL""")
-step("alpha", "SELECT t, symbol, pct, (pct - avg(pct) OVER (PARTITION BY t)) / nullif(stddev_pop(pct) OVER (PARTITION BY t), 0) AS alpha FROM ranked WHERE n >= 20")
+step("alpha", """SELECT s.t, s.symbol, k.pct, CASE WHEN k.n >= 20 AND k.sd > 2.220446049250313e-16 THEN (k.pct - 0.5) / k.sd ELSE 0 END AS alpha FROM scored s
+  LEFT JOIN (SELECT *, stddev_pop(pct) OVER (PARTITION BY t) AS sd FROM ranked) k ON k.t = s.t AND k.symbol = s.symbol WHERE s.member""")
 step("rank_alpha", "SELECT t, symbol, round(pct, 9) AS pct, round(alpha, 6) AS alpha FROM alpha")
 
 # Hysteresis without a loop: the last forced value holds until an opposing band cancels it
-step("banded", """SELECT s.t, s.symbol, s.member, CASE WHEN s.score IS NULL THEN 0 WHEN k.n < 20 THEN NULL WHEN k.pct >= 0.8 THEN 1 WHEN k.pct <= 0.2 THEN -1 WHEN k.pct > 0.4 AND k.pct < 0.6 THEN 0 END AS dec,
+step("banded", """SELECT s.t, s.symbol, s.member, s.score IS NOT NULL AS valid, k.n, CASE WHEN s.score IS NULL THEN 0 WHEN k.n < 20 THEN NULL WHEN k.pct >= 0.8 THEN 1 WHEN k.pct <= 0.2 THEN -1 WHEN k.pct > 0.4 AND k.pct < 0.6 THEN 0 END AS dec,
   CASE WHEN s.score IS NULL OR k.n < 20 THEN 0 WHEN k.pct >= 0.6 AND k.pct < 0.8 THEN -1 WHEN k.pct > 0.2 AND k.pct <= 0.4 THEN 1 ELSE 0 END AS opp FROM scored s LEFT JOIN ranked k ON k.t = s.t AND k.symbol = s.symbol""")
 step("grouped", "SELECT *, count(dec) OVER (PARTITION BY symbol ORDER BY t) AS grp FROM banded")
 step("based", "SELECT *, max(dec) OVER (PARTITION BY symbol, grp) AS base FROM grouped")
-step("buffered", "SELECT t, symbol, member, CASE WHEN base IS NULL OR max(CASE WHEN opp <> 0 AND opp = base THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, grp ORDER BY t) = 1 THEN 0 ELSE base END AS state FROM based")
-step("buffered_alpha", "SELECT t, symbol, CAST(state AS INT) AS state, round((state - avg(state) OVER (PARTITION BY t)) / nullif(stddev_pop(state) OVER (PARTITION BY t), 0), 6) AS alpha FROM buffered WHERE member")
+step("buffered", "SELECT t, symbol, member, valid, n, CASE WHEN base IS NULL OR max(CASE WHEN opp <> 0 AND opp = base THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, grp ORDER BY t) = 1 THEN 0 ELSE base END AS state FROM based")
+step("buffered_alpha", """SELECT t, symbol, CAST(state AS INT) AS state, CASE WHEN valid AND n >= 20 AND s > 2.220446049250313e-16 THEN round((state - m) / s, 6) ELSE 0 END AS alpha
+  FROM (SELECT *, avg(CASE WHEN valid THEN state END) OVER (PARTITION BY t) AS m, stddev_pop(CASE WHEN valid THEN state END) OVER (PARTITION BY t) AS s FROM buffered) x WHERE member""")
 step("state_share", "SELECT t, round(avg(CASE WHEN state > 0 THEN 1.0 ELSE 0 END), 9) AS long_share, round(avg(CASE WHEN state < 0 THEN 1.0 ELSE 0 END), 9) AS short_share, round(avg(CASE WHEN state = 0 THEN 1.0 ELSE 0 END), 9) AS flat_share FROM buffered WHERE member GROUP BY t")
-step("alpha_change", "SELECT t, round(avg(abs(alpha - prev)), 6) AS mean_change, count(*) AS shared FROM (SELECT t, alpha, lag(alpha) OVER (PARTITION BY symbol ORDER BY t) AS prev, lag(t) OVER (PARTITION BY symbol ORDER BY t) AS pt FROM alpha) x WHERE pt = t - 1 GROUP BY t")
+step("alpha_change", "SELECT t, round(moved, 6) AS mean_change, shared FROM alpha_moves")
 
 # Fourier features: 16 real and 14 imaginary parts of the transform of a cumulative 30-period window
-step("windows", """SELECT o.t, o.symbol, CAST(w.i AS INT) AS j, p.y - coalesce(o.y30, 0) AS v FROM (SELECT * FROM ou_lagged WHERE nv = 30 AND t % 8 = 0) o CROSS JOIN <<series 30>> w JOIN ou_path p ON p.symbol = o.symbol AND p.t = o.t - 29 + w.i""")
-step("fourier_features", """SELECT t, symbol, CAST(k.i AS INT) AS feature, round(sum(CASE WHEN k.i < 16 THEN v * cos(2 * pi() * k.i * j / 30) ELSE -v * sin(2 * pi() * (k.i - 15) * j / 30) END), 6) AS value FROM windows CROSS JOIN <<series 30>> k GROUP BY t, symbol, k.i""")
-step("cumulative_windows", "SELECT t, symbol, j, round(v, 9) AS value FROM windows")
+step("windows", """SELECT o.t, o.symbol, CAST(w.i AS INT) AS j, p.y - coalesce(o.y30, 0) AS v FROM (SELECT * FROM ou_lagged WHERE nv = 30) o CROSS JOIN <<series 30>> w JOIN ou_path p ON p.symbol = o.symbol AND p.t = o.t - 29 + w.i""")
+_WAVES = [f"sum(v * cos(2 * pi() * {k} * j / 30))" if k < 16 else f"-sum(v * sin(2 * pi() * {k - 15} * j / 30))" for k in range(30)]
+step("fourier_wide", f"SELECT t, symbol, {', '.join(f'{w} AS f{k}' for k, w in enumerate(_WAVES))} FROM windows GROUP BY t, symbol")
+step("fourier_features", f"SELECT t, symbol, CAST(k.i AS INT) AS feature, round(CASE k.i {' '.join(f'WHEN {k} THEN f{k}' for k in range(30))} END, 6) AS value FROM fourier_wide CROSS JOIN <<series 30>> k")
+step("cumulative_windows", "SELECT t, symbol, j, round(v, 9) + 0.0 AS value FROM windows")

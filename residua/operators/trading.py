@@ -13,7 +13,6 @@ step("weight_sides", "SELECT *, CASE WHEN can_sell THEN greatest(held - target,
 step("weight_scaled", "SELECT *, greatest(0, 1 - invested + sum(sell) OVER (PARTITION BY t)) AS cash, sum(want) OVER (PARTITION BY t) AS wanted FROM weight_sides")
 step("weight_execution", "SELECT t, symbol, round(held - sell + want * least(1, coalesce(cash / nullif(wanted, 0), 0)), 6) AS weight, round(sell, 6) AS sold, round(want * least(1, coalesce(cash / nullif(wanted, 0), 0)), 6) AS bought FROM weight_scaled")
 step("trade_costs", "SELECT w.t, round(sum(bought) * 0.00126 + sum(sold) * (0.00126 + CASE WHEN c.d < DATE '1998-08-28' THEN 0.001 ELSE 0.0005 END), 9) AS cost FROM (SELECT t, sell AS sold, want * least(1, coalesce(cash / nullif(wanted, 0), 0)) AS bought FROM weight_scaled) w JOIN calendar c ON c.t = w.t GROUP BY w.t, c.d")
-step("totals", "SELECT side, count(*) AS orders, round(sum(notional), 2) AS notional FROM orders_priced GROUP BY side")
 
 # Deterministic pair on business days; closed form
 step("pair_days", "SELECT row_number() OVER (ORDER BY d) - 1 AS i, d FROM (SELECT <<days i>> AS d FROM <<series 800>>) x WHERE dayofweek(d) NOT IN (<<weekend 0>>)")
@@ -22,7 +21,7 @@ step("pair_part", "SELECT 'full' AS part, i, asset_a, asset_b FROM pair WHERE i
 step("pair_fit", "SELECT part, coalesce(regr_slope(asset_a, asset_b), 0) AS beta, coalesce(regr_intercept(asset_a, asset_b), avg(asset_a)) AS alpha FROM pair_part WHERE i < 40 GROUP BY part")
 step("pair_spread", "SELECT p.part, p.i, f.beta, asset_a - (f.alpha + f.beta * asset_b) AS spread, coalesce(asset_a / nullif(lag(asset_a) OVER w, 0) - 1, 0) AS ra, coalesce(asset_b / nullif(lag(asset_b) OVER w, 0) - 1, 0) AS rb FROM pair_part p JOIN pair_fit f ON f.part = p.part WINDOW w AS (PARTITION BY p.part ORDER BY p.i)")
 step("pair_z", "SELECT *, CASE WHEN i >= 20 AND s > 0 THEN (spread - m) / s END AS z FROM (SELECT *, avg(spread) OVER w AS m, stddev_samp(spread) OVER w AS s FROM pair_spread WINDOW w AS (PARTITION BY part ORDER BY i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) x")
-step("pair_dec", "SELECT *, CASE WHEN i < 40 THEN 0 WHEN z > 1.5 THEN -1 WHEN z < -1.5 THEN 1 WHEN abs(z) < 0.1 THEN 0 END AS dec FROM pair_z")
+step("pair_dec", "SELECT *, CASE WHEN i < 40 OR z IS NULL THEN 0 WHEN z > 1.5 THEN -1 WHEN z < -1.5 THEN 1 WHEN abs(z) < 0.1 THEN 0 END AS dec FROM pair_z")
 step("pair_grp", "SELECT *, count(dec) OVER (PARTITION BY part ORDER BY i) AS grp FROM pair_dec")
 step("pair_pos", "SELECT *, coalesce(max(dec) OVER (PARTITION BY part, grp), 0) AS pos FROM pair_grp")
 step("pair_cost", "SELECT part, i, z, pos, bp, prev * (ra - beta * rb) / (1 + abs(beta)) - bp / 10000.0 * abs(pos - prev) AS r, abs(pos - prev) AS traded FROM (SELECT *, lag(pos, 1, 0) OVER (PARTITION BY part ORDER BY i) AS prev FROM pair_pos) x CROSS JOIN (SELECT 0 AS bp UNION ALL SELECT 5 UNION ALL SELECT 10 UNION ALL SELECT 20) c")

@@ -10,6 +10,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import store
+from .store import stored
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 STEPS: dict[str, str] = {}
 
@@ -81,20 +84,43 @@ def render(name: str, dialect: str = "duckdb") -> str:
     return f"WITH {', '.join(f'{p} AS ({_dialect(STEPS[p], dialect)})' for p in parts)}\n{body}" if parts else body
 
 
+#: Steps written once per folder: what several later steps start from.
+KEPT = "cell panel rets2 resid ou ranked alpha forward buffered reversal_pairs mechanism_days bt_days scaled tf idf".split()
+
+
 def relation(spark: SparkSession, sf_dir: str, name: str, **frames: DataFrame) -> DataFrame:
     """The step as a DataFrame over the tables in sf_dir; frames replaces base tables or steps by DataFrames of one's own.
 
-    Base tables are read as Parquet scans, so column pruning and filters reach the files.
+    Base tables are read as Parquet scans, so column pruning and filters reach the files. Without own frames, the steps in
+    KEPT that this one needs are written once and read back.
     """
-    sql = render_with(name, set(frames))
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if t not in frames and re.search(rf"\b(FROM|JOIN)\s+{t}\b", sql)}
-    used |= frames
+    own = dict(frames)
+    if not frames:
+        needs = _needs(name, [])
+        used = {k for k in KEPT if k in needs and k != name}
+        inner = {d for k in used for d in _needs(k, []) if d != k and d in used}  # reached through other kept steps only?
+        direct = used - inner | {d for d in inner if _reaches(name, d, used)}
+        own = {k: stored(spark, sf_dir, k, lambda k=k: relation(spark, sf_dir, k)) for k in sorted(direct)}
+        if name in KEPT and (spark.sparkContext.applicationId, sf_dir, name) in store._TABLES:
+            return stored(spark, sf_dir, name, None)
+    sql = render_with(name, set(own))
+    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if t not in own and re.search(rf"\b(FROM|JOIN)\s+{t}\b", sql)}
+    used |= {k: v for k, v in own.items() if re.search(rf"\b(FROM|JOIN)\s+{k}\b", sql)}
     sql = re.sub(r"[{}]", lambda m: m[0] * 2, sql)
-    for t in used:
-        sql = re.sub(rf"\b(FROM|JOIN)(\s+){t}\b", rf"\1\2{{{t}}}", sql)
+    parts = ", ".join(f"{t} AS (SELECT * FROM {{{t}}})" for t in sorted(used))
+    if parts:
+        sql = f"WITH {parts}, {sql.removeprefix('WITH ')}" if sql.startswith("WITH ") else f"WITH {parts}\n{sql}"
     return spark.sql(sql, **used)
 
 
+def _reaches(name: str, wanted: str, kept: set[str]) -> bool:
+    """Whether name needs wanted by a way that leads through no other kept step."""
+    for word in re.findall(r"\b(?:FROM|JOIN)\s+([a-z]\w*)\b", STEPS[name]):
+        if word == wanted or (word in STEPS and word != name and word not in kept and _reaches(word, wanted, kept)):
+            return True
+    return False
+
+
 def render_with(name: str, given: set[str]) -> str:
     kept = {g: STEPS.pop(g) for g in given if g in STEPS}
     try:
