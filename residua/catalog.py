@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from residua.operators import backtest, evaluation, factors, grouped, panel, portfolio, retrieval, signals, trading  # noqa: F401  each registers its steps
+from residua.operators import backtest, evaluation, factors, grouped, neural, panel, portfolio, retrieval, signals, trading  # noqa: F401  each registers its steps
 from residua.plans.relations import STEPS, relation, render
 
 #: Steps that are queries in their own right; the others are what these are made of.
@@ -22,7 +22,7 @@ RELATIONAL = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, n=name: relation(spark, sf_dir, n)) for name in RELATIONAL} | grouped.QUERIES | factors.QUERIES | backtest.QUERIES | portfolio.QUERIES
+    return {name: (lambda spark, sf_dir, n=name: relation(spark, sf_dir, n)) for name in RELATIONAL} | grouped.QUERIES | factors.QUERIES | backtest.QUERIES | neural.QUERIES | portfolio.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,14 +21,28 @@ step("evidence_collect", "SELECT doc_id, q, rk FROM (SELECT *, row_number() OVER
 step("rule_spec", "SELECT doc_id, <<has lower(text) ;; 'transaction'>> OR <<has lower(text) ;; 'cost'>> AS mentions_cost, <<has lower(text) ;; 'license'>> AS mentions_license, CASE WHEN <<has lower(text) ;; 'mean reversion'>> THEN 'mean_reversion' WHEN <<has lower(text) ;; 'momentum'>> THEN 'momentum' ELSE 'unspecified' END AS family, CASE WHEN length(trim(<<flat text>>)) > 220 THEN substring(trim(<<flat text>>), 1, 220) || '...' ELSE trim(<<flat text>>) END AS snippet FROM documents")
 step("embedding_topk", "SELECT q, vec_id, round(score, 5) AS score, rk FROM (SELECT q, vec_id, score, row_number() OVER (PARTITION BY q ORDER BY round(score, 7) DESC, vec_id) AS rk FROM (SELECT a.vec_id AS q, b.vec_id, <<dot a.embedding ;; b.embedding>> AS score FROM embeddings b JOIN (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) a ON a.vec_id <> b.vec_id) y) x WHERE rk <= 10")
 
-step("trace", "SELECT 1 AS run, 1 AS step_no, 'planning' AS phase, 'M1' AS method, 'ok' AS outcome UNION ALL SELECT 1, 2, 'acting', 'M2', 'metric' UNION ALL SELECT 1, 3, 'reflecting', 'M3', 'ok' UNION ALL SELECT 1, 4, 'reporting', 'M1', 'ok' UNION ALL SELECT 2, 1, 'acting', 'M2', 'metric' UNION ALL SELECT 2, 2, 'planning', 'M9', 'ok' UNION ALL SELECT 2, 3, 'reflecting', 'M3', 'ok'")
-step("foundations", "SELECT 'M1' AS method, 'planning before acting' AS title, 'planning' AS phase UNION ALL SELECT 'M2', 'numeric tool feedback', 'acting' UNION ALL SELECT 'M3', 'reflection on outcomes', 'reflecting' UNION ALL SELECT 'M4', 'bounded decision', 'reporting'")
-step("hypotheses", "SELECT 1 AS run, 'H1' AS id, 'residual reverts' AS claim, 'ic' AS evidence, 'supported' AS status UNION ALL SELECT 1, 'H2', 'costs bind', 'ladder', 'open' UNION ALL SELECT 2, 'H1', 'residual reverts', '', 'supported' UNION ALL SELECT 2, 'H2', '', 'x', ''")
-step("active_foundations", "SELECT t.run, t.method, min(t.step_no) AS first_step, f.title FROM trace t JOIN foundations f ON f.method = t.method GROUP BY t.run, t.method, f.title")
-step("invalid_methods", "SELECT t.run, t.method FROM trace t LEFT JOIN foundations f ON f.method = t.method WHERE f.method IS NULL")
-step("trace_order", "SELECT run, min(CASE WHEN phase = 'planning' THEN step_no END) AS plan_step, min(CASE WHEN phase = 'acting' THEN step_no END) AS act_step, min(CASE WHEN phase = 'reflecting' THEN step_no END) AS reflect_step, max(CASE WHEN phase = 'acting' AND outcome = 'metric' THEN 1 ELSE 0 END) AS numeric_tool, max(CASE WHEN phase = 'reporting' THEN 1 ELSE 0 END) AS bounded FROM trace GROUP BY run")
-step("hypothesis_ledger", "SELECT run, id, (claim <> '' AND evidence <> '' AND status <> '') AS complete FROM hypotheses")
-step("protocol_audit", "SELECT o.run, coalesce(o.plan_step < o.act_step AND o.act_step < o.reflect_step, false) AS ordered, o.numeric_tool = 1 AS numeric_tool, o.bounded = 1 AS bounded_decision, h.whole = 1 AS ledger_complete, coalesce(i.bad, 0) = 0 AS grounded FROM trace_order o JOIN (SELECT run, min(CASE WHEN claim <> '' AND evidence <> '' AND status <> '' THEN 1 ELSE 0 END) AS whole FROM hypotheses GROUP BY run) h ON h.run = o.run LEFT JOIN (SELECT run, count(*) AS bad FROM invalid_methods GROUP BY run) i ON i.run = o.run")
+# Research logs, read from events: a user's events in order are the steps of one run. Phases by event type
+# and the seven method foundations; every ninth event names a method that is none of them, and every ninth names none.
+step("foundations", """SELECT 0 AS n, 'rag-2020' AS method, 'retrieval' AS phase UNION ALL SELECT 1, 'react-2023', 'planning' UNION ALL SELECT 2, 'self-rag-2024', 'retrieval' UNION ALL SELECT 3, 'finqa-2021', 'quant_execution'
+  UNION ALL SELECT 4, 'reflexion-2023', 'reflection' UNION ALL SELECT 5, 'external-feedback-2024', 'reflection' UNION ALL SELECT 6, 'dsr-2014', 'reporting'""")
+step("trace", """SELECT e.user_id AS run, row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS step_no, e.event_id, e.value,
+  CASE e.event_type WHEN 'signup' THEN 'planning' WHEN 'view' THEN 'retrieval' WHEN 'click' THEN 'quant_execution' WHEN 'error' THEN 'reflection' ELSE 'reporting' END AS phase,
+  CASE WHEN e.event_id % 9 = 7 THEN 'unlisted' ELSE f.method END AS method FROM events e LEFT JOIN foundations f ON f.n = e.event_id % 9""")
+step("active_foundations", "SELECT t.run, t.method, min(t.step_no) AS first_step, count(*) AS steps FROM trace t JOIN foundations f ON f.method = t.method GROUP BY t.run, t.method")
+step("invalid_methods", "SELECT t.run, t.method, count(*) AS steps FROM trace t LEFT JOIN foundations f ON f.method = t.method WHERE t.method IS NOT NULL AND f.method IS NULL GROUP BY t.run, t.method")
+step("hypotheses", "SELECT run, event_id AS id, value > 5 AS has_claim, value > 10 AS has_evidence, CASE WHEN value > 40 THEN 'supported' WHEN value > 15 THEN 'open' ELSE '' END AS state FROM trace WHERE phase = 'planning'")
+step("hypothesis_ledger", "SELECT run, id, state, has_claim AND has_evidence AND state <> '' AS complete FROM hypotheses")
+step("run_facts", """SELECT run, sum(CASE WHEN method IS NULL THEN 1 ELSE 0 END) AS without_method, sum(CASE WHEN phase = 'retrieval' THEN 1 ELSE 0 END) AS evidence, sum(CASE WHEN phase = 'retrieval' AND value > 1 THEN 1 ELSE 0 END) AS grounded,
+  min(CASE WHEN phase = 'planning' THEN step_no END) AS plan_step, min(CASE WHEN phase = 'quant_execution' THEN step_no END) AS act_step, min(CASE WHEN phase = 'reflection' THEN step_no END) AS reflect_step,
+  max(CASE WHEN phase = 'quant_execution' AND value IS NOT NULL THEN 1 ELSE 0 END) AS result, sum(CASE WHEN phase = 'reflection' THEN 1 ELSE 0 END) AS validations, sum(CASE WHEN phase = 'reflection' AND coalesce(value, 0) <= 0 THEN 1 ELSE 0 END) AS empty_validations,
+  max(CASE WHEN phase = 'reporting' AND value > 1 THEN 1 ELSE 0 END) AS decision, max(CASE WHEN phase = 'reporting' AND value > 400 THEN 1 ELSE 0 END) AS unsafe FROM trace GROUP BY run""")
+step("protocol_checks", """SELECT f.run, coalesce(i.bad, 0) = 0 AND f.without_method = 0 AS method_provenance, f.evidence > 0 AND f.grounded = f.evidence AS retrieval_grounding,
+  coalesce(f.plan_step < f.act_step AND f.act_step < f.reflect_step, false) AS reason_action_observation_loop, f.result = 1 AS executable_numerical_reasoning,
+  f.validations > 0 AND f.empty_validations = 0 AND f.reflect_step IS NOT NULL AS external_feedback_before_reflection, coalesce(h.whole, 1) = 1 AS hypothesis_evidence_ledger, f.decision = 1 AS evidence_bounded_decision, f.decision = 1 AND f.unsafe = 0 AS selection_bias_controls
+  FROM run_facts f LEFT JOIN (SELECT run, count(*) AS bad FROM invalid_methods GROUP BY run) i ON i.run = f.run LEFT JOIN (SELECT run, min(CASE WHEN complete THEN 1 ELSE 0 END) AS whole FROM hypothesis_ledger GROUP BY run) h ON h.run = f.run""")
+step("protocol_audit", """SELECT *, method_provenance AND retrieval_grounding AND reason_action_observation_loop AND executable_numerical_reasoning AND external_feedback_before_reflection AND hypothesis_evidence_ledger AND evidence_bounded_decision AND selection_bias_controls AS passed,
+  CAST(CASE WHEN method_provenance THEN 0 ELSE 1 END + CASE WHEN retrieval_grounding THEN 0 ELSE 1 END + CASE WHEN reason_action_observation_loop THEN 0 ELSE 1 END + CASE WHEN executable_numerical_reasoning THEN 0 ELSE 1 END
+  + CASE WHEN external_feedback_before_reflection THEN 0 ELSE 1 END + CASE WHEN hypothesis_evidence_ledger THEN 0 ELSE 1 END + CASE WHEN evidence_bounded_decision THEN 0 ELSE 1 END + CASE WHEN selection_bias_controls THEN 0 ELSE 1 END AS INT) AS critical_failures FROM protocol_checks""")
 step("hypothesis_states", "SELECT p.h, CASE WHEN p.stable = 1 THEN 'supported' WHEN p.cross_sectional = 1 THEN 'unstable' ELSE 'rejected' END AS status, CASE WHEN m.sharpe > 0 THEN 'paper_direction' ELSE 'reversed' END AS direction FROM predictability_gates p CROSS JOIN (SELECT sharpe FROM mechanism_eval WHERE dir = 1) m")
 step("direction_tool", "SELECT best.dir, CASE WHEN best.sharpe <= 0 THEN 'stop' WHEN best.dir = 1 THEN 'keep_direction' ELSE 'reverse_direction' END AS decision FROM (SELECT max_by(dir, sharpe) AS dir, max(sharpe) AS sharpe FROM mechanism_eval) best")
 step("tool_plan", "SELECT r.name, t.tool, t.priority FROM (SELECT 'costs' AS name UNION ALL SELECT 'stability' UNION ALL SELECT 'unknown') r JOIN (SELECT 'costs' AS name, 'cost_sensitivity' AS tool, 1 AS priority UNION ALL SELECT 'stability', 'period_stability', 2) t ON t.name = r.name")
