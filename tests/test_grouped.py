@@ -1,6 +1,6 @@
 import numpy as np
 
-from residua.operators.grouped import chunk_documents, execution_ledger, factor_map, pca_residuals_monthly
+from residua.operators.grouped import chunk_documents, execution_ledger, factor_map, ledger_totals, pca_residuals_monthly
 from residua.sources.arrays import read_array
 from residua.streaming.bars import event_bars
 
@@ -28,20 +28,31 @@ def test_ledger_rules(spark):
     cols = "portfolio string, t int, symbol string, target long, price double, suspended boolean, at_upper boolean, at_lower boolean"
     rows = [
         ("p", 0, "A", 1000, 10.0, False, False, False), ("p", 0, "B", 150, 10.0, False, False, False), ("p", 0, "C", 100, 10.0, True, False, False), ("p", 0, "D", 100, 10.0, False, True, False),
-        ("p", 1, "A", 0, 10.0, False, False, True), ("p", 1, "B", 100, 10.0, False, False, False), ("p", 2, "A", 0, 10.0, False, False, False), ("p", 2, "Z", 10**6, 10.0, False, False, False),
+        ("p", 1, "A", 0, 10.0, False, False, True), ("p", 1, "B", 100, 10.0, False, False, False), ("p", 2, "A", 0, 10.0, False, False, False), ("p", 2, "Z", 10**6, 10.0, False, False, False), ("p", 2, "B", None, 10.0, False, False, False),
     ]
     got = {(x.t, x.symbol): x for x in execution_ledger(spark.createDataFrame(rows, cols)).collect()}
     assert got[0, "A"].filled == 1000 and got[0, "A"].fees == 5.0 + 0.1
     assert (got[0, "B"].filled, got[0, "B"].reason) == (100, "lot_rounding")
     assert (got[0, "C"].reason, got[0, "D"].reason, got[1, "A"].reason, got[2, "Z"].reason) == ("suspended", "upper_limit", "lower_limit", "insufficient_cash")
-    assert got[2, "A"].filled == 1000 and (1, "B") not in got
+    assert got[2, "A"].filled == 1000 and (1, "B") not in got and (got[2, "B"].side, got[2, "B"].filled) == ("sell", 100)  # held, no target
+    total = ledger_totals(execution_ledger(spark.createDataFrame(rows, cols))).first()
+    assert total.rejected_shares == sum(x.requested - x.filled for x in got.values()) and abs(total.total_fees - sum(x.fees for x in got.values())) < 1e-6
+    # a purchase that costs all the cash to the last cent is affordable
+    exact = execution_ledger(spark.createDataFrame([("q", 0, "A", 1000, 10.0, False, False, False)], cols), cash=1000 * 10.0 + 5.0 + 0.1).first()
+    assert exact.filled == 1000
 
 
 def test_chunks_cover_the_text(spark):
-    text = ("A sentence of some words. " * 200) + "\n\n" + "tail " * 300
+    text = "  \n" + ("A sentence of some words.  \r\n" * 20) + "\n\n" + "Another one. " * 60 + "tail " * 300
     got = chunk_documents(spark.createDataFrame([(1, text), (2, None), (3, "short")], "doc_id long, text string"), 500, 80).collect()
     mine = sorted((x for x in got if x.doc_id == 1), key=lambda x: x.chunk)
-    assert mine[0].start_char == 0 and all(a.end_char >= b.start_char and len(b.text) <= 500 for a, b in zip(mine, mine[1:]))
+    whole = "\n".join(line.rstrip() for line in text.splitlines()).strip()
+    assert [x.text for x in mine] == [whole[x.start_char : x.end_char].strip() for x in mine] and all(x.text for x in mine)
+    assert mine[0].start_char == 0 and mine[-1].end_char == len(whole) and all(a.end_char >= b.start_char > a.start_char for a, b in zip(mine, mine[1:]))
+    for x in mine[:-1]:  # ends behind a break past its half, where there is one
+        breaks = [i for i in range(x.start_char + 251, x.start_char + 500) if whole[i : i + 2] in ("\n\n", ". ") and i + 2 <= x.start_char + 500]
+        assert x.end_char == (breaks[-1] + 1 if breaks else x.start_char + 500)
+        assert whole[x.end_char - 80 : mine[x.chunk + 1].start_char].strip().count(" ") == 0
     assert [x.text for x in got if x.doc_id == 3] == ["short"]
 
 
