@@ -20,11 +20,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import group_extreme, scratch_path, written
+from ._cluster import checked, discard, group_extreme, released, scratch_path, written
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 ARCHIVE_BYTES = 32 << 20
 RANGE_BYTES = 4 << 20
+#: Archive bytes that one task of the read-back is given.
+TASK_BYTES = 4 << 20
 EPOCH = "2024-01-01T00:00:00Z"
 _STAMP = struct.pack("<HH", 0, 0x5821)  # 2024-01-01 in DOS form
 
@@ -224,9 +226,15 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     base = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     raw = F.col("html").cast("binary")
     keyed = base.withColumn("_size", F.octet_length(raw)).withColumn("_digest", F.unhex(F.sha1(raw)))
-    heads = group_extreme(keyed, ["_digest", "_size"], "page", "_head", largest=True)
-    to = F.when((F.col("_size") >= min_revisit_bytes) & F.col("_head").isNotNull() & ~F.col("page").eqNullSafe(F.col("_head")), F.col("_head"))
-    return written(heads.select("page", "url", "html", to.alias("to")).mapInArrow(_writer(folder), "archive string, bytes long, records long"), "archives")
+    # heads are found on digests alone; the payloads are not shuffled while the revisits fit a checked broadcast
+    heads = group_extreme(keyed.select("page", "_digest", "_size"), ["_digest", "_size"], "page", "_head", largest=True)
+    other = (F.col("_size") >= min_revisit_bytes) & F.col("_head").isNotNull() & ~F.col("page").eqNullSafe(F.col("_head"))
+    again = written(heads.where(other).select(F.col("page").alias("_p"), F.col("_digest").alias("_d"), F.col("_size").alias("_s"), F.col("_head").alias("to")).distinct(), "revisits")
+    same = F.col("page").eqNullSafe(F.col("_p")) & (F.col("_digest") == F.col("_d")) & (F.col("_size") == F.col("_s"))
+    rows = keyed.join(checked(again), same, "left").select("page", "url", "html", "to")
+    archives = written(rows.mapInArrow(released(_writer(folder)), "archive string, bytes long, records long"), "archives")
+    discard(again)
+    return archives
 
 
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +282,9 @@ def read_archives(archives: DataFrame, *, keep_payload: bool = True) -> DataFram
     """
     ranges = locate_records(archives)
     ddl = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if keep_payload else "")
-    return ranges.groupBy("archive", "block").applyInArrow(_fetch(keep_payload), ddl)
+    volume = archives.agg(F.sum("bytes").alias("b")).first()["b"] or 0
+    spread = ranges.repartition(max(1, -(-volume // TASK_BYTES)), "archive", "block")
+    return spread.groupBy("archive", "block").applyInArrow(_fetch(keep_payload), ddl)
 
 
 def archive_folder(spark) -> str:
