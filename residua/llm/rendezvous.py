@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._cluster import written
+
 #: Hex digits of an MD5 that fit a double exactly.
 DIGITS = 13
 
@@ -47,6 +49,7 @@ def rendezvous_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     best = records.withColumn("_old", _best(F.col("key"), weights)).withColumn("_new", _best(F.col("key"), more[-1:], len(weights)))
     placed = best.withColumn("shard", F.col("_old.i")).withColumn("grown", F.least("_old", "_new")["i"])
     placed = placed.withColumn("bucket", F.substring(F.md5(F.concat_ws(":", "key", F.col("crc").cast("string")).cast("binary")), 1, bucket_digits))
+    placed = written(placed.drop("_old", "_new"), "placed")  # hashed once, read twice below
     sums = placed.groupBy("shard", "bucket").agg(F.sum("n").alias("_n"))  # at most shards * 16**bucket_digits rows
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("shard").alias("_s"), F.col("bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
