@@ -120,10 +120,19 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     return [F.col(id_col).alias("_id"), F.crc32(raw).alias("_crc"), F.octet_length(raw).alias("_size")]
 
 
-def without(docs: DataFrame, rejected: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs without the rows named by rejected (_id, _crc, _size); all columns stay as they are, whatever their names."""
+def without(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs less the rows named (_id, _crc, _size); all columns stay as they are, whatever their names."""
+    return _matched(docs, named, id_col, text_col, "left_anti")
+
+
+def only(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that are named (_id, _crc, _size), with all columns as they are."""
+    return _matched(docs, named, id_col, text_col, "left_semi")
+
+
+def _matched(docs: DataFrame, named: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
     left, right = unused(docs, "_l0", "_l1", "_l2"), unused(docs, "_r0", "_r1", "_r2")
     wide = docs.select("*", *[c.alias(n) for n, c in zip(left, row_key(id_col, text_col))])
-    gone = checked(rejected.select(*[F.col(c).alias(n) for n, c in zip(right, ("_id", "_crc", "_size"))]).distinct())
+    rows = checked(named.select(*[F.col(c).alias(n) for n, c in zip(right, ("_id", "_crc", "_size"))]).distinct())
     on = F.col(left[0]).eqNullSafe(F.col(right[0])) & (F.col(left[1]) == F.col(right[1])) & (F.col(left[2]) == F.col(right[2]))
-    return wide.join(gone, on, "left_anti").drop(*left)
+    return wide.join(rows, on, how).drop(*left)

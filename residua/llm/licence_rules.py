@@ -59,7 +59,6 @@ NOISE = "[^a-z0-9.]+"
 #: Where no sentence goes on: [.!?] before white space except after "v", and lines without a letter or digit.
 STOP = r"(?<!\bv)[.!?]+[\x20\x09-\x0D]+|(?:(?:\x0D\x0A?+|\x0A)[^a-z0-9\x0A\x0D]*+){2,}"
 MARK = "\x01"
-LONGEST = 2 * max(map(len, SENTENCES.values()))
 
 
 def _pattern(ids: tuple[str, ...]) -> str:
@@ -125,14 +124,14 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def licence_sql(sentences: dict[str, str] = SENTENCES, rules=RULES) -> str:
-    """DuckDB SQL of the query."""
+    """DuckDB SQL of the query, of any length of sentence; it knows sentences on one line only (see tests/llm for the others)."""
     names = ", ".join(f"'{s}': '{i}'" for i, s in sentences.items())
     held = ", ".join(f"CASE WHEN sentence_ids LIKE '{_pattern(ids)}' THEN {{'name': '{name}', 'kind': '{kind}'}} END" for name, kind, ids in rules)
     return f"""
 WITH known AS (SELECT MAP {{{names}}} AS m),
 parts AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '{SENTENCE_END}') AS ss FROM documents),
 found AS (
-  SELECT doc_id, list_filter(list_transform(ss, lambda s, i: {{'id': CASE WHEN length(s) <= {LONGEST} THEN m[regexp_replace(trim(regexp_replace(s, '{NOISE}', ' ', 'g')), '^[ .]+|[ .]+$', '', 'g')] END, 'at': i - 1}}),
+  SELECT doc_id, list_filter(list_transform(ss, lambda s, i: {{'id': m[regexp_replace(trim(regexp_replace(s, '{NOISE}', ' ', 'g')), '^[ .]+|[ .]+$', '', 'g')], 'at': i - 1}}),
          lambda x: x.id IS NOT NULL) AS f FROM parts, known
 ), seq AS (
   SELECT doc_id, len(f)::BIGINT AS n_matches, CASE WHEN len(f) > 0 THEN f[1].at END::BIGINT AS first_sentence,

@@ -20,3 +20,10 @@ def test_empty_documents(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_one_of_repeated_rows_stays(spark, edge):
+    from corpus_pipeline import near_duplicate
+
+    got = sorted((str(r.doc_id), r.text or "") for r in near_duplicate(spark, edge.unionAll(edge), "").collect())
+    assert len(got) == len(set(got)) and {i for i, _ in got} == {"1", "3", "4", "5", "6", "7", "None"}

@@ -161,6 +161,15 @@ def test_licences_of_wrapped_texts(spark):
     assert got[1].sentence_ids == "<apache-notice><apache-compliance><apache-copy><apache-as-is>"
 
 
+def test_noise_does_not_hide_a_sentence(spark):
+    text = "Licensed " + "*" * 900 + " under the " + "*" * 900 + " MIT license."
+    docs = spark.createDataFrame([(1, text), (2, "word " * 300 + ". Released under the MIT license.")], "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    got = docs.transform(licence_scan).orderBy("doc_id").toPandas()
+    assert got["licence"].tolist() == ["MIT", "MIT"] == con.sql(licence_sql()).df().sort_values("doc_id")["licence"].tolist()
+
+
 def test_licences(spark, edge, no_docs):
     more = [
         (100, "x.\nLicensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License.", "en", 1),
