@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -67,11 +68,17 @@ def released(run: Callable) -> Callable:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete what written() wrote for them, once nothing lazy reads it any more."""
+    """Delete what written() wrote for them, once nothing lazy reads it any more.
+
+    The driver is asked to collect its garbage then: Spark deletes the shuffle files of a finished query only when the
+    driver's references to it are gone, by default half an hour later, and they are as large as the tables."""
     for table in tables:
         context = table.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(table._scratch)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
