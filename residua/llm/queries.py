@@ -88,12 +88,19 @@ def op10_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("piece_bpe_32k.model"), keep_ids=False)
 
 
+def op11_grammar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import chat_digests, format_chats, with_probe
+
+    return chat_digests(format_chats(with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:2] == "op" and k[2].isdigit() and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from .chat_format import chat_sql
     from .licence_rules import licence_sql
     from .rendezvous import rendezvous_sql
 
-    return {"op1_licence_sentence_rules": licence_sql(), "op8_rendezvous_sharding": rendezvous_sql()}
+    return {"op1_licence_sentence_rules": licence_sql(), "op8_rendezvous_sharding": rendezvous_sql(), "op11_grammar_round_trip": chat_sql()}
