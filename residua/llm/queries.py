@@ -94,6 +94,13 @@ def op11_grammar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chats(with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
 
 
+def op12_digit_slice_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    white = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return white.withColumn("deviation", F.col("deviation").try_cast("long"))  # null where it passes 64 bits
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:2] == "op" and k[2].isdigit() and callable(v)}
 
