@@ -90,8 +90,8 @@ def format_chats(conversations: DataFrame, id_col: str = "conv_id", turn_col: st
 
 def with_probe(conversations: DataFrame) -> DataFrame:
     """The rows (conv_id, turn, role, text) and one more conversation, whose texts hold what the template escapes."""
-    probe = conversations.sparkSession.createDataFrame([(PROBE_ID, 0, "user", PROBE_TEXT), (PROBE_ID, 1, "assistant", PROBE_TEXT)], "conv_id long, turn long, role string, text string")
-    return conversations.select("conv_id", "turn", "role", "text").unionByName(probe)
+    said = conversations.sparkSession.range(2).select(F.lit(PROBE_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE_TEXT).alias("text"))
+    return conversations.select("conv_id", "turn", "role", "text").unionByName(said)
 
 
 def chat_digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
