@@ -101,13 +101,20 @@ def op12_digit_slice_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return white.withColumn("deviation", F.col("deviation").try_cast("long"))  # null where it passes 64 bits
 
 
+def op13_bucket_queue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_repair import repair_conversations
+
+    return repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:2] == "op" and k[2].isdigit() and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
     from .chat_format import chat_sql
+    from .chat_repair import repair_sql
     from .licence_rules import licence_sql
     from .rendezvous import rendezvous_sql
 
-    return {"op1_licence_sentence_rules": licence_sql(), "op8_rendezvous_sharding": rendezvous_sql(), "op11_grammar_round_trip": chat_sql()}
+    return {"op1_licence_sentence_rules": licence_sql(), "op8_rendezvous_sharding": rendezvous_sql(), "op11_grammar_round_trip": chat_sql(), "op13_bucket_queue_repair": repair_sql()}
