@@ -121,7 +121,8 @@ def fit_whitening(vectors: DataFrame, column: str, components: int = 4) -> White
     Vectors of fewer entries than the longest count as filled up with zeros.
     """
     d = vectors.agg(F.max(F.size(column))).first()[0] or 0
-    x = F.transform(F.sequence(F.lit(1), F.lit(d)), lambda k: F.coalesce(F.try_element_at(F.col(column), k), F.lit(0))) if d else F.col(column)
+    filled = F.transform(F.sequence(F.lit(1), F.lit(d)), lambda k: F.coalesce(F.try_element_at(F.col(column), k), F.lit(0))) if d else F.col(column)
+    x = F.when(F.size(column) == d, F.col(column)).otherwise(filled)
     distinct = written(vectors.select(x.alias("x")).distinct(), "distinct")  # partial distinct first: a common vector is one row a task
     n, sums = distinct.count(), np.zeros(d, object)
     for r in distinct.mapInArrow(_sum_rows(d), "k int, s decimal(38,0)").groupBy("k").agg(F.sum("s").alias("s")).collect():
