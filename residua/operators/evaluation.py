@@ -7,24 +7,31 @@ step("ic_pairs", """SELECT h, t, symbol, a, f, rank() OVER (PARTITION BY h, t OR
 step("ic_days", "SELECT h, t, corr(ra, rf) AS ic, count(*) AS n FROM (SELECT *, max(a) OVER (PARTITION BY h, t) - min(a) OVER (PARTITION BY h, t) AS spread_a, max(f) OVER (PARTITION BY h, t) - min(f) OVER (PARTITION BY h, t) AS spread_f FROM ic_pairs) x WHERE spread_a > 2.220446049250313e-16 AND spread_f > 2.220446049250313e-16 GROUP BY h, t HAVING count(*) >= 20")
 step("rank_ic_days", "SELECT h, t, round(ic, 6) AS ic, n FROM ic_days")
 step("rank_ic_by_horizon", """SELECT h, count(*) AS days, round(avg(ic), 6) AS mean_ic, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY ic), 6) AS median_ic, round(stddev_pop(ic), 6) AS std_ic,
-  round(coalesce(avg(ic) / nullif(stddev_pop(ic), 0), 0) * sqrt(252), 5) AS icir, round(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END), 6) AS positive_share, round(avg(n), 6) AS mean_n FROM ic_days GROUP BY h""")
+  round(coalesce(avg(ic) / nullif(stddev_pop(ic), 0), 0) * sqrt(PER_YEAR), 5) AS icir, round(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END), 6) AS positive_share, round(avg(n), 6) AS mean_n FROM ic_days GROUP BY h""")
 step("signal_coverage", """SELECT count(*) AS days, round(avg(m), 6) AS member_rate, round(avg(f), 6) AS finite_rate, round(avg(nz), 6) AS nonzero_rate, round(avg(CASE WHEN f > 0 THEN 1.0 ELSE 0 END), 6) AS days_with_signal, round(avg(ma), 6) AS mean_abs_alpha FROM
   (SELECT s.t, avg(CASE WHEN s.member THEN 1.0 ELSE 0 END) AS m, avg(CASE WHEN s.member THEN CASE WHEN a.alpha IS NOT NULL THEN 1.0 ELSE 0 END END) AS f, avg(CASE WHEN s.member THEN CASE WHEN abs(a.alpha) > 1e-9 THEN 1.0 ELSE 0 END END) AS nz, avg(abs(a.alpha)) AS ma
    FROM scored s LEFT JOIN alpha a ON a.t = s.t AND a.symbol = s.symbol GROUP BY s.t) x""")
 
-step("auto", "SELECT symbol, lagn, corr(r, p) AS ac, count(*) AS n FROM (SELECT symbol, 1 AS lagn, r, lag(r, 1) OVER (PARTITION BY symbol ORDER BY t) AS p, member AND lag(member, 1) OVER (PARTITION BY symbol ORDER BY t) AS ok FROM resid UNION ALL SELECT symbol, 5 AS lagn, r, lag(r, 5) OVER (PARTITION BY symbol ORDER BY t) AS p, member AND lag(member, 5) OVER (PARTITION BY symbol ORDER BY t) AS ok FROM resid UNION ALL SELECT symbol, 10 AS lagn, r, lag(r, 10) OVER (PARTITION BY symbol ORDER BY t) AS p, member AND lag(member, 10) OVER (PARTITION BY symbol ORDER BY t) AS ok FROM resid UNION ALL SELECT symbol, 20 AS lagn, r, lag(r, 20) OVER (PARTITION BY symbol ORDER BY t) AS p, member AND lag(member, 20) OVER (PARTITION BY symbol ORDER BY t) AS ok FROM resid) x WHERE ok AND r IS NOT NULL AND p IS NOT NULL GROUP BY symbol, lagn HAVING count(*) >= 30")
+_LAGS = (1, 5, 10, 20)
+_SIDES = ", ".join(f"lag(r, {h}) OVER w AS r{h}, lag(member, {h}) OVER w AS m{h}" for h in _LAGS)
+step("lagged", f"SELECT symbol, r, member, {_SIDES} FROM resid WINDOW w AS (PARTITION BY symbol ORDER BY t)")
+_PAIRS = ", ".join(f"corr(CASE WHEN member AND m{h} THEN r END, CASE WHEN member AND m{h} THEN r{h} END) AS ac{h}, count(CASE WHEN member AND m{h} AND r IS NOT NULL AND r{h} IS NOT NULL THEN 1 END) AS n{h}" for h in _LAGS)
+_BY_LAG = ", ".join(f"CASE l.lagn {' '.join(f'WHEN {h} THEN {c}{h}' for h in _LAGS)} END AS {c}" for c in ("ac", "n"))
+step("horizons", " UNION ALL ".join(f"SELECT {h} AS lagn" for h in _LAGS))
+step("auto", f"SELECT symbol, lagn, ac, n FROM (SELECT symbol, l.lagn, {_BY_LAG} FROM (SELECT symbol, {_PAIRS} FROM lagged GROUP BY symbol) x CROSS JOIN horizons l) y WHERE n >= 30")
 step("lag_autocorrelation", "SELECT lagn, count(*) AS assets, round(avg(ac), 6) AS mean_ac, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY ac), 6) AS median_ac, round(avg(CASE WHEN ac < 0 THEN 1.0 ELSE 0 END), 6) AS negative_share FROM auto GROUP BY lagn")
-step("reversal_sums", """(SELECT * FROM (SELECT t, symbol, member, 1 AS h, sum(r) OVER past1 AS past, count(r) OVER past1 AS np, sum(r) OVER next1 AS fut, count(r) OVER next1 AS nf FROM resid WINDOW past1 AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 0 PRECEDING AND CURRENT ROW), next1 AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING)) x1)
-  UNION ALL (SELECT * FROM (SELECT t, symbol, member, 5 AS h, sum(r) OVER past5 AS past, count(r) OVER past5 AS np, sum(r) OVER next5 AS fut, count(r) OVER next5 AS nf FROM resid WINDOW past5 AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), next5 AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)) x5)
-  UNION ALL (SELECT * FROM (SELECT t, symbol, member, 10 AS h, sum(r) OVER past10 AS past, count(r) OVER past10 AS np, sum(r) OVER next10 AS fut, count(r) OVER next10 AS nf FROM resid WINDOW past10 AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), next10 AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING)) x10)
-  UNION ALL (SELECT * FROM (SELECT t, symbol, member, 20 AS h, sum(r) OVER past20 AS past, count(r) OVER past20 AS np, sum(r) OVER next20 AS fut, count(r) OVER next20 AS nf FROM resid WINDOW past20 AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), next20 AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)) x20)""")
-step("reversal_pairs", "SELECT h, t, symbol, -past AS s, fut AS f, row_number() OVER (PARTITION BY h, t ORDER BY round(-past, 12), symbol) - 1 AS rs, row_number() OVER (PARTITION BY h, t ORDER BY round(fut, 12), symbol) - 1 AS rf FROM reversal_sums WHERE np = h AND nf = h AND member")
+_SUMS = ", ".join(f"sum(r) OVER p{h} AS past{h}, count(r) OVER p{h} AS np{h}, sum(r) OVER n{h} AS fut{h}, count(r) OVER n{h} AS nf{h}" for h in _LAGS)
+_FRAMES = ", ".join(f"p{h} AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN {h - 1} PRECEDING AND CURRENT ROW), n{h} AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)" for h in _LAGS)
+step("reversal_sums", f"SELECT t, symbol, member, {_SUMS} FROM resid WINDOW {_FRAMES}")
+_BY_H = ", ".join(f"CASE l.lagn {' '.join(f'WHEN {h} THEN CASE WHEN np{h} = {h} AND nf{h} = {h} THEN {c}{h} END' for h in _LAGS)} END AS {c}" for c in ("past", "fut"))
+step("reversal_pairs", f"""SELECT h, t, symbol, -past AS s, fut AS f, row_number() OVER (PARTITION BY h, t ORDER BY round(-past, 12), symbol) - 1 AS rs, row_number() OVER (PARTITION BY h, t ORDER BY round(fut, 12), symbol) - 1 AS rf
+  FROM (SELECT l.lagn AS h, t, symbol, {_BY_H} FROM reversal_sums CROSS JOIN horizons l WHERE member) x WHERE past IS NOT NULL""")
 step("reversal_days", "SELECT h, t, corr(rs, rf) AS ic, count(*) AS n FROM reversal_pairs GROUP BY h, t HAVING count(*) >= 20")
 step("reversal_ic", "SELECT h, t, round(coalesce(ic, 0), 6) AS ic, n FROM reversal_days")
 step("periods", "SELECT 'overall' AS period, DATE '1995-01-01' AS d0, DATE '2099-12-31' AS d1 UNION ALL SELECT 'development', DATE '1995-01-01', DATE '1999-03-31' UNION ALL SELECT 'validation', DATE '1999-04-01', DATE '2099-12-31'")
-step("reversal_stats", "SELECT p.period, d.h, count(*) AS days, avg(coalesce(d.ic, 0)) AS mean_ic, avg(CASE WHEN d.ic > 0 THEN 1.0 ELSE 0 END) AS positive_share FROM reversal_days d JOIN calendar c ON c.t = d.t JOIN periods p ON c.d BETWEEN p.d0 AND p.d1 GROUP BY p.period, d.h")
+step("reversal_stats", "SELECT p.period, d.h, count(*) AS days, avg(coalesce(d.ic, 0)) AS mean_ic, percentile_cont(0.5) WITHIN GROUP (ORDER BY coalesce(d.ic, 0)) AS median_ic, avg(CASE WHEN d.ic > 0 THEN 1.0 ELSE 0 END) AS positive_share FROM reversal_days d JOIN calendar c ON c.t = d.t JOIN periods p ON c.d BETWEEN p.d0 AND p.d1 GROUP BY p.period, d.h")
 step("reversal_pooled", "SELECT p.period, d.h, corr(d.s, d.f) AS pooled FROM reversal_pairs d JOIN calendar c ON c.t = d.t JOIN periods p ON c.d BETWEEN p.d0 AND p.d1 GROUP BY p.period, d.h")
-step("reversal_periods", "SELECT s.period, s.h, s.days, round(s.mean_ic, 6) AS mean_ic, round(s.positive_share, 6) AS positive_share, round(coalesce(p.pooled, 0), 6) AS pooled FROM reversal_stats s JOIN reversal_pooled p ON p.period = s.period AND p.h = s.h")
+step("reversal_periods", "SELECT s.period, s.h, s.days, round(s.mean_ic, 6) AS mean_ic, round(s.median_ic, 6) AS median_ic, round(s.positive_share, 6) AS positive_share, round(coalesce(p.pooled, 0), 6) AS pooled FROM reversal_stats s JOIN reversal_pooled p ON p.period = s.period AND p.h = s.h")
 step("predictability_gates", """SELECT h, CAST(min(cross_sectional) AS INT) AS cross_sectional, CAST(min(CASE WHEN cross_sectional = 1 AND pooled > 0 THEN 1 ELSE 0 END) AS INT) AS stable FROM
   (SELECT s.period, s.h, p.pooled, CASE WHEN s.days >= 60 AND s.mean_ic >= 0.015 AND s.positive_share >= 0.5 THEN 1 ELSE 0 END AS cross_sectional
    FROM reversal_stats s JOIN reversal_pooled p ON p.period = s.period AND p.h = s.h WHERE s.period <> 'overall') x GROUP BY h HAVING count(*) = 2""")
@@ -33,7 +40,7 @@ step("predictability_audit", "SELECT count(*) AS horizons, CAST(sum(cross_sectio
 step("mechanism", "SELECT t, symbol, dir, pos * dir / nullif(sum(abs(pos)) OVER (PARTITION BY t, dir), 0) AS w, nxt FROM (SELECT t, symbol, CASE WHEN t < (SELECT max(t) FROM calendar) THEN pos ELSE 0 END AS pos, lead(r) OVER (PARTITION BY symbol ORDER BY t) AS nxt FROM ou_pos) x CROSS JOIN (SELECT 1 AS dir UNION ALL SELECT -1) ds")
 step("mechanism_lag", "SELECT t, symbol, dir, coalesce(w, 0) AS w, coalesce(nxt, 0) AS nxt, lag(coalesce(w, 0), 1, 0) OVER (PARTITION BY symbol, dir ORDER BY t) AS pw FROM mechanism")
 step("mechanism_days", "SELECT dir, t, sum(w * nxt) AS ret, sum(abs(w - pw)) AS turnover, max(CASE WHEN w <> 0 THEN 1.0 ELSE 0 END) AS active FROM mechanism_lag WHERE t >= 133 AND t < (SELECT max(t) FROM calendar) GROUP BY dir, t")
-step("mechanism_eval", "SELECT dir, count(*) AS days, round(avg(ret) * 252, 6) AS annual_mean, round(coalesce(avg(ret) / nullif(stddev_pop(ret), 0), 0) * sqrt(252), 5) AS sharpe, round(avg(turnover), 6) AS turnover, round(avg(active), 6) AS active_rate FROM mechanism_days GROUP BY dir")
+step("mechanism_eval", "SELECT dir, count(*) AS days, round(avg(ret) * PER_YEAR, 6) AS annual_mean, round(coalesce(avg(ret) / nullif(stddev_pop(ret), 0), 0) * sqrt(PER_YEAR), 5) AS sharpe, round(avg(turnover), 6) AS turnover, round(avg(active), 6) AS active_rate FROM mechanism_days GROUP BY dir")
 
 step("refits", "SELECT t, row_number() OVER (ORDER BY t) - 1 AS version FROM (SELECT DISTINCT refit_t AS t FROM mapped) x")
 step("versions", "SELECT c.t, count(r.t) OVER (ORDER BY c.t) - 1 AS version, CASE WHEN r.t IS NOT NULL THEN 1 ELSE 0 END AS is_refit FROM calendar c LEFT JOIN refits r ON r.t = c.t")
@@ -60,36 +67,40 @@ step("bt", """SELECT t, symbol, lagpos / nullif(sum(abs(lagpos)) OVER (PARTITION
 step("bt_lag", "SELECT t, symbol, coalesce(w, 0) AS w, coalesce(r, 0) AS r, lag(coalesce(w, 0), 1, 0) OVER (PARTITION BY symbol ORDER BY t) AS pw FROM bt")
 step("bt_days", "SELECT t, sum(w * r) AS gross, sum(abs(w - pw)) AS turnover, sum(CASE WHEN w < 0 THEN -w ELSE 0 END) AS short_share FROM bt_lag WHERE t >= 134 GROUP BY t")
 step("ou_backtest", "SELECT t, round(gross, 9) AS gross, round(turnover, 9) AS turnover, round(short_share, 9) AS short_share, round(gross - 0.0005 * turnover - 0.0001 * short_share, 9) AS net FROM bt_days")
-step("ou_cost_ladder", "SELECT bp, count(*) AS days, round(avg(gross - bp / 10000.0 * turnover) * 252, 6) AS annual_mean, round(coalesce(avg(gross - bp / 10000.0 * turnover) / nullif(stddev_pop(gross - bp / 10000.0 * turnover), 0), 0) * sqrt(252), 5) AS sharpe FROM bt_days CROSS JOIN (SELECT 0 AS bp UNION ALL SELECT 5 UNION ALL SELECT 10 UNION ALL SELECT 20) c GROUP BY bp")
+step("ou_cost_ladder", "SELECT bp, count(*) AS days, round(avg(gross - bp / 10000.0 * turnover) * PER_YEAR, 6) AS annual_mean, round(coalesce(avg(gross - bp / 10000.0 * turnover) / nullif(stddev_pop(gross - bp / 10000.0 * turnover), 0), 0) * sqrt(PER_YEAR), 5) AS sharpe FROM bt_days CROSS JOIN (SELECT 0 AS bp UNION ALL SELECT 5 UNION ALL SELECT 10 UNION ALL SELECT 20) c GROUP BY bp")
 
-# A long-only book of the positive scores, at a tenth of its size; a year is 52 rows of the weekly calendar
+# A long-only book of the positive scores; a year is 52 rows of the weekly calendar. A period that loses all has no logarithm:
+# its wealth stays where it was, and performance_metrics refuses the series
 step("long_weights", "SELECT s.t, s.symbol, coalesce(greatest(a.alpha, 0) / nullif(sum(greatest(a.alpha, 0)) OVER (PARTITION BY s.t), 0), 0) AS w FROM scored s LEFT JOIN alpha a ON a.t = s.t AND a.symbol = s.symbol")
 step("long_lag", "SELECT *, lag(w, 1, 0) OVER (PARTITION BY symbol ORDER BY t) AS pw FROM long_weights")
 step("pnl", """SELECT x.t, x.gross, x.turnover, b.bench FROM
   (SELECT w.t, sum(w.w * r.fwd) AS gross, sum(abs(w.w - w.pw)) AS turnover FROM long_lag w JOIN forward r ON r.t = w.t AND r.symbol = w.symbol AND r.h = 1 WHERE r.fwd IS NOT NULL GROUP BY w.t) x
   JOIN (SELECT p.t, sum(p.benchmark_weight * f.fwd) AS bench FROM panel p JOIN forward f ON f.t = p.t AND f.symbol = p.symbol AND f.h = 1 WHERE f.fwd IS NOT NULL GROUP BY p.t) b ON b.t = x.t WHERE x.t >= 108""")
-step("scaled", "SELECT t, gross / 10 AS gross, (gross - 0.00126 * turnover) / 10 AS strategy, bench / 10 AS bench, 0.000126 * turnover AS cost FROM pnl")
-step("wealth", "SELECT t, strategy, bench, exp(sum(ln(1 + strategy)) OVER (ORDER BY t)) AS wealth FROM scaled")
+step("scaled", "SELECT t, gross, gross - 0.00126 * turnover AS strategy, bench, 0.00126 * turnover AS cost FROM pnl")
+step("wealth", "SELECT t, strategy, bench, exp(sum(CASE WHEN strategy > -1 THEN ln(1 + strategy) END) OVER (ORDER BY t)) AS wealth FROM scaled")
 step("peaks", "SELECT *, max(wealth) OVER (ORDER BY t) AS peak FROM wealth")
 step("drawdown", "SELECT t, round(wealth, 6) AS wealth, round(wealth / peak - 1, 6) AS drawdown_first, round(1 - wealth / greatest(1, peak), 6) AS drawdown_one FROM peaks")
-step("rolling_sharpe", "SELECT t, CASE WHEN n = 52 THEN round(coalesce(m / nullif(s, 0), 0) * sqrt(252), 5) END AS sharpe FROM (SELECT t, avg(strategy) OVER w AS m, stddev_pop(strategy) OVER w AS s, count(*) OVER w AS n FROM scaled WINDOW w AS (ORDER BY t ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)) x")
-step("rolling_excess_share", "SELECT count(*) AS windows, round(avg(CASE WHEN e > 0 THEN 1.0 ELSE 0 END), 6) AS positive_share FROM (SELECT sum(ln(1 + strategy) - ln(1 + bench)) OVER w AS e, count(*) OVER w AS n FROM scaled WINDOW w AS (ORDER BY t ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)) x WHERE n = 52")
-step("performance_metrics", "SELECT count(*) AS days, round(avg(strategy) * 252, 6) AS annual_mean, round(stddev_pop(strategy) * sqrt(252), 6) AS annual_vol, round(coalesce(avg(strategy) / nullif(stddev_pop(strategy), 0), 0) * sqrt(252), 5) AS sharpe, round(exp(sum(ln(1 + strategy))) - 1, 6) AS cumulative, round(min(wealth / peak - 1), 6) AS max_drawdown, round(avg(CASE WHEN strategy > 0 THEN 1.0 ELSE 0 END), 6) AS positive_days, round(sum(strategy), 6) AS total, round(power(exp(sum(ln(1 + strategy))), 252.0 / count(*)) - 1, 5) AS geometric_annual, round(stddev_samp(strategy) * sqrt(252), 6) AS sample_vol FROM peaks")
+step("rolling_sharpe", "SELECT t, CASE WHEN n = 52 THEN round(coalesce(m / nullif(s, 0), 0) * sqrt(PER_YEAR), 5) END AS sharpe FROM (SELECT t, avg(strategy) OVER w AS m, stddev_pop(strategy) OVER w AS s, count(*) OVER w AS n FROM scaled WINDOW w AS (ORDER BY t ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)) x")
+step("rolling_excess_share", "SELECT count(*) AS windows, round(avg(CASE WHEN e > 0 THEN 1.0 ELSE 0 END), 6) AS positive_share FROM (SELECT sum(CASE WHEN strategy > -1 THEN ln(1 + strategy) END - CASE WHEN bench > -1 THEN ln(1 + bench) END) OVER w AS e, count(*) OVER w AS n FROM scaled WINDOW w AS (ORDER BY t ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)) x WHERE n = 52")
+step("performance_sums", """SELECT count(*) AS days, count(*) = count(CASE WHEN strategy > -1 AND strategy < 1e300 THEN 1 END) AS accepted, avg(strategy) AS m, stddev_pop(strategy) AS s, stddev_samp(strategy) AS sample, sum(CASE WHEN strategy > -1 THEN ln(1 + strategy) END) AS growth,
+  min(wealth / peak - 1) AS max_drawdown, avg(CASE WHEN strategy > 0 THEN 1.0 ELSE 0 END) AS positive_days, sum(strategy) AS total FROM peaks""")
+_FIGURES = {"annual_mean": "round(m * PER_YEAR, 6)", "annual_vol": "round(s * sqrt(PER_YEAR), 6)", "sharpe": "round(coalesce(m / nullif(s, 0), 0) * sqrt(PER_YEAR), 5)", "cumulative": "round(exp(growth) - 1, 6)", "max_drawdown": "round(max_drawdown, 6)", "positive_days": "round(positive_days, 6)", "total": "round(total, 6)", "geometric_annual": "round(power(exp(growth), 1.0 * PER_YEAR / days) - 1, 5)", "sample_vol": "round(sample * sqrt(PER_YEAR), 6)"}
+step("performance_metrics", "SELECT days, accepted, " + ", ".join(f"CASE WHEN accepted THEN {v} END AS {k}" for k, v in _FIGURES.items()) + " FROM performance_sums")
 step("period_days", "SELECT p.period, s.*, s.strategy - s.bench AS active FROM scaled s JOIN calendar c ON c.t = s.t JOIN periods p ON c.d BETWEEN p.d0 AND p.d1")
-step("period_wealth", """SELECT *, exp(sum(ln(1 + active)) OVER w) AS wealth, CASE WHEN count(*) OVER y = 52 THEN sum(ln(1 + strategy) - ln(1 + bench)) OVER y END AS roll FROM period_days
+step("period_wealth", """SELECT *, exp(sum(CASE WHEN active > -1 THEN ln(1 + active) END) OVER w) AS wealth, CASE WHEN count(*) OVER y = 52 THEN sum(CASE WHEN strategy > -1 THEN ln(1 + strategy) END - CASE WHEN bench > -1 THEN ln(1 + bench) END) OVER y END AS roll FROM period_days
   WINDOW w AS (PARTITION BY period ORDER BY t), y AS (PARTITION BY period ORDER BY t ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)""")
 step("period_peaks", "SELECT *, max(wealth) OVER (PARTITION BY period ORDER BY t) AS peak FROM period_wealth")
-step("period_table", """SELECT period, count(*) AS observations, avg(bench) * 252 AS benchmark, avg(gross) * 252 AS gross_strategy, avg(strategy) * 252 AS net_strategy, avg(gross - bench) * 252 AS gross_excess, avg(active) * 252 AS net_excess,
-  coalesce(avg(gross - bench) / nullif(stddev_pop(gross - bench), 0), 0) * sqrt(252) AS gross_ir, coalesce(avg(active) / nullif(stddev_pop(active), 0), 0) * sqrt(252) AS net_ir, avg(cost) * 252 AS cost_drag,
+step("period_table", """SELECT period, count(*) AS observations, avg(bench) * PER_YEAR AS benchmark, avg(gross) * PER_YEAR AS gross_strategy, avg(strategy) * PER_YEAR AS net_strategy, avg(gross - bench) * PER_YEAR AS gross_excess, avg(active) * PER_YEAR AS net_excess,
+  coalesce(avg(gross - bench) / nullif(stddev_pop(gross - bench), 0), 0) * sqrt(PER_YEAR) AS gross_ir, coalesce(avg(active) / nullif(stddev_pop(active), 0), 0) * sqrt(PER_YEAR) AS net_ir, avg(cost) * PER_YEAR AS cost_drag,
   CASE WHEN avg(gross - bench) > 0 THEN avg(cost) / avg(gross - bench) END AS cost_share, min(wealth / peak - 1) AS drawdown, avg(CASE WHEN roll > 0 THEN 1.0 WHEN roll IS NOT NULL THEN 0 END) AS rolling_share FROM period_peaks GROUP BY period""")
 step("period_metrics", "SELECT period, observations, round(benchmark, 5) AS benchmark, round(gross_strategy, 5) AS gross_strategy, round(net_strategy, 5) AS net_strategy, round(gross_excess, 5) AS gross_excess, round(net_excess, 5) AS net_excess, round(gross_ir, 5) AS gross_ir, round(net_ir, 5) AS net_ir, round(cost_drag, 5) AS cost_drag, round(cost_share, 5) AS cost_share, round(drawdown, 5) AS drawdown, round(rolling_share, 5) AS rolling_share FROM period_table")
 step("gate_rows", """SELECT period, 'gross excess' AS gate, gross_excess > 0 AS passed FROM period_table WHERE period <> 'overall' UNION ALL SELECT period, 'net excess', net_excess > 0 FROM period_table WHERE period <> 'overall'
   UNION ALL SELECT period, 'net IR', net_ir >= 1 FROM period_table WHERE period <> 'overall' UNION ALL SELECT period, 'active drawdown', drawdown >= -0.12 FROM period_table WHERE period = 'overall'
   UNION ALL SELECT period, 'cost share', coalesce(cost_share <= 0.5, false) FROM period_table WHERE period = 'overall' UNION ALL SELECT period, 'rolling share', coalesce(rolling_share >= 0.6, false) FROM period_table WHERE period = 'overall'""")
 step("admission_decision", "SELECT min(CASE WHEN passed THEN 1 ELSE 0 END) = 1 AS admitted, coalesce(<<join CASE WHEN NOT passed THEN period || ':' || gate END>>, '') AS failed_gates, CASE WHEN min(CASE WHEN passed THEN 1 ELSE 0 END) = 1 THEN 'run_holdout_once' ELSE 'keep_holdout_sealed' END AS holdout_action FROM gate_rows")
-step("turnover_summary", "SELECT count(*) AS days, CAST(sum(CASE WHEN turnover > 1e-12 THEN 1 ELSE 0 END) AS BIGINT) AS trade_days, round(avg(turnover), 6) AS mean_turnover, round(avg(turnover) * 252, 5) AS annual_turnover, round(avg(CASE WHEN turnover > 1e-12 THEN turnover END), 6) AS mean_on_trade_days, round(max(turnover), 6) AS max_turnover FROM bt_days")
+step("turnover_summary", "SELECT count(*) AS days, CAST(sum(CASE WHEN turnover > 1e-12 THEN 1 ELSE 0 END) AS BIGINT) AS trade_days, round(avg(turnover), 6) AS mean_turnover, round(avg(turnover) * PER_YEAR, 5) AS annual_turnover, round(avg(CASE WHEN turnover > 1e-12 THEN turnover END), 6) AS mean_on_trade_days, round(max(turnover), 6) AS max_turnover FROM bt_days")
 
-step("blocks", "SELECT floor(t / 25) AS origin, avg(gross) * 252 AS mean_ret, coalesce(avg(gross) / nullif(stddev_pop(gross), 0), 0) * sqrt(252) AS sharpe, sum(gross) AS contribution, row_number() OVER (ORDER BY floor(t / 25)) AS pos, count(*) OVER () AS n FROM bt_days GROUP BY floor(t / 25)")
+step("blocks", "SELECT floor(t / 25) AS origin, avg(gross) * PER_YEAR AS mean_ret, coalesce(avg(gross) / nullif(stddev_pop(gross), 0), 0) * sqrt(PER_YEAR) AS sharpe, sum(gross) AS contribution, row_number() OVER (ORDER BY floor(t / 25)) AS pos, count(*) OVER () AS n FROM bt_days GROUP BY floor(t / 25)")
 step("block_ranks", "SELECT *, row_number() OVER (ORDER BY contribution DESC, origin) AS rk FROM blocks")
 step("stability_summary", """SELECT count(*) AS windows, round(avg(sharpe), 5) AS mean_sharpe, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY sharpe), 5) AS q25, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY sharpe), 5) AS q50, round(percentile_cont(0.75) WITHIN GROUP (ORDER BY sharpe), 5) AS q75,
   round(avg(CASE WHEN pos <= floor((n + 1) / 2) THEN sharpe END), 5) AS early, round(avg(CASE WHEN pos > floor((n + 1) / 2) THEN sharpe END), 5) AS late, round(sum(CASE WHEN rk <= 3 THEN contribution ELSE 0 END) / nullif(sum(contribution), 0), 4) AS top3_share, round(sum(CASE WHEN rk <= 5 THEN contribution ELSE 0 END) / nullif(sum(contribution), 0), 4) AS top5_share,

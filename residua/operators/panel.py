@@ -2,16 +2,23 @@
 
 from residua.plans.relations import step
 
-# ---- grid and fills: a symbol is a supplier under its board's prefix, a row a week; calendar rows, not rows present, are what lags and windows count
-step("trades", "SELECT concat(CASE l_suppkey % 5 WHEN 1 THEN '300' WHEN 2 THEN '688' WHEN 3 THEN '830' ELSE '600' END, lpad(CAST(l_suppkey AS STRING), 9, '0')) AS symbol, CAST(date_trunc('week', l_shipdate) AS DATE) AS d, l_quantity AS q, l_extendedprice AS x FROM lineitem")
-step("cell", "SELECT symbol, d, sum(q) AS volume, sum(x) AS money, sum(x) / nullif(sum(q), 0) AS vwap, min(x / nullif(q, 0)) AS lowest FROM trades GROUP BY symbol, d")
+# ---- grid and fills: a symbol is one of a supplier's three share classes under its board's prefix, a row a week, so a year
+# is 52 rows; calendar rows, not rows present, are what lags and windows count. Money is summed in whole cents and prices are
+# whole cents, halves up: no result hangs on the order of a sum.
+step("pace", "SELECT 52 AS per_year")
+step("trades", "SELECT concat(CASE l_suppkey % 5 WHEN 1 THEN '300' WHEN 2 THEN '688' WHEN 3 THEN '830' ELSE '600' END, lpad(CAST(l_suppkey * 3 + l_linenumber % 3 AS STRING), 9, '0')) AS symbol, CAST(date_trunc('week', l_shipdate) AS DATE) AS d, CAST(l_quantity AS BIGINT) AS q, CAST(round(l_extendedprice * 100) AS BIGINT) AS x FROM lineitem")
+step("week", "SELECT symbol, d, CAST(sum(q) AS BIGINT) AS volume, CAST(sum(x) AS BIGINT) AS money_cents FROM trades GROUP BY symbol, d")
+# a close is the mean price of the symbol's last four traded weeks, an open lies half way from the close before
+step("closes", """SELECT symbol, d, volume, money_cents, <<div CAST(2 * sum(money_cents) OVER w + sum(volume) OVER w AS BIGINT) ;; CAST(nullif(2 * sum(volume) OVER w, 0) AS BIGINT)>> AS close_cents FROM week
+  WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""")
+step("cell", "SELECT symbol, d, volume, money_cents, close_cents, <<div close_cents + lag(close_cents, 1, close_cents) OVER (PARTITION BY symbol ORDER BY d) + 1 ;; 2>> AS open_cents FROM closes")
 step("calendar", "SELECT d, CAST(row_number() OVER (ORDER BY d) - 1 AS INT) AS t, year(d) * 12 + month(d) AS mi FROM (SELECT DISTINCT d FROM cell) days")
 step("universe", "SELECT DISTINCT symbol FROM cell")
-step("dense", """SELECT c.t, c.d, c.mi, c.symbol, x.vwap, x.lowest, coalesce(x.volume, 0) AS volume, coalesce(x.money, 0) AS money, x.vwap IS NULL AS paused,
-  count(x.vwap) OVER (PARTITION BY c.symbol ORDER BY c.t) AS grp FROM (SELECT /*+ BROADCAST(calendar) */ t, d, mi, symbol FROM universe CROSS JOIN calendar) c LEFT JOIN cell x ON x.symbol = c.symbol AND x.d = c.d""")
-step("prices", """SELECT t, d, mi, symbol, volume, money, paused, max(vwap) OVER (PARTITION BY symbol, grp) AS close_price, max((vwap + lowest) / 2) OVER (PARTITION BY symbol, grp) AS open_price,
+step("dense", """SELECT c.t, c.d, c.mi, c.symbol, x.close_cents, x.open_cents, coalesce(x.volume, 0) AS volume, coalesce(x.money_cents, 0) AS money_cents, x.close_cents IS NULL AS paused,
+  count(x.close_cents) OVER (PARTITION BY c.symbol ORDER BY c.t) AS grp FROM (SELECT /*+ BROADCAST(calendar) */ t, d, mi, symbol FROM universe CROSS JOIN calendar) c LEFT JOIN cell x ON x.symbol = c.symbol AND x.d = c.d""")
+step("prices", """SELECT t, d, mi, symbol, CAST(volume AS DOUBLE) AS volume, money_cents, money_cents / 100.0 AS money, paused, max(close_cents) OVER (PARTITION BY symbol, grp) / 100.0 AS close_price, max(open_cents) OVER (PARTITION BY symbol, grp) / 100.0 AS open_price,
   symbol LIKE '%7' AND t % 40 < 5 AS is_st FROM dense""")
-step("month_money", "SELECT symbol, mi, sum(money) AS mm FROM prices GROUP BY symbol, mi")
+step("month_money", "SELECT symbol, mi, CAST(sum(money_cents) AS BIGINT) AS mm FROM prices GROUP BY symbol, mi")
 step("snapshot", "SELECT symbol, mi + 1 AS mi, mm, row_number() OVER (PARTITION BY mi ORDER BY mm DESC, symbol) AS rk, count(*) OVER (PARTITION BY mi) AS listed FROM month_money WHERE mm > 0")
 step("members", "SELECT symbol, mi, mm / sum(mm) OVER (PARTITION BY mi) AS weight FROM snapshot WHERE rk <= ceil(listed * 0.88)")
 step("panel", """SELECT p.t, p.d, p.symbol, p.close_price AS adjusted_close, p.open_price, p.close_price, p.volume, p.money, p.paused, p.is_st,
@@ -20,7 +27,7 @@ step("panel", """SELECT p.t, p.d, p.symbol, p.close_price AS adjusted_close, p.o
 
 step("panel_build", """SELECT t, CAST(d AS STRING) AS d, symbol, round(adjusted_close, 6) AS adjusted_close, round(open_price, 6) AS open_price, round(volume, 2) AS volume, round(money, 2) AS money,
   paused, is_st, member, round(benchmark_weight, 9) AS benchmark_weight FROM panel""")
-step("pit_membership", "SELECT symbol, mi, rk AS member_rank, round(mm, 2) AS money FROM snapshot WHERE rk <= ceil(listed * 0.88)")
+step("pit_membership", "SELECT symbol, mi, rk AS member_rank, round(mm / 100.0, 2) AS money FROM snapshot WHERE rk <= ceil(listed * 0.88)")
 step("prior_trading_day", """SELECT m.mi, CAST(max(c.d) AS STRING) AS snapshot_day FROM (SELECT mi, min(d) AS first_day FROM calendar GROUP BY mi) m JOIN calendar c ON c.d < m.first_day AND c.mi >= m.mi - 2 GROUP BY m.mi""")
 step("benchmark_weights", """SELECT mi, symbol, round(CASE WHEN mm > 0 AND symbol NOT LIKE '830%' THEN mm ELSE med END / sum(CASE WHEN mm > 0 AND symbol NOT LIKE '830%' THEN mm ELSE med END) OVER (PARTITION BY mi), 9) AS cap_weight,
   round(1.0 / count(*) OVER (PARTITION BY mi), 9) AS equal_weight FROM (SELECT s.*, x.med FROM snapshot s JOIN
@@ -43,13 +50,16 @@ step("forward_returns", "SELECT t, symbol, h, round(fwd, 9) AS fwd FROM forward"
 step("pct_change", "SELECT t, symbol, round(coalesce(adjusted_close / nullif(preclose, 0) - 1, 0), 9) AS change FROM panel")
 
 # ---- derived prices
-step("limit_rate", """SELECT *, CASE WHEN symbol LIKE '688%' THEN 0.20 WHEN symbol LIKE '300%' AND d >= DATE '1998-08-24' THEN 0.20 WHEN symbol LIKE '830%' THEN 0.30 WHEN is_st THEN 0.05 ELSE 0.10 END AS rate FROM panel""")
-step("limit_prices", """SELECT t, symbol, rate, floor(preclose * (1 + rate) * 100 + 0.5) / 100 AS high_limit, floor(preclose * (1 - rate) * 100 + 0.5) / 100 AS low_limit,
-  CASE WHEN paused THEN 'suspended' WHEN open_price >= floor(preclose * (1 + rate) * 100 + 0.5) / 100 - 1e-10 THEN 'upper_limit' WHEN open_price <= floor(preclose * (1 - rate) * 100 + 0.5) / 100 + 1e-10 THEN 'lower_limit' ELSE 'tradable' END AS state FROM limit_rate WHERE preclose IS NOT NULL""")
+step("limit_rate", """SELECT *, <<div pre_cents * (100 + percent) + 50 ;; 100>> AS high_cents, <<div pre_cents * (100 - percent) + 50 ;; 100>> AS low_cents FROM
+  (SELECT *, CASE WHEN symbol LIKE '688%' THEN 20 WHEN symbol LIKE '300%' AND d >= DATE '1998-08-24' THEN 20 WHEN symbol LIKE '830%' THEN 30 WHEN is_st THEN 5 ELSE 10 END AS percent,
+   CAST(round(preclose * 100) AS BIGINT) AS pre_cents, CAST(round(open_price * 100) AS BIGINT) AS open_cents FROM panel) p""")
+step("limit_prices", """SELECT t, symbol, percent / 100.0 AS rate, high_cents / 100.0 AS high_limit, low_cents / 100.0 AS low_limit,
+  CASE WHEN paused THEN 'suspended' WHEN open_cents >= high_cents THEN 'upper_limit' WHEN open_cents <= low_cents THEN 'lower_limit' ELSE 'tradable' END AS state FROM limit_rate WHERE preclose IS NOT NULL""")
 step("tradable_flags", """SELECT t, symbol, member AND NOT is_st AS eligible, NOT paused AND open_price > 0 AND volume > 0 AS tradable,
-  coalesce(NOT paused AND open_price > 0 AND volume > 0 AND NOT is_st AND open_price < floor(preclose * (1 + rate) * 100 + 0.5) / 100 - 1e-10, false) AS can_buy,
-  coalesce(NOT paused AND open_price > 0 AND volume > 0 AND open_price > floor(preclose * (1 - rate) * 100 + 0.5) / 100 + 1e-10, false) AS can_sell FROM limit_rate""")
-step("adjusted_index", """SELECT t, symbol, round(exp(sum(ln(1 + coalesce(ret, 0))) OVER (PARTITION BY symbol ORDER BY t)), 6) AS adjusted_index FROM
+  coalesce(NOT paused AND open_price > 0 AND volume > 0 AND NOT is_st AND open_cents < high_cents, false) AS can_buy,
+  coalesce(NOT paused AND open_price > 0 AND volume > 0 AND open_cents > low_cents, false) AS can_sell FROM limit_rate""")
+# ratios of cents often end in a 5: halves go up, also where the last bit of the product lies below
+step("adjusted_index", """SELECT t, symbol, round(exp(sum(ln(1 + coalesce(ret, 0))) OVER (PARTITION BY symbol ORDER BY t)) + 1e-9, 6) AS adjusted_index FROM
   (SELECT *, min(CASE WHEN NOT paused THEN t END) OVER (PARTITION BY symbol) AS first_t, max(CASE WHEN NOT paused THEN t END) OVER (PARTITION BY symbol) AS last_t FROM rets) x WHERE t BETWEEN first_t AND last_t""")
 step("fill_limited", """SELECT t, symbol, round(CASE WHEN t - last_t <= 120 THEN shares END, 6) AS implied_shares FROM (SELECT t, symbol, max(s) OVER (PARTITION BY symbol, g) AS shares, max(CASE WHEN s IS NOT NULL THEN t END) OVER (PARTITION BY symbol, g) AS last_t FROM
   (SELECT t, symbol, s, count(s) OVER (PARTITION BY symbol ORDER BY t) AS g FROM (SELECT t, symbol, CASE WHEN NOT paused AND t % 130 < 3 THEN volume / 0.01 END AS s FROM prices) a) b) c""")

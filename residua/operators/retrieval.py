@@ -45,6 +45,4 @@ step("protocol_audit", """SELECT *, method_provenance AND retrieval_grounding AN
   + CASE WHEN external_feedback_before_reflection THEN 0 ELSE 1 END + CASE WHEN hypothesis_evidence_ledger THEN 0 ELSE 1 END + CASE WHEN evidence_bounded_decision THEN 0 ELSE 1 END + CASE WHEN selection_bias_controls THEN 0 ELSE 1 END AS INT) AS critical_failures FROM protocol_checks""")
 step("hypothesis_states", "SELECT p.h, CASE WHEN p.stable = 1 THEN 'supported' WHEN p.cross_sectional = 1 THEN 'unstable' ELSE 'rejected' END AS status, CASE WHEN m.sharpe > 0 THEN 'paper_direction' ELSE 'reversed' END AS direction FROM predictability_gates p CROSS JOIN (SELECT sharpe FROM mechanism_eval WHERE dir = 1) m")
 step("direction_tool", "SELECT best.dir, CASE WHEN best.sharpe <= 0 THEN 'stop' WHEN best.dir = 1 THEN 'keep_direction' ELSE 'reverse_direction' END AS decision FROM (SELECT max_by(dir, sharpe) AS dir, max(sharpe) AS sharpe FROM mechanism_eval) best")
-step("tool_plan", "SELECT r.name, t.tool, t.priority FROM (SELECT 'costs' AS name UNION ALL SELECT 'stability' UNION ALL SELECT 'unknown') r JOIN (SELECT 'costs' AS name, 'cost_sensitivity' AS tool, 1 AS priority UNION ALL SELECT 'stability', 'period_stability', 2) t ON t.name = r.name")
-step("result_interpretation", "SELECT part, CASE WHEN s < 0 THEN 'weak' WHEN s < 1 THEN 'moderate' ELSE 'strong' END AS strength, CASE WHEN max_drawdown > 0.2 THEN 'deep' ELSE 'contained' END AS drawdown FROM (SELECT part, max_drawdown, coalesce(annual_return / nullif(annual_vol, 0), 0) AS s FROM pair_metrics WHERE bp = 5) x")
 step("event_props", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY event_type")

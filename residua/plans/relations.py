@@ -28,9 +28,7 @@ MACROS: dict[str, dict[str, str]] = {
         "join": r"array_join(array_sort(collect_list(\1)), ',')",
         "int": r"try_cast(\1 AS INT)",
         "dbl": r"try_cast(nullif(\1, '') AS DOUBLE)",
-        "weekend": r"1, 7",
-        "days": r"date_add(DATE '2023-01-02', CAST(\1 AS INT))",
-        "json": r"get_json_object(\1, '$.\2')",
+        "div": r"((\1) div (\2))",
     },
     "duckdb": {
         "series": r"(SELECT range AS i FROM range(\1))",
@@ -43,15 +41,14 @@ MACROS: dict[str, dict[str, str]] = {
         "join": r"array_to_string(list_sort(list(\1)), ',')",
         "int": r"TRY_CAST(\1 AS INT)",
         "dbl": r"TRY_CAST(nullif(\1, '') AS DOUBLE)",
-        "weekend": r"0, 6",
-        "days": r"CAST(DATE '2023-01-02' + CAST(\1 AS INT) AS DATE)",
-        "json": r"json_extract_string(\1, '$.\2')",
+        "div": r"((\1) // (\2))",
     },
 }
 
 
 def step(name: str, sql: str) -> None:
-    STEPS[name] = sql.strip()
+    """Registers a step. PER_YEAR stands for the number of rows that a year has, which the step `pace` states."""
+    STEPS[name] = sql.strip().replace("PER_YEAR", "(SELECT per_year FROM pace)")
 
 
 def _dialect(sql: str, dialect: str) -> str:
@@ -85,7 +82,7 @@ def render(name: str, dialect: str = "duckdb") -> str:
 
 
 #: Steps written once per folder: what several later steps start from.
-KEPT = "cell panel rets2 resid ou ranked alpha forward buffered reversal_pairs mechanism_days bt_days scaled tf idf".split()
+KEPT = "cell panel pair_metrics rets2 resid ou ranked alpha forward buffered reversal_pairs mechanism_days bt_days scaled tf idf".split()
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str, **frames: DataFrame) -> DataFrame:
