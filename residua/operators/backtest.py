@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.operators.portfolio import Infeasible, PortfolioLimits, optimal_weights, shrunk_covariance
+from residua.operators.portfolio import Infeasible, PortfolioLimits, optimal_weights, shrunk_risk
 from residua.plans.relations import relation
 from residua.plans.store import stored
 
@@ -65,7 +65,7 @@ def _walk(conf: Scenario, name: str, panel: pd.DataFrame) -> list[tuple]:
         return []
     held = weight[first] / weight[first].sum() * exposure
     goal, open_orders = held.copy(), np.zeros(n, bool)
-    risk_month, working, cov, out = None, np.empty(0, int), np.empty((0, 0)), []
+    risk_month, working, cov, out = None, np.empty(0, int), None, []
     for i in range(first, n_days - 2):
         if weight[i].sum() <= 0:
             continue
@@ -78,7 +78,7 @@ def _walk(conf: Scenario, name: str, panel: pd.DataFrame) -> list[tuple]:
         if decided:
             if month[i] != risk_month or changed:
                 working = np.flatnonzero(eligible | (held > 1e-12))
-                cov, risk_month = shrunk_covariance(ret[i - conf.window + 1 : i + 1][:, working]), month[i]
+                cov, risk_month = shrunk_risk(ret[i - conf.window + 1 : i + 1][:, working]), month[i]
             if not len(working):
                 continue
             limit = conf.limits.turnover + (leaving if conf.forced else 0.0)
@@ -128,12 +128,12 @@ def long_only_backtest(panel: DataFrame, scenarios: dict[str, Scenario]) -> Data
     return rows.groupBy("scenario").applyInPandas(run, OUT)
 
 
-def turnover_summary(days: DataFrame) -> DataFrame:
+def turnover_summary(days: DataFrame, per_year: int = 252) -> DataFrame:
     """Per scenario: decisions, mandatory ones, days with trades, mean and annual turnover, mean on trade days, largest."""
     traded = F.col("turnover") > 1e-12
     return days.groupBy("scenario").agg(
         F.count(F.lit(1)).alias("days"), F.sum(F.col("decided").cast("long")).alias("decisions"), F.sum(F.col("mandatory").cast("long")).alias("mandatory"), F.sum(traded.cast("long")).alias("trade_days"),
-        F.avg("turnover").alias("mean_turnover"), (F.avg("turnover") * 252).alias("annual_turnover"), F.avg(F.when(traded, F.col("turnover"))).alias("mean_on_trade_days"), F.max("turnover").alias("max_turnover"),
+        F.avg("turnover").alias("mean_turnover"), (F.avg("turnover") * per_year).alias("annual_turnover"), F.avg(F.when(traded, F.col("turnover"))).alias("mean_on_trade_days"), F.max("turnover").alias("max_turnover"),
     )
 
 
@@ -165,7 +165,7 @@ def query_long_only_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_long_only_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = turnover_summary(_days(spark, sf_dir))
+    out = turnover_summary(_days(spark, sf_dir), 52)
     return out.select(*[F.round(c, 5).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 

@@ -27,34 +27,6 @@ def factor_map(history: np.ndarray, factors: int, loading_rows: int) -> np.ndarr
     return np.eye(n) - (lead @ loadings).T
 
 
-def pca_residuals_monthly(panel: DataFrame, factors: int = 3, window: int = 104, loading_rows: int = 52) -> DataFrame:
-    """(t, symbol, refit_t, residual) from a panel (t, mi, symbol, member, ret): the map is fitted on the window before each
-    month's first row, for members with whole, varying histories, and applied while all their returns are there.
-
-    The dense rows of one refit (window plus a month) form a group, so memory follows the number of stocks, and refits
-    run in parallel.
-    """
-    first = panel.where(F.col("t") >= window).groupBy("mi").agg(F.min("t").alias("refit_t"), F.max("t").alias("last_t"))
-    rows = panel.join(F.broadcast(first.select("refit_t", "last_t")), (F.col("t") >= F.col("refit_t") - window) & (F.col("t") <= F.col("last_t")))  # one row per month
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        start = int(group["refit_t"].iloc[0])
-        wide = group.pivot_table(index="t", columns="symbol", values="ret", dropna=False).sort_index()
-        member = group.loc[group["t"] == start].set_index("symbol")["member"]
-        past = wide.loc[wide.index < start]
-        names = [s for s in wide.columns if bool(member.get(s, False)) and past[s].notna().all() and past[s].std(ddof=0) > np.finfo(float).eps]
-        if len(past) < window or not names:
-            return pd.DataFrame(columns=["t", "symbol", "refit_t", "residual"])
-        phi = factor_map(past[names].to_numpy(), factors, loading_rows)
-        now = wide.loc[wide.index >= start, names].dropna()
-        if not len(now) or not len(phi):
-            return pd.DataFrame(columns=["t", "symbol", "refit_t", "residual"])
-        out = pd.DataFrame(now.to_numpy() @ phi.T, index=now.index, columns=names).rename_axis("t").reset_index().melt("t", var_name="symbol", value_name="residual")
-        return out.assign(refit_t=start)[["t", "symbol", "refit_t", "residual"]]
-
-    return rows.groupBy("refit_t").applyInPandas(fit, "t int, symbol string, refit_t int, residual double")
-
-
 def execution_ledger(targets: DataFrame, cash: float = 1e6, lot: int = 100, commission: float = 0.00025, least: float = 5.0, transfer: float = 0.00001, stamp: float = 0.0005) -> DataFrame:
     """Fills of share targets under T+1, limits, lots and fees: (portfolio, t, symbol, side, requested, filled, price, fees, reason).
 
@@ -159,14 +131,6 @@ def ledger_totals(fills: DataFrame) -> DataFrame:
 # ---- queries
 
 
-def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relation(spark, sf_dir, "rets").select("t", (F.year("d") * 12 + F.month("d")).alias("mi"), "symbol", "member", "ret")
-
-
-def query_pca_residuals_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pca_residuals_monthly(_returns(spark, sf_dir)).withColumn("residual", F.round("residual", 6))
-
-
 def query_execution_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices, state = relation(spark, sf_dir, "limit_rate"), relation(spark, sf_dir, "limit_prices")
     targets = prices.join(state.select("t", "symbol", "state"), ["t", "symbol"]).where("close_price > 0")
@@ -184,4 +148,4 @@ def query_chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"pca_residuals_monthly": query_pca_residuals_monthly, "execution_ledger": query_execution_ledger, "execution_totals": query_execution_totals, "chunk_documents": query_chunk_documents}
+QUERIES = {"execution_ledger": query_execution_ledger, "execution_totals": query_execution_totals, "chunk_documents": query_chunk_documents}

@@ -1,5 +1,4 @@
-"""Panels: written with a manifest and a fingerprint, loaded and checked against them, made up for tests, and read from
-providers through a cache."""
+"""Panels: written with a manifest and a fingerprint, loaded and checked against them, and read from providers through a cache."""
 
 from __future__ import annotations
 
@@ -84,36 +83,6 @@ def sealed(panel: DataFrame, holdout: dt.date = HOLDOUT) -> DataFrame:
     return panel
 
 
-def factor_market(spark: SparkSession, days: int = 900, assets: int = 30, factors: int = 3, seed: int = 7) -> DataFrame:
-    """(t, symbol, ret): a made-up market of common factors and residual prices that revert."""
-    if assets <= factors:
-        raise ValueError("there must be more assets than factors")
-    r = np.random.default_rng(seed)
-    common, load = r.normal(0.0002, 0.006, (days, factors)), r.normal(0.5, 0.25, (assets, factors))
-    keep, shocks, price = r.uniform(0.72, 0.94, assets), r.normal(0, 0.004, (days, assets)), np.zeros((days + 1, assets))
-    for t in range(days):
-        price[t + 1] = keep * price[t] + shocks[t]
-    ret = common @ load.T + np.diff(price, axis=0)
-    t, s = np.indices(ret.shape)
-    return spark.createDataFrame(pd.DataFrame({"t": t.ravel().astype("int32"), "symbol": [f"A{i:03d}" for i in s.ravel()], "ret": ret.ravel()}))
-
-
-def index_panel(spark: SparkSession, days: int = 280, assets: int = 80, seed: int = 7) -> DataFrame:
-    """A made-up panel of index members on weekdays from 2018-01-02, with factors, reverting residuals and 10 % limits."""
-    if assets < 67:
-        raise ValueError("a cap of 1.5 % needs 67 assets")
-    r = np.random.default_rng(seed)
-    common, beta, shocks, state = r.normal(0.0002, 0.006, (days, 3)), r.normal(0, 0.7, (assets, 3)), r.normal(0, 0.007, (days, assets)), np.zeros((days, assets))
-    for t in range(1, days):
-        state[t] = 0.86 * state[t - 1] + shocks[t]
-    close = 20 * np.exp(np.cumsum(np.clip(common @ beta.T + np.diff(state, axis=0, prepend=state[:1]), -0.08, 0.08), axis=0))
-    open_, volume = close * np.exp(r.normal(0, 0.001, (days, assets))), r.uniform(2e6, 8e6, (days, assets))
-    dates = np.repeat(pd.bdate_range("2018-01-02", periods=days).date, assets)
-    flat = {"adjusted_close": close, "open_price": open_, "close_price": close, "high_limit": close * 1.1, "low_limit": close * 0.9, "volume": volume, "money": volume * close}
-    frame = pd.DataFrame({"d": dates, "symbol": [f"{600000 + i:06d}" for i in range(assets)] * days, **{k: v.ravel() for k, v in flat.items()}})
-    return spark.createDataFrame(frame.assign(paused=False, is_st=False, member=True, benchmark_weight=1 / assets), "d date, symbol string, " + ", ".join(f"{c} {'boolean' if c in ('paused', 'is_st', 'member') else 'double'}" for c in FIELDS))
-
-
 class ProviderError(RuntimeError):
     """A provider answered with an error code."""
 

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from residua.plans import contract as C
-from residua.sources.panels import fingerprint, index_panel, save_panel
+from residua.sources.markets import index_panel
+from residua.sources.panels import fingerprint, save_panel
 
 
 def diagnostic(digest, **change):

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+import residua.catalog  # noqa: F401  registers all steps
 from residua.plans.relations import relation
 
 SF = "/root/testdata/sf0.001"
@@ -101,14 +102,17 @@ def test_every_window_has_features(spark, panel):
 
 
 def test_daily_residuals_equal_a_plain_loop(spark):
+    from residua.operators.grouped import factor_map
     from residua.operators.factors import comparison_summary, daily_residuals, definition_comparison, ou_backtest, ou_stock_alpha, positions_of
-    from residua.sources.panels import factor_market
+    from residua.sources.markets import factor_market
 
     market = factor_market(spark, 90, 8, 2)
     wide = market.toPandas().pivot(index="t", columns="symbol", values="ret").to_numpy()
-    rows = daily_residuals(market, 2, 40, 20, block=7, compositions=True).collect()
+    rows = daily_residuals(market, 2, 40, 20, block=7, vectors=True).collect()
     got = {(x.t, x.symbol): x for x in rows}
+    names = sorted({x.symbol for x in rows})
     assert len(got) == len(rows) == 50 * 8
+    maps = {t: np.eye(8) - np.array([got[t, s].loading for s in names]) @ np.array([got[t, s].lead for s in names]).T for t in range(40, 90)}
     for t in (40, 63, 89):
         past = wide[t - 40 : t]
         z = (past - past.mean(axis=0)) / past.std(axis=0)
@@ -117,31 +121,25 @@ def test_daily_residuals_equal_a_plain_loop(spark):
         loads = np.linalg.lstsq((past[-20:] / past.std(axis=0)) @ lead, past[-20:], rcond=None)[0]
         want = wide[t] - (wide[t] / past.std(axis=0)) @ lead @ loads
         for i in range(8):
-            x = got[t, f"A{i:03d}"]
+            x = got[t, names[i]]
             assert x.residual == pytest.approx(want[i], abs=1e-12) and x.explained == pytest.approx(values[::-1][:2].sum() / values.sum())
-            assert np.dot(x.weights, wide[t, [int(s[1:]) for s in x.stocks]]) == pytest.approx(want[i], abs=1e-12)
+        assert maps[t] @ wide[t] == pytest.approx(want, abs=1e-12) and maps[t] == pytest.approx(factor_map(past, 2, 20), abs=1e-9)
     res = spark.createDataFrame([(x.t, x.symbol, x.residual) for x in rows], "t int, symbol string, residual double")
-    phi = spark.createDataFrame([(x.t, x.symbol, s, w) for x in rows for s, w in zip(x.stocks, x.weights)], "t int, symbol string, stock string, w double")
+    phi = spark.createDataFrame([(x.t, x.symbol, x.lead, x.loading) for x in rows], "t int, symbol string, lead array<double>, loading array<double>")
     pos = positions_of(res, lookback=20, entry=0.5, least_fit=0.1)
-    alpha = table(ou_stock_alpha(pos, phi, market.where("t >= 40")), "alpha")
+    alpha = table(ou_stock_alpha(pos, phi, market.where("t >= 40"), 2), "alpha")
     by_day = {}
     for (t, s), (p,) in table(pos, "position").items():
         by_day.setdefault(t, {})[s] = p
     assert sum(any(v.values()) for v in by_day.values()) > 5
     for t, p in by_day.items():
-        w = np.zeros(8)
-        for s, v in p.items():
-            for stock, x in zip(got[t, s].stocks, got[t, s].weights):
-                w[int(stock[1:])] += v * x
+        w = np.array([p.get(s, 0) for s in names]) @ maps[t]
         want = (w - w.mean()) / w.std() if w.std() > 0 else np.zeros(8)
-        assert [alpha[t, f"A{i:03d}"][0] for i in range(8)] == pytest.approx(want.tolist(), abs=1e-9)
-    days = {x.t: x for x in ou_backtest(res, phi, lookback=20, entry=0.5, least_fit=0.1).collect()}
+        assert [alpha[t, s][0] for s in names] == pytest.approx(want.tolist(), abs=1e-9)
+    days = {x.t: x for x in ou_backtest(res, phi, 2, lookback=20, entry=0.5, least_fit=0.1).collect()}
     for t in range(60, 89):
-        p = {f"A{i:03d}": by_day.get(t - 1, {}).get(f"A{i:03d}", 0) for i in range(8)}
-        w = np.zeros(8)
-        for s, v in p.items():
-            for stock, x in zip(got[t, s].stocks, got[t, s].weights):
-                w[int(stock[1:])] += v * x
+        p = {s: by_day.get(t - 1, {}).get(s, 0) for s in names}
+        w = np.array([p.get(s, 0) for s in names]) @ maps[t]
         size = np.abs(w).sum()
         assert days[t].gross == pytest.approx(sum(v * got[t, s].residual for s, v in p.items()) / size if size else 0, abs=1e-12)
         assert days[t].short_share == pytest.approx(np.maximum(-w, 0).sum() / size if size else 0, abs=1e-12)
@@ -156,7 +154,7 @@ def test_backtest_accounts_for_every_day(spark):
 
     from residua.operators.backtest import Scenario, fill, long_only_backtest, turnover_summary
     from residua.operators.portfolio import Infeasible, PortfolioLimits, optimal_weights
-    from residua.sources.panels import index_panel
+    from residua.sources.markets import index_panel
 
     assert fill(np.array([0.5, 0.3, 0.0]), np.array([0.1, 0.3, 0.6]), np.array([True] * 3), np.array([False, True, True])).tolist() == pytest.approx([0.5, 0.3, 0.2])
     assert fill(np.array([0.5, 0.5]), np.array([0.2, 0.9]), np.array([True, True]), np.array([True, True])).tolist() == pytest.approx([0.2, 0.8])
@@ -234,10 +232,10 @@ def test_panels_reports_and_providers(spark, tmp_path):
 
     import pandas as pd
 
-    from residua.sources import panels as S
+    from residua.sources import markets, panels as S
     from residua.sources import reports as R
 
-    panel = S.index_panel(spark, 10, 70)
+    panel = markets.index_panel(spark, 10, 70)
     made = S.save_panel(panel, f"file://{tmp_path}/p", {"by": "test"})
     back = S.load_panel(spark, f"file://{tmp_path}/p")
     assert back.count() == 700 and S.fingerprint(back.orderBy("symbol")) == made["audit"]["fingerprint"] and made["audit"]["trading_days"] == 10

@@ -1,6 +1,7 @@
 import numpy as np
 
-from residua.operators.grouped import chunk_documents, execution_ledger, factor_map, ledger_totals, pca_residuals_monthly
+from residua.operators.factors import monthly_residuals, monthly_stock_alpha
+from residua.operators.grouped import chunk_documents, execution_ledger, factor_map, ledger_totals
 from residua.sources.arrays import read_array
 from residua.streaming.bars import event_bars
 
@@ -19,11 +20,51 @@ def panel(spark, late=0.0):
 
 
 def test_residuals_do_not_look_ahead(spark):
-    a, b = ({(x.t, x.symbol): x.residual for x in pca_residuals_monthly(panel(spark, late), 2, 20, 10).collect()} for late in (0.0, 5.0))
+    a, b = ({(x.t, x.symbol): x.residual for x in monthly_residuals(panel(spark, late), 2, 20, 10).collect()} for late in (0.0, 5.0))
     past = [k for k in a if k[0] < 36]
     assert past and all(abs(a[k] - b[k]) < 1e-12 for k in past) and any(abs(a[k] - b[k]) > 1e-6 for k in a if k[0] >= 36)
 
 
+def test_monthly_maps_and_alpha_equal_a_plain_loop(spark):
+    r = np.random.default_rng(8)
+    days, n, window, loads, look = 72, 9, 30, 15, 12
+    ret = np.cumsum(r.normal(size=(days, 2)), axis=0) @ r.normal(size=(2, n)) * 0.01 + np.diff(r.normal(size=(days + 1, n)), axis=0)
+    member = np.ones((days, n), bool)
+    member[48:, 2] = member[:40, 5] = False
+    ret[50, 7] = ret[10, 8] = np.nan  # a mapped return is missing on day 50; name 8 has no whole history at first
+    rows = [(t, t // 9, f"s{j}", bool(member[t, j]), None if np.isnan(ret[t, j]) else float(ret[t, j])) for t in range(days) for j in range(n)]
+    fitted = monthly_residuals(spark.createDataFrame(rows, "t int, mi int, symbol string, member boolean, ret double"), 2, window, loads, vectors=True).cache()
+    got = {(x.t, x.symbol): x.residual for x in fitted.collect()}
+    alpha = {(x.t, x.symbol): x.alpha for x in monthly_stock_alpha(fitted, 2, look, 0.5, 0.05).collect()}
+    want, scores, names, phi, active = np.full((days, n), np.nan), {}, [], None, 0
+    for t in range(window, days):
+        if t == window or t % 9 == 0:
+            past = ret[t - window : t]
+            names = [j for j in range(n) if member[t, j] and np.isfinite(past[:, j]).all()]
+            phi = factor_map(past[:, names], 2, loads)
+        if not np.isfinite(ret[t, names]).all():
+            continue
+        want[t, names] = phi @ ret[t, names]
+        p = np.zeros(len(names))
+        for k, j in enumerate(names):
+            h = want[t - look + 1 : t + 1, j]
+            if t - look + 1 >= window and np.isfinite(h).all():
+                y = np.cumsum(h)
+                b, a = np.polyfit(y[:-1], y[1:], 1)
+                fit = np.corrcoef(y[:-1], y[1:])[0, 1] ** 2
+                noise = y[1:].var() * (1 - fit)
+                if 0 < b < 1 and noise > 0 and fit > 0.05:
+                    z = (y[-1] - a / (1 - b)) / np.sqrt(noise / (1 - b * b))
+                    p[k] = -1 if z > 0.5 else 1 if z < -0.5 else 0
+        mapped = p @ phi
+        active += mapped.std() > 0
+        for k, j in enumerate(names):
+            scores[t, f"s{j}"] = (mapped[k] - mapped.mean()) / mapped.std() if mapped.std() > 0 else 0.0
+    assert active > 10 and set(got) == set(alpha) == set(scores) and not any(t == 50 for t, _ in got)
+    assert all(abs(got[t, s] - want[t, int(s[1:])]) < 1e-9 for t, s in got)
+    assert all(abs(alpha[k] - scores[k]) < 1e-7 for k in scores)
+
+
 def test_ledger_rules(spark):
     cols = "portfolio string, t int, symbol string, target long, price double, suspended boolean, at_upper boolean, at_lower boolean"
     rows = [
