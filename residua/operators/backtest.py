@@ -43,7 +43,7 @@ def fill(held: np.ndarray, target: np.ndarray, can_buy: np.ndarray, can_sell: np
     return held + sold + bought * (min(1.0, cash / wanted) if wanted > 0 else 1.0)
 
 
-OUT = "scenario string, t int, d date, strategy double, bench double, cost double, turnover double, decided boolean, mandatory boolean, limit_turnover double, names int"
+OUT = "book string, scenario string, t int, d date, strategy double, bench double, cost double, turnover double, decided boolean, mandatory boolean, limit_turnover double, names int"
 
 
 def _walk(conf: Scenario, name: str, panel: pd.DataFrame) -> list[tuple]:
@@ -115,23 +115,25 @@ def long_only_backtest(panel: DataFrame, scenarios: dict[str, Scenario]) -> Data
     """One row per scenario and executed day: net strategy and benchmark return, cost, turnover, what was decided.
 
     panel: t, d, symbol, member, is_st, paused, ret, adj_open, open_price, volume, high_limit, low_limit,
-    benchmark_weight and alpha_<signal> columns. A decision at close t is filled at open t + 1 under limits, suspensions
+    benchmark_weight and alpha_<signal> columns, and book where there are several, each with names of its own. A decision at close t is filled at open t + 1 under limits, suspensions
     and cash, and earns the open-to-open return from there; unfilled orders stay open until the next decision. A path
-    depends on every earlier day, so a scenario is one group of all its rows; scenarios run in parallel.
+    depends on every earlier day, so a scenario of a book is one group of all its rows; books and scenarios run in parallel.
     """
+    if "book" not in panel.columns:
+        panel = panel.withColumn("book", F.lit("all"))
     rows = panel.withColumn("scenario", F.explode(F.array(*[F.lit(s) for s in scenarios])))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        name = group["scenario"].iloc[0]
-        return pd.DataFrame(_walk(scenarios[name], name, group), columns=[c.split()[0] for c in OUT.split(", ")])
+        book, name = group["book"].iloc[0], group["scenario"].iloc[0]
+        return pd.DataFrame([(book, *row) for row in _walk(scenarios[name], name, group)], columns=[c.split()[0] for c in OUT.split(", ")])
 
-    return rows.groupBy("scenario").applyInPandas(run, OUT)
+    return rows.groupBy("book", "scenario").applyInPandas(run, OUT)
 
 
 def turnover_summary(days: DataFrame, per_year: int = 252) -> DataFrame:
-    """Per scenario: decisions, mandatory ones, days with trades, mean and annual turnover, mean on trade days, largest."""
+    """Per book and scenario: decisions, mandatory ones, days with trades, mean and annual turnover, mean on trade days, largest."""
     traded = F.col("turnover") > 1e-12
-    return days.groupBy("scenario").agg(
+    return days.groupBy("book", "scenario").agg(
         F.count(F.lit(1)).alias("days"), F.sum(F.col("decided").cast("long")).alias("decisions"), F.sum(F.col("mandatory").cast("long")).alias("mandatory"), F.sum(traded.cast("long")).alias("trade_days"),
         F.avg("turnover").alias("mean_turnover"), (F.avg("turnover") * per_year).alias("annual_turnover"), F.avg(F.when(traded, F.col("turnover"))).alias("mean_on_trade_days"), F.max("turnover").alias("max_turnover"),
     )
@@ -156,6 +158,7 @@ def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = relation(spark, sf_dir, "alpha").select("t", "symbol", F.col("alpha").alias("alpha_rank"))
     buffered = relation(spark, sf_dir, "buffered_alpha").select("t", "symbol", F.col("alpha").alias("alpha_buffered"))
     panel = rets.join(limits, ["t", "symbol"], "left").join(rank, ["t", "symbol"], "left").join(buffered, ["t", "symbol"], "left")
+    panel = panel.withColumn("book", F.floor(F.substring("symbol", 4, 9).cast("long") / 150).cast("string"))  # the names of fifty suppliers
     return long_only_backtest(panel, SCENARIOS)
 
 
@@ -170,7 +173,7 @@ def query_long_only_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf_dir: str, step: str) -> DataFrame:
-    days = _days(spark, sf_dir).where("scenario = 'daily'")
+    days = _days(spark, sf_dir).where("scenario = 'daily'").groupBy("t").agg(*[F.avg(c).alias(c) for c in ("strategy", "bench", "cost")])  # all books alike
     scaled = days.select("t", (F.col("strategy") + F.col("cost")).alias("gross"), "strategy", "bench", "cost")
     return relation(spark, sf_dir, step, scaled=scaled, calendar=relation(spark, sf_dir, "calendar"))
 

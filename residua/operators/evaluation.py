@@ -107,10 +107,49 @@ step("stability_summary", """SELECT count(*) AS windows, round(avg(sharpe), 5) A
   CAST(max_by(origin, sharpe) AS BIGINT) AS best_origin, CAST(min_by(origin, sharpe) AS BIGINT) AS worst_origin, round(corr(sharpe, mean_ret), 5) AS score_corr FROM block_ranks""")
 step("model_days", "SELECT 'ou' AS model, t, gross AS r FROM bt_days UNION ALL SELECT 'rank', t, strategy FROM scaled UNION ALL SELECT 'mechanism', t, ret FROM mechanism_days WHERE dir = 1")
 step("run_correlations", "SELECT a.model AS model_a, b.model AS model_b, count(*) AS days, round(corr(a.r, b.r), 6) AS correlation FROM model_days a JOIN model_days b ON a.t = b.t AND a.model < b.model GROUP BY a.model, b.model")
-step("covariance_dates", "SELECT mi, min(t) AS at FROM calendar WHERE t >= 104 GROUP BY mi")
-step("covariance_rows", "SELECT x.at, x.symbol, x.t, coalesce(x.ret, avg(x.ret) OVER (PARTITION BY x.at, x.symbol), 0) AS ret FROM (SELECT c.at, r.symbol, r.t, r.ret FROM covariance_dates c JOIN rets r ON r.t >= c.at - 104 AND r.t < c.at) x")
-step("shrunk_covariance", """SELECT a.at, a.symbol AS symbol_a, b.symbol AS symbol_b, round(CASE WHEN a.symbol = b.symbol THEN covar_pop(a.ret, b.ret) + 1e-8 ELSE 0.5 * covar_pop(a.ret, b.ret) END, 9) AS cov
-  FROM covariance_rows a JOIN covariance_rows b ON a.at = b.at AND a.t = b.t AND a.symbol <= b.symbol GROUP BY a.at, a.symbol, b.symbol""")
+# Ranges of t meet by bins as long as the range, so each date meets two of them by an equality; the exact bounds come after
+_BINS = "CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) ks"
+step("covariance_dates", "SELECT mi, min(t) AS on_t FROM calendar WHERE t >= 104 GROUP BY mi")
+step("working_set", "SELECT on_t, symbol FROM (SELECT c.on_t, p.symbol, row_number() OVER (PARTITION BY c.on_t ORDER BY p.benchmark_weight DESC, p.symbol) AS rk FROM panel p JOIN covariance_dates c ON c.on_t = p.t WHERE p.member AND NOT p.is_st) x WHERE rk <= 50")
+step("working_bins", f"SELECT on_t, symbol, <<div on_t - 104 ;; 104>> + k AS bin FROM working_set {_BINS}")
+step("covariance_rows", """SELECT on_t, symbol, t, coalesce(ret, avg(ret) OVER (PARTITION BY on_t, symbol), 0) AS ret FROM
+  (SELECT w.on_t, w.symbol, r.t, r.ret FROM working_bins w JOIN rets2 r ON r.symbol = w.symbol AND <<div r.t ;; 104>> = w.bin WHERE r.t >= w.on_t - 104 AND r.t < w.on_t) x""")
+# a date's book works on its fifty largest names: pairs grow with the dates, not with the names there are
+step("shrunk_covariance", """SELECT a.on_t, a.symbol AS symbol_a, b.symbol AS symbol_b, round(CASE WHEN a.symbol = b.symbol THEN covar_pop(a.ret, b.ret) + 1e-8 ELSE 0.5 * covar_pop(a.ret, b.ret) END, 9) AS cov
+  FROM covariance_rows a JOIN covariance_rows b ON a.on_t = b.on_t AND a.t = b.t AND a.symbol <= b.symbol GROUP BY a.on_t, a.symbol, b.symbol""")
 step("residual_array_audit", "SELECT count(*) AS cells, round(avg(CASE WHEN r IS NOT NULL THEN 1.0 ELSE 0 END), 6) AS finite_share, round(avg(CASE WHEN r IS NOT NULL THEN CASE WHEN r = 0 THEN 1.0 ELSE 0 END END), 6) AS zero_share, round(stddev_pop(CASE WHEN r <> 0 THEN r END), 9) AS std_nonzero FROM resid")
 step("origins", "SELECT t AS origin FROM calendar WHERE t >= 140 AND (t - 140) % 25 = 0")
-step("training_origins", "SELECT o.origin, r.symbol, count(*) AS usable FROM origins o JOIN resid r ON r.t >= o.origin - 100 AND r.t < o.origin WHERE r.r <> 0 GROUP BY o.origin, r.symbol HAVING count(*) >= 30")
+step("origin_bins", f"SELECT origin, <<div origin - 100 ;; 100>> + k AS bin FROM origins {_BINS}")
+step("training_origins", "SELECT o.origin, r.symbol, count(*) AS usable FROM origin_bins o JOIN resid r ON <<div r.t ;; 100>> = o.bin WHERE r.t >= o.origin - 100 AND r.t < o.origin AND r.r <> 0 GROUP BY o.origin, r.symbol HAVING count(*) >= 30")
+
+# The direction of the signal: books of the positive scores, of the negative ones, and of all members alike. a
+# rank IC of 0.015, costs five times the neutral book's, ratios of 1.5 at refits, a Sharpe ratio of a half.
+step("books", """SELECT t, symbol, who, coalesce(v / nullif(sum(v) OVER (PARTITION BY t, who), 0), 0) AS w FROM (SELECT s.t, s.symbol, b.who, CASE b.who WHEN 'original' THEN greatest(coalesce(a.alpha, 0), 0) WHEN 'reversed' THEN greatest(-coalesce(a.alpha, 0), 0) WHEN 'neutral' THEN CASE WHEN s.member THEN 1 ELSE 0 END END AS v
+  FROM scored s LEFT JOIN alpha a ON a.t = s.t AND a.symbol = s.symbol CROSS JOIN (SELECT 'original' AS who UNION ALL SELECT 'reversed' UNION ALL SELECT 'neutral') b) x""")
+step("book_moves", "SELECT t, symbol, who, w, abs(w - lag(w, 1, 0) OVER (PARTITION BY symbol, who ORDER BY t)) AS moved FROM books")
+step("book_days", "SELECT b.t, b.who, sum(b.w * r.fwd) AS gross, sum(b.moved) AS turnover FROM book_moves b JOIN forward r ON r.t = b.t AND r.symbol = b.symbol AND r.h = 1 WHERE r.fwd IS NOT NULL AND b.t >= 108 GROUP BY b.t, b.who")
+step("book_facts", "SELECT b.who, avg(b.gross - p.bench) * PER_YEAR AS excess, avg(0.00126 * b.turnover) * PER_YEAR AS cost FROM book_days b JOIN pnl p ON p.t = b.t GROUP BY b.who")
+step("direction_facts", "SELECT " + ", ".join(f"max(CASE WHEN who = '{w}' THEN {c} END) AS {w}_{n}" for c, n in (("excess", "gross_excess"), ("cost", "cost_drag")) for w in ("original", "reversed", "neutral")) + " FROM book_facts")
+step("ic_means", "SELECT " + ", ".join(f"avg(CASE WHEN h = {h} THEN ic END) AS rank_ic_{h}" for h in _LAGS) + " FROM ic_days")
+step("direction_tool", "SELECT " + ", ".join(f"round({c}, 6) AS {c}" for c in [*(f"rank_ic_{h}" for h in _LAGS), "original_gross_excess", "reversed_gross_excess", "neutral_gross_excess", "original_cost_drag", "neutral_cost_drag", "nonzero_rate"]) + """,
+  reversed_gross_excess > neutral_gross_excess AS simple_sign_flip_supported, greatest(rank_ic_1, rank_ic_5, rank_ic_10, rank_ic_20) >= 0.015 AS rank_ic_gate_passed, original_cost_drag > 5 * neutral_cost_drag AS cost_problem_is_signal_induced
+  FROM direction_facts CROSS JOIN ic_means CROSS JOIN (SELECT nonzero_rate FROM signal_coverage) c""")
+
+# With no factors a residual is the return under every map, so both definitions of a history agree; comparison_summary gives
+# the same two figures where there are factors
+step("comparison", "SELECT sharpe AS stitched_sharpe, sharpe AS current_sharpe FROM mechanism_eval WHERE dir = 1")
+step("evidence", """SELECT d.simple_sign_flip_supported AS sign_flip, d.cost_problem_is_signal_induced AS costly, m.sharpe AS mechanism_sharpe, m.annual_mean AS mechanism_mean, r.annual_mean AS reversed_mean,
+  coalesce(a.residual_ratio >= 1.5, false) OR coalesce(a.alpha_ratio >= 1.5, false) AS refit_spike, a.ou_windows > 0 AND a.cross_model_rate = 1 AS all_cross, c.current_sharpe >= 0.5 AS current_gate, c.current_sharpe >= 0.5 AND c.current_sharpe > c.stitched_sharpe AS rescued,
+  coalesce(p.cross_sectional_evidence, false) AS cross_sectional, coalesce(p.broad_evidence, false) AS broad
+  FROM direction_tool d CROSS JOIN (SELECT * FROM mechanism_eval WHERE dir = 1) m CROSS JOIN (SELECT * FROM mechanism_eval WHERE dir = -1) r CROSS JOIN continuity_audit a CROSS JOIN comparison c CROSS JOIN predictability_audit p""")
+step("judged", "SELECT *, CASE WHEN mechanism_sharpe >= 0.5 OR rescued THEN 'supported' WHEN reversed_mean > mechanism_mean THEN 'rejected' WHEN NOT current_gate THEN 'not_supported_in_current_pilot' ELSE 'inconclusive' END AS h2 FROM evidence")
+step("hypothesis_states", """SELECT i.id, CASE i.id WHEN 'H1' THEN CASE WHEN sign_flip THEN 'supported' ELSE 'rejected' END WHEN 'H3' THEN CASE WHEN costly THEN 'supported' ELSE 'unresolved' END ELSE 'unresolved' END AS status_before,
+  CASE i.id WHEN 'H2' THEN h2 WHEN 'H4' THEN CASE WHEN refit_spike THEN 'supported' WHEN all_cross THEN 'structural_confounder_not_confirmed_causal' ELSE 'rejected' END WHEN 'H5' THEN CASE WHEN rescued THEN 'supported' ELSE 'rejected' END
+   WHEN 'H6' THEN CASE WHEN cross_sectional THEN 'supported' ELSE 'rejected' END WHEN 'H7' THEN CASE WHEN broad THEN 'supported' ELSE 'rejected' END END AS status_after
+  FROM judged CROSS JOIN (SELECT 'H1' AS id UNION ALL SELECT 'H2' UNION ALL SELECT 'H3' UNION ALL SELECT 'H4' UNION ALL SELECT 'H5' UNION ALL SELECT 'H6' UNION ALL SELECT 'H7') i""")
+# what later evidence says comes first: broad or narrow predictability, then the mechanism
+step("diagnostic_verdict", """SELECT CASE WHEN cross_sectional AND NOT broad THEN 'narrow_ranking_effect' WHEN broad THEN 'broad_reversal' WHEN h2 = 'not_supported_in_current_pilot' THEN 'no_stable_predictability' WHEN rescued THEN 'current_composition_rescues'
+   WHEN h2 = 'supported' THEN 'mechanism_supported' WHEN h2 = 'rejected' THEN 'reversal_performs_better' ELSE 'inconclusive' END AS verdict,
+  CASE WHEN cross_sectional AND NOT broad THEN 'preregister_rank_mapping' WHEN broad THEN 'preregister_learned_signal' WHEN h2 = 'not_supported_in_current_pilot' THEN 'stop_residual_branch' WHEN rescued THEN 'replicate_on_broader_universe'
+   WHEN h2 = 'supported' THEN 'test_slower_mapping' WHEN h2 = 'rejected' THEN 'resolve_residual_definition' ELSE 'audit_coverage' END AS next_action,
+  CASE WHEN h2 = 'inconclusive' THEN 'low' ELSE 'medium' END AS confidence, false AS parameter_search_authorized, broad AS learned_model_authorized FROM judged""")

@@ -130,14 +130,20 @@ def ledger_totals(fills: DataFrame) -> DataFrame:
 
 # ---- queries
 
+#: Cash of a registered account.
+CASH = 1e7
+
 
 def query_execution_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two accounts for the names of each ten suppliers, so accounts grow with the names; each may put a share of its cash in a member."""
     prices, state = relation(spark, sf_dir, "limit_rate"), relation(spark, sf_dir, "limit_prices")
     targets = prices.join(state.select("t", "symbol", "state"), ["t", "symbol"]).where("close_price > 0")
+    desk = F.floor(F.substring("symbol", 4, 9).cast("long") / 30).cast("string")
     fractions = F.explode(F.array(*[F.struct(F.lit(n).alias("portfolio"), F.lit(f).alias("f")) for n, f in (("equal", 0.04), ("half", 0.02))]))
-    wide = targets.select("t", "symbol", fractions.alias("p"), F.col("close_price").alias("price"), "member", "state")
-    shares = F.when(F.col("member"), F.floor(F.lit(1e6) * F.col("p.f") / F.col("price") / 100) * 100).otherwise(0).cast("long")
-    return execution_ledger(wide.select(F.col("p.portfolio").alias("portfolio"), "t", "symbol", shares.alias("target"), "price", (F.col("state") == "suspended").alias("suspended"), (F.col("state") == "upper_limit").alias("at_upper"), (F.col("state") == "lower_limit").alias("at_lower")))
+    wide = targets.select("t", "symbol", desk.alias("desk"), fractions.alias("p"), F.col("close_price").alias("price"), "member", "state")
+    shares = F.when(F.col("member"), F.floor(F.lit(CASH) * F.col("p.f") / F.col("price") / 100) * 100).otherwise(0).cast("long")
+    account = F.concat_ws("-", "p.portfolio", "desk").alias("portfolio")
+    return execution_ledger(wide.select(account, "t", "symbol", shares.alias("target"), "price", (F.col("state") == "suspended").alias("suspended"), (F.col("state") == "upper_limit").alias("at_upper"), (F.col("state") == "lower_limit").alias("at_lower")), cash=CASH)
 
 
 def query_execution_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,4 @@ step("protocol_checks", """SELECT f.run, coalesce(i.bad, 0) = 0 AND f.without_me
 step("protocol_audit", """SELECT *, method_provenance AND retrieval_grounding AND reason_action_observation_loop AND executable_numerical_reasoning AND external_feedback_before_reflection AND hypothesis_evidence_ledger AND evidence_bounded_decision AND selection_bias_controls AS passed,
   CAST(CASE WHEN method_provenance THEN 0 ELSE 1 END + CASE WHEN retrieval_grounding THEN 0 ELSE 1 END + CASE WHEN reason_action_observation_loop THEN 0 ELSE 1 END + CASE WHEN executable_numerical_reasoning THEN 0 ELSE 1 END
   + CASE WHEN external_feedback_before_reflection THEN 0 ELSE 1 END + CASE WHEN hypothesis_evidence_ledger THEN 0 ELSE 1 END + CASE WHEN evidence_bounded_decision THEN 0 ELSE 1 END + CASE WHEN selection_bias_controls THEN 0 ELSE 1 END AS INT) AS critical_failures FROM protocol_checks""")
-step("hypothesis_states", "SELECT p.h, CASE WHEN p.stable = 1 THEN 'supported' WHEN p.cross_sectional = 1 THEN 'unstable' ELSE 'rejected' END AS status, CASE WHEN m.sharpe > 0 THEN 'paper_direction' ELSE 'reversed' END AS direction FROM predictability_gates p CROSS JOIN (SELECT sharpe FROM mechanism_eval WHERE dir = 1) m")
-step("direction_tool", "SELECT best.dir, CASE WHEN best.sharpe <= 0 THEN 'stop' WHEN best.dir = 1 THEN 'keep_direction' ELSE 'reverse_direction' END AS decision FROM (SELECT max_by(dir, sharpe) AS dir, max(sharpe) AS sharpe FROM mechanism_eval) best")
 step("event_props", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY event_type")

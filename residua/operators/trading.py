@@ -5,8 +5,13 @@ from residua.plans.relations import step
 step("orders_priced", "SELECT o_orderkey, o_orderdate, o_totalprice AS notional, CASE WHEN o_orderstatus = 'F' THEN 'sell' ELSE 'buy' END AS side FROM orders")
 step("fee_schedule", """SELECT o_orderkey, side, round(CASE WHEN notional <= 0 THEN 0 ELSE greatest(5.0, notional * 0.00025) + notional * 0.00001 + CASE WHEN side = 'sell' THEN notional * CASE WHEN o_orderdate < TIMESTAMP '1998-08-28 00:00:00' THEN 0.001 ELSE 0.0005 END ELSE 0 END END, 8) AS fee FROM orders_priced""")
 step("round_trip_cost", "SELECT y, round(2 * (0.00025 + 0.00001 + 0.001) + CASE WHEN y < 1998 THEN 0.001 ELSE 0.0005 END, 9) AS cost FROM (SELECT DISTINCT year(o_orderdate) AS y FROM orders) x")
-step("lot_rounding", """SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity * 37 AS BIGINT) AS shares, CAST(l_quantity * 37 AS BIGINT) - CAST(l_quantity * 37 AS BIGINT) % 100 AS lots,
-  CAST(greatest(0, floor(least(l_extendedprice / ((l_extendedprice / nullif(l_quantity, 0)) * (1 + 0.00026)), (l_extendedprice - 5) / ((l_extendedprice / nullif(l_quantity, 0)) * (1 + 0.00001))) / 10) * 10) AS BIGINT) AS affordable FROM lineitem""")
+# a buy of 37 times the line's quantity with the cash of 30: whole lots of what was asked, cut to what the cash affords with fees,
+# as execution_ledger does; the closed form may miss a lot by rounding, so the three lots about it are tried
+step("lots_asked", """SELECT *, shares - shares % 100 AS lots, CAST(floor(least((cash + 1e-9) / (price * 1.00026), greatest(0, cash + 1e-9 - 5) / (price * 1.00001)) / 100) * 100 AS BIGINT) AS top FROM
+  (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity * 37 AS BIGINT) AS shares, l_extendedprice / nullif(l_quantity, 0) AS price, l_extendedprice * 30 AS cash FROM lineitem) x WHERE price > 0""")
+_PAID = "n{0} * price + CASE WHEN n{0} > 0 THEN greatest(5.0, n{0} * price * 0.00025) ELSE 0 END + n{0} * price * 0.00001 <= cash + 1e-9"
+step("lot_rounding", f"""SELECT l_orderkey, l_linenumber, l_partkey, shares, lots, CASE WHEN {_PAID.format(0)} THEN n0 WHEN {_PAID.format(1)} THEN n1 ELSE n2 END AS affordable FROM
+  (SELECT *, least(lots, top + 100) AS n0, greatest(least(lots, top + 100) - 100, 0) AS n1, greatest(least(lots, top + 100) - 200, 0) AS n2 FROM lots_asked) x""")
 step("blocked_reason", "SELECT t, symbol, side, CASE WHEN state = 'suspended' THEN 'suspended' WHEN side = 'buy' AND state = 'upper_limit' THEN 'upper_limit' WHEN side = 'sell' AND state = 'lower_limit' THEN 'lower_limit' END AS reason FROM limit_prices CROSS JOIN (SELECT 'buy' AS side UNION ALL SELECT 'sell') s")
 step("weight_targets", "SELECT a.t, a.symbol, greatest(a.alpha, 0) / nullif(sum(greatest(a.alpha, 0)) OVER (PARTITION BY a.t), 0) AS target, p.benchmark_weight AS held, NOT p.paused AND NOT p.is_st AS can_buy, NOT p.paused AS can_sell FROM alpha a JOIN panel p ON p.t = a.t AND p.symbol = a.symbol")
 step("weight_sides", "SELECT *, CASE WHEN can_sell THEN greatest(held - target, 0) ELSE 0 END AS sell, CASE WHEN can_buy THEN greatest(target - held, 0) ELSE 0 END AS want, sum(held) OVER (PARTITION BY t) AS invested FROM weight_targets")

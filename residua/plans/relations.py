@@ -82,7 +82,7 @@ def render(name: str, dialect: str = "duckdb") -> str:
 
 
 #: Steps written once per folder: what several later steps start from.
-KEPT = "cell panel pair_metrics rets2 resid ou ranked alpha forward buffered reversal_pairs mechanism_days bt_days scaled tf idf".split()
+KEPT = "cell direction_tool mechanism_eval continuity_audit predictability_audit ic_days panel pair_metrics rets2 resid ou ranked alpha forward buffered reversal_pairs mechanism_days bt_days scaled tf idf".split()
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str, **frames: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Each query against the same statement on another engine, at the smallest size; a spread of families."""
+"""Each query against the same statement on another engine, and none without rows at the smallest size."""
 
 import math
 
@@ -8,8 +8,7 @@ import pytest
 from residua import catalog
 from residua.plans.relations import TABLES, relation
 
-SF = "/root/testdata/sf0.001"
-SAMPLE = "panel_audit pit_membership limit_prices forward_returns ou_fit buffered_alpha lag_autocorrelation jaccard_refit fee_schedule lot_rounding pair_signal pair_period_stability tfidf_search protocol_audit event_props".split()
+SF, SMALLEST = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -25,10 +24,10 @@ def plain(v):
         return "null"
     if isinstance(v, bool) or not hasattr(v, "__float__"):
         return str(v)
-    return f"{float(v) + 0.0:.7g}"
+    return f"{float(v) + 0.0:.9g}"
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", catalog.RELATIONAL)
 def test_equals_the_other_engine(spark, duck, name):
     got = catalog.queries()[name](spark, SF)
     want = duck.sql(catalog.oracle_sql()[name])
@@ -37,6 +36,11 @@ def test_equals_the_other_engine(spark, duck, name):
     assert rows == sorted(tuple(plain(v) for v in r) for r in want.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
+def test_none_is_empty_at_the_smallest_size(spark, name):
+    assert catalog.queries()[name](spark, SMALLEST).limit(1).count() == 1
+
+
 def test_every_query_is_a_step():
     assert catalog.unknown() == [] and set(catalog.oracle_sql()) <= set(catalog.queries())
 
