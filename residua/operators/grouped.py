@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,64 +30,141 @@ def factor_map(history: np.ndarray, factors: int, loading_rows: int) -> np.ndarr
     return np.eye(n) - (lead @ loadings).T
 
 
-def execution_ledger(targets: DataFrame, cash: float = 1e6, lot: int = 100, commission: float = 0.00025, least: float = 5.0, transfer: float = 0.00001, stamp: float = 0.0005) -> DataFrame:
+@dataclass(frozen=True)
+class Fees:
+    """A lot, the commission and its least sum, transfer fee, stamp duty of a sale."""
+
+    lot: int = 100
+    commission: float = 0.00025
+    least: float = 5.0
+    transfer: float = 0.00001
+    stamp: float = 0.0005
+
+    def of(self, notional: float, sell: bool) -> float:
+        return 0.0 if notional <= 0 else max(self.least, notional * self.commission) + notional * self.transfer + (notional * self.stamp if sell else 0.0)
+
+    def affordable(self, asked: int, price: float, money: float) -> int:
+        n = asked - asked % self.lot
+        top = int(min((money + 1e-9) / (price * (1 + self.commission + self.transfer)), max(0.0, money + 1e-9 - self.least) / (price * (1 + self.transfer))) // self.lot * self.lot)
+        n = min(n, max(top + self.lot, 0))  # the closed form may miss a lot by rounding; the test below decides
+        while n > 0 and n * price + self.of(n * price, False) > money + 1e-9:
+            n -= self.lot
+        return max(n, 0)
+
+
+@dataclass
+class Account:
+    """Cash and whole shares held by symbol, checked when made and after each day."""
+
+    name: str
+    money: float
+    held: dict[str, int] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        self.check()
+
+    def check(self, sellable: dict[str, int] | None = None) -> None:
+        if not (np.isfinite(self.money) and self.money >= 0):
+            raise ValueError(f"the cash of {self.name} is {self.money}")
+        for shares in (self.held, sellable or {}):
+            for s, n in shares.items():
+                if not isinstance(n, int) or n < 0 or n > self.held.get(s, 0):
+                    raise ValueError(f"{self.name} cannot have {n!r} shares of {s}")
+
+    def day(self, t: object, day: pd.DataFrame, fees: Fees) -> list[tuple]:
+        """Fills (t, symbol, side, requested, filled, price, fees, reason) of one day's targets; the account is moved on."""
+        out, sellable, rows = [], dict(self.held), {r.symbol: r for r in day.itertuples()}
+        goal = {s: (0 if pd.isna(r.target) else int(r.target)) for s, r in rows.items()}
+        if any(n < 0 for n in goal.values()):
+            raise ValueError(f"a target of {self.name} on day {t} is negative")
+        for sell in (True, False):
+            for symbol in sorted({*self.held, *goal}):  # what is held without a target is sold
+                gap = goal.get(symbol, 0) - self.held.get(symbol, 0)
+                if gap == 0 or (gap < 0) != sell:
+                    continue
+                r = rows.get(symbol)
+                if r is None or not (np.isfinite(r.price) and r.price > 0):
+                    raise ValueError(f"no price of {symbol} on day {t}")
+                asked, reason, done = abs(gap), "", 0
+                if r.suspended:
+                    reason = "suspended"
+                elif sell and r.at_lower:
+                    reason = "lower_limit"
+                elif not sell and r.at_upper:
+                    reason = "upper_limit"
+                elif sell:
+                    done = min(asked, sellable.get(symbol, 0))
+                    reason = "" if done == asked else "t_plus_one"
+                else:
+                    done, whole = fees.affordable(asked, r.price, self.money), asked - asked % fees.lot
+                    reason = "insufficient_cash" if done < whole else "" if done == asked else "lot_rounding"
+                cost = fees.of(done * r.price, sell)
+                self.money = max(0.0, self.money + (done * r.price if sell else -done * r.price) - cost)
+                self.held[symbol] = self.held.get(symbol, 0) + (-done if sell else done)
+                if sell and done:
+                    sellable[symbol] -= done
+                out.append((t, symbol, "sell" if sell else "buy", asked, done, r.price, cost, reason))
+        self.check(sellable)
+        self.held = {s: n for s, n in self.held.items() if n}
+        return out
+
+
+FILLS = "symbol string, side string, requested long, filled long, price double, fees double, reason string"
+
+
+def execution_ledger(targets: DataFrame, cash: float = 1e6, fees: Fees = Fees()) -> DataFrame:
     """Fills of share targets under T+1, limits, lots and fees: (portfolio, t, symbol, side, requested, filled, price, fees, reason).
 
     targets: portfolio, t, symbol, target (shares), price, suspended, at_upper, at_lower. Days are walked in order within
     a portfolio; portfolios run in parallel. Sells come before buys, symbols in order; only what was held at the day's
     start can be sold; buys are cut to what cash affords.
     """
-
-    def fee(notional: float, sell: bool) -> float:
-        return 0.0 if notional <= 0 else max(least, notional * commission) + notional * transfer + (notional * stamp if sell else 0.0)
-
-    def affordable(asked: int, price: float, money: float) -> int:
-        n = asked - asked % lot
-        top = int(min((money + 1e-9) / (price * (1 + commission + transfer)), max(0.0, money + 1e-9 - least) / (price * (1 + transfer))) // lot * lot)
-        n = min(n, max(top + lot, 0))  # the closed form may miss a lot by rounding; the test below decides
-        while n > 0 and n * price + fee(n * price, False) > money + 1e-9:
-            n -= lot
-        return max(n, 0)
+    names = ["portfolio", "t", *[c.split()[0] for c in FILLS.split(", ")]]
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
-        money, held, out = cash, {}, []
         name = group["portfolio"].iloc[0]
+        account, out = Account(name, cash), []
         for t, day in group.sort_values(["t", "symbol"]).groupby("t"):
-            sellable, rows = dict(held), {r.symbol: r for r in day.itertuples()}
-            goal = {s: (0 if pd.isna(r.target) else int(r.target)) for s, r in rows.items()}
-            if any(n < 0 for n in goal.values()):
-                raise ValueError(f"a target of portfolio {name} on day {t} is negative")
-            for sell in (True, False):
-                for symbol in sorted({*held, *goal}):  # what is held without a target is sold
-                    gap = goal.get(symbol, 0) - held.get(symbol, 0)
-                    if gap == 0 or (gap < 0) != sell:
-                        continue
-                    r = rows.get(symbol)
-                    if r is None or not (np.isfinite(r.price) and r.price > 0):
-                        raise ValueError(f"no price of {symbol} on day {t}")
-                    asked, reason, done = abs(gap), "", 0
-                    if r.suspended:
-                        reason = "suspended"
-                    elif sell and r.at_lower:
-                        reason = "lower_limit"
-                    elif not sell and r.at_upper:
-                        reason = "upper_limit"
-                    elif sell:
-                        done = min(asked, sellable.get(symbol, 0))
-                        reason = "" if done == asked else "t_plus_one"
-                    else:
-                        done, whole = affordable(asked, r.price, money), asked - asked % lot
-                        reason = "insufficient_cash" if done < whole else "" if done == asked else "lot_rounding"
-                    cost = fee(done * r.price, sell)
-                    money = max(0.0, money + (done * r.price if sell else -done * r.price) - cost)
-                    held[symbol] = held.get(symbol, 0) + (-done if sell else done)
-                    if sell and done:
-                        sellable[symbol] -= done
-                    out.append((name, t, symbol, "sell" if sell else "buy", asked, done, r.price, cost, reason))
-            held = {s: n for s, n in held.items() if n}
-        return pd.DataFrame(out, columns=["portfolio", "t", "symbol", "side", "requested", "filled", "price", "fees", "reason"])
-
-    return targets.groupBy("portfolio").applyInPandas(walk, "portfolio string, t int, symbol string, side string, requested long, filled long, price double, fees double, reason string")
+            out += [(name, *fill) for fill in account.day(t, day, fees)]
+        return pd.DataFrame(out, columns=names)
+
+    return targets.groupBy("portfolio").applyInPandas(walk, f"portfolio string, t int, {FILLS}")
+
+
+def chunks_of(text: str | None, max_chars: int = 1400, overlap: int = 200) -> Iterator[tuple[int, int, int, str]]:
+    """(chunk, start_char, end_char, text) of one text; see chunk_documents."""
+    if max_chars <= 0 or not 0 <= overlap < max_chars:
+        raise ValueError("max_chars must be positive, overlap from 0 to less than it")
+    text = "\n".join(line.rstrip() for line in (text or "").splitlines()).strip()
+    at = number = 0
+    while at < len(text):
+        end = min(at + max_chars, len(text))
+        if end < len(text):
+            stop = max(text.rfind("\n\n", at, end), text.rfind(". ", at, end))
+            if stop > at + max_chars // 2:
+                end = stop + 1
+        if chunk := text[at:end].strip():
+            yield number, at, end, chunk
+            number += 1
+        if end >= len(text):
+            break
+        at = end - overlap
+        while 0 < at < len(text) and not text[at].isspace():
+            at += 1
+        while 0 < at < len(text) and text[at].isspace():
+            at += 1
+
+
+class Chunks:
+    """A table function: SELECT d.doc_id, c.* FROM documents d, LATERAL chunks(d.text, 1400, 200) c."""
+
+    def eval(self, text: str, max_chars: int = 1400, overlap: int = 200):
+        yield from chunks_of(text, max_chars, overlap)
+
+
+def register_chunks(spark: SparkSession, name: str = "chunks") -> None:
+    """Makes Chunks callable from SQL under a name."""
+    spark.udtf.register(name, F.udtf(Chunks, returnType="chunk int, start_char int, end_char int, text string"))
 
 
 def chunk_documents(docs: DataFrame, max_chars: int = 1400, overlap: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,29 +175,9 @@ def chunk_documents(docs: DataFrame, max_chars: int = 1400, overlap: int = 200,
     if max_chars <= 0 or not 0 <= overlap < max_chars:
         raise ValueError("max_chars must be positive, overlap from 0 to less than it")
 
-    def cut(text: str) -> list[tuple[int, int, str]]:
-        out, at = [], 0
-        while at < len(text):
-            end = min(at + max_chars, len(text))
-            if end < len(text):
-                stop = max(text.rfind("\n\n", at, end), text.rfind(". ", at, end))
-                if stop > at + max_chars // 2:
-                    end = stop + 1
-            if chunk := text[at:end].strip():
-                out.append((at, end, chunk))
-            if end >= len(text):
-                break
-            at = end - overlap
-            while 0 < at < len(text) and not text[at].isspace():
-                at += 1
-            while 0 < at < len(text) and text[at].isspace():
-                at += 1
-        return out
-
     def run(frames):
         for frame in frames:
-            plain = ["\n".join(line.rstrip() for line in t.splitlines()).strip() for t in frame["text"]]
-            rows = [(i, k, *span) for i, t in zip(frame["id"], plain) for k, span in enumerate(cut(t))]
+            rows = [(i, *span) for i, t in zip(frame["id"], frame["text"]) for span in chunks_of(t, max_chars, overlap)]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk", "start_char", "end_char", "text"])
 
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, "doc_id long, chunk int, start_char int, end_char int, text string")
@@ -154,4 +214,11 @@ def query_chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"execution_ledger": query_execution_ledger, "execution_totals": query_execution_totals, "chunk_documents": query_chunk_documents}
+def query_chunk_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunk_documents as SQL: a table function beside its table."""
+    register_chunks(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spark.sql("SELECT d.doc_id, c.chunk, c.start_char, c.end_char, c.text FROM {docs} d, LATERAL chunks(d.text, 1400, 200) c", docs=docs)
+
+
+QUERIES = {"chunk_table_function": query_chunk_table_function, "execution_ledger": query_execution_ledger, "execution_totals": query_execution_totals, "chunk_documents": query_chunk_documents}
