@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
-import io
 import json
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from residua.sources.arrays import BLOCK_BYTES, PanelSource
 from residua.sources.reports import read_text, write_text
 
 FIELDS = "adjusted_close open_price close_price high_limit low_limit volume money paused is_st member benchmark_weight".split()
@@ -60,19 +59,11 @@ def load_panel(spark: SparkSession, path: str, *, check: bool = True) -> DataFra
     return panel
 
 
-def load_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """A panel stored as .npz arrays (dates, symbols, and day-by-symbol matrices); one task per file."""
+def load_arrays(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A panel stored as .npz arrays (dates, symbols, and day-by-symbol matrices); a task reads block_bytes of days."""
+    spark.dataSource.register(PanelSource)
     ddl = "d date, symbol string, " + ", ".join(f"{c} {'boolean' if c in ('paused', 'is_st', 'member') else 'double'}" for c in FIELDS)
-
-    def run(frames):
-        for frame in frames:
-            for raw in frame["content"]:
-                with np.load(io.BytesIO(raw), allow_pickle=False) as a:
-                    days, symbols = pd.to_datetime(a["dates"]).date, a["symbols"].astype(str)
-                    for i, d in enumerate(days):
-                        yield pd.DataFrame({"d": d, "symbol": symbols, **{c: a[c][i] for c in FIELDS}})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ddl)
+    return spark.read.format("npz_panel").schema(ddl).option("blockBytes", block_bytes).load(path)
 
 
 def sealed(panel: DataFrame, holdout: dt.date = HOLDOUT) -> DataFrame:
