@@ -12,7 +12,7 @@ from residua.plans.relations import STEPS, relation, render
 #: Steps that are queries in their own right; the others are what these are made of.
 RELATIONAL = (
     "panel_build pit_membership prior_trading_day benchmark_weights panel_audit member_changes returns_close returns_open forward_returns pct_change limit_prices tradable_flags adjusted_index "
-    "fill_limited dedupe_keep_last coerce_strings residuals_k0 ou_fit ou_positions ou_epsilon rank_alpha buffered_alpha state_share alpha_change fourier_features cumulative_windows "
+    "fill_limited dedupe_keep_last coerce_strings residuals_k0 ou_fit ou_positions ou_epsilon threshold_backtest threshold_summary rank_alpha buffered_alpha state_share alpha_change fourier_features cumulative_windows "
     "rank_ic_days rank_ic_by_horizon signal_coverage lag_autocorrelation reversal_ic reversal_periods predictability_gates predictability_audit mechanism_eval version_asof versions_per_window continuity_audit "
     "jaccard_refit ou_backtest ou_cost_ladder drawdown rolling_sharpe rolling_excess_share performance_metrics period_metrics admission_decision turnover_summary stability_summary "
     "run_correlations shrunk_covariance residual_array_audit training_origins fee_schedule round_trip_cost lot_rounding blocked_reason weight_execution trade_costs pair_series pair_signal "

@@ -1,5 +1,7 @@
 """Residuals with zero factors, rolling Ornstein-Uhlenbeck fits, rank and buffered signals, Fourier features."""
 
+import math
+
 from residua.plans.relations import step
 
 # K = 0 residual: the return itself, under the refit's eligibility rules; a period drops out if a mapped return is missing
@@ -41,9 +43,25 @@ step("buffered_alpha", """SELECT t, symbol, CAST(state AS INT) AS state, CASE WH
 step("state_share", "SELECT t, round(avg(CASE WHEN state > 0 THEN 1.0 ELSE 0 END), 9) AS long_share, round(avg(CASE WHEN state < 0 THEN 1.0 ELSE 0 END), 9) AS short_share, round(avg(CASE WHEN state = 0 THEN 1.0 ELSE 0 END), 9) AS flat_share FROM buffered WHERE member GROUP BY t")
 step("alpha_change", "SELECT t, round(moved, 6) AS mean_change, shared FROM alpha_moves")
 
-# Fourier features: 16 real and 14 imaginary parts of the transform of a cumulative 30-period window
-step("windows", """SELECT o.t, o.symbol, CAST(w.i AS INT) AS j, p.y - coalesce(o.y30, 0) AS v FROM (SELECT * FROM ou_lagged WHERE nv = 30) o CROSS JOIN <<series 30>> w JOIN ou_path p ON p.symbol = o.symbol AND p.t = o.t - 29 + w.i""")
-_WAVES = [f"sum(v * cos(2 * pi() * {k} * j / 30))" if k < 16 else f"-sum(v * sin(2 * pi() * {k - 15} * j / 30))" for k in range(30)]
-step("fourier_wide", f"SELECT t, symbol, {', '.join(f'{w} AS f{k}' for k, w in enumerate(_WAVES))} FROM windows GROUP BY t, symbol")
+# Fourier features: 16 real and 14 imaginary parts of the transform of a cumulative 30-period window, as products of the window's
+# list with fixed rows. Where the sum starts shows in the first part only, as the other rows add up to nothing
+step("windows", """SELECT t, symbol, coalesce(y30, 0) AS y0, <<collect y>> OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS ys, nv FROM ou_lagged""")
+_ROWS = [[math.cos(2 * math.pi * k * j / 30) if k < 16 else -math.sin(2 * math.pi * (k - 15) * j / 30) for j in range(30)] for k in range(30)]
+_PARTS = ", ".join(f"{{}} AS f{k}".format(f"<<dot ys ;; <<list {', '.join(f'{v:.17f}' for v in row)}>>>>" + (" - 30 * y0" if k == 0 else "")) for k, row in enumerate(_ROWS))
+step("fourier_wide", f"SELECT t, symbol, {_PARTS} FROM windows WHERE nv = 30")
 step("fourier_features", f"SELECT t, symbol, CAST(k.i AS INT) AS feature, round(CASE k.i {' '.join(f'WHEN {k} THEN f{k}' for k in range(30))} END, 6) AS value FROM fourier_wide CROSS JOIN <<series 30>> k")
-step("cumulative_windows", "SELECT t, symbol, j, round(v, 9) + 0.0 AS value FROM windows")
+step("cumulative_windows", "SELECT t, symbol, CAST(k.i AS INT) AS j, round(<<item ys ;; k.i>> - y0, 9) + 0.0 AS value FROM windows CROSS JOIN <<series 30>> k WHERE nv = 30")
+
+# The threshold backtest over long histories: rows are cut into blocks that also hold the 30 rows before, so sums and moments
+# reach no further back. A window of 30 whole residuals (a zero is a missing one) decides the next row's position.
+step("halo", "SELECT symbol, t, r, own + k AS block, k = 0 AS mine FROM (SELECT symbol, t, r, <<div t ;; 250>> AS own FROM resid) x CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) ks WHERE k = 0 OR t % 250 >= 220")
+step("halo_path", "SELECT symbol, block, mine, t, sum(coalesce(r, 0)) OVER (PARTITION BY symbol, block ORDER BY t) AS y, count(CASE WHEN r <> 0 THEN 1 END) OVER (PARTITION BY symbol, block ORDER BY t ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS nv FROM halo")
+step("halo_lagged", "SELECT *, lag(y) OVER (PARTITION BY symbol, block ORDER BY t) AS x, coalesce(lag(y, 30) OVER (PARTITION BY symbol, block ORDER BY t), 0) AS y0 FROM halo_path")
+step("halo_moments", """SELECT symbol, t, mine, nv, y - y0 AS last, regr_slope(y, x) OVER w AS b, regr_intercept(y, x) OVER w AS a, y0, regr_r2(y, x) OVER w AS r2, var_pop(y) OVER w AS vy, var_pop(x) OVER w AS vx
+  FROM halo_lagged WINDOW w AS (PARTITION BY symbol, block ORDER BY t ROWS BETWEEN 28 PRECEDING AND CURRENT ROW)""")
+step("halo_scores", """SELECT symbol, t + 1 AS t, round(((a - y0 * (1 - b)) / (1 - b + 1e-6) - last) / sqrt(vy * (1 - r2) / abs(1 - b * b + 1e-6)), 9) AS score FROM halo_moments WHERE mine AND nv = 30 AND vx > 0 AND b > 0 AND b < 1 AND r2 > 0.25 AND vy * (1 - r2) > 0""")
+step("threshold_positions", "SELECT g.t, g.symbol, coalesce(g.r, 0) AS r, CASE WHEN s.score > 1.25 THEN 1 WHEN s.score < -1.25 THEN -1 ELSE 0 END AS pos FROM resid g LEFT JOIN halo_scores s ON s.symbol = g.symbol AND s.t = g.t WHERE g.t >= 134")
+step("threshold_weights", "SELECT t, symbol, r, pos, coalesce(pos / nullif(sum(abs(pos)) OVER (PARTITION BY t), 0), 0) AS w FROM threshold_positions")
+step("threshold_days", "SELECT t, sum(w * r) AS gross, sum(abs(w - pw)) AS turnover, sum(CASE WHEN w < 0 THEN -w ELSE 0 END) AS short_share, count(CASE WHEN pos <> 0 THEN 1 END) AS active FROM (SELECT *, lag(w, 1, 0) OVER (PARTITION BY symbol ORDER BY t) AS pw FROM threshold_weights) x GROUP BY t")
+step("threshold_backtest", "SELECT t, round(gross, 9) AS gross, round(turnover, 9) AS turnover, round(short_share, 9) AS short_share, active, round(gross - 0.0005 * turnover - 0.0001 * short_share, 9) AS net FROM threshold_days")
+step("threshold_summary", "SELECT count(*) AS days, round(avg(net) * PER_YEAR, 6) AS annual_mean, round(stddev_pop(net) * sqrt(PER_YEAR), 6) AS annual_vol, round(coalesce(avg(net) / nullif(stddev_pop(net), 0), 0) * sqrt(PER_YEAR), 5) AS sharpe, round(avg(active), 6) AS mean_active FROM threshold_backtest")

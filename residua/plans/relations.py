@@ -29,6 +29,8 @@ MACROS: dict[str, dict[str, str]] = {
         "int": r"try_cast(\1 AS INT)",
         "dbl": r"try_cast(nullif(\1, '') AS DOUBLE)",
         "div": r"((\1) div (\2))",
+        "collect": r"collect_list(\1)",
+        "item": r"\1[CAST(\2 AS INT)]",
     },
     "duckdb": {
         "series": r"(SELECT range AS i FROM range(\1))",
@@ -42,6 +44,8 @@ MACROS: dict[str, dict[str, str]] = {
         "int": r"TRY_CAST(\1 AS INT)",
         "dbl": r"TRY_CAST(nullif(\1, '') AS DOUBLE)",
         "div": r"((\1) // (\2))",
+        "collect": r"list(\1)",
+        "item": r"\1[\2 + 1]",
     },
 }
 

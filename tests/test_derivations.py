@@ -101,6 +101,38 @@ def test_every_window_has_features(spark, panel):
         assert [got[k][i] for i in range(30)] == pytest.approx([*f.real, *f.imag[1:-1]], abs=2e-6)
 
 
+def test_threshold_backtest_equals_a_plain_loop(spark):
+    r = np.random.default_rng(12)
+    days, n = 560, 6  # three blocks of rows
+    price = np.zeros((days + 1, n))
+    for t in range(days):
+        price[t + 1] = 0.8 * price[t] + r.normal(0, 0.01, n)
+    residual = np.diff(price, axis=0).round(7)
+    residual[r.random((days, n)) < 0.004] = np.nan
+    residual[r.random((days, n)) < 0.004] = 0.0
+    rows = [(t, f"s{j}", None if np.isnan(residual[t, j]) else float(residual[t, j])) for t in range(days) for j in range(n)]
+    got = {x.t: x for x in relation(spark, SF, "threshold_backtest", resid=spark.createDataFrame(rows, "t int, symbol string, r double")).collect()}
+    before, traded = np.zeros(n), 0
+    assert sorted(got) == list(range(134, days))
+    for t in range(134, days):
+        p = np.zeros(n)
+        for j in range(n):
+            h = residual[t - 30 : t, j]
+            if np.isfinite(h).all() and (h != 0).all():
+                y = np.cumsum(h)
+                b, a = np.polyfit(y[:-1], y[1:], 1)
+                noise, fit = (y[1:] - a - b * y[:-1]).var(), np.corrcoef(y[:-1], y[1:])[0, 1] ** 2
+                if 0 < b < 1 and fit > 0.25 and noise > 0:
+                    z = (a / (1 - b + 1e-6) - y[-1]) / np.sqrt(noise / abs(1 - b * b + 1e-6))
+                    p[j] = 1 if z > 1.25 else -1 if z < -1.25 else 0
+        w = p / np.abs(p).sum() if p.any() else p
+        x = got[t]
+        turnover, short, gross = np.abs(w - before).sum(), np.maximum(-w, 0).sum(), w @ np.nan_to_num(residual[t])
+        assert (x.gross, x.turnover, x.short_share, x.net) == pytest.approx((gross, turnover, short, gross - 0.0005 * turnover - 0.0001 * short), abs=2e-9) and x.active == np.abs(p).sum()
+        before, traded = w, traded + x.active
+    assert traded > 50
+
+
 def test_daily_residuals_equal_a_plain_loop(spark):
     from residua.operators.grouped import factor_map
     from residua.operators.factors import comparison_summary, daily_residuals, definition_comparison, ou_backtest, ou_stock_alpha, positions_of
