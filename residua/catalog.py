@@ -16,7 +16,7 @@ RELATIONAL = (
     "rank_ic_days rank_ic_by_horizon signal_coverage lag_autocorrelation reversal_ic reversal_periods predictability_gates predictability_audit mechanism_eval version_asof versions_per_window continuity_audit "
     "jaccard_refit ou_backtest ou_cost_ladder drawdown rolling_sharpe rolling_excess_share performance_metrics period_metrics admission_decision turnover_summary stability_summary "
     "run_correlations shrunk_covariance residual_array_audit training_origins fee_schedule round_trip_cost lot_rounding blocked_reason weight_execution trade_costs pair_series pair_signal "
-    "pair_backtest pair_cost_ladder pair_period_stability tfidf_terms tfidf_norms tfidf_search evidence_collect rule_spec embedding_topk active_foundations invalid_methods hypothesis_ledger "
+    "pair_backtest pair_cost_ladder pair_period_stability tfidf_terms tfidf_norms tfidf_search evidence_collect rule_spec evidence_spec embedding_topk active_foundations invalid_methods hypothesis_ledger "
     "protocol_audit hypothesis_states diagnostic_verdict direction_tool tool_plan result_interpretation event_props"
 ).split()
 

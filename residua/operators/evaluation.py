@@ -100,11 +100,14 @@ step("gate_rows", """SELECT period, 'gross excess' AS gate, gross_excess > 0 AS
 step("admission_decision", "SELECT min(CASE WHEN passed THEN 1 ELSE 0 END) = 1 AS admitted, coalesce(<<join CASE WHEN NOT passed THEN period || ':' || gate END>>, '') AS failed_gates, CASE WHEN min(CASE WHEN passed THEN 1 ELSE 0 END) = 1 THEN 'run_holdout_once' ELSE 'keep_holdout_sealed' END AS holdout_action FROM gate_rows")
 step("turnover_summary", "SELECT count(*) AS days, CAST(sum(CASE WHEN turnover > 1e-12 THEN 1 ELSE 0 END) AS BIGINT) AS trade_days, round(avg(turnover), 6) AS mean_turnover, round(avg(turnover) * PER_YEAR, 5) AS annual_turnover, round(avg(CASE WHEN turnover > 1e-12 THEN turnover END), 6) AS mean_on_trade_days, round(max(turnover), 6) AS max_turnover FROM bt_days")
 
-step("blocks", "SELECT floor(t / 25) AS origin, avg(gross) * PER_YEAR AS mean_ret, coalesce(avg(gross) / nullif(stddev_pop(gross), 0), 0) * sqrt(PER_YEAR) AS sharpe, sum(gross) AS contribution, row_number() OVER (ORDER BY floor(t / 25)) AS pos, count(*) OVER () AS n FROM bt_days GROUP BY floor(t / 25)")
+# Blocks of 25 rows stand for test windows; the score in training is the Sharpe ratio of the 100 rows before, from their moments
+step("block_sums", "SELECT <<div t ;; 25>> AS origin, avg(gross) * PER_YEAR AS mean_ret, coalesce(avg(gross) / nullif(stddev_pop(gross), 0), 0) * sqrt(PER_YEAR) AS sharpe, sum(gross) AS contribution, sum(gross * gross) AS squares, count(*) AS days FROM bt_days GROUP BY <<div t ;; 25>>")
+step("block_before", "SELECT *, sum(contribution) OVER w AS s1, sum(squares) OVER w AS s2, sum(days) OVER w AS nd, count(*) OVER w AS nb, row_number() OVER (ORDER BY origin) AS pos, count(*) OVER () AS n FROM block_sums WINDOW w AS (ORDER BY origin ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)")
+step("blocks", "SELECT *, CASE WHEN nb = 4 AND s2 / nd - (s1 / nd) * (s1 / nd) > 1e-18 THEN s1 / nd / sqrt(s2 / nd - (s1 / nd) * (s1 / nd)) END AS train_score FROM block_before")
 step("block_ranks", "SELECT *, row_number() OVER (ORDER BY contribution DESC, origin) AS rk FROM blocks")
 step("stability_summary", """SELECT count(*) AS windows, round(avg(sharpe), 5) AS mean_sharpe, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY sharpe), 5) AS q25, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY sharpe), 5) AS q50, round(percentile_cont(0.75) WITHIN GROUP (ORDER BY sharpe), 5) AS q75,
   round(avg(CASE WHEN pos <= floor((n + 1) / 2) THEN sharpe END), 5) AS early, round(avg(CASE WHEN pos > floor((n + 1) / 2) THEN sharpe END), 5) AS late, round(sum(CASE WHEN rk <= 3 THEN contribution ELSE 0 END) / nullif(sum(contribution), 0), 4) AS top3_share, round(sum(CASE WHEN rk <= 5 THEN contribution ELSE 0 END) / nullif(sum(contribution), 0), 4) AS top5_share,
-  CAST(max_by(origin, sharpe) AS BIGINT) AS best_origin, CAST(min_by(origin, sharpe) AS BIGINT) AS worst_origin, round(corr(sharpe, mean_ret), 5) AS score_corr FROM block_ranks""")
+  CAST(max_by(origin, sharpe) AS BIGINT) AS best_origin, CAST(min_by(origin, sharpe) AS BIGINT) AS worst_origin, round(corr(CASE WHEN train_score IS NOT NULL THEN sharpe END, train_score), 5) AS score_corr FROM block_ranks""")
 step("model_days", "SELECT 'ou' AS model, t, gross AS r FROM bt_days UNION ALL SELECT 'rank', t, strategy FROM scaled UNION ALL SELECT 'mechanism', t, ret FROM mechanism_days WHERE dir = 1")
 step("run_correlations", "SELECT a.model AS model_a, b.model AS model_b, count(*) AS days, round(corr(a.r, b.r), 6) AS correlation FROM model_days a JOIN model_days b ON a.t = b.t AND a.model < b.model GROUP BY a.model, b.model")
 # Ranges of t meet by bins as long as the range, so each date meets two of them by an equality; the exact bounds come after

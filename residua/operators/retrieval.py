@@ -18,7 +18,11 @@ step("tfidf_terms", "SELECT term, df, round(idf, 6) AS idf FROM idf")
 step("tfidf_norms", "SELECT doc_id, round(norm, 5) AS norm FROM norms")
 step("tfidf_search", "SELECT q, doc_id, round(score, 6) AS score, rk FROM hits WHERE rk <= 5")
 step("evidence_collect", "SELECT doc_id, q, rk FROM (SELECT *, row_number() OVER (ORDER BY q, rk) AS pos FROM (SELECT doc_id, q, rk, row_number() OVER (PARTITION BY doc_id ORDER BY q, rk) AS first FROM hits WHERE rk <= 3) x WHERE first = 1) y WHERE pos <= 10")
-step("rule_spec", "SELECT doc_id, <<has lower(text) ;; 'transaction'>> OR <<has lower(text) ;; 'cost'>> AS mentions_cost, <<has lower(text) ;; 'license'>> AS mentions_license, CASE WHEN <<has lower(text) ;; 'mean reversion'>> THEN 'mean_reversion' WHEN <<has lower(text) ;; 'momentum'>> THEN 'momentum' ELSE 'unspecified' END AS family, CASE WHEN length(trim(<<flat text>>)) > 220 THEN substring(trim(<<flat text>>), 1, 220) || '...' ELSE trim(<<flat text>>) END AS snippet FROM documents")
+# What a text says of its method, by words. The words, and the metrics that are always asked for
+_SPEC = """<<has {0} ;; 'statistical arbitrage'>> AS names_statistical_arbitrage, CASE WHEN <<has {0} ;; 'transaction'>> OR <<has {0} ;; 'cost'>> THEN 'Sharpe ratio,annual return,maximum drawdown,turnover,transaction cost sensitivity' ELSE 'Sharpe ratio,annual return,maximum drawdown,turnover' END AS metrics,
+  CASE WHEN <<has {0} ;; 'transformer'>> OR <<has {0} ;; 'cnn'>> THEN 'deep_learning_with_baseline_fallback' ELSE 'mean_reversion_baseline' END AS signal_method"""
+step("rule_spec", f"SELECT doc_id, {_SPEC.format('lower(text)')}, CASE WHEN length(trim(<<flat text>>)) > 220 THEN substring(trim(<<flat text>>), 1, 220) || '...' ELSE trim(<<flat text>>) END AS claim FROM documents")
+step("evidence_spec", """SELECT max(names_statistical_arbitrage) AS names_statistical_arbitrage, max(metrics) AS metrics, min(signal_method) AS signal_method, count(*) AS documents FROM rule_spec s JOIN evidence_collect e ON e.doc_id = s.doc_id""")
 step("embedding_topk", "SELECT q, vec_id, round(score, 5) AS score, rk FROM (SELECT q, vec_id, score, row_number() OVER (PARTITION BY q ORDER BY round(score, 7) DESC, vec_id) AS rk FROM (SELECT a.vec_id AS q, b.vec_id, <<dot a.embedding ;; b.embedding>> AS score FROM embeddings b JOIN (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) a ON a.vec_id <> b.vec_id) y) x WHERE rk <= 10")
 
 # Research logs, read from events: a user's events in order are the steps of one run. Phases by event type

@@ -95,6 +95,13 @@ def relation(spark: SparkSession, sf_dir: str, name: str, **frames: DataFrame) -
     Base tables are read as Parquet scans, so column pruning and filters reach the files. Without own frames, the steps in
     KEPT that this one needs are written once and read back.
     """
+    if name not in STEPS:
+        raise KeyError(f"{name} is no step")
+    for given, df in frames.items():
+        if given not in STEPS and given not in TABLES:
+            raise ValueError(f"{given} is neither a table nor a step")
+        if not isinstance(df, DataFrame):
+            raise TypeError(f"{given} must be a DataFrame")
     own = dict(frames)
     if not frames:
         needs = _needs(name, [])

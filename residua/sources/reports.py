@@ -67,9 +67,44 @@ def markdown_table(df: DataFrame, title: str, limit: int = 1000) -> str:
     return "\n".join([*lines, *["| " + " | ".join(show(v) for v in r) + " |" for r in rows]]) + "\n"
 
 
-def resumed(spark: SparkSession, folder: str, config: dict, origins: list[int], run) -> DataFrame:
-    """Results of run(missing origins) kept per origin below folder; a second call computes only what is missing. A folder
-    that was begun with another configuration is refused."""
+def report(title: str, tables: dict[str, DataFrame], notes: dict[str, list[str]] | None = None, limit: int = 1000) -> str:
+    """A Markdown report: a heading, and for each table its section, headed by its notes."""
+    parts = [f"# {title}"]
+    for name, df in tables.items():
+        lines = [f"- {n}" for n in (notes or {}).get(name, [])]
+        heading, _, body = markdown_table(df, name, limit).partition("\n")
+        parts.append("\n".join([heading, *(["", *lines] if lines else []), body.rstrip("\n")]))
+    return "\n\n".join(parts) + "\n"
+
+
+def pair_report(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
+    """What the pairs' backtests say: figures, costs, periods, what was concluded, and what is to be run next. Written to path if one is given."""
+    from residua.plans.relations import relation
+
+    steps = {"Backtest": "pair_backtest", "Costs": "pair_cost_ladder", "Periods": "pair_period_stability", "Interpretation": "result_interpretation", "Next checks": "tool_plan"}
+    tables = {name: relation(spark, sf_dir, s).orderBy("pair") for name, s in steps.items()}
+    text = report("Pairs", tables, {"Interpretation": ["No parameter was searched and no holdout opened."]}, limit=100_000)
+    if path:
+        write_text(spark, path, text)
+    return text
+
+
+def diagnostic_report(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
+    """What the residual diagnostic says: direction, mechanism, continuity, predictability, hypotheses and verdict."""
+    from residua.plans.relations import relation
+
+    steps = {"Direction": "direction_tool", "Mechanism": "mechanism_eval", "Continuity": "continuity_audit", "Predictability": "predictability_audit", "Hypotheses": "hypothesis_states", "Verdict": "diagnostic_verdict"}
+    tables = {name: relation(spark, sf_dir, s) for name, s in steps.items()}
+    tables["Hypotheses"] = tables["Hypotheses"].orderBy("id")
+    text = report("Residual diagnostic", tables, {"Mechanism": ["A test in residual space: no execution, no search, no holdout."]})
+    if path:
+        write_text(spark, path, text)
+    return text
+
+
+def resumed(spark: SparkSession, folder: str, config: dict, origins: list[int], run, block: int = 16) -> DataFrame:
+    """Results of run(missing origins) kept per origin below folder; a second call computes only what is missing, `block`
+    origins a job. An origin counts once its mark stands. A folder that was begun with another configuration is refused."""
     target, fs = _path(spark, f"{folder}/config.json")
     text = json.dumps(config, sort_keys=True, default=str)
     if fs.exists(target):
@@ -77,10 +112,10 @@ def resumed(spark: SparkSession, folder: str, config: dict, origins: list[int],
             raise ValueError(f"{folder} holds results of another configuration")
     else:
         write_text(spark, f"{folder}/config.json", text)
-    done = set()
-    for o in origins:
-        mark, _ = _path(spark, f"{folder}/origin={o}/_SUCCESS")
-        done |= {o} if fs.exists(mark) else set()
-    for o in [o for o in origins if o not in done]:
-        run([o]).where(F.col("origin") == o).drop("origin").write.mode("overwrite").parquet(f"{folder}/origin={o}")
-    return spark.read.option("basePath", folder).parquet(*[f"{folder}/origin={o}" for o in origins])
+    missing = [o for o in origins if not fs.exists(_path(spark, f"{folder}/done/{o}")[0])]
+    for part in (missing[lo : lo + block] for lo in range(0, len(missing), block)):
+        rows = run(part).where(F.col("origin").isin(part))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("origin").parquet(f"{folder}/results")
+        for o in part:
+            write_text(spark, f"{folder}/done/{o}", "")
+    return spark.read.parquet(f"{folder}/results").where(F.col("origin").isin(origins))
