@@ -1,7 +1,8 @@
 """Interpolated modified Kneser-Ney model over byte n-grams: counted, smoothed and joined by Spark.
 
-An n-gram of order k is one long: 23 bits of the language's CRC above k bytes. Orders 1 to ORDER are tables sorted by
-that key. Counting and scoring read texts in Arrow batches; smoothing is DataFrame work on distinct n-grams.
+An n-gram of order k is one long: 23 bits of the language's CRC above k bytes. Counting and scoring read texts in Arrow
+batches; smoothing is DataFrame work on distinct n-grams. The model is stored as sorted arrays, a row per shard: an n-gram's
+shard hangs on its language and the two bytes before its last, so all orders that score one n-gram lie in one shard.
 """
 
 from __future__ import annotations
@@ -147,19 +148,85 @@ def _ending(key: Column, n: int) -> Column:
     return F.shiftleft(F.shiftright(key, 8 * ORDER), 8 * n).bitwiseOR(key.bitwiseAND(F.lit((1 << (8 * n)) - 1).cast("long")))
 
 
+#: Distinct n-grams of a shard, and the least number of shards.
+SHARD_ROWS, SHARDS = 200_000, 256
+_LOW = {k: np.int64((1 << (8 * k)) - 1) for k in range(1, ORDER)}
+
+
+def _shard(key: Column, k: int, shards: int) -> Column:
+    """Where a k-gram lies (k of 3 or more): by its language and the two bytes before its last one, which the n-grams of all
+    orders and their contexts share that one ORDER-gram is scored by."""
+    return F.pmod(F.xxhash64(F.shiftright(key, 8 * k), F.shiftright(key, 8).bitwiseAND(F.lit(0xFFFF).cast("long"))), F.lit(shards)).cast("int")
+
+
+def _pairs(group: pa.Table) -> pa.Table:
+    """One language's n-grams of one and two bytes (at most 65,792 rows) as the probability of every byte after every byte."""
+    k, key, seen, tot, mass = (group.column(c).to_numpy() for c in ("k", "key", "seen", "tot", "mass"))
+    single, lang = k == 1, int(key[0] >> (8 * int(k[0])))
+    first = np.full(256, mass[single][0] / 256)
+    first[key[single] & 255] += seen[single]
+    first /= tot[single][0]
+    own, sums, rest = np.zeros((256, 256)), np.ones(256), np.ones(256)  # a byte never followed leaves the single byte's chance
+    before = (key[~single] >> 8) & 255
+    own[before, key[~single] & 255], sums[before], rest[before] = seen[~single], tot[~single], mass[~single]
+    p = (own + rest[:, None] * first) / sums[:, None]
+    return pa.table({"pair": (np.int64(lang) << np.int64(16)) | np.arange(1 << 16, dtype=np.int64), "p": p.ravel()})
+
+
+def _packed(group: pa.Table) -> pa.Table:
+    """The shard's n-grams of each order from 3 up as sorted arrays, contexts with their sums beside them."""
+    row: dict = {"shard": pa.array([group.column("shard")[0].as_py()], pa.int32())}
+    order, key, ctx, seen, tot, mass = (group.column(c).to_numpy() for c in ("k", "key", "ctx", "seen", "tot", "mass"))
+    for k in range(3, ORDER + 1):
+        at = np.flatnonzero(order == k)
+        at = at[np.argsort(key[at], kind="stable")]
+        first = np.flatnonzero(np.concatenate(([True], ctx[at][1:] != ctx[at][:-1]))) if len(at) else at  # keys in order have contexts in order
+        for name, values in (("key", key[at]), ("seen", seen[at]), ("ctx", ctx[at][first]), ("tot", tot[at][first]), ("mass", mass[at][first])):
+            row[f"{name}{k}"] = pa.array([values], pa.list_(pa.int64() if name in ("key", "ctx") else pa.float64()))
+    return pa.table(row)
+
+
+def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, found) of wanted among sorted_keys."""
+    at = np.minimum(np.searchsorted(sorted_keys, wanted), max(len(sorted_keys) - 1, 0))
+    return at, (sorted_keys[at] == wanted) if len(sorted_keys) else np.zeros(len(wanted), bool)
+
+
+def _looked_up(need: pa.Table, store: pa.Table) -> pa.Table:
+    """The shard's asked ORDER-grams through its arrays, one order after the other: an order whose context was never seen is left out."""
+    key, p = need.column("key").to_numpy(), need.column("p").to_numpy()
+    for k in range(3, ORDER + 1) if store.num_rows else ():
+        held = {n: store.column(f"{n}{k}").chunk(0).flatten().to_numpy() for n in ("key", "seen", "ctx", "tot", "mass")}
+        gram = key if k == ORDER else ((key >> (8 * ORDER)) << (8 * k)) | (key & _LOW[k])
+        at, known = _find(held["key"], gram)
+        place, after = _find(held["ctx"], gram >> 8)
+        if len(held["key"]):
+            seen = np.where(known, held["seen"][at], 0.0)
+            p = np.where(after, (seen + held["mass"][place] * p) / held["tot"][place], p)
+    return pa.table({"key": key, "logp": np.log(p)})
+
+
+def store(stats: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
+    """Two written tables of the model: (pair, p), the chance of each byte after each byte of a language, and one row per shard
+    with the n-grams of three bytes and more as sorted arrays."""
+    pairs = stats.where("k <= 2").withColumn("lang", F.expr("shiftright(key, 8 * k)")).groupBy("lang").applyInArrow(_pairs, "pair long, p double")
+    place = reduce(lambda other, k: F.when(F.col("k") == k, _shard(F.col("key"), k, shards)).otherwise(other), range(3, ORDER), _shard(F.col("key"), ORDER, shards))
+    ddl = "shard int, " + ", ".join(f"key{k} array<long>, seen{k} array<double>, ctx{k} array<long>, tot{k} array<double>, mass{k} array<double>" for k in range(3, ORDER + 1))
+    return written(pairs, "pairs"), written(stats.where("k > 2").withColumn("shard", place).groupBy("shard").applyInArrow(_packed, ddl), "store")
+
+
 def resolve(need: DataFrame, stats: DataFrame) -> DataFrame:
-    """A written table (key, logp) of every key in need, sorted by key within shards: interpolated from uniform bytes up,
-    an order whose context was never seen being left out."""
-    rows = need.select("key", F.lit(1 / 256).alias("p"))
-    for k in range(1, ORDER + 1):
-        level = stats.where(F.col("k") == k)
-        own, context = level.select(F.col("key").alias("_g"), "seen"), level.groupBy(F.col("ctx").alias("_x")).agg(F.min("tot").alias("tot"), F.min("mass").alias("mass"))
-        if k <= 2:  # single bytes and pairs: at most 65,792 rows a language, and hot keys for a shuffle
-            own, context = checked(own), checked(context)
-        rows = rows.withColumn("_gram", _ending(F.col("key"), k)).join(own, F.col("_gram") == F.col("_g"), "left").drop("_g")
-        rows = rows.withColumn("_ctx", F.shiftright("_gram", 8)).join(context, F.col("_ctx") == F.col("_x"), "left")
-        rows = rows.select("key", F.coalesce((F.coalesce("seen", F.lit(0.0)) + F.col("mass") * F.col("p")) / F.col("tot"), "p").alias("p"))
-    return written(rows.select("key", F.log("p").alias("logp")).sortWithinPartitions("key"), "resolved")
+    """A written table (key, logp) of every key in need: interpolated from uniform bytes up, an order whose context was never
+    seen being left out. The asked n-grams meet the pairs' table once and their shard's arrays once. stats is deleted as soon
+    as the arrays are written."""
+    shards = max(SHARDS, -(-(need.count() + stats.count()) // SHARD_ROWS))
+    pairs, arrays = store(stats, shards)
+    discard(stats)
+    asked = need.select("key", _ending(F.col("key"), 2).alias("_pair"), _shard(F.col("key"), ORDER, shards).alias("shard"))
+    asked = asked.join(checked(pairs), F.col("_pair") == F.col("pair"), "left").select("shard", "key", F.coalesce("p", F.lit(1 / 256)).alias("p"))
+    out = written(asked.groupBy("shard").cogroup(arrays.groupBy("shard")).applyInArrow(_looked_up, "key long, logp double"), "resolved")
+    discard(pairs, arrays)
+    return out
 
 
 def resolved(trusted: DataFrame, docs: DataFrame, train_lang: str = "lang", ask_lang: str = "lang") -> DataFrame:
@@ -170,7 +237,7 @@ def resolved(trusted: DataFrame, docs: DataFrame, train_lang: str = "lang", ask_
     discard(counts)
     need = written(count_ngrams(docs, lang_col=ask_lang).select("key"), "need")
     table = resolve(need, stats)
-    discard(need, stats)
+    discard(need)
     return table
 
 
