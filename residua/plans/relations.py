@@ -109,7 +109,7 @@ def relation(spark: SparkSession, sf_dir: str, name: str, **frames: DataFrame) -
         inner = {d for k in used for d in _needs(k, []) if d != k and d in used}  # reached through other kept steps only?
         direct = used - inner | {d for d in inner if _reaches(name, d, used)}
         own = {k: stored(spark, sf_dir, k, lambda k=k: relation(spark, sf_dir, k)) for k in sorted(direct)}
-        if name in KEPT and (spark.sparkContext.applicationId, sf_dir, name) in store._TABLES:
+        if name in KEPT and store.known(spark, sf_dir, name):
             return stored(spark, sf_dir, name, None)
     sql = render_with(name, set(own))
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if t not in own and re.search(rf"\b(FROM|JOIN)\s+{t}\b", sql)}

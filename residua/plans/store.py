@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_TABLES: dict[tuple[str, str, str], tuple[str, object]] = {}
+_TABLES: dict[tuple, tuple[str, object]] = {}
+
+
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """What lies in a folder, by name, length and time: another state asks for other tables."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return ()
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)))
+
+
+def key_of(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    return spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir), name
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,21 +36,34 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def known(spark: SparkSession, sf_dir: str, name: str) -> bool:
+    """Whether the step's table is written for the folder as it is now."""
+    return key_of(spark, sf_dir, name) in _TABLES
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str, plan) -> DataFrame:
-    """The step's table; plan() is run and written where this application has not yet done so for sf_dir. The folder's
-    tables must not change meanwhile; forget() starts anew."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """The step's table; plan() is run and written where this application has not yet done so for sf_dir as it is now. Tables
+    of an earlier state of the folder are deleted then. All go with the application."""
+    key = key_of(spark, sf_dir, name)
     if key not in _TABLES:
         df = plan()
         path = f"{shared_folder(spark)}/steps/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
+        _drop(spark, [k for k in _TABLES if (k[0], k[1], k[3]) == (key[0], key[1], key[3])])
         _TABLES[key] = path, df.schema
+        atexit.register(forget, spark) if len(_TABLES) == 1 else None
     path, schema = _TABLES[key]
     return spark.read.schema(schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> None:
-    """Deletes all written steps of this application."""
-    for key in [k for k in _TABLES if k[0] == spark.sparkContext.applicationId]:
+def _drop(spark: SparkSession, keys: list[tuple]) -> None:
+    for key in keys:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_TABLES.pop(key)[0])
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes all written steps of this application, if it still runs."""
+    context = spark.sparkContext
+    if context._jsc is not None and not context._jsc.sc().isStopped():
+        _drop(spark, [k for k in _TABLES if k[0] == context.applicationId])

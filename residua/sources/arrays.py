@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -206,6 +207,17 @@ def read_array(spark: SparkSession, path: str, *, zero_is_missing: bool = True,
     return spark.read.format("npy").option("blockBytes", block_bytes).option("zeroIsMissing", str(zero_is_missing).lower()).load(path)
 
 
+def array_audit(spark: SparkSession, path: str) -> DataFrame:
+    """(path, rows, columns, dtype, finite_share, zero_share, std_nonzero) of the two-dimensional arrays below path: shape and type
+    from the headers, shares of zeros among the finite cells, the deviation of the finite cells that are not zero."""
+    heads = [(file, *a.shape, np.dtype(a.dtype).name) for file in _files(path, (".npy", ".npy.gz")) for a in layouts(file)]
+    shapes = spark.createDataFrame(heads, "path string, rows long, columns long, dtype string")
+    nonzero = F.when(F.col("residual") != 0, F.col("residual"))
+    sums = read_array(spark, path, zero_is_missing=False).groupBy("path").agg(F.count(F.lit(1)).alias("finite"), F.count(F.when(F.col("residual") == 0, 1)).alias("zeros"), F.stddev_pop(nonzero).alias("std_nonzero"))
+    finite = F.coalesce("finite", F.lit(0))
+    return shapes.join(sums, "path", "left").select("path", "rows", "columns", "dtype", F.try_divide(finite, F.col("rows") * F.col("columns")).alias("finite_share"), F.try_divide("zeros", "finite").alias("zero_share"), "std_nonzero")
+
+
 class PanelReader(_Reader):
     def arrays(self, path: str) -> list[Layout]:
         """The panel's matrices; dates and symbols are read apart."""

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from residua.sources.arrays import ArraySource, blocks, layouts, read_array
+from residua.sources.arrays import ArraySource, array_audit, blocks, layouts, read_array
 from residua.sources.panels import FIELDS, load_arrays
 
 
@@ -67,3 +67,13 @@ def test_panels(spark, tmp_path, save):
     save(tmp_path / "bad.npz", dates=dates, symbols=np.array(["a"]))
     with pytest.raises(Exception, match="lacks"):
         load_arrays(spark, f"{tmp_path}/bad.npz").collect()
+
+
+def test_audit(spark, tmp_path):
+    a = np.array([[1.0, 0.0, np.nan], [3.0, -1.0, np.inf]], np.float32)
+    np.save(tmp_path / "a.npy", a)
+    np.save(tmp_path / "b.npy", np.full((2, 2), np.nan))
+    got = {r.path.rsplit("/", 1)[1]: r for r in array_audit(spark, f"file://{tmp_path}").collect()}
+    assert (got["a.npy"].rows, got["a.npy"].columns, got["a.npy"].dtype) == (2, 3, "float32")
+    assert (got["a.npy"].finite_share, got["a.npy"].zero_share, got["a.npy"].std_nonzero) == pytest.approx((4 / 6, 0.25, np.std([1, 3, -1])))
+    assert got["b.npy"].finite_share == 0 and got["b.npy"].zero_share is None

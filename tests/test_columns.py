@@ -60,3 +60,16 @@ def test_relation_checks_what_it_is_given(spark):
         relation(spark, SF, "event_props", event=spark.range(1))
     with pytest.raises(TypeError, match="DataFrame"):
         relation(spark, SF, "event_props", events=[1])
+
+
+def test_rewritten_tables_give_new_answers(spark, tmp_path):
+    def write(n):
+        import duckdb
+
+        duckdb.connect().execute(f"COPY (SELECT * FROM '{SF}/lineitem.parquet' LIMIT {n}) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+
+    write(500)
+    first = relation(spark, str(tmp_path), "panel_build").count()
+    assert first == relation(spark, str(tmp_path), "panel_build").count()
+    write(50)
+    assert relation(spark, str(tmp_path), "panel_build").count() < first
