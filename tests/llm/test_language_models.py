@@ -236,3 +236,32 @@ def test_toxicity_equals_a_plain_computation():
                 break
     assert knots.tolist() == pytest.approx([np.mean(v) for v, _ in pools])
     assert values.tolist() == pytest.approx([(sum(t) + 0.5 / 400) / (len(t) + 1 / 400) for _, t in pools])
+
+
+def test_trusted_thresholds_by_plain_quantiles(spark):
+    """Thresholds and verdicts recomputed from the scores: quartiles of the trusted texts' different (score, size), by language."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1")
+    got = {r.doc_id: r for r in trusted_perplexity(docs, labels).collect()}
+    rows = {r.doc_id: (r.lang, len((r.text or "").encode())) for r in docs.collect()}
+    good = {r.doc_id for r in labels.collect()} & set(rows)
+    assert set(got) == set(rows) and {i for i, r in got.items() if r.trusted} == good
+
+    def quartiles(ids):
+        values = sorted(round(v, 3) for v, _ in {(round(-got[i].log_ppl, 6), rows[i][1]) for i in ids if got[i].log_ppl is not None})
+        at = lambda q: next(v for n, v in enumerate(values, 1) if n >= q * len(values))
+        return (at(0.25), at(0.75)) if values else None
+
+    languages = {lang for lang, _ in rows.values()}
+    known = {x: quartiles([i for i in good if rows[i][0] == x]) for x in languages}
+    everywhere, seen = quartiles(good), set()
+    for i, r in got.items():
+        lang, size = rows[i]
+        low, high = known[lang] or everywhere
+        width = max(4.0 * (high - low), 0.2) * math.sqrt(1 + 300 / max(size, 1))
+        assert r.threshold == pytest.approx(-low + width, abs=2e-3)
+        want = r.log_ppl is not None and r.log_ppl <= r.threshold
+        assert r.kept == want
+        seen.add((r.kept, r.trusted))
+    assert seen >= {(True, True), (True, False), (False, False)}
