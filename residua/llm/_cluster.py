@@ -59,14 +59,19 @@ def released(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            give_back()
 
     return task
 
 
+def give_back() -> None:
+    """What this worker no longer uses goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what written() wrote for them, once nothing lazy reads it any more.
 

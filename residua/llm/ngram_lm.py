@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._cluster import checked, discard, released, written
+from ._cluster import checked, discard, give_back, released, written
 from ._units import groups
 
 ORDER = 5
@@ -182,7 +182,8 @@ def _packed(group: pa.Table) -> pa.Table:
         at = at[np.argsort(key[at], kind="stable")]
         first = np.flatnonzero(np.concatenate(([True], ctx[at][1:] != ctx[at][:-1]))) if len(at) else at  # keys in order have contexts in order
         for name, values in (("key", key[at]), ("seen", seen[at]), ("ctx", ctx[at][first]), ("tot", tot[at][first]), ("mass", mass[at][first])):
-            row[f"{name}{k}"] = pa.array([values], pa.list_(pa.int64() if name in ("key", "ctx") else pa.float64()))
+            row[f"{name}{k}"] = pa.array([values.tobytes()], pa.binary())
+    give_back()
     return pa.table(row)
 
 
@@ -196,7 +197,7 @@ def _looked_up(need: pa.Table, store: pa.Table) -> pa.Table:
     """The shard's asked ORDER-grams through its arrays, one order after the other: an order whose context was never seen is left out."""
     key, p = need.column("key").to_numpy(), need.column("p").to_numpy()
     for k in range(3, ORDER + 1) if store.num_rows else ():
-        held = {n: store.column(f"{n}{k}").chunk(0).flatten().to_numpy() for n in ("key", "seen", "ctx", "tot", "mass")}
+        held = {n: np.frombuffer(store.column(f"{n}{k}")[0].as_buffer(), np.int64 if n in ("key", "ctx") else np.float64) for n in ("key", "seen", "ctx", "tot", "mass")}
         gram = key if k == ORDER else ((key >> (8 * ORDER)) << (8 * k)) | (key & _LOW[k])
         at, known = _find(held["key"], gram)
         place, after = _find(held["ctx"], gram >> 8)
@@ -211,7 +212,7 @@ def store(stats: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
     with the n-grams of three bytes and more as sorted arrays."""
     pairs = stats.where("k <= 2").withColumn("lang", F.expr("shiftright(key, 8 * k)")).groupBy("lang").applyInArrow(_pairs, "pair long, p double")
     place = reduce(lambda other, k: F.when(F.col("k") == k, _shard(F.col("key"), k, shards)).otherwise(other), range(3, ORDER), _shard(F.col("key"), ORDER, shards))
-    ddl = "shard int, " + ", ".join(f"key{k} array<long>, seen{k} array<double>, ctx{k} array<long>, tot{k} array<double>, mass{k} array<double>" for k in range(3, ORDER + 1))
+    ddl = "shard int, " + ", ".join(f"{name}{k} binary" for k in range(3, ORDER + 1) for name in ("key", "seen", "ctx", "tot", "mass"))
     return written(pairs, "pairs"), written(stats.where("k > 2").withColumn("shard", place).groupBy("shard").applyInArrow(_packed, ddl), "store")
 
 
@@ -315,6 +316,7 @@ def score(docs: DataFrame, table: DataFrame, keep: list[str], text_col: str = "t
                     tally.add(keys)
         got = tally.take()
         keys = got[0] if got else np.empty(0, np.int64)
+        give_back()
         return pa.table({"_chunk": pa.array(np.full(len(keys), group.column("_chunk")[0].as_py(), np.int32)), "key": pa.array(keys)})
 
     answers = dealt.groupBy("_chunk").applyInArrow(wanted, "_chunk int, key long").join(table.select("key", F.col("logp").cast("float").alias("logp")), "key")
@@ -326,6 +328,7 @@ def score(docs: DataFrame, table: DataFrame, keep: list[str], text_col: str = "t
         for batch in _unpacked(group):
             new = _rows(batch.column(len(keep)), batch.column(len(keep) + 1), keys, logp, facts)
             parts.append(pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], names))
+        give_back()
         return pa.Table.from_batches(parts)
 
     return dealt.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(scored, ddl)
