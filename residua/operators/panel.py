@@ -1,6 +1,6 @@
 """The (period, symbol) panel: dense grid, forward fill, point-in-time membership, limits and returns."""
 
-from residua.plans.relations import step
+from residua.plans.relations import STEPS, lean, step
 
 # ---- grid and fills: a symbol is one of a supplier's three share classes under its board's prefix, a row a week, so a year
 # is 52 rows; calendar rows, not rows present, are what lags and windows count. Money is summed in whole cents and prices are
@@ -66,3 +66,12 @@ step("fill_limited", """SELECT t, symbol, round(CASE WHEN t - last_t <= 120 THEN
 step("dedupe_keep_last", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC) AS rn FROM lineitem) x WHERE rn = 1")
 step("string_bars", "SELECT CAST(t AS STRING) AS ts, symbol, CASE WHEN paused THEN '' ELSE CAST(round(volume, 2) AS STRING) END AS volume, CASE WHEN paused THEN '0' ELSE '1' END AS tradestatus FROM prices")
 step("coerce_strings", "SELECT <<int ts>> AS t, symbol, <<dbl volume>> AS volume FROM string_bars WHERE tradestatus = '1'")
+
+# How Spark runs these: a fill is the last price so far, in the order that the rows are in; what a bucket of symbols is joined
+# with is looked up within the bucket
+lean("dense", STEPS["dense"].replace("SELECT c.t", "SELECT /*+ SHUFFLE_HASH(x) */ c.t", 1))
+lean("prices", """SELECT t, d, mi, symbol, CAST(volume AS DOUBLE) AS volume, money_cents, money_cents / 100.0 AS money, paused, seen.c / 100.0 AS close_price, seen.o / 100.0 AS open_price, symbol LIKE '%7' AND t % 40 < 5 AS is_st FROM
+  (SELECT *, last_value(CASE WHEN close_cents IS NOT NULL THEN struct(close_cents AS c, open_cents AS o) END) IGNORE NULLS OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen FROM dense) x""")
+lean("panel", STEPS["panel"].replace("SELECT p.t", "SELECT /*+ SHUFFLE_HASH(m) */ p.t", 1))
+lean("ranked_months", "SELECT symbol, mi, mm, row_number() OVER (PARTITION BY mi ORDER BY mm DESC, symbol) AS rk, count(*) OVER (PARTITION BY mi) AS listed FROM month_money WHERE mm > 0")
+lean("members", "SELECT symbol, mi + 1 AS mi, mm / sum(mm) OVER (PARTITION BY mi) AS weight FROM ranked_months WHERE rk <= ceil(listed * 0.88)")

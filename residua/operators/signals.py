@@ -2,7 +2,12 @@
 
 import math
 
-from residua.plans.relations import step
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from residua.plans.relations import MADE, STEPS, lean, step
 
 # K = 0 residual: the return itself, under the refit's eligibility rules; a period drops out if a mapped return is missing
 step("history", """SELECT t, d, symbol, member, ret, count(ret) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 104 PRECEDING AND 1 PRECEDING) AS n_hist,
@@ -65,3 +70,55 @@ step("threshold_weights", "SELECT t, symbol, r, pos, coalesce(pos / nullif(sum(a
 step("threshold_days", "SELECT t, sum(w * r) AS gross, sum(abs(w - pw)) AS turnover, sum(CASE WHEN w < 0 THEN -w ELSE 0 END) AS short_share, count(CASE WHEN pos <> 0 THEN 1 END) AS active FROM (SELECT *, lag(w, 1, 0) OVER (PARTITION BY symbol ORDER BY t) AS pw FROM threshold_weights) x GROUP BY t")
 step("threshold_backtest", "SELECT t, round(gross, 9) AS gross, round(turnover, 9) AS turnover, round(short_share, 9) AS short_share, active, round(gross - 0.0005 * turnover - 0.0001 * short_share, 9) AS net FROM threshold_days")
 step("threshold_summary", "SELECT count(*) AS days, round(avg(net) * PER_YEAR, 6) AS annual_mean, round(stddev_pop(net) * sqrt(PER_YEAR), 6) AS annual_vol, round(coalesce(avg(net) / nullif(stddev_pop(net), 0), 0) * sqrt(PER_YEAR), 5) AS sharpe, round(avg(active), 6) AS mean_active FROM threshold_backtest")
+
+# How Spark runs these: rows stay with their symbol, and what a date says of all its symbols comes to them as one row a date
+# Whether the 104 returns before a row are all there and not all alike: from counts so far. Returns are ratios of whole cents, so
+# two that differ do so by far more than the deviation asked for.
+lean("history_counts", """SELECT t, symbol, member, CASE WHEN t >= 104 THEN min(CASE WHEN t >= 104 THEN t END) OVER (PARTITION BY symbol, year(d) * 12 + month(d)) END AS refit_t, count(ret) OVER w AS known, count(CASE WHEN ret <> before THEN 1 END) OVER w AS changes
+  FROM (SELECT t, d, symbol, member, ret, lag(ret) OVER (PARTITION BY symbol ORDER BY t) AS before FROM rets) x WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+lean("mapped", """SELECT t AS refit_t, symbol FROM (SELECT t, symbol, member, refit_t, lag(known, 1, 0) OVER w - lag(known, 105, 0) OVER w AS n_hist, lag(changes, 1, 0) OVER w - lag(changes, 104, 0) OVER w AS n_changes FROM history_counts WINDOW w AS (PARTITION BY symbol ORDER BY t)) x
+  WHERE t = refit_t AND member AND n_hist = 104 AND n_changes > 0""")
+lean("broken", "SELECT /*+ SHUFFLE_HASH(m) */ DISTINCT h.t FROM history h JOIN mapped m ON m.refit_t = h.refit_t AND m.symbol = h.symbol WHERE h.ret IS NULL")
+lean("residual", """SELECT /*+ BROADCAST(b), SHUFFLE_HASH(m) */ h.t, h.symbol, h.member, h.refit_t, h.ret AS r FROM history h JOIN mapped m ON m.refit_t = h.refit_t AND m.symbol = h.symbol LEFT ANTI JOIN broken b ON b.t = h.t""")
+lean("held", "SELECT t, symbol, member, r, nv, pos FROM ou_pos")
+lean("ou_positions", STEPS["ou_positions"].replace("FROM ou_pos", "FROM held"))
+lean("rank_days", "SELECT t, stddev_pop(pct) AS sd FROM ranked GROUP BY t")
+lean("alpha", """SELECT /*+ BROADCAST(d), SHUFFLE_HASH(k) */ s.t, s.symbol, k.pct, CASE WHEN k.n >= 20 AND d.sd > 2.220446049250313e-16 THEN (k.pct - 0.5) / d.sd ELSE 0 END AS alpha FROM scored s
+  LEFT JOIN ranked k ON k.t = s.t AND k.symbol = s.symbol LEFT JOIN rank_days d ON d.t = s.t WHERE s.member""")
+lean("state_moments", "SELECT t, avg(CASE WHEN valid THEN state END) AS m, stddev_pop(CASE WHEN valid THEN state END) AS s FROM buffered GROUP BY t")
+lean("buffered_alpha", """SELECT /*+ BROADCAST(d) */ x.t, x.symbol, CAST(x.state AS INT) AS state, CASE WHEN x.valid AND x.n >= 20 AND d.s > 2.220446049250313e-16 THEN round((x.state - d.m) / d.s, 6) ELSE 0 END AS alpha
+  FROM buffered x JOIN state_moments d ON d.t = x.t WHERE x.member""")
+lean("threshold_sizes", "SELECT t, sum(abs(pos)) AS size FROM threshold_positions GROUP BY t")
+lean("threshold_weights", "SELECT /*+ BROADCAST(d) */ p.t, p.symbol, p.r, p.pos, coalesce(p.pos / nullif(d.size, 0), 0) AS w FROM threshold_positions p JOIN threshold_sizes d ON d.t = p.t")
+lean("resid", STEPS["resid"].replace("SELECT g.t", "SELECT /*+ SHUFFLE_HASH(r) */ g.t", 1))
+lean("banded", STEPS["banded"].replace("SELECT s.t", "SELECT /*+ SHUFFLE_HASH(k) */ s.t", 1))
+
+
+def _fits(paths: pd.Series) -> pd.DataFrame:
+    """Each symbol's path regressed on itself a row before, over 29 rows; nulls where fewer lie before or nothing moves."""
+    out = []
+    for path in paths:
+        y = np.asarray(path, float)
+        moments = np.full((5, len(y)), np.nan)
+        if len(y) >= 30:
+            w = np.lib.stride_tricks.sliding_window_view(y, 30)
+            x, z = w[:, :-1] - w[:, :1], w[:, 1:] - w[:, 1:2]  # from their first values, so what stands still is 0 throughout
+            mx, mz = x.mean(axis=1, keepdims=True), z.mean(axis=1, keepdims=True)
+            x, z = x - mx, z - mz
+            vx, vz, cov = (x * x).mean(axis=1), (z * z).mean(axis=1), (x * z).mean(axis=1)
+            with np.errstate(all="ignore"):
+                b = cov / vx
+                moments[:, 29:] = b, (w[:, 1] + mz[:, 0]) - b * (w[:, 0] + mx[:, 0]), cov * cov / (vx * vz), vz, vx
+        out.append([[None if v != v else v for v in row] for row in moments.tolist()])
+    return pd.DataFrame(out, columns=["b", "a", "r2", "vy", "vx"])
+
+
+def rolling_fits(paths: DataFrame) -> DataFrame:
+    """ou_moments of ou_lagged rows; a symbol's rows are one list while it is fitted."""
+    listed = paths.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("t", "member", "r", "ret", "nv", "y", F.coalesce("y30", F.lit(0.0)).alias("y0")))).alias("rows"))
+    fitted = listed.withColumn("f", F.pandas_udf(_fits, "b array<double>, a array<double>, r2 array<double>, vy array<double>, vx array<double>")(F.col("rows.y")))
+    return fitted.select("symbol", F.inline(F.arrays_zip("rows", *[F.col(f"f.{c}").alias(c) for c in ("b", "a", "r2", "vy", "vx")]))).select("symbol", "rows.*", "b", "a", "r2", "vy", "vx")
+
+
+MADE["ou_fits"] = ("ou_lagged", rolling_fits)
+lean("ou_moments", "SELECT t, symbol, member, r, ret, nv, y, y0, b, a, r2, vy, vx FROM ou_fits")
