@@ -1,7 +1,8 @@
-"""Long-only backtest: decided at a close, executed at the next open, drifting in between; one group per scenario."""
+"""Long-only backtest: decided at a close, executed at the next open, drifting in between; books and their scenarios are walked side by side."""
 
 from __future__ import annotations
 
+from collections.abc import Generator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.operators.portfolio import Infeasible, PortfolioLimits, optimal_weights, shrunk_risk
+from residua.operators.portfolio import Infeasible, PortfolioLimits, Solver, Task, shrunk_risk
 from residua.plans.relations import relation
 from residua.plans.store import stored
 
@@ -46,12 +47,38 @@ def fill(held: np.ndarray, target: np.ndarray, can_buy: np.ndarray, can_sell: np
 OUT = "book string, scenario string, t int, d date, strategy double, bench double, cost double, turnover double, decided boolean, mandatory boolean, limit_turnover double, names int"
 
 
-def _walk(conf: Scenario, name: str, panel: pd.DataFrame) -> list[tuple]:
-    grid = lambda c: panel.pivot(index="t", columns="symbol", values=c).sort_index()
-    member, st, paused = (grid(c).fillna(False).to_numpy(bool) for c in ("member", "is_st", "paused"))
-    ret, open_, volume, up, down, weight, alpha, price = (grid(c).to_numpy(float) for c in ("ret", "adj_open", "volume", "high_limit", "low_limit", "benchmark_weight", f"alpha_{conf.signal}", "open_price"))
-    t, days = grid("ret").index.to_numpy(), panel.groupby("t")["d"].first().sort_index().to_numpy()
-    month = np.array([str(d)[:7] for d in days])
+@dataclass
+class _Grids:
+    """A book's panel as days by names, for all its scenarios."""
+
+    panel: pd.DataFrame
+
+    def __post_init__(self) -> None:
+        days, names = np.sort(self.panel["t"].unique()), np.sort(self.panel["symbol"].unique())
+        self.at = np.searchsorted(days, self.panel["t"]), np.searchsorted(names, self.panel["symbol"])
+        self.shape = len(days), len(names)
+        if len(self.panel) != len(set(zip(*self.at))):
+            raise ValueError("a symbol has two rows of one t")
+        self.member, self.st, self.paused = (self.flags(c) for c in ("member", "is_st", "paused"))
+        self.ret, self.open, self.volume, self.up, self.down, self.weight, self.price = (self.numbers(c) for c in ("ret", "adj_open", "volume", "high_limit", "low_limit", "benchmark_weight", "open_price"))
+        self.t, self.days = days, self.panel.groupby("t")["d"].first().sort_index().to_numpy()
+        self.month = np.array([str(d)[:7] for d in self.days])
+
+    def flags(self, column: str) -> np.ndarray:
+        out = np.zeros(self.shape, bool)
+        out[self.at] = self.panel[column].fillna(False).astype(bool)
+        return out
+
+    def numbers(self, column: str) -> np.ndarray:
+        out = np.full(self.shape, np.nan)
+        out[self.at] = self.panel[column].to_numpy(float)
+        return out
+
+
+def _walk(conf: Scenario, name: str, grids: _Grids) -> Generator[Task, np.ndarray | Infeasible, list[tuple]]:
+    """The path of one scenario; it hands out what is to be solved and is sent the weights."""
+    member, st, paused, ret, open_, volume, up, down, price = grids.member, grids.st, grids.paused, grids.ret, grids.open, grids.volume, grids.up, grids.down, grids.price
+    t, days, month, weight, alpha = grids.t, grids.days, grids.month, grids.weight, grids.numbers(f"alpha_{conf.signal}")
     n_days, n = ret.shape
     gain = np.full_like(open_, np.nan)
     with np.errstate(all="ignore"):
@@ -82,12 +109,11 @@ def _walk(conf: Scenario, name: str, panel: pd.DataFrame) -> list[tuple]:
             if not len(working):
                 continue
             limit = conf.limits.turnover + (leaving if conf.forced else 0.0)
-            try:
-                best = optimal_weights(alpha[i, working], bench[working], held[working], cov, replace(conf.limits, turnover=limit), eligible[working], iterations=conf.iterations, tolerance=conf.tolerance)
-            except Infeasible as e:
-                best = None
+            best = yield Task(alpha[i, working], bench[working], held[working], cov, replace(conf.limits, turnover=limit), eligible[working], iterations=conf.iterations, tolerance=conf.tolerance)
+            if isinstance(best, Infeasible):
                 if conf.strict:
-                    raise Infeasible(f"scenario {name}, day {t[i]}, {len(working)} names, turnover {conf.limits.turnover} and forced exits {leaving:.4f}: {e}") from e
+                    raise Infeasible(f"scenario {name}, day {t[i]}, {len(working)} names, turnover {conf.limits.turnover} and forced exits {leaving:.4f}: {best}") from best
+                best = None
             target, decided = (held.copy(), False) if best is None else (np.zeros(n), True)
             if best is not None:
                 target[working] = best
@@ -111,23 +137,49 @@ def _walk(conf: Scenario, name: str, panel: pd.DataFrame) -> list[tuple]:
     return out
 
 
+def _walks(scenarios: dict[str, Scenario], books: dict[str, _Grids]) -> dict[tuple[str, str], list[tuple]]:
+    """All scenarios of some books: each goes on as soon as its own decision is solved, while the others' are solved beside it."""
+    paths = {(book, name): _walk(conf, name, grids) for book, grids in books.items() for name, conf in scenarios.items()}
+    solver, out, slots = Solver(len(paths)), {}, dict(enumerate(paths.items()))
+
+    def go_on(slot: int, answer: np.ndarray | Infeasible | None) -> None:
+        name, path = slots[slot]
+        try:
+            while True:
+                task = path.send(answer)
+                try:
+                    return solver.put(slot, task)
+                except Infeasible as e:
+                    answer = e
+        except StopIteration as end:
+            out[name] = end.value
+
+    for slot in slots:
+        go_on(slot, None)
+    while len(solver.free()) < len(slots):
+        for slot, answer in solver.run():
+            go_on(slot, answer)
+    return out
+
+
 def long_only_backtest(panel: DataFrame, scenarios: dict[str, Scenario]) -> DataFrame:
     """One row per scenario and executed day: net strategy and benchmark return, cost, turnover, what was decided.
 
     panel: t, d, symbol, member, is_st, paused, ret, adj_open, open_price, volume, high_limit, low_limit,
-    benchmark_weight and alpha_<signal> columns, and book where there are several, each with names of its own. A decision at close t is filled at open t + 1 under limits, suspensions
-    and cash, and earns the open-to-open return from there; unfilled orders stay open until the next decision. A path
-    depends on every earlier day, so a scenario of a book is one group of all its rows; books and scenarios run in parallel.
+    benchmark_weight and alpha_<signal> columns, and book where there are several, each with names of its own; books
+    of one number deal, where there is one, are walked in one group. A decision at close t is filled at open t + 1 under limits,
+    suspensions and cash, and earns the open-to-open return from there; unfilled orders stay open until the next decision. A path
+    depends on every earlier day, so a book's rows are in one group, in which its scenarios are walked side by side; groups run
+    in parallel.
     """
     if "book" not in panel.columns:
         panel = panel.withColumn("book", F.lit("all"))
-    rows = panel.withColumn("scenario", F.explode(F.array(*[F.lit(s) for s in scenarios])))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        book, name = group["book"].iloc[0], group["scenario"].iloc[0]
-        return pd.DataFrame([(book, *row) for row in _walk(scenarios[name], name, group)], columns=[c.split()[0] for c in OUT.split(", ")])
+        walked = _walks(scenarios, {book: _Grids(rows) for book, rows in group.groupby("book")})
+        return pd.DataFrame([(book, *row) for (book, _), rows in walked.items() for row in rows], columns=[c.split()[0] for c in OUT.split(", ")])
 
-    return rows.groupBy("book", "scenario").applyInPandas(run, OUT)
+    return panel.groupBy("deal" if "deal" in panel.columns else "book").applyInPandas(run, OUT)
 
 
 def turnover_summary(days: DataFrame, per_year: int = 252) -> DataFrame:
@@ -148,6 +200,10 @@ SCENARIOS = {
 }
 
 
+#: Books walked in one group, where there are more than cores: what a step costs beside its numbers is shared by their paths.
+SIDE_BY_SIDE = 8
+
+
 def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "long_only_days", lambda: _run(spark, sf_dir))
 
@@ -158,8 +214,11 @@ def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = relation(spark, sf_dir, "alpha").select("t", "symbol", F.col("alpha").alias("alpha_rank"))
     buffered = relation(spark, sf_dir, "buffered_alpha").select("t", "symbol", F.col("alpha").alias("alpha_buffered"))
     panel = rets.join(limits, ["t", "symbol"], "left").join(rank, ["t", "symbol"], "left").join(buffered, ["t", "symbol"], "left")
-    panel = panel.withColumn("book", F.floor(F.substring("symbol", 4, 9).cast("long") / 150).cast("string"))  # the names of fifty suppliers
-    return long_only_backtest(panel, SCENARIOS)
+    book = F.floor(F.substring("symbol", 4, 9).cast("long") / 150)  # the names of fifty suppliers
+    books = spark.read.parquet(f"{sf_dir}/supplier.parquet").count() // 50 + 1
+    together = max(1, min(SIDE_BY_SIDE, books // spark.sparkContext.defaultParallelism))
+    panel = panel.withColumns({"book": book.cast("string"), "deal": F.floor(book / together).cast("int")})
+    return long_only_backtest(panel.repartitionById(max(1, -(-books // together)), "deal"), SCENARIOS)  # a task a group: hashed, some tasks would hold several
 
 
 def query_long_only_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
