@@ -21,7 +21,17 @@ def test_matrices_move_no_rows(spark):
     assert sum(len(r.symbols) for r in rows) == catalog.queries()["panel_build"](spark, SMALLEST).select("symbol").distinct().count()
 
 
-def test_alpha_moves_no_rows_of_symbols(spark):
-    dealt = _dealt(query_composed_alpha(spark, SMALLEST))
-    print("\n".join(dealt))
-    assert all("symbol" not in line for line in dealt)
+def test_alpha_moves_no_rows(spark):
+    plan = query_composed_alpha(spark, SMALLEST)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" in plan and not [line for line in plan.splitlines() if "Window" in line and "windowspecdefinition(t#" in line]
+    assert all("symbol" not in line for line in _dealt(query_composed_alpha(spark, SMALLEST)))  # what is dealt is one row a date and task
+
+
+def test_sums_meet_once_a_core(spark):
+    from residua.operators.factors import daily_fits
+    from residua.operators.lowrank import FitConfig, plan_of, solutions
+
+    wide = matrices(_rets(spark, SMALLEST)).repartition(50)
+    plan = plan_of(daily_fits(_rets(spark, SMALLEST), 104, 52))
+    text = solutions(wide, plan, FitConfig())._jdf.queryExecution().executedPlan().toString()
+    assert f"Coalesce {spark.sparkContext.defaultParallelism}" in text
