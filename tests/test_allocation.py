@@ -40,6 +40,13 @@ def test_blocks_give_what_one_matrix_gives(spark, case):
     assert all(got[k] == pytest.approx(wanted[k], abs=1e-9) for k in wanted)
 
 
+def test_tasks_without_blocks(spark):
+    r = np.random.default_rng(1)
+    frame = spark.createDataFrame([(t, f"s{j}", float(r.normal(0, 0.01))) for t in range(30) for j in range(4)], "t int, symbol string, residual double")
+    got = allocation_of(blocks_of(frame).repartition(6), Allocation(lookback=5, epochs=1), 20, 10).collect()
+    assert len(got) == 10
+
+
 def test_no_row_is_copied_per_origin(spark):
     from residua import catalog
 
