@@ -74,13 +74,16 @@ step("threshold_summary", "SELECT count(*) AS days, round(avg(net) * PER_YEAR, 6
 # How Spark runs these: rows stay with their symbol, and what a date says of all its symbols comes to them as one row a date
 # Whether the 104 returns before a row are all there and not all alike: from counts so far. Returns are ratios of whole cents, so
 # two that differ do so by far more than the deviation asked for.
-lean("history_counts", """SELECT t, symbol, member, CASE WHEN t >= 104 THEN min(CASE WHEN t >= 104 THEN t END) OVER (PARTITION BY symbol, year(d) * 12 + month(d)) END AS refit_t, count(ret) OVER w AS known, count(CASE WHEN ret <> before THEN 1 END) OVER w AS changes
-  FROM (SELECT t, d, symbol, member, ret, lag(ret) OVER (PARTITION BY symbol ORDER BY t) AS before FROM rets) x WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+# All symbols have the same rows, so a month's refit is a row of the calendar.
+lean("refit_days", "SELECT mi, min(t) AS refit_t FROM calendar WHERE t >= 104 GROUP BY mi")
+lean("history", "SELECT /*+ BROADCAST(c) */ h.t, h.symbol, h.member, h.ret, CASE WHEN h.t >= 104 THEN c.refit_t END AS refit_t FROM rets h LEFT JOIN refit_days c ON c.mi = year(h.d) * 12 + month(h.d)")
+lean("history_counts", """SELECT t, symbol, member, refit_t, count(ret) OVER w AS known, count(CASE WHEN ret <> before THEN 1 END) OVER w AS changes
+  FROM (SELECT t, symbol, member, ret, refit_t, lag(ret) OVER (PARTITION BY symbol ORDER BY t) AS before FROM history) x WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 lean("mapped", """SELECT t AS refit_t, symbol FROM (SELECT t, symbol, member, refit_t, lag(known, 1, 0) OVER w - lag(known, 105, 0) OVER w AS n_hist, lag(changes, 1, 0) OVER w - lag(changes, 104, 0) OVER w AS n_changes FROM history_counts WINDOW w AS (PARTITION BY symbol ORDER BY t)) x
   WHERE t = refit_t AND member AND n_hist = 104 AND n_changes > 0""")
 lean("broken", "SELECT /*+ SHUFFLE_HASH(m) */ DISTINCT h.t FROM history h JOIN mapped m ON m.refit_t = h.refit_t AND m.symbol = h.symbol WHERE h.ret IS NULL")
 lean("residual", """SELECT /*+ BROADCAST(b), SHUFFLE_HASH(m) */ h.t, h.symbol, h.member, h.refit_t, h.ret AS r FROM history h JOIN mapped m ON m.refit_t = h.refit_t AND m.symbol = h.symbol LEFT ANTI JOIN broken b ON b.t = h.t""")
-lean("held", "SELECT t, symbol, member, r, nv, pos FROM ou_pos")
+lean("held", "SELECT t, symbol, member, r, nv, pos FROM ou_held")
 lean("ou_positions", STEPS["ou_positions"].replace("FROM ou_pos", "FROM held"))
 lean("rank_days", "SELECT t, stddev_pop(pct) AS sd FROM ranked GROUP BY t")
 lean("alpha", """SELECT /*+ BROADCAST(d), SHUFFLE_HASH(k) */ s.t, s.symbol, k.pct, CASE WHEN k.n >= 20 AND d.sd > 2.220446049250313e-16 THEN (k.pct - 0.5) / d.sd ELSE 0 END AS alpha FROM scored s
@@ -94,6 +97,17 @@ lean("resid", STEPS["resid"].replace("SELECT g.t", "SELECT /*+ SHUFFLE_HASH(r) *
 lean("banded", STEPS["banded"].replace("SELECT s.t", "SELECT /*+ SHUFFLE_HASH(k) */ s.t", 1))
 
 
+def _regressed(w: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(b, a, r2, vy, vx) of windows of 30 values of a path, regressed on themselves a row before."""
+    x, z = w[:, :-1] - w[:, :1], w[:, 1:] - w[:, 1:2]  # from their first values, so what stands still is 0 throughout
+    mx, mz = x.mean(axis=1, keepdims=True), z.mean(axis=1, keepdims=True)
+    x, z = x - mx, z - mz
+    vx, vz, cov = (x * x).mean(axis=1), (z * z).mean(axis=1), (x * z).mean(axis=1)
+    with np.errstate(all="ignore"):
+        b = cov / vx
+        return b, (w[:, 1] + mz[:, 0]) - b * (w[:, 0] + mx[:, 0]), cov * cov / (vx * vz), vz, vx
+
+
 def _fits(paths: pd.Series) -> pd.DataFrame:
     """Each symbol's path regressed on itself a row before, over 29 rows; nulls where fewer lie before or nothing moves."""
     out = []
@@ -101,18 +115,69 @@ def _fits(paths: pd.Series) -> pd.DataFrame:
         y = np.asarray(path, float)
         moments = np.full((5, len(y)), np.nan)
         if len(y) >= 30:
-            w = np.lib.stride_tricks.sliding_window_view(y, 30)
-            x, z = w[:, :-1] - w[:, :1], w[:, 1:] - w[:, 1:2]  # from their first values, so what stands still is 0 throughout
-            mx, mz = x.mean(axis=1, keepdims=True), z.mean(axis=1, keepdims=True)
-            x, z = x - mx, z - mz
-            vx, vz, cov = (x * x).mean(axis=1), (z * z).mean(axis=1), (x * z).mean(axis=1)
-            with np.errstate(all="ignore"):
-                b = cov / vx
-                moments[:, 29:] = b, (w[:, 1] + mz[:, 0]) - b * (w[:, 0] + mx[:, 0]), cov * cov / (vx * vz), vz, vx
+            moments[:, 29:] = _regressed(np.lib.stride_tricks.sliding_window_view(y, 30))
         out.append([[None if v != v else v for v in row] for row in moments.tolist()])
     return pd.DataFrame(out, columns=["b", "a", "r2", "vy", "vx"])
 
 
+def _held(residuals: pd.Series) -> pd.DataFrame:
+    """(nv, pos) of each symbol's residuals as ou_path, ou_fits, ou and ou_pos give them; only windows that are whole are fitted."""
+    counts, taken = [], []
+    for path in residuals:
+        r = np.asarray(path, float)
+        there = np.isfinite(r)
+        known = np.concatenate((np.zeros(30, int), np.cumsum(there)))
+        nv, pos = (known[30:] - known[:-30]).astype(np.int32), np.zeros(len(r), np.int32)
+        at = np.flatnonzero(nv == 30)
+        if len(at):
+            y = np.cumsum(np.where(there, r, 0.0))
+            b, a, r2, vy, vx = _regressed(np.lib.stride_tricks.sliding_window_view(y, 30)[at - 29])
+            with np.errstate(all="ignore"):
+                z = (y[at] - a / (1 - b)) / np.sqrt(vy * (1 - r2) / (1 - b * b))
+                good = (vx > 2.220446049250313e-16) & (b > 0) & (b < 1) & (vy * (1 - r2) > 0) & (r2 > 0.25)
+            pos[at] = np.where(good & (z > 1.25), -1, np.where(good & (z < -1.25), 1, 0))
+        counts.append(nv)
+        taken.append(pos)
+    return pd.DataFrame({"nv": counts, "pos": taken})
+
+
+def held_positions(resid: DataFrame) -> DataFrame:
+    """(t, symbol, member, r, nv, pos) of resid's rows; a symbol's rows are one list while it is fitted."""
+    listed = resid.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("t", "member", "r"))).alias("rows"))
+    fitted = listed.withColumn("f", F.pandas_udf(_held, "nv array<int>, pos array<int>")(F.col("rows.r")))
+    return fitted.select("symbol", F.inline(F.arrays_zip("rows", F.col("f.nv").alias("nv"), F.col("f.pos").alias("pos")))).select("rows.t", "symbol", "rows.member", "rows.r", F.col("nv").cast("long").alias("nv"), "pos")
+
+
+def _scores(residuals: pd.Series) -> pd.Series:
+    """Each symbol's halo_scores, a row later; only windows of 30 residuals that are there and not zero are fitted."""
+    out = []
+    for path in residuals:
+        r = np.asarray(path, float)
+        known = np.concatenate((np.zeros(30, int), np.cumsum(np.isfinite(r) & (r != 0))))
+        at = np.flatnonzero(known[30:] - known[:-30] == 30)
+        score = np.full(len(r) + 1, np.nan)
+        if len(at):
+            y = np.cumsum(np.lib.stride_tricks.sliding_window_view(r, 30)[at - 29], axis=1)
+            b, a, r2, vy, vx = _regressed(y)
+            with np.errstate(all="ignore"):
+                s = (a / (1 - b + 1e-6) - y[:, -1]) / np.sqrt(vy * (1 - r2) / np.abs(1 - b * b + 1e-6))
+                score[at + 1] = np.where((vx > 0) & (b > 0) & (b < 1) & (r2 > 0.25) & (vy * (1 - r2) > 0), s, np.nan)
+        out.append(score[:-1])
+    return pd.Series(out)
+
+
+def threshold_fits(resid: DataFrame) -> DataFrame:
+    """(t, symbol, r, score) of resid's rows, the score being that of the row before; NaN where there is none."""
+    listed = resid.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("t", "r"))).alias("rows"))
+    fitted = listed.withColumn("score", F.pandas_udf(_scores, "array<double>")(F.col("rows.r")))
+    return fitted.select("symbol", F.inline(F.arrays_zip("rows", "score"))).select("rows.t", "symbol", "rows.r", F.round(F.nanvl("score", F.lit(None)), 9).alias("score"))
+
+
+MADE["ou_held"] = ("resid", held_positions)
+MADE["threshold_fits"] = ("resid", threshold_fits)
+lean("threshold_positions", "SELECT t, symbol, coalesce(r, 0) AS r, CASE WHEN score > 1.25 THEN 1 WHEN score < -1.25 THEN -1 ELSE 0 END AS pos FROM threshold_fits WHERE t >= 134")
+
+
 def rolling_fits(paths: DataFrame) -> DataFrame:
     """ou_moments of ou_lagged rows; a symbol's rows are one list while it is fitted."""
     listed = paths.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("t", "member", "r", "ret", "nv", "y", F.coalesce("y30", F.lit(0.0)).alias("y0")))).alias("rows"))

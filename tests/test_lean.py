@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from residua import catalog  # noqa: F401  registers the steps
-from residua.operators.signals import rolling_fits
+from residua.operators.signals import held_positions, rolling_fits, threshold_fits
 from residua.plans import store
 from residua.plans.relations import relation
 
@@ -40,3 +40,33 @@ def test_fits_against_least_squares(spark):
         if min(before.var(), now.var()) > 1e-20:
             b, a = np.polyfit(before, now, 1)
             assert x.b == pytest.approx(b, abs=1e-9) and x.a == pytest.approx(a, abs=1e-9) and x.r2 == pytest.approx(np.corrcoef(before, now)[0, 1] ** 2, abs=1e-9)
+
+
+@pytest.mark.parametrize("name", ["trail5", "ou_lagged", "bt_base", "history_counts"])
+def test_kept_rows_are_not_sorted_again(spark, name):
+    plan = relation(spark, SMALLEST, name)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and not [line for line in plan.splitlines() if " Sort " in line and "symbol" in line]
+
+
+def test_month_refits_take_no_window(spark):
+    plan = relation(spark, SMALLEST, "residual")._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(symbol" not in plan  # a refit is a row of the calendar, not a window along each symbol
+
+
+@pytest.mark.parametrize("step, made, columns", [("ou_pos", held_positions, ["nv", "pos"]), ("threshold_positions", threshold_fits, ["pos"])])
+def test_positions_in_lists_are_those_of_the_steps(spark, step, made, columns):
+    """Native regressions over 29 rows took 637 task seconds at six copies of sf0.1, made twice."""
+    g = np.random.default_rng(5)
+    rows = [(t, f"s{k}", True, None if t < 40 + 9 * k or (k == 3 and t == 300) else 0.0 if k == 4 and g.random() < 0.02 else float(g.normal(0, 0.02))) for k in range(6) for t in range(560)]
+    resid = spark.createDataFrame(rows, "t int, symbol string, member boolean, r double")
+    plain = relation(spark, SMALLEST, step, resid=resid.selectExpr("*", "r AS ret"))
+    want = {(x.symbol, x.t): tuple(x[c] for c in columns) for x in plain.collect()}
+    got = made(resid)
+    if step == "threshold_positions":
+        got = got.where("t >= 134").selectExpr("t", "symbol", "CASE WHEN score > 1.25 THEN 1 WHEN score < -1.25 THEN -1 ELSE 0 END AS pos")
+    assert {(x.symbol, x.t): tuple(x[c] for c in columns) for x in got.collect()} == want and {-1, 0, 1} == {v[-1] for v in want.values()}
+
+
+def test_both_sides_of_a_book_are_one_pass(spark):
+    plan = relation(spark, SMALLEST, "pnl")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lead(") <= 3  # one reading of the forward returns, not one for the book and one for the benchmark
