@@ -1,6 +1,11 @@
 """TF-IDF retrieval over documents, embedding search, and audits of research logs."""
 
-from residua.plans.relations import step
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from residua.plans.relations import MADE, _dialect, lean, step
 
 step("tokens", "SELECT doc_id, <<unnest <<tokens text>>>> AS term FROM documents")
 step("tf", "SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY doc_id, term")
@@ -25,6 +30,59 @@ step("rule_spec", f"SELECT doc_id, {_SPEC.format('lower(text)')}, CASE WHEN leng
 step("evidence_spec", """SELECT max(names_statistical_arbitrage) AS names_statistical_arbitrage, max(metrics) AS metrics, min(signal_method) AS signal_method, count(*) AS documents FROM rule_spec s JOIN evidence_collect e ON e.doc_id = s.doc_id""")
 step("embedding_topk", "SELECT q, vec_id, round(score, 5) AS score, rk FROM (SELECT q, vec_id, score, row_number() OVER (PARTITION BY q ORDER BY round(score, 7) DESC, vec_id) AS rk FROM (SELECT a.vec_id AS q, b.vec_id, <<dot a.embedding ;; b.embedding>> AS score FROM embeddings b JOIN (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) a ON a.vec_id <> b.vec_id) y) x WHERE rk <= 10")
 
+
+#: Asked vectors and rows of a block: two blocks meet as one product.
+ASKED, ROWS = 2048, 4096
+
+
+def _nearest(q: np.ndarray, a: np.ndarray, ids: np.ndarray, b: np.ndarray, top: int) -> pd.DataFrame:
+    """(q, vec_id, score): of each asked vector at least its `top` nearest of these rows, without itself. A product finds those
+    that can be among them; their scores are then summed in the order of the entries, as the SQL does."""
+    near = a @ b.T
+    near[q[:, None] == ids[None, :]] = -np.inf
+    k = min(top, len(ids))
+    least = np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k]
+    slack = 2e-7 + 1e-12 * np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1).max()  # rounded scores that tie stay together
+    i, j = np.nonzero((near >= (least - slack)[:, None]) & (near > -np.inf))
+    score = np.zeros(len(i))
+    for d in range(a.shape[1]):
+        score += a[i, d] * b[j, d]
+    # places are those of the scores rounded; one that may be rounded either way counts as rounded down, and is kept
+    units = score * 1e7
+    either = np.abs(units - np.floor(units) - 0.5) < 1e-3
+    out = pd.DataFrame({"q": q[i], "vec_id": ids[j], "score": score, "units": np.where(either, np.floor(units), np.rint(units)), "either": either})
+    out = out.sort_values(["q", "units", "vec_id"], ascending=[True, False, True])
+    return out.loc[(out.groupby("q").cumcount() < top) | out["either"], ["q", "vec_id", "score"]]
+
+
+def block_nearest(embeddings: DataFrame, top: int = 10) -> DataFrame:
+    """(q, vec_id, score): each block of rows' nearest to each asked vector (ids divisible by 20), exactly. Asked vectors and
+    rows meet in blocks; what a pair of blocks gives is some rows an asked vector, not one a pair of vectors. Vectors of
+    another length than most, null ones and those with entries that are null or beyond 1e150 meet all others pair by pair."""
+    sizes = {r.n: r.rows for r in embeddings.groupBy(F.size("embedding").alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()}  # one row a length
+    most, n = max(sizes, key=lambda k: (sizes[k], k), default=0), sum(sizes.values())
+    marked = embeddings.select("vec_id", "embedding", F.coalesce((F.size("embedding") == most) & F.forall("embedding", lambda x: F.coalesce(x.between(-1e150, 1e150), F.lit(False))), F.lit(False)).alias("plain"))
+    plain, wanted = marked.where("plain"), F.col("vec_id") % 20 == 0
+    blocks, asked = max(1, -(-n // ROWS)), max(1, -(-n // (20 * ASKED)))
+    left = plain.where(wanted).select(F.pmod(F.xxhash64("vec_id"), F.lit(asked)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"), "vec_id", "embedding")
+    right = plain.select(F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("i_b"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("j_b"), F.col("vec_id").alias("id_b"), F.col("embedding").alias("embedding_b"))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty or not most:
+            return pd.DataFrame(columns=["q", "vec_id", "score"])
+        return _nearest(a["vec_id"].to_numpy(), np.stack(a["embedding"].to_numpy()).astype(float), b["id_b"].to_numpy(), np.stack(b["embedding_b"].to_numpy()).astype(float), top)
+
+    met = left.groupBy("i", "j").cogroup(right.groupBy("i_b", "j_b")).applyInPandas(meet, "q long, vec_id long, score double")
+    for one, two in ((marked.where(wanted & ~F.col("plain")), marked), (marked.where(wanted & F.col("plain")), marked.where(~F.col("plain")))):
+        rest = one.alias("a").join(two.alias("b"), F.expr("a.vec_id <> b.vec_id"))
+        met = met.unionByName(rest.select(F.col("a.vec_id").alias("q"), F.col("b.vec_id").alias("vec_id"), F.expr(_dialect("<<dot a.embedding ;; b.embedding>>", "spark")).alias("score")))
+    return met
+
+
+MADE["near_pairs"] = ("vectors", block_nearest)
+step("vectors", "SELECT vec_id, embedding FROM embeddings")
+lean("embedding_topk", "SELECT q, vec_id, round(score, 5) AS score, rk FROM (SELECT q, vec_id, score, row_number() OVER (PARTITION BY q ORDER BY round(score, 7) DESC, vec_id) AS rk FROM near_pairs) x WHERE rk <= 10")
+
 # Research logs, read from events: a user's events in order are the steps of one run. Phases by event type
 # and the seven method foundations; every ninth event names a method that is none of them, and every ninth names none.
 step("foundations", """SELECT 0 AS n, 'rag-2020' AS method, 'retrieval' AS phase UNION ALL SELECT 1, 'react-2023', 'planning' UNION ALL SELECT 2, 'self-rag-2024', 'retrieval' UNION ALL SELECT 3, 'finqa-2021', 'quant_execution'
