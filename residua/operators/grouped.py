@@ -109,6 +109,47 @@ class Account:
         return out
 
 
+def walked(name: str, group: pd.DataFrame, cash: float, fees: Fees) -> tuple[list, ...]:
+    """All days of an account as columns (t, then FILLS): what Account.day() gives day by day, from arrays of its names. A name
+    at its target costs nothing."""
+    group = group.sort_values(["t", "symbol"])
+    code, names = pd.factorize(group["symbol"], sort=True)
+    t, price, target = group["t"].to_numpy(), group["price"].to_numpy(float), group["target"].fillna(0).to_numpy(np.int64)
+    suspended, upper, lower = (group[c].to_numpy(bool).tolist() for c in ("suspended", "at_upper", "at_lower"))
+    account, held = Account(name, cash), np.zeros(len(names), np.int64)
+    out: tuple[list, ...] = tuple([] for _ in range(8))
+    bounds = [*np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))).tolist(), len(t)] if len(t) else []
+    for lo, hi in zip(bounds, bounds[1:]):
+        day, goal, row = t[lo].item(), np.zeros_like(held), np.full(len(held), -1)
+        goal[code[lo:hi]], row[code[lo:hi]] = target[lo:hi], np.arange(lo, hi)
+        if (goal < 0).any():
+            raise ValueError(f"a target of {name} on day {day} is negative")
+        gap = goal - held
+        for k in [*np.flatnonzero(gap < 0).tolist(), *np.flatnonzero(gap > 0).tolist()]:  # what is held without a target is sold
+            asked, i, sell, reason, done = abs(gap.item(k)), row.item(k), gap.item(k) < 0, "", 0
+            paid = price.item(i) if i >= 0 else float("nan")
+            if not 0 < paid < float("inf"):
+                raise ValueError(f"no price of {names[k]} on day {day}")
+            if suspended[i]:
+                reason = "suspended"
+            elif sell and lower[i]:
+                reason = "lower_limit"
+            elif not sell and upper[i]:
+                reason = "upper_limit"
+            elif sell:
+                done = asked  # a target is not negative, so no more is asked than was held at the day's start
+            else:
+                done, whole = fees.affordable(asked, paid, account.money), asked - asked % fees.lot
+                reason = "insufficient_cash" if done < whole else "" if done == asked else "lot_rounding"
+            cost = fees.of(done * paid, sell)
+            account.money = max(0.0, account.money + (done * paid if sell else -done * paid) - cost)
+            held[k] += -done if sell else done
+            for column, value in zip(out, (day, names[k], "sell" if sell else "buy", asked, done, paid, cost, reason)):
+                column.append(value)
+        account.check()
+    return out
+
+
 FILLS = "symbol string, side string, requested long, filled long, price double, fees double, reason string"
 
 
@@ -123,10 +164,8 @@ def execution_ledger(targets: DataFrame, cash: float = 1e6, fees: Fees = Fees())
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         name = group["portfolio"].iloc[0]
-        account, out = Account(name, cash), []
-        for t, day in group.sort_values(["t", "symbol"]).groupby("t"):
-            out += [(name, *fill) for fill in account.day(t, day, fees)]
-        return pd.DataFrame(out, columns=names)
+        columns = walked(name, group, cash, fees)
+        return pd.DataFrame(dict(zip(names, ([name] * len(columns[0]), *columns))), columns=names)
 
     return targets.groupBy("portfolio").applyInPandas(walk, f"portfolio string, t int, {FILLS}")
 
@@ -196,8 +235,9 @@ CASH = 1e7
 
 def query_execution_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two accounts for the names of each ten suppliers, so accounts grow with the names; each may put a share of its cash in a member."""
-    prices, state = relation(spark, sf_dir, "limit_rate"), relation(spark, sf_dir, "limit_prices")
-    targets = prices.join(state.select("t", "symbol", "state"), ["t", "symbol"]).where("close_price > 0")
+    # the state is that of limit_prices: both are columns of one row
+    state = F.when(F.col("paused"), "suspended").when(F.col("open_cents") >= F.col("high_cents"), "upper_limit").when(F.col("open_cents") <= F.col("low_cents"), "lower_limit").otherwise("tradable")
+    targets = relation(spark, sf_dir, "limit_rate").where("preclose IS NOT NULL AND close_price > 0").withColumn("state", state)
     desk = F.floor(F.substring("symbol", 4, 9).cast("long") / 30).cast("string")
     fractions = F.explode(F.array(*[F.struct(F.lit(n).alias("portfolio"), F.lit(f).alias("f")) for n, f in (("equal", 0.04), ("half", 0.02))]))
     wide = targets.select("t", "symbol", desk.alias("desk"), fractions.alias("p"), F.col("close_price").alias("price"), "member", "state")
