@@ -191,9 +191,19 @@ lean("book_values", """SELECT /*+ SHUFFLE_HASH(a) */ s.t, s.symbol, b.who, CASE
 lean("book_sizes", "SELECT t, who, sum(v) AS size FROM book_values GROUP BY t, who")
 lean("books", "SELECT /*+ BROADCAST(d) */ x.t, x.symbol, x.who, coalesce(x.v / nullif(d.size, 0), 0) AS w FROM book_values x JOIN book_sizes d ON d.t = x.t AND d.who = x.who")
 
-for _name, _small in {"coverage_days": "m", "jaccard_days": "f", "scale_days": "m, v, a"}.items():
-    lean(_name, STEPS[_name].replace("SELECT", f"SELECT /*+ BROADCAST({_small}) */", 1))
-lean("continuity_windows", STEPS["continuity_windows"].replace("FROM ou WHERE", "FROM held WHERE"))
+lean("jaccard_days", STEPS["jaccard_days"].replace("SELECT", "SELECT /*+ BROADCAST(f) */", 1))
+# All that the continuity audit counts by date comes of one pass over the residuals; a window of 30 residuals is two counts so far
+lean("continuity_rows", """SELECT /*+ BROADCAST(d), SHUFFLE_HASH(k) */ s.t, s.symbol, s.member, s.r, CASE WHEN s.member THEN CASE WHEN k.n >= 20 AND d.sd > 2.220446049250313e-16 THEN (k.pct - 0.5) / d.sd ELSE 0 END END AS alpha
+  FROM resid s LEFT JOIN ranked k ON k.t = s.t AND k.symbol = s.symbol LEFT JOIN rank_days d ON d.t = s.t""")
+lean("continuity_marks", """SELECT t, symbol, member, r, alpha, member AND r IS NOT NULL AS now, coalesce(lag(member AND r IS NOT NULL) OVER w, false) AS before, lag(alpha) OVER w AS prev, count(r) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS known
+  FROM continuity_rows WINDOW w AS (PARTITION BY symbol ORDER BY t)""")
+lean("continuity_days", """SELECT t, count(r) AS active, sum(CASE WHEN member THEN 1.0 ELSE 0 END) AS members, sum(CASE WHEN now THEN 1.0 ELSE 0 END) AS covered, sum(CASE WHEN now AND before THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN now OR before THEN 1.0 ELSE 0 END), 0) AS jaccard,
+  avg(CASE WHEN member THEN abs(r) END) AS scale, avg(abs(alpha - prev)) AS moved, max(member AND known - before_30 = 30) AS windowed FROM (SELECT *, lag(known, 30, 0) OVER (PARTITION BY symbol ORDER BY t) AS before_30 FROM continuity_marks) x GROUP BY t""")
+lean("fitted_days", "SELECT t, active FROM continuity_days WHERE active > 0")
+lean("coverage_days", "SELECT t, active, members, covered FROM continuity_days WHERE active > 0")
+lean("continuity_windows", STEPS["continuity_windows"].replace("SELECT DISTINCT t FROM ou WHERE nv = 30 AND member", "SELECT t FROM continuity_days WHERE windowed"))
+lean("continuity_jaccard", STEPS["continuity_jaccard"].replace("FROM jaccard_days", "FROM continuity_days d JOIN refits f ON f.t = d.t WHERE f.version > 0"))
+lean("scale_days", "SELECT d.t, v.is_refit, d.scale, d.moved FROM continuity_days d JOIN versions v ON v.t = d.t WHERE d.active > 0")
 
 
 # Pairs of names are products of blocks of names: a task holds two blocks of a date and gives their pairs

@@ -70,3 +70,14 @@ def test_positions_in_lists_are_those_of_the_steps(spark, step, made, columns):
 def test_both_sides_of_a_book_are_one_pass(spark):
     plan = relation(spark, SMALLEST, "pnl")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lead(") <= 3  # one reading of the forward returns, not one for the book and one for the benchmark
+
+
+def test_the_audit_of_dates_is_one_pass_without_fits(spark):
+    from residua.plans.relations import LEAN, STEPS, _needs
+
+    needs = _needs("continuity_audit", [], STEPS | LEAN)
+    assert not {"held", "ou", "ou_moments"} & set(needs)  # a whole window of residuals is counted, not fitted
+    days = relation(spark, SMALLEST, "continuity_days")
+    assert days.count() == relation(spark, SMALLEST, "calendar").count()
+    plan = relation(spark, SMALLEST, "continuity_audit")._jdf.queryExecution().optimizedPlan().toString()
+    assert "residua_resid" not in plan and "residua_ranked" not in plan  # dates only: no symbol's rows are read again
