@@ -181,6 +181,15 @@ lean("mechanism", "SELECT /*+ BROADCAST(d) */ x.t, x.symbol, ds.dir, x.pos * ds.
 lean("bt_base", "SELECT t, symbol, r, CASE WHEN r IS NULL THEN 0 ELSE lag(pos, 1, 0) OVER (PARTITION BY symbol ORDER BY t) END AS lagpos FROM held")
 lean("bt_sizes", "SELECT t, sum(abs(lagpos)) AS size FROM bt_base GROUP BY t")
 lean("bt", "SELECT /*+ BROADCAST(d) */ x.t, x.symbol, x.lagpos / nullif(d.size, 0) AS w, x.r FROM bt_base x JOIN bt_sizes d ON d.t = x.t")
+# The mechanism and the backtest read the same positions: one pass for what a date's positions add up to, one for both days' sums.
+# The reversed mechanism is the mechanism with its sign turned
+lean("held_sides", "SELECT t, symbol, coalesce(r, 0) AS r, pos, CASE WHEN r IS NULL THEN 0 ELSE lag(pos, 1, 0) OVER w END AS lagpos, coalesce(lead(r) OVER w, 0) AS nxt FROM held WINDOW w AS (PARTITION BY symbol ORDER BY t)")
+lean("held_sizes", "SELECT t, sum(abs(pos)) AS size, sum(abs(lagpos)) AS lag_size FROM held_sides GROUP BY t")
+lean("held_weights", "SELECT /*+ BROADCAST(d) */ x.t, x.symbol, x.r, x.nxt, coalesce(x.pos / nullif(d.size, 0), 0) AS w, coalesce(x.lagpos / nullif(d.lag_size, 0), 0) AS v FROM held_sides x JOIN held_sizes d ON d.t = x.t")
+lean("held_lag", "SELECT *, lag(w, 1, 0) OVER s AS pw, lag(v, 1, 0) OVER s AS pv FROM held_weights WINDOW s AS (PARTITION BY symbol ORDER BY t)")
+lean("held_days", "SELECT t, sum(w * nxt) AS ret, sum(abs(w - pw)) AS moved, max(CASE WHEN w <> 0 THEN 1.0 ELSE 0 END) AS active, sum(v * r) AS gross, sum(abs(v - pv)) AS turnover, sum(CASE WHEN v < 0 THEN -v ELSE 0 END) AS short_share FROM held_lag GROUP BY t")
+lean("mechanism_days", "SELECT ds.dir, t, ret * ds.dir AS ret, moved AS turnover, active FROM held_days CROSS JOIN (SELECT 1 AS dir UNION ALL SELECT -1) ds WHERE t >= 133 AND t < (SELECT max(t) FROM calendar)")
+lean("bt_days", "SELECT t, gross, turnover, short_share FROM held_days WHERE t >= 134")
 lean("long_sizes", "SELECT t, sum(greatest(alpha, 0)) AS size FROM alpha GROUP BY t")
 lean("long_weights", "SELECT /*+ BROADCAST(d), SHUFFLE_HASH(a) */ s.t, s.symbol, coalesce(greatest(a.alpha, 0) / nullif(d.size, 0), 0) AS w FROM scored s LEFT JOIN alpha a ON a.t = s.t AND a.symbol = s.symbol LEFT JOIN long_sizes d ON d.t = s.t")
 # every row of the panel has a weight and a forward return, so both sides of a date are one pass

@@ -81,3 +81,13 @@ def test_the_audit_of_dates_is_one_pass_without_fits(spark):
     assert days.count() == relation(spark, SMALLEST, "calendar").count()
     plan = relation(spark, SMALLEST, "continuity_audit")._jdf.queryExecution().optimizedPlan().toString()
     assert "residua_resid" not in plan and "residua_ranked" not in plan  # dates only: no symbol's rows are read again
+
+
+def test_mechanism_and_backtest_share_their_days(spark):
+    scans = relation(spark, SMALLEST, "held_days")._jdf.queryExecution().executedPlan().toString()
+    assert scans.count("Scan parquet spark_catalog.default.residua_held") <= 2  # a pass for the sizes of dates, a pass for their sums
+    for name in ("mechanism_days", "bt_days"):
+        plan = relation(spark, SMALLEST, name)._jdf.queryExecution().optimizedPlan().toString()
+        assert "residua_held_" not in plan.replace("residua_held_days", ""), name
+    days = {(r.dir, r.t): r for r in relation(spark, SMALLEST, "mechanism_days").collect()}
+    assert days and all(days[-d, t].ret == -r.ret and days[-d, t].turnover == r.turnover for (d, t), r in days.items())
