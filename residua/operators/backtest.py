@@ -1,8 +1,7 @@
-"""Long-only backtest: decided at a close, executed at the next open, drifting in between; books and their scenarios are walked side by side."""
+"""Long-only backtest: decided at a close, executed at the next open, drifting in between."""
 
 from __future__ import annotations
 
-from collections.abc import Generator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -10,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.operators.portfolio import Infeasible, PortfolioLimits, Solver, Task, shrunk_risk
+from residua.operators.portfolio import Infeasible, PortfolioLimits, Task, best_weights, shrunk_risk
 from residua.plans.relations import relation
 from residua.plans.store import stored
 
@@ -31,6 +30,7 @@ class Scenario:
     alpha_scale: float = 0.002
     #: Limits that no weights meet end the run; if not strict, that day's holdings stay as they are.
     strict: bool = True
+    #: Of optimal_weights(), which is asked only where dual_weights() does not settle.
     iterations: int = 20_000
     tolerance: float = 1e-7
 
@@ -75,8 +75,8 @@ class _Grids:
         return out
 
 
-def _walk(conf: Scenario, name: str, grids: _Grids) -> Generator[Task, np.ndarray | Infeasible, list[tuple]]:
-    """The path of one scenario; it hands out what is to be solved and is sent the weights."""
+def _walk(conf: Scenario, name: str, grids: _Grids) -> list[tuple]:
+    """The path of one scenario."""
     member, st, paused, ret, open_, volume, up, down, price = grids.member, grids.st, grids.paused, grids.ret, grids.open, grids.volume, grids.up, grids.down, grids.price
     t, days, month, weight, alpha = grids.t, grids.days, grids.month, grids.weight, grids.numbers(f"alpha_{conf.signal}")
     n_days, n = ret.shape
@@ -109,10 +109,11 @@ def _walk(conf: Scenario, name: str, grids: _Grids) -> Generator[Task, np.ndarra
             if not len(working):
                 continue
             limit = conf.limits.turnover + (leaving if conf.forced else 0.0)
-            best = yield Task(alpha[i, working], bench[working], held[working], cov, replace(conf.limits, turnover=limit), eligible[working], iterations=conf.iterations, tolerance=conf.tolerance)
-            if isinstance(best, Infeasible):
+            try:
+                best = best_weights(Task(alpha[i, working], bench[working], held[working], cov, replace(conf.limits, turnover=limit), eligible[working], iterations=conf.iterations, tolerance=conf.tolerance))
+            except Infeasible as e:
                 if conf.strict:
-                    raise Infeasible(f"scenario {name}, day {t[i]}, {len(working)} names, turnover {conf.limits.turnover} and forced exits {leaving:.4f}: {best}") from best
+                    raise Infeasible(f"scenario {name}, day {t[i]}, {len(working)} names, turnover {conf.limits.turnover} and forced exits {leaving:.4f}: {e}") from e
                 best = None
             target, decided = (held.copy(), False) if best is None else (np.zeros(n), True)
             if best is not None:
@@ -137,31 +138,6 @@ def _walk(conf: Scenario, name: str, grids: _Grids) -> Generator[Task, np.ndarra
     return out
 
 
-def _walks(scenarios: dict[str, Scenario], books: dict[str, _Grids]) -> dict[tuple[str, str], list[tuple]]:
-    """All scenarios of some books: each goes on as soon as its own decision is solved, while the others' are solved beside it."""
-    paths = {(book, name): _walk(conf, name, grids) for book, grids in books.items() for name, conf in scenarios.items()}
-    solver, out, slots = Solver(len(paths)), {}, dict(enumerate(paths.items()))
-
-    def go_on(slot: int, answer: np.ndarray | Infeasible | None) -> None:
-        name, path = slots[slot]
-        try:
-            while True:
-                task = path.send(answer)
-                try:
-                    return solver.put(slot, task)
-                except Infeasible as e:
-                    answer = e
-        except StopIteration as end:
-            out[name] = end.value
-
-    for slot in slots:
-        go_on(slot, None)
-    while len(solver.free()) < len(slots):
-        for slot, answer in solver.run():
-            go_on(slot, answer)
-    return out
-
-
 def long_only_backtest(panel: DataFrame, scenarios: dict[str, Scenario]) -> DataFrame:
     """One row per scenario and executed day: net strategy and benchmark return, cost, turnover, what was decided.
 
@@ -169,15 +145,17 @@ def long_only_backtest(panel: DataFrame, scenarios: dict[str, Scenario]) -> Data
     benchmark_weight and alpha_<signal> columns, and book where there are several, each with names of its own; books
     of one number deal, where there is one, are walked in one group. A decision at close t is filled at open t + 1 under limits,
     suspensions and cash, and earns the open-to-open return from there; unfilled orders stay open until the next decision. A path
-    depends on every earlier day, so a book's rows are in one group, in which its scenarios are walked side by side; groups run
-    in parallel.
+    depends on every earlier day, so a book's rows are in one group, in which its scenarios are walked; groups run in parallel.
     """
     if "book" not in panel.columns:
         panel = panel.withColumn("book", F.lit("all"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        walked = _walks(scenarios, {book: _Grids(rows) for book, rows in group.groupby("book")})
-        return pd.DataFrame([(book, *row) for (book, _), rows in walked.items() for row in rows], columns=[c.split()[0] for c in OUT.split(", ")])
+        out = []
+        for book, rows in group.groupby("book"):
+            grids = _Grids(rows)
+            out += [(book, *row) for name, conf in scenarios.items() for row in _walk(conf, name, grids)]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
     return panel.groupBy("deal" if "deal" in panel.columns else "book").applyInPandas(run, OUT)
 
@@ -200,8 +178,8 @@ SCENARIOS = {
 }
 
 
-#: Books walked in one group, where there are more than cores: what a step costs beside its numbers is shared by their paths.
-SIDE_BY_SIDE = 8
+#: Books walked in one group, where each core has four groups at least: rows are dealt to fewer tasks.
+TOGETHER = 8
 
 
 def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +194,7 @@ def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = rets.join(limits, ["t", "symbol"], "left").join(rank, ["t", "symbol"], "left").join(buffered, ["t", "symbol"], "left")
     book = F.floor(F.substring("symbol", 4, 9).cast("long") / 150)  # the names of fifty suppliers
     books = spark.read.parquet(f"{sf_dir}/supplier.parquet").count() // 50 + 1
-    together = max(1, min(SIDE_BY_SIDE, books // spark.sparkContext.defaultParallelism))
+    together = max(1, min(TOGETHER, books // (4 * spark.sparkContext.defaultParallelism)))
     panel = panel.withColumns({"book": book.cast("string"), "deal": F.floor(book / together).cast("int")})
     return long_only_backtest(panel.repartitionById(max(1, -(-books // together)), "deal"), SCENARIOS)  # a task a group: hashed, some tasks would hold several
 
