@@ -91,3 +91,37 @@ def test_mechanism_and_backtest_share_their_days(spark):
         assert "residua_held_" not in plan.replace("residua_held_days", ""), name
     days = {(r.dir, r.t): r for r in relation(spark, SMALLEST, "mechanism_days").collect()}
     assert days and all(days[-d, t].ret == -r.ret and days[-d, t].turnover == r.turnover for (d, t), r in days.items())
+
+
+@pytest.mark.parametrize("halves", [True, False])
+def test_ranks_of_a_date_against_sql(spark, halves):
+    """Ties, missing values, values that do not differ and dates of few rows, against the windows of the step's SQL."""
+    from residua.operators.evaluation import _LAGS, rank_correlations
+
+    r, lags = np.random.default_rng(6), _LAGS
+    value = lambda t, j: None if (t + j) % 9 == 0 else float(r.integers(-3, 4)) if t != 3 else 1.0
+    n = {0: 60, 1: 60, 2: 15, 3: 40, 4: 45}
+    rows = [(t, f"s{j:03d}", float(r.integers(0, 6)), *[value(t, j + h) for h in lags]) for t in n for j in r.permutation(n[t]).tolist()]
+    wide = spark.createDataFrame(rows, "t int, symbol string, a double, " + ", ".join(f"f{h} double" for h in lags))
+    wide.createOrReplaceTempView("ranked_rows")
+    each = " UNION ALL ".join(f"SELECT {h} AS h, t, symbol, a AS x, f{h} AS y FROM ranked_rows WHERE f{h} IS NOT NULL" for h in lags)
+    if halves:
+        rank = lambda c: f"rank() OVER (PARTITION BY h, t ORDER BY {c}) + (count(*) OVER (PARTITION BY h, t, {c}) - 1) / 2.0"
+    else:
+        rank = lambda c: f"row_number() OVER (PARTITION BY h, t ORDER BY {c}, symbol)"
+        wide = wide.selectExpr("t", "symbol", *[x for h in lags for x in (f"CASE WHEN f{h} IS NOT NULL THEN a END AS s{h}", f"f{h}")])
+    spread = "WHERE sx > 0 AND sy > 0" if halves else ""
+    want = spark.sql(f"SELECT h, t, corr(rx, ry) AS ic, count(*) AS n FROM (SELECT h, t, {rank('x')} AS rx, {rank('y')} AS ry, max(x) OVER (PARTITION BY h, t) - min(x) OVER (PARTITION BY h, t) AS sx, max(y) OVER (PARTITION BY h, t) - min(y) OVER (PARTITION BY h, t) AS sy FROM ({each})) {spread} GROUP BY h, t HAVING count(*) >= 20")
+    got = {(x.h, x.t): (x.ic, x.n) for x in rank_correlations(wide, halves).collect()}
+    want = {(x.h, x.t): (x.ic, x.n) for x in want.collect()}
+    assert set(got) == set(want) and (2 not in {t for _, t in got}) and ((1, 3) in got) == (not halves)
+    assert all(got[k][1] == n and got[k][0] == pytest.approx(ic, abs=1e-12) for k, (ic, n) in want.items())
+    plan = relation(spark, SMALLEST, "ic_days" if halves else "reversal_days")._jdf.queryExecution().optimizedPlan().toString()
+    assert "rank(" not in plan and "row_number(" not in plan
+
+
+def test_books_are_walked_side_by_side(spark):
+    plan = relation(spark, SMALLEST, "direction_facts")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 6 and "reversed AS who" not in plan  # no row a book
+    got, want = relation(spark, SMALLEST, "direction_facts").first(), relation(spark, SMALLEST, "direction_facts", region=spark.read.parquet(f"{SMALLEST}/region.parquet")).first()
+    assert all(got[c] == pytest.approx(want[c], abs=1e-12) for c in want.asDict())
